@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, langid, media
+from tidepanel.llm import bpe, langid, media, packing, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +53,14 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_media_columns, op8_bpe_automaton)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring.without_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op5_media_columns, op8_bpe_automaton, op9_substring_dedup)}
 SQL: dict[str, str] = {}

@@ -40,3 +40,23 @@ def sized(df: DataFrame, row_bytes: int) -> DataFrame:
     Beyond the bound it is returned as it is and the join is a shuffled one.
     """
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def attach(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Left join of documents with ``found`` (a written table with one row a doc_id).
+
+    If the ids of ``found`` are few by count, only the documents that have a partner are shuffled
+    with it and the others stay where they are read; else it is one shuffled join of all.
+    """
+    extra = [c for c in found.columns if c != "doc_id"]
+    if found.count() * 16 > BROADCAST_BYTES:
+        return docs.join(found.hint("shuffle_hash"), "doc_id", "left")
+    ids = F.broadcast(found.select("doc_id"))
+    hit = docs.join(ids, "doc_id", "left_semi").join(found.hint("shuffle_hash"), "doc_id")
+    rest = docs.join(ids, "doc_id", "left_anti").withColumns({c: F.lit(None).cast(found.schema[c].dataType) for c in extra})
+    return hit.unionByName(rest)
+
+
+def text_size(docs: DataFrame) -> int:
+    """UTF-8 bytes of all texts."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
