@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, langid, media, packing, substring
+from tidepanel.llm import bpe, langid, lines, media, packing, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +62,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_best_fit_packing, op5_media_columns, op8_bpe_automaton, op9_substring_dedup)}
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    cleaned = lines.LineIndex.build(docs).clean(docs)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_best_fit_packing, op5_media_columns, op8_bpe_automaton, op9_substring_dedup)}
 SQL: dict[str, str] = {}
