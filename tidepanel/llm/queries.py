@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, langid, lines, media, packing, substring
+from tidepanel.llm import bpe, langid, lines, media, packing, sketches, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +68,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_best_fit_packing, op5_media_columns, op8_bpe_automaton, op9_substring_dedup)}
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sketches.compared(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        sketches.text_of(F.col("sketch")).alias("fingerprint"),
+        sketches.text_of(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_best_fit_packing, op5_media_columns, op6_fingerprints, op8_bpe_automaton, op9_substring_dedup)}
 SQL: dict[str, str] = {}
