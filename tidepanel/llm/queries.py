@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, langid, lines, media, packing, sketches, substring
+from tidepanel.llm import bpe, langid, licenses, lines, media, packing, sketches, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,5 +81,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op4_best_fit_packing, op5_media_columns, op6_fingerprints, op8_bpe_automaton, op9_substring_dedup)}
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_fingerprints, op8_bpe_automaton, op9_substring_dedup)}
 SQL: dict[str, str] = {}
