@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, langid, licenses, lines, media, packing, sketches, substring
+from tidepanel.llm import bpe, langid, licenses, lines, lm, media, packing, sketches, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +86,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_fingerprints, op8_bpe_automaton, op9_substring_dedup)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.scores(documents(spark, sf_dir), F.coalesce(remainder(7) != 2, F.lit(False)))
+    held = F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_fingerprints, op8_bpe_automaton, op9_substring_dedup, op10_lm_scoring)}
 SQL: dict[str, str] = {}
