@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, langid, licenses, lines, lm, media, packing, sketches, substring
+from tidepanel.llm import bpe, langid, licenses, lines, lm, media, near, packing, sketches, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,5 +92,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held, "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_fingerprints, op8_bpe_automaton, op9_substring_dedup, op10_lm_scoring)}
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.groups(documents(spark, sf_dir), size=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_fingerprints, op7_minhash_dedup, op8_bpe_automaton, op9_substring_dedup, op10_lm_scoring)}
 SQL: dict[str, str] = {}
