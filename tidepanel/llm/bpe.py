@@ -21,6 +21,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES
 CHUNK = re.compile(rf"[^{SPACES}]+")
 #: str.split() also parts at these, which are no white space there.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Encoded words that a worker keeps for its next rows; they are dropped together at this many.
-CACHED_WORDS = 400_000
+#: Encoded words that a worker keeps for its next rows, in two generations of at most this many each.
+CACHED_WORDS = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -52,7 +53,6 @@ class MergeAutomaton:
 
     def __init__(self, tokens: dict[str, int]):
         self.ids = tokens
-        self.longest = max(map(len, tokens), default=1)
         n = max(tokens.values(), default=-1) + 1
         self.base, self.arc_of, self.since = [-1] * n, [-1] * n, [-1] * n
         self.removed: list[dict[int, int]] = [{} for _ in range(n)]
@@ -60,6 +60,7 @@ class MergeAutomaton:
         for text, i in tokens.items():
             self.labels[i] = text
         self.arcs: dict[int, bool] = {}
+        self.trees: dict[str, dict] = {}
 
     @classmethod
     def compile(cls, tokens: dict[str, int], merges: list[tuple[str, str]]) -> MergeAutomaton:
@@ -74,15 +75,8 @@ class MergeAutomaton:
         self.base[w], self.arc_of[w], self.since[w] = v, u, t
         self.removed[u][v] = t
 
-    def follows(self, state: int, label: int) -> bool:
-        """Is there an arc ``label`` out of ``state``? Looked up in the table, else read off the gadgets."""
-        key = state << 32 | label
-        known = self.arcs.get(key)
-        if known is None:
-            known = self.arcs[key] = self._arc(state, label)
-        return known
-
     def _arc(self, state: int, label: int) -> bool:
+        """Is there an arc ``label`` out of ``state``? Read off the gadgets; callers keep the answer in the table."""
         until_state = 1 << 62
         while state >= 0:
             gone = self.removed[state]
@@ -97,22 +91,50 @@ class MergeAutomaton:
             until_state, state = self.since[state], self.base[state]
         return True
 
+    def _spell(self, end: str) -> dict:
+        """A tree of all labels: edges are symbols and the end mark, None holds the token."""
+        root: dict = {}
+        for text, token in self.ids.items():
+            node = root
+            for c in text[: -len(end)] if end and text.endswith(end) else text:
+                node = node.setdefault(c, {})
+            if end and text.endswith(end):
+                node = node.setdefault(end, {})
+            node[None] = token
+        return root
+
     def encode(self, word: str, end: str = "") -> list[int]:
         """Token ids of a pre-split word of base symbols; ``end`` is the mark that its last symbol carries."""
-        ids, n = self.ids, len(word)
+        root = self.trees.get(end)
+        if root is None:
+            root = self.trees[end] = self._spell(end)
+        n, arcs, arc = len(word), self.arcs, self._arc
         last, begin = [-1] * (n + 1), [0] * (n + 1)
-        for stop in range(1, n + 1):
-            mark = end if stop == n else ""
-            for start in range(max(0, stop - self.longest), stop):
-                if start and last[start] < 0:
-                    continue
-                token = ids.get(word[start:stop] + mark)
-                if token is not None and (not start or self.follows(last[start], token)):
-                    last[stop], begin[stop] = token, start
+        for start in range(n):
+            state = last[start]
+            if start and state < 0:
+                continue
+            node = root
+            for stop in range(start + 1, n + 1):
+                node = node.get(word[stop - 1])
+                if node is None:
                     break
-            else:
-                if not mark:
-                    last[stop] = -1
+                if stop == n and end:
+                    node = node.get(end)
+                    if node is None:
+                        break
+                if last[stop] < 0:
+                    token = node.get(None)
+                    if token is None:
+                        continue
+                    if start:
+                        key = state << 32 | token
+                        known = arcs.get(key)
+                        if known is None:
+                            known = arcs[key] = arc(state, token)
+                        if not known:
+                            continue
+                    last[stop], begin[stop] = token, start
         if n and last[n] < 0:
             raise ValueError(f"{word!r} has symbols outside the vocabulary")
         out, at = [], n
@@ -137,25 +159,36 @@ class WordTokenizer:
         self.strings = dict(enumerate(self.automaton.labels)) | {i: s for s, i in self.special.items()}
         self.splits = re.compile("|".join(f"({re.escape(s)})" for s in self.special) or r"(?!)")
         self.words: dict[str, tuple[bytes, str]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
+        self.pieces: dict[str, tuple[bytes, str]] = {}
+        self.old_words: dict[str, tuple[bytes, str]] = {}
+        self.old_pieces: dict[str, tuple[bytes, str]] = {}
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        made = self.pieces.get(piece)
+        if made is not None:
+            return made
+        made = self.old_pieces.get(piece)
+        if made is None:
             ids = self.automaton.encode("".join(map(self.letters.__getitem__, piece.encode())), self.end)
-            if len(piece) <= 64:
-                if len(self.pieces) >= CACHED_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
+            made = pack(f"<{len(ids)}I", *ids), self.decode(ids)
+        if len(piece) <= 64:
+            if len(self.pieces) >= CACHED_WORDS:
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = made
+        return made
 
     def _word(self, word: str) -> tuple[bytes, str]:
-        plain = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-        ids = [i for piece in PIECES.findall(plain) for i in self._piece(piece)]
-        made = np.array(ids, "<u4").tobytes(), self.decode(ids)
+        made = self.old_words.get(word)
+        if made is None:
+            plain = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+            if plain.isalpha():
+                made = self._piece(plain)
+            else:
+                done = [self._piece(piece) for piece in PIECES.findall(plain)]
+                made = b"".join([i for i, _ in done]), " ".join([s for _, s in done])
         if len(word) <= 64:
             if len(self.words) >= CACHED_WORDS:
-                self.words.clear()
+                self.old_words, self.words = self.words, {}
             if len(self.automaton.arcs) >= 4 * CACHED_WORDS:
                 self.automaton.arcs.clear()
             self.words[word] = made
