@@ -1,8 +1,10 @@
 """Operator 9: removal of passages that a document with a smaller doc_id has, too.
 
 Rabin-Karp values of every window of 50 words are computed with numpy as the texts are read, dealt
-to buckets by value and compared there by Spark's grouping: a bucket finds the smallest doc_id of each
-value and reports the other documents that hold it. Each document's reported windows then merge into
+to buckets and compared there by Spark's grouping: a bucket finds the smallest doc_id of each
+value and reports the other documents that hold it. A window's bucket follows from the least value
+of the eight-word sequences in it, so neighbouring windows mostly share a bucket and a document is
+reported by a few buckets, however many there are. Each document's reported windows then merge into
 maximal intervals, whose words are removed.
 
 A task sends each value once for a chunk of texts, with its smallest doc_id; the chunk's other holders
@@ -27,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.chunks import Words, chunks, windows
+from tidepanel.llm.chunks import Words, chunks, mix, windows
 from tidepanel.llm.store import attach, text_size, written
 
 WINDOW = 50
 #: Bytes of text whose windows make one bucket on average.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Bytes of text in which a task merges equal windows before it sends them.
 MERGE_BYTES = 4 << 20
 
@@ -55,15 +57,28 @@ def _least(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, new, d > least
 
 
-def _windows(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window values and doc_ids of a chunk; rows without a doc_id have none."""
+def _least_inside(hashes: np.ndarray, size: int, inner: int = 8) -> np.ndarray:
+    """For every window of ``size`` words: a value drawn from its least ``inner``-word sequence."""
+    inner = min(inner, size)
+    low, span, need = windows(hashes, inner), 1, size - inner + 1
+    while 2 * span <= need:
+        low, span = np.minimum(low[:-span], low[span:]), 2 * span
+    if span < need:
+        low = np.minimum(low[: len(low) - (need - span)], low[need - span :])
+    return mix(low, 3)
+
+
+def _windows(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window values, doc_ids and what decides their buckets, of a chunk; rows without a doc_id have none."""
     words = Words(part.column("text"), lower=False)
-    values, owner = windows(words.hashes(), size), words.owners()
+    hashes, owner = words.hashes(), words.owners()
+    values = windows(hashes, size)
     ids = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False)
     ok = owner[: len(values)] == owner[size - 1 :] if len(values) else np.zeros(0, bool)
     if part.column("doc_id").null_count:
         ok &= part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[owner[: len(values)]]
-    return values[ok], ids[owner[: len(values)][ok]]
+    places = _least_inside(hashes, size) if len(values) else values
+    return values[ok], ids[owner[: len(values)][ok]], places[ok]
 
 
 def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -72,7 +87,7 @@ def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     def send(batches):
         for part in chunks(batches, limit=MERGE_BYTES):
-            values, ids = _windows(part, size)
+            values, ids, places = _windows(part, size)
             if not len(values):
                 continue
             order, new, repeat = _least(values, ids)
@@ -86,7 +101,7 @@ def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
                 own, counts = _runs(rd)
                 rows.append((int(own[0]) % buckets, True, own.tobytes(), counts.tobytes(), rv.tobytes()))
             v, d = v[new], d[new]
-            to = ((v >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            to = ((places[order][new] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((d, to))
             v, d, to = v[by], d[by], to[by]
             edges = np.searchsorted(to, np.arange(buckets + 1))
