@@ -158,3 +158,18 @@ def identify(docs: DataFrame, profile: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, profile: DataFrame, least: float) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has a letter and scores at least ``least`` in its language."""
+    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in profile.collect()])
+
+    def run(batches):
+        ranker = Ranker(shared.value)
+        for part in chunks(batches, limit=1 << 20):
+            for at in range(0, part.num_rows, 1 << 15):
+                piece = part.slice(at, 1 << 15)
+                names, score = ranker.predict(piece.column("text").to_pylist())
+                yield piece.filter(pa.array((np.array(names) != "und") & (score >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
