@@ -1,4 +1,4 @@
 """All registered queries outside the training-data operators."""
 
-from tidepanel.plans import panel  # noqa: F401
+from tidepanel.plans import panel, research  # noqa: F401
 from tidepanel.plans.registry import QUERIES, SQL  # noqa: F401
