@@ -139,10 +139,9 @@ def scan(docs: DataFrame) -> DataFrame:
             ).alias("places"),
         ),
     )
-    words = F.split(F.col("plain"), " ")
-    places = lambda w: F.filter(
-        F.transform(w, lambda x, i: _base_at(w, i)), lambda s: s["label"].isNotNull()
-    )
+    # a column of its own: inside a lambda the split would be made anew for every word
+    words = F.when(F.contains(F.col("plain"), F.lit("license")), F.split(F.col("plain"), " "))
+    places = F.filter(F.transform(F.col("words"), lambda x, i: _base_at(F.col("words"), i)), lambda s: s["label"].isNotNull())
 
     def _base_at(w: Column, i: Column) -> Column:
         label = F.lit(None).cast("string")
@@ -154,10 +153,10 @@ def scan(docs: DataFrame) -> DataFrame:
             label = F.when(here, F.lit(name)).otherwise(label)
         return F.struct(i.cast("long").alias("at"), label.alias("label"))
 
-    rows = rows.select(
+    rows = rows.withColumn("words", words).select(
         "row", "doc_id",
         F.when(F.col("plain") == "", F.lit(0)).otherwise(_spaces(F.col("plain")) + 1).cast("long").alias("n_words"),
-        F.when(F.contains(F.col("plain"), F.lit("license")), places(words)).alias("base"),
+        places.alias("base"),
         F.when(F.rlike(F.col("plain"), F.lit(GATE)), hits).alias("hits"),
     )
     head = ["row", "doc_id", "n_words", "base"]
