@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidepanel.config import Config
 from tidepanel.operators.calendar import calendar, indexed
 
-BY_DATE = Window.partitionBy("isin").orderBy("date")
+def by_date() -> Window:
+    return Window.partitionBy("isin").orderBy("date")
 
 
 def isin_links(panel: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def apply_links(panel: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _factor(cfg: Config):
-    prior = F.lag("close").over(BY_DATE)
+    prior = F.lag("close").over(by_date())
     f = F.when(prior > 0, F.col("prevclose") / prior)
     f = F.when(f.between(cfg.action_low, cfg.action_high), f).otherwise(F.lit(1.0))
     return F.when(F.abs(f - 1) > cfg.action_tolerance, f).otherwise(F.lit(1.0))

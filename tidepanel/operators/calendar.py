@@ -34,7 +34,7 @@ def rebalances(cal: DataFrame, warmup: int = 0) -> DataFrame:
     return rows.select("form_date", F.col("s").alias("form_s"), "entry", (F.col("s") + 1).alias("entry_s"), "exit", "exit_s", (F.row_number().over(w) - 1).cast("long").alias("period"))
 
 
-def covering(cal: DataFrame, forms: DataFrame, window: int) -> DataFrame:
+def covering(forms: DataFrame, window: int) -> DataFrame:
     """s, form_date, form_s: the formations whose trailing ``window`` sessions hold session s (calendar-sized)."""
     f = forms.select("form_date", "form_s")
     spread = f.select("form_date", "form_s", F.explode(F.sequence(F.greatest(F.col("form_s") - (window - 1), F.lit(0)), F.col("form_s"))).alias("s"))

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.config import Config
-from tidepanel.operators.calendar import calendar, covering
+from tidepanel.operators.calendar import covering
 
 
 def spread(panel: DataFrame, forms: DataFrame, window: int) -> DataFrame:
     """Each bar once for every formation whose trailing window holds it (form_date, form_s added)."""
-    return panel.join(F.broadcast(covering(calendar(panel), forms, window)), "s")
+    return panel.join(F.broadcast(covering(forms, window)), "s")
 
 
 def formation_stats(panel: DataFrame, forms: DataFrame, window: int) -> DataFrame:

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tidepanel.config import Config
 from tidepanel.operators.adjust import returns
 
-BY_S = Window.partitionBy("isin").orderBy("s")
+def by_s() -> Window:
+    return Window.partitionBy("isin").orderBy("s")
 
 
 def trailing(n: int) -> Window:
-    return BY_S.rangeBetween(-(n - 1), 0)
+    return by_s().rangeBetween(-(n - 1), 0)
 
 
 def realized(window: int, year: int) -> Column:
@@ -25,7 +26,7 @@ def realized(window: int, year: int) -> Column:
 
 def ewma(lam: float, year: int, minimum: int) -> Column:
     """Exponentially weighted volatility; weights decay by sessions. Column ``age`` counts sessions since the isin's first."""
-    w = BY_S.rowsBetween(Window.unboundedPreceding, 0)
+    w = by_s().rowsBetween(Window.unboundedPreceding, 0)
     weight = F.pow(F.lit(lam), -F.col("age"))
     seen = F.when(F.col("ret").isNotNull(), weight)
     return F.when(F.count("ret").over(w) >= minimum, F.sqrt(F.sum(F.col("ret") * F.col("ret") * weight).over(w) / F.sum(seen).over(w) * year))
@@ -41,13 +42,13 @@ def parkinson(window: int, year: int, minimum: int) -> Column:
 
 def forward(horizon: int, year: int) -> Column:
     """The target: deviation of the next ``horizon`` sessions' returns, with at least half of them."""
-    w = BY_S.rangeBetween(1, horizon)
+    w = by_s().rangeBetween(1, horizon)
     return F.when(F.count("ret").over(w) >= horizon // 2, F.stddev_samp("ret").over(w) * sqrt(year))
 
 
 def past_return(n: int) -> Column:
     """Return since exactly n sessions ago; null if there was no bar."""
-    then = F.first_value("adj_close").over(BY_S.rangeBetween(-n, -n))
+    then = F.first_value("adj_close").over(by_s().rangeBetween(-n, -n))
     return F.when(then > 0, F.col("adj_close") / then - 1)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.tables import once
 from tidepanel.operators import adjust, quality, universe
 from tidepanel.operators import calendar as cal_ops
 from tidepanel.plans.registry import config, cte, panel, query, rounded
@@ -157,11 +158,24 @@ def return_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.return_quality(panel(spark, sf_dir)))
 
 
+@once
+def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cal_ops.calendar(adapters.bars(spark, sf_dir))
+
+
+@once
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rebalances after the warm-up."""
+    return cal_ops.rebalances(_calendar(spark, sf_dir), config(spark, sf_dir).warmup)
+
+
+@once
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cfg, rows = config(spark, sf_dir), panel(spark, sf_dir)
-    return universe.formation_stats(rows, cal_ops.rebalances(calendar(spark, sf_dir), cfg.warmup), cfg.formation)
+    return universe.formation_stats(rows, forms(spark, sf_dir), cfg.formation)
 
 
+@once
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return universe.universe(_stats(spark, sf_dir), config(spark, sf_dir))
 
@@ -180,8 +194,8 @@ def universe_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def universe_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members as of the last formation."""
     cfg, rows = config(spark, sf_dir), panel(spark, sf_dir)
-    forms = cal_ops.rebalances(calendar(spark, sf_dir), cfg.warmup)
-    last = forms.join(F.broadcast(forms.agg(F.max("form_s").alias("form_s"))), "form_s")
+    every = forms(spark, sf_dir)
+    last = every.join(F.broadcast(every.agg(F.max("form_s").alias("form_s"))), "form_s")
     return rounded(universe.universe(universe.formation_stats(rows, last, cfg.formation), cfg).select("isin", "symbol", "median_turnover", "rank"))
 
 
@@ -220,7 +234,6 @@ def last_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT a.date, a.isin FROM adj a WHERE EXISTS (SELECT 1 FROM uni u JOIN reb r ON r.form_date = u.form_date WHERE u.isin = a.isin AND a.s BETWEEN r.form_s AND r.exit_s)")
 def membership_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars inside a membership span [formation, next formation]; sessions map to their formations, so the semi-join is by equality."""
-    forms = rebalance_calendar(spark, sf_dir)
-    inside = forms.select("form_date", F.explode(F.sequence("form_s", "exit_s")).alias("s"))
+    inside = forms(spark, sf_dir).select("form_date", F.explode(F.sequence("form_s", "exit_s")).alias("s"))
     spans = members(spark, sf_dir).select("form_date", "isin").join(F.broadcast(inside), "form_date").select("isin", "s")
     return panel(spark, sf_dir).join(spans, ["isin", "s"], "left_semi").select("date", "isin")

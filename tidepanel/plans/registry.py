@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.config import Config
+from tidepanel.functions.tables import once
 from tidepanel.operators.adjust import prepared
 from tidepanel.sources import adapters
 
@@ -57,6 +58,7 @@ def config(spark: SparkSession, sf_dir: str) -> Config:
     return Config.for_panel(spark.read.parquet(f"{sf_dir}/supplier.parquet").count())
 
 
+@once
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The linked, adjusted and indexed bar panel."""
     return prepared(adapters.bars(spark, sf_dir))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.tables import once
 from tidepanel.operators import backtest, factors, metrics, portfolio
-from tidepanel.plans.panel import calendar, members, rebalance_calendar
+from tidepanel.plans.panel import forms, members
 from tidepanel.plans.registry import config, cte, panel, query, rounded
 from tidepanel.sources import adapters
 
@@ -62,25 +63,28 @@ cte(
 )
 
 
-def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rebalance_calendar(spark, sf_dir)
+@once
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.price_factors(panel(spark, sf_dir), forms(spark, sf_dir), config(spark, sf_dir), members(spark, sf_dir))
 
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return factors.price_factors(panel(spark, sf_dir), _forms(spark, sf_dir), config(spark, sf_dir), members(spark, sf_dir))
+@once
+def _zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.zscores(_raw(spark, sf_dir), factors.PRICE_SIGNS, config(spark, sf_dir))
 
 
 def _scored(spark: SparkSession, sf_dir: str, require_all: bool = True) -> DataFrame:
-    z = factors.zscores(_raw(spark, sf_dir), factors.PRICE_SIGNS, config(spark, sf_dir))
-    return factors.composite(z, NAMES, require_all)
+    return factors.composite(_zscores(spark, sf_dir), NAMES, require_all)
 
 
+@once
 def _fwd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.forward_returns(panel(spark, sf_dir), _forms(spark, sf_dir))
+    return backtest.forward_returns(panel(spark, sf_dir), forms(spark, sf_dir))
 
 
+@once
 def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir).select("form_date", "isin", "composite", "vol").join(F.broadcast(_forms(spark, sf_dir).select("form_date", "period")), "form_date")
+    rows = _scored(spark, sf_dir).select("form_date", "isin", "composite", "vol").join(F.broadcast(forms(spark, sf_dir).select("form_date", "period")), "form_date")
     return portfolio.top_n(rows, config(spark, sf_dir).holdings, ["form_date", "period"])
 
 
@@ -110,7 +114,7 @@ def _books(spark: SparkSession, sf_dir: str, variants: tuple[str, ...] = ("equal
         if variant == "equal":
             w = portfolio.equal_weights(_chosen(spark, sf_dir), ["period"])
         elif variant == "universe":
-            w = portfolio.equal_weights(members(spark, sf_dir).join(F.broadcast(_forms(spark, sf_dir).select("form_date", "period")), "form_date"), ["period"])
+            w = portfolio.equal_weights(members(spark, sf_dir).join(F.broadcast(forms(spark, sf_dir).select("form_date", "period")), "form_date"), ["period"])
         else:
             w = _inverse(spark, sf_dir)
         rows = backtest.tradable(w.select("period", "isin", "weight"), fwd, []).withColumn("variant", F.lit(variant))
@@ -119,11 +123,11 @@ def _books(spark: SparkSession, sf_dir: str, variants: tuple[str, ...] = ("equal
 
 
 def _ledger(spark: SparkSession, sf_dir: str, variants: tuple[str, ...] = ("equal", "universe", "inverse")) -> DataFrame:
-    return backtest.ledger(_books(spark, sf_dir, variants), _forms(spark, sf_dir), config(spark, sf_dir).cost_bps, ["variant"])
+    return backtest.ledger(_books(spark, sf_dir, variants), forms(spark, sf_dir), config(spark, sf_dir).cost_bps, ["variant"])
 
 
-R = lambda *cols: ", ".join(f"round({c}, 6) AS {c}" for c in cols)
-LEDGER = f"form_date, entry, exit, n_holdings, {R('gross_return', 'turnover', 'cost', 'net_return', 'gross_equity', 'net_equity')}"
+R = lambda *cols, digits=6: ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
+LEDGER = f"form_date, entry, exit, n_holdings, {R('gross_return', 'turnover', 'cost', 'net_return', 'gross_equity', 'net_equity', digits=8)}"
 
 
 @query(f"SELECT form_date, isin, {R(*NAMES)} FROM fac")
@@ -200,7 +204,7 @@ def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 def buffer_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One buffered step of every period from the strict book of the period before."""
     cfg = config(spark, sf_dir)
-    rows = _scored(spark, sf_dir).select("form_date", "isin", "composite").join(F.broadcast(_forms(spark, sf_dir).select("form_date", "period")), "form_date")
+    rows = _scored(spark, sf_dir).select("form_date", "isin", "composite").join(F.broadcast(forms(spark, sf_dir).select("form_date", "period")), "form_date")
     ranked = portfolio.top_n(rows, 1 << 30, ["form_date", "period"])
     held = _chosen(spark, sf_dir).select((F.col("period") + 1).alias("period"), "isin")
     return portfolio.buffer_step(ranked, held, cfg.holdings, cfg.buffer, ["period"]).select("period", "isin", "rank", "kept")
@@ -210,11 +214,11 @@ def buffer_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 def buffered_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledgers of books with buffers of 1, 1.5 and 2; tested against a plain loop."""
     cfg = config(spark, sf_dir)
-    rows = _scored(spark, sf_dir).select("form_date", "isin", "composite").join(F.broadcast(_forms(spark, sf_dir).select("form_date", "period")), "form_date")
+    rows = _scored(spark, sf_dir).select("form_date", "isin", "composite").join(F.broadcast(forms(spark, sf_dir).select("form_date", "period")), "form_date")
     rows = portfolio.top_n(rows, 2 * cfg.holdings, ["form_date", "period"]).join(_fwd(spark, sf_dir).select("period", "isin", "ret"), ["period", "isin"], "left")
     variants = F.explode(F.array(*(F.struct(F.lit(f"buffer {m}").alias("variant"), F.lit(m).alias("mult")) for m in (1.0, 1.5, 2.0))))
     rows = rows.select("period", "isin", "rank", "ret", variants.alias("v")).select("period", "isin", "rank", "ret", "v.variant", "v.mult").where(F.col("rank") <= F.floor(F.col("mult") * cfg.holdings))
-    return rounded(backtest.ledger(portfolio.buffered_books(rows, cfg.holdings), _forms(spark, sf_dir), cfg.cost_bps, ["variant"]))
+    return rounded(backtest.ledger(portfolio.buffered_books(rows, cfg.holdings), forms(spark, sf_dir), cfg.cost_bps, ["variant"]))
 
 
 @query("SELECT period, isin, round(weight, 6) AS weight FROM invbook")
@@ -235,7 +239,7 @@ def group_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest capped book with what a reader wants to see."""
     rows = _grouped(spark, sf_dir)
-    return rounded(rows.join(F.broadcast(_forms(spark, sf_dir).agg(F.max("period").alias("period"))), "period").select("isin", "symbol", "sector", "weight"))
+    return rounded(rows.join(F.broadcast(forms(spark, sf_dir).agg(F.max("period").alias("period"))), "period").select("isin", "symbol", "sector", "weight"))
 
 
 @query("SELECT period, isin, round(weight, 6) AS weight FROM groupbook")
@@ -247,7 +251,7 @@ def build_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sector, round(SUM(weight), 6) AS weight FROM groupbook WHERE period = (SELECT MAX(period) FROM groupbook) GROUP BY 1")
 def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _grouped(spark, sf_dir)
-    return rounded(rows.join(F.broadcast(_forms(spark, sf_dir).agg(F.max("period").alias("period"))), "period").groupBy("sector").agg(F.sum("weight").alias("weight")))
+    return rounded(rows.join(F.broadcast(forms(spark, sf_dir).agg(F.max("period").alias("period"))), "period").groupBy("sector").agg(F.sum("weight").alias("weight")))
 
 
 @query("SELECT k, round(turnover, 6) AS turnover FROM turns WHERE variant = 'equal'")
@@ -257,17 +261,17 @@ def book_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {LEDGER} FROM led WHERE variant = 'equal'")
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_ledger(spark, sf_dir, ("equal",)).drop("variant"))
+    return rounded(_ledger(spark, sf_dir, ("equal",)).drop("variant"), 8)
 
 
 @query(f"SELECT {LEDGER} FROM led WHERE variant = 'universe'")
 def equal_weight_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_ledger(spark, sf_dir, ("universe",)).drop("variant"))
+    return rounded(_ledger(spark, sf_dir, ("universe",)).drop("variant"), 8)
 
 
 @query(f"SELECT variant, {LEDGER} FROM led")
 def variant_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_ledger(spark, sf_dir))
+    return rounded(_ledger(spark, sf_dir), 8)
 
 
 cte(
@@ -341,4 +345,4 @@ def total_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     JOIN tot t ON t.date > x.after AND t.date <= x.exit WHERE after IS NOT NULL GROUP BY 1, 2""")
 def align_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index returns on the grid of the books."""
-    return rounded(metrics.align(_total(spark, sf_dir).select("date", "index_name", F.col("total").alias("ret")), _forms(spark, sf_dir), ["index_name"]))
+    return rounded(metrics.align(_total(spark, sf_dir).select("date", "index_name", F.col("total").alias("ret")), forms(spark, sf_dir), ["index_name"]))
