@@ -8,12 +8,12 @@
    in batches of MinHash values; after each batch those whose posterior probability of reaching the
    threshold is below ``MISS`` are dropped. The others are decided by the exact sizes of intersection
    and union, and the links make components.
-4. Only buckets that hold more than one component are looked at again: their members are laid out in
-   blocks and all pairs across components are compared by batches inside the tasks; a pair belongs to
-   the first band that it shares. First the ``FAN`` most alike of each member outside the first one's
-   component are decided exactly, then, with the components so far, all that remain. No pair within a
-   component is ever formed, and no pair is left out, so a large group of near copies costs about as
-   many exact comparisons as it has members.
+4. Only buckets that hold more than one component are looked at again. Their members are laid out in
+   pairs of blocks and compared by batches inside the tasks, which report which components may be
+   linked (a spanning forest, so at most as many rows as members). The members of such a group of
+   components are laid out in pairs of blocks again, with their sets, and all pairs across components
+   that pass the batches are decided exactly inside the tasks, which report a spanning forest of the
+   links. No pair within a component is compared, none across is left out, and no task emits all pairs.
 
 Tables between steps are written to the shared folder. Shingle sets are made only for classes that
 share a bucket. Nothing of the size of the corpus goes to the driver.
@@ -38,7 +38,7 @@ from tidepanel.llm.store import sized, written
 
 BANDS, ROWS, STEP = 32, 4, 32
 MISS = 1e-6
-FAN, BLOCK = 2, 256
+BLOCK = 256
 
 _DRAW = np.random.default_rng(20240229)
 _A, _B = (_DRAW.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
@@ -150,84 +150,118 @@ def shingles(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return rows.join(sized(ids.toDF("doc_id"), 16), "doc_id", "left_semi").mapInArrow(run, "rep long, set binary")
 
 
-def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, similar: float, fan: int | None) -> DataFrame:
-    """Pairs across components within buckets that pass the sequential comparison.
+class _Joined:
+    """Which labels have been joined so far within a task."""
 
-    With ``fan``, only the most alike of each member outside the component of the bucket's first.
-    """
-    least = least_matches(similar)
-    own = members.join(labels.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    first = F.min_by("comp", "rep").alias("main")
-    open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), first).where("lo <> hi")
-    rows = own.join(open_.select("key", "n", "main"), "key")
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.parent[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _blocks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of a key (with its size n) dealt to pairs of blocks (p <= q), sorted so that a pair's rows stand together."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = rows.select("key", "band", "rep", "comp", "main", mine.alias("mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    rows = rows.select("key", "band", "rep", "comp", "main", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
-    rows = rows.join(classes.select("rep", "minima"), "rep")
-    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "rep")
-
-    def pairs(group: dict[str, np.ndarray], found: list) -> None:
-        minima, comp, rep, mine = group["minima"], group["comp"], group["rep"], group["mine"]
-        band = int(group["band"][0])
-        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for i in range(len(rep)):
-            to = np.flatnonzero((comp != comp[i]) & (np.arange(len(rep)) > i) & ((mine != mine[i]) | (group["p"] == group["q"])))
-            if not len(to):
-                continue
-            left, equal = alike(np.broadcast_to(minima[i], (len(to), minima.shape[1])), minima[to], least)
-            to = to[left]
-            if band and len(to):
-                earlier = (minima[to, : band * ROWS] == minima[i, : band * ROWS]).reshape(len(to), band, ROWS).all(2).any(1)
-                to, equal = to[~earlier], equal[~earlier]
-            if len(to):
-                best.append((np.full(len(to), i), to, equal))
-        if not best:
-            return
-        x, y, equal = (np.concatenate(v) for v in zip(*best, strict=True))
-        if fan is not None:
-            keep = np.zeros(len(x), bool)
-            for end in (x, y):
-                order = np.lexsort((-equal, end))
-                rank = np.arange(len(order)) - np.searchsorted(end[order], end[order])
-                outside = comp[end[order]] != group["main"][end[order]]
-                keep[order[(rank < fan) & outside]] = True
-            x, y = x[keep], y[keep]
-        found.append((rep[x], rep[y]))
-
-    names = ["key", "p", "q", "band", "rep", "comp", "main", "mine"]
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.select(key, *columns, "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+
+
+def _by_blocks(rows: DataFrame, key: str, numbers: list[str], binaries: list[str], links) -> DataFrame:
+    """(a, b) that ``links`` finds in the rows of each pair of blocks; a task streams its rows, two blocks at a time."""
+    names = [key, "p", "q", "mine", *numbers]
+    rows = rows.repartition(key, "p", "q").sortWithinPartitions(key, "p", "q", "rep").select(*names, *binaries)
 
     def run(batches):
-        held: dict[str, np.ndarray] | None = None
+        held = None
         for part in batches:
-            now = {c: part.column(c).to_numpy() for c in names} | {"minima": _minima(part.column("minima"))}
+            now = {c: part.column(c).to_numpy() for c in names} | {c: np.array(part.column(c).to_pylist(), object) for c in binaries}
             if held is not None:
                 now = {c: np.concatenate([held[c], now[c]]) for c in now}
             if not len(now["rep"]):
                 continue
-            group = np.stack([now[c] for c in ("key", "p", "q")], 1)
-            edges = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
-            edges = np.concatenate([[0], edges])
-            found: list = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                pairs({c: v[a:b] for c, v in now.items()}, found)
+            group = np.stack([now[c] for c in (key, "p", "q")], 1)
+            edges = np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1])
+            found = [x for a, b in zip(edges[:-1], edges[1:], strict=True) for x in links({c: v[a:b] for c, v in now.items()})]
             held = {c: v[edges[-1] :] for c, v in now.items()}
             if found:
                 yield _pairs(found)
-        if held is not None:
-            found = []
-            pairs(held, found)
-            if found:
-                yield _pairs(found)
+        found = list(links(held)) if held is not None else []
+        if found:
+            yield _pairs(found)
 
-    return rows.select(*names, "minima").mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _pairs(found: list) -> pa.RecordBatch:
-    a, b = (np.concatenate(v) for v in zip(*found, strict=True))
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.array(found, np.int64).reshape(-1, 2).T
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+def _partners(g: dict[str, np.ndarray], minima: np.ndarray, i: int, least: list[int]) -> np.ndarray:
+    """Later members of the other block (or of one block with itself) in other components that pass the comparison with member i."""
+    later = np.arange(len(minima)) > i
+    to = np.flatnonzero(later & (g["comp"] != g["comp"][i]) & ((g["mine"] != g["mine"][i]) | (g["p"] == g["q"])))
+    if not len(to):
+        return to
+    left, _ = alike(np.broadcast_to(minima[i], (len(to), minima.shape[1])), minima[to], least)
+    return to[left]
+
+
+def _maybe(members: DataFrame, labels: DataFrame, classes: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of components that hold bucket mates which may be linked; within a task, a spanning forest of them."""
+    least = least_matches(similar)
+    own = members.join(labels.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
+    rows = _blocks(own.join(open_.select("key", "n"), "key"), "key", ["rep", "comp"]).join(classes.select("rep", "minima"), "rep")
+
+    def links(g):
+        minima = np.frombuffer(b"".join(g["minima"]), np.uint32).reshape(-1, BANDS * ROWS)
+        joined = _Joined()
+        for i in range(len(minima)):
+            for k in np.unique(g["comp"][_partners(g, minima, i, least)]).tolist():
+                if joined.join(int(g["comp"][i]), k):
+                    yield int(g["comp"][i]), k
+
+    return _by_blocks(rows, "key", ["rep", "comp"], ["minima"], links)
+
+
+def _decided(maybe: DataFrame, members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, similar: float, percent: int) -> DataFrame:
+    """Links (a, b) across the components of each group of ``maybe``, by whole sets; within a task, a spanning forest of them."""
+    least = least_matches(similar)
+    wide = components(maybe).toDF("comp", "wide")
+    own = members.select("rep").distinct().join(labels.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    own = written(own.join(wide, "comp"), "undecided")
+    sizes = own.groupBy("wide").agg(F.count(F.lit(1)).alias("n"))
+    rows = _blocks(own.join(sizes, "wide"), "wide", ["rep", "comp"]).join(classes.select("rep", "minima"), "rep").join(sets, "rep")
+
+    def links(g):
+        minima = np.frombuffer(b"".join(g["minima"]), np.uint32).reshape(-1, BANDS * ROWS)
+        full = [np.frombuffer(x, np.uint64) for x in g["set"]]
+        joined = _Joined()
+        for i in range(len(full)):
+            to = _partners(g, minima, i, least)
+            if not len(to):
+                continue
+            sizes = np.array([len(full[k]) for k in to])
+            every = np.concatenate([full[k] for k in to])
+            at = np.minimum(np.searchsorted(full[i], every), len(full[i]) - 1)
+            shared = np.add.reduceat((full[i][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for k in to[100 * shared >= percent * (len(full[i]) + sizes - shared)].tolist():
+                if joined.join(int(g["comp"][i]), int(g["comp"][k])):
+                    yield int(g["rep"][i]), int(g["rep"][k])
+
+    return _by_blocks(rows, "wide", ["rep", "comp"], ["minima", "set"], links)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) for every node of the edges (a, b).
 
@@ -255,7 +289,7 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     classes = written(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima")), "classes")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("minima"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    postings = classes.select("rep", F.posexplode(keys).alias("band", "key"))
+    postings = classes.select("rep", F.explode(keys).alias("key"))
     shared = postings.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(postings.join(shared.select("key", "first"), "key"), "members")
     ids = written(members.select("rep").distinct(), "candidates")
@@ -264,13 +298,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     star = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     edges = written(_exact(_survivors(star, classes, similar), sets, percent), "links")
     labels = components(edges)
-    members = members.select("key", "band", "rep")
-    for fan in (FAN, None):
-        more = written(_exact(_across(members, labels, classes, similar, fan), sets, percent), "links")
-        if more.isEmpty():
-            continue
-        edges = edges.unionByName(more)
-        labels = components(edges)
+    maybe = written(_maybe(members.select("key", "rep"), labels, classes, similar), "maybe")
+    if not maybe.isEmpty():
+        more = written(_decided(maybe, members, labels, classes, sets, similar, percent), "links")
+        labels = components(edges.unionByName(more))
 
     of = classes.select("d1", "d2", "rep").join(labels.toDF("rep", "comp"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     rows = made.select("doc_id", "n_shingles", "d1", "d2")
