@@ -21,6 +21,8 @@ def ic(rows: DataFrame, minimum: int = 30) -> DataFrame:
     """
     keys = ["factor", "form_date"]
     sized = rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("x is not null and ret is not null")
+    # values that differ by rounding noise alone tie
+    sized = sized.withColumns({"x": F.round("x", 10), "ret": F.round("ret", 10)})
     ranked = sized.withColumns({"rx": average_rank("x", keys), "rr": average_rank("ret", keys)})
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.corr("rx", "rr").alias("ic")).where(F.col("n") >= minimum)
 

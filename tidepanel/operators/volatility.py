@@ -83,9 +83,9 @@ def features(panel: DataFrame, cfg: Config) -> DataFrame:
     return rows.withColumns({"ratio_1_3": ratio("rv_1", "rv_3"), "ratio_2_4": ratio("rv_2", "rv_4"), "vs_market": ratio("rv_2", "market_rv"), "anchor": F.col("ewma")})
 
 
-def dataset(panel: DataFrame, cfg: Config, require_target: bool = True) -> DataFrame:
-    """Rows with a usable anchor (and target, unless the newest rows are wanted) and target_log_ratio."""
-    rows = features(panel, cfg).where(F.col("anchor") > 1e-6)
+def usable(rows: DataFrame, require_target: bool = True) -> DataFrame:
+    """Feature rows with a usable anchor (and target, unless the newest rows are wanted) and target_log_ratio."""
+    rows = rows.where(F.col("anchor") > 1e-6)
     rows = rows.where(F.col("forward_vol") > 1e-6) if require_target else rows
     return rows.withColumn("target_log_ratio", F.when(F.col("forward_vol") > 1e-6, F.ln(F.when(F.col("forward_vol") > 0, F.col("forward_vol") / F.col("anchor")))))
 

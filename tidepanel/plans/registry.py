@@ -16,8 +16,8 @@ from tidepanel.sources import adapters
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Without the CTEs; ``all_sql`` puts them in front.
 SQL: dict[str, str] = {}
-#: In order of definition; a text may use the ones before it.
 CTES: dict[str, str] = {}
 
 
@@ -27,18 +27,24 @@ def cte(**texts: str) -> None:
 
 def with_ctes(text: str) -> str:
     """The text with exactly the CTEs that it uses, directly or through others, in front."""
-    used: set[str] = set()
+    used: dict[str, str] = {}
 
-    def visit(t: str) -> None:
-        for name in CTES:
-            if name not in used and re.search(rf"\b{name}\b", t):
-                used.add(name)
-                visit(CTES[name])
+    def visit(t: str, seen: tuple[str, ...] = ()) -> None:
+        for name, own in CTES.items():
+            inner = re.search(rf"\b{name} AS \(", t)  # the text's own table of that name
+            if name not in used and name not in seen and not inner and re.search(rf"\b{name}\b", t):
+                visit(own, (*seen, name))
+                used[name] = own
 
     visit(text)
     if not used:
         return text
-    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in CTES.items() if n in used) + "\n" + text
+    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in used.items()) + "\n" + text
+
+
+def all_sql() -> dict[str, str]:
+    """Complete SQL of every registered query that has one."""
+    return {name: with_ctes(text) for name, text in SQL.items()}
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -47,7 +53,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = with_ctes(sql)
+            SQL[f.__name__] = sql
         return f
 
     return put

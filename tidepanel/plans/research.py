@@ -53,7 +53,7 @@ cte(
         (SELECT *, gross_return - cost AS net_return FROM (SELECT g.variant, r.form_date, r.entry, r.exit, n_holdings, gross_return, turnover, turnover * 2 * 35.0 / 1e4 AS cost FROM
         (SELECT variant, period, k, COUNT(*) AS n_holdings, SUM(weight * ret) AS gross_return FROM bookk GROUP BY 1, 2, 3) g JOIN turns t ON t.variant = g.variant AND t.k = g.k JOIN reb r ON r.period = g.period))
         WINDOW w AS (PARTITION BY variant ORDER BY form_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-    icpair="SELECT z.factor, z.form_date, z.isin, z.z AS x, f.ret, COUNT(*) OVER (PARTITION BY z.factor, z.form_date) AS size FROM (SELECT factor, form_date, isin, z FROM zlong UNION ALL SELECT 'composite', form_date, isin, call FROM comp) z LEFT JOIN fwd f ON f.form_date = z.form_date AND f.isin = z.isin",
+    icpair="SELECT z.factor, z.form_date, z.isin, round(z.z, 10) AS x, round(f.ret, 10) AS ret, COUNT(*) OVER (PARTITION BY z.factor, z.form_date) AS size FROM (SELECT factor, form_date, isin, z FROM zlong UNION ALL SELECT 'composite', form_date, isin, call FROM comp) z LEFT JOIN fwd f ON f.form_date = z.form_date AND f.isin = z.isin",
     icr="""SELECT *, RANK() OVER (PARTITION BY factor, form_date ORDER BY x) + (COUNT(*) OVER (PARTITION BY factor, form_date, x) - 1) / 2 AS rx, RANK() OVER (PARTITION BY factor, form_date ORDER BY ret) + (COUNT(*) OVER (PARTITION BY factor, form_date, ret) - 1) / 2 AS rr FROM icpair WHERE x IS NOT NULL AND ret IS NOT NULL""",
     ics="SELECT factor, form_date, COUNT(*) AS n, MAX(size) AS size, corr(rx, rr) AS ic FROM icr GROUP BY 1, 2 HAVING COUNT(*) >= 30",
     ict="SELECT factor, AVG(ic) AS mean_ic, AVG(ic) / NULLIF(stddev_samp(ic), 0) * sqrt(COUNT(ic)) AS t_stat, AVG(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, COUNT(ic) AS n, AVG(n / size) AS coverage FROM ics GROUP BY 1",
