@@ -1,4 +1,4 @@
 """All registered queries outside the training-data operators."""
 
-from tidepanel.plans import forecasts, panel, research  # noqa: F401
+from tidepanel.plans import forecasts, panel, reports, research  # noqa: F401
 from tidepanel.plans.registry import QUERIES, all_sql  # noqa: F401
