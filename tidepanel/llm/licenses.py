@@ -108,6 +108,7 @@ FORMS = (
     (r"\bspdx license identifier {id}(?: only| or later)?\b", 4, 1.0, "spdx"),
     (r"\b(?:licensed|released|distributed|published|available|provided) under (?:the |an? )?(?:terms of (?:the )?)?{name}(?: (?:public )?licen[cs]e)?(?: version \d(?: \d)?)?\b", 3, 0.95, "under"),
     (r"\b(?:the )?{name} (?:public )?licen[cs]e\b", 2, 0.9, "licen"),
+    (r"\b(?:the )?{name}\b(?<=\d)", 2, 0.85, "licen"),
     (r"\b(?:opensource org|spdx org|creativecommons org|choosealicense com|gnu org|apache org) licenses? {id}\b", 2, 0.9, "license"),
 )
 
