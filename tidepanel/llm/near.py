@@ -38,7 +38,7 @@ from tidepanel.llm.store import sized, written
 
 BANDS, ROWS, STEP = 32, 4, 32
 MISS = 1e-6
-BLOCK = 256
+BLOCK = 512
 
 _DRAW = np.random.default_rng(20240229)
 _A, _B = (_DRAW.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
