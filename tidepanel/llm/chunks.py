@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at once; one longer text makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -80,6 +80,9 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int |
                 held, size = [], 0
     if held:
         yield _joined(held)
+    # workers are kept for later tasks; what this one no longer uses goes back
+    held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:

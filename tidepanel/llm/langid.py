@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.chunks import chunks
+from tidepanel.llm.chunks import CHUNK_BYTES, chunks
 
 PROFILE = 300
 LONGEST = 3
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, profile: DataFrame) -> DataFrame:
 
     def run(batches):
         ranker = Ranker(shared.value)
-        for part in chunks(batches, limit=1 << 20):
+        for part in chunks(batches, limit=CHUNK_BYTES // 2):
             # the text's number takes 16 of a key's bits
             for at in range(0, part.num_rows, 1 << 15):
                 piece = part.slice(at, 1 << 15)
@@ -166,7 +166,7 @@ def accepted(docs: DataFrame, profile: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         ranker = Ranker(shared.value)
-        for part in chunks(batches, limit=1 << 20):
+        for part in chunks(batches, limit=CHUNK_BYTES // 2):
             for at in range(0, part.num_rows, 1 << 15):
                 piece = part.slice(at, 1 << 15)
                 names, score = ranker.predict(piece.column("text").to_pylist())

@@ -36,7 +36,7 @@ WINDOW = 50
 #: Bytes of text whose windows make one bucket on average.
 BUCKET_BYTES = 8 << 20
 #: Bytes of text in which a task merges equal windows before it sends them.
-MERGE_BYTES = 4 << 20
+MERGE_BYTES = 2 << 20
 
 SENT = "bucket int, known boolean, docs binary, counts binary, hashes binary"
 
