@@ -437,3 +437,20 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
     for name, f in cp.STAGES[:-1]:
         stage = f(spark, stage, "")
         assert stage.columns == docs.columns, name
+
+
+def test_sql_agrees_on_a_small_table(spark, tmp_path):
+    import duckdb
+
+    from tidepanel.llm import queries
+
+    rows = [(r[0], r[1], r[2]) for r in corpus() if r[0] is not None and r[0] != 906 and "\x00" not in (r[1] or "")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, text in queries.SQL.items():
+        want = con.execute(text).df()
+        got = queries.QUERIES[name](spark, str(tmp_path)).toPandas()
+        order = sorted(want.columns)
+        assert sorted(got.columns) == order
+        assert sorted(map(str, got[order].itertuples(index=False, name=None))) == sorted(map(str, want[order].itertuples(index=False, name=None))), name

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe, langid, licenses, lines, lm, media, near, packing, sketches, substring
+from tidepanel.llm.sql import SQL  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,4 +99,3 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_fingerprints, op7_minhash_dedup, op8_bpe_automaton, op9_substring_dedup, op10_lm_scoring)}
-SQL: dict[str, str] = {}
