@@ -152,15 +152,17 @@ def fillings(counts: list[int], room: int, steps: int = STEPS, kept: int = KEPT)
             if undominated(items, space):
                 found.setdefault(tuple(items), space)
             return left[0] <= 0 or space == 0 and len(found) >= kept
-        tried = 0
         while size:
-            # a smaller first item leaves at least what its own kind and smaller ones can't fill
+            if size == 1:  # pieces of one token fill up in one step, as there is nothing else to choose
+                ones = min(space, counts[1] - used.get(1, 0))
+                if undominated([s for s in items if s > 1], space - ones) or space == ones:
+                    found.setdefault((*items, *[1] * ones), space - ones)
+                return left[0] <= 0 or space == ones and len(found) >= kept
             items.append(size)
             used[size] = used.get(size, 0) + 1
             stop = go(items, space - size, size)
             used[size] -= 1
             items.pop()
-            tried += 1
             if stop or left[0] <= 0:
                 return True
             size = largest(space, size - 1)
