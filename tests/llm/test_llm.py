@@ -394,6 +394,24 @@ def test_substring_dedup(docs, empty):
     assert substring.without_repeats(empty.select("doc_id", "text")).count() == 0
 
 
+def test_windows_around_a_shared_passage_are_dealt_evenly(spark, monkeypatch):
+    draw = random.Random(11)
+    text = lambda n: " ".join(str(draw.randrange(10**6)) for _ in range(n))
+    passage = text(120)
+    rows = [(i, f"{text(60)} {passage} {text(60)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    loads = Counter()
+    for r in substring.sent(docs, 50, 64).where("not known").collect():
+        loads[r["bucket"]] += len(r["hashes"]) // 8
+    assert max(loads.values()) < 1.5 * sum(loads.values()) / 64
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 1 << 14)  # many buckets and groups of documents
+    found = substring.repeated(docs).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(1, 400))  # one row a document
+    assert {sum(map(len, r["hashes"])) // 8 for r in found} == {71}
+    got = substring.without_repeats(docs).collect()
+    assert {(r["doc_id"] > 0, r["n_words"], r["n_removed"]) for r in got} == {(False, 240, 0), (True, 240, 120)}
+
+
 def test_lm_scores(docs, empty):
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(False))
     got = by_id(lm.scores(docs, train))

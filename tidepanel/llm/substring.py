@@ -1,11 +1,11 @@
 """Operator 9: removal of passages that a document with a smaller doc_id has, too.
 
 Rabin-Karp values of every window of 50 words are computed with numpy as the texts are read, dealt
-to buckets and compared there by Spark's grouping: a bucket finds the smallest doc_id of each
-value and reports the other documents that hold it. A window's bucket follows from the least value
-of the eight-word sequences in it, so neighbouring windows mostly share a bucket and a document is
-reported by a few buckets, however many there are. Each document's reported windows then merge into
-maximal intervals, whose words are removed.
+to buckets by value and compared there by Spark's grouping: a bucket finds the smallest doc_id of each
+value and reports the other documents that hold it. Windows that differ fall into buckets independently,
+even around a phrase that many documents share. A bucket reports one row for each group of documents
+that it has hits in, not one for each document; a second grouping gathers the hits of a document.
+Each document's reported windows then merge into maximal intervals, whose words are removed.
 
 A task sends each value once for a chunk of texts, with its smallest doc_id; the chunk's other holders
 are known to be repeats at once and travel as such, dealt evenly, so a passage that many documents
@@ -35,10 +35,13 @@ from tidepanel.llm.store import attach, text_size, written
 WINDOW = 50
 #: Bytes of text whose windows make one bucket on average.
 BUCKET_BYTES = 8 << 20
+#: Buckets of windows for each group of documents in which hits are gathered.
+GROUP_BUCKETS = 2
 #: Bytes of text in which a task merges equal windows before it sends them.
 MERGE_BYTES = 2 << 20
 
 SENT = "bucket int, known boolean, docs binary, counts binary, hashes binary"
+HITS = "place int, docs binary, counts binary, hashes binary"
 
 
 def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -57,37 +60,42 @@ def _least(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, new, d > least
 
 
-def _least_inside(hashes: np.ndarray, size: int, inner: int = 8) -> np.ndarray:
-    """For every window of ``size`` words: a value drawn from its least ``inner``-word sequence."""
-    inner = min(inner, size)
-    low, span, need = windows(hashes, inner), 1, size - inner + 1
-    while 2 * span <= need:
-        low, span = np.minimum(low[:-span], low[span:]), 2 * span
-    if span < need:
-        low = np.minimum(low[: len(low) - (need - span)], low[need - span :])
-    return mix(low, 3)
-
-
-def _windows(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window values, doc_ids and what decides their buckets, of a chunk; rows without a doc_id have none."""
+def _windows(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window values and doc_ids of a chunk; rows without a doc_id have none."""
     words = Words(part.column("text"), lower=False)
-    hashes, owner = words.hashes(), words.owners()
-    values = windows(hashes, size)
+    values, owner = windows(words.hashes(), size), words.owners()
     ids = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False)
     ok = owner[: len(values)] == owner[size - 1 :] if len(values) else np.zeros(0, bool)
     if part.column("doc_id").null_count:
         ok &= part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[owner[: len(values)]]
-    places = _least_inside(hashes, size) if len(values) else values
-    return values[ok], ids[owner[: len(values)][ok]], places[ok]
+    return values[ok], ids[owner[: len(values)][ok]]
 
 
-def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, hashes (list of binaries): the windows that begin in a document with a smaller doc_id, too."""
-    buckets = max(1, -(-text_size(docs) // BUCKET_BYTES))
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Values and doc_ids of the entries in the rows of a table."""
+    v = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"]])
+    d = np.concatenate([np.repeat(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int32)) for i, n in zip(table["docs"], table["counts"], strict=True)])
+    return v, d
+
+
+def _dealt(v: np.ndarray, d: np.ndarray, to: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
+    """One row (place, docs, counts, hashes) for each place that entries go to."""
+    by = np.lexsort((d, to))
+    v, d, to = v[by], d[by], to[by]
+    rows = []
+    for part in np.split(np.arange(len(to)), np.flatnonzero(to[1:] != to[:-1]) + 1) if len(to) else []:
+        s = slice(part[0], part[-1] + 1)
+        own, counts = _runs(d[s])
+        rows.append((int(to[s.start]), own.tobytes(), counts.tobytes(), v[s].tobytes()))
+    return rows
+
+
+def sent(docs: DataFrame, size: int, buckets: int) -> DataFrame:
+    """The windows of all chunks, dealt to buckets by value."""
 
     def send(batches):
         for part in chunks(batches, limit=MERGE_BYTES):
-            values, ids, places = _windows(part, size)
+            values, ids = _windows(part, size)
             if not len(values):
                 continue
             order, new, repeat = _least(values, ids)
@@ -95,46 +103,47 @@ def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             rows = []
             if repeat.any():
                 # holders that the chunk itself shows to be repeats: dealt evenly, not by value
-                rd, rv = d[repeat], v[repeat]
-                by = np.argsort(rd, kind="stable")
-                rd, rv = rd[by], rv[by]
-                own, counts = _runs(rd)
-                rows.append((int(own[0]) % buckets, True, own.tobytes(), counts.tobytes(), rv.tobytes()))
+                rows += [(b, True, *row) for b, *row in _dealt(v[repeat], d[repeat], np.full(repeat.sum(), d[repeat].min() % buckets))]
             v, d = v[new], d[new]
-            to = ((places[order][new] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-            by = np.lexsort((d, to))
-            v, d, to = v[by], d[by], to[by]
-            edges = np.searchsorted(to, np.arange(buckets + 1))
-            for b in np.unique(to).tolist():
-                s = slice(edges[b], edges[b + 1])
-                own, counts = _runs(d[s])
-                rows.append((b, False, own.tobytes(), counts.tobytes(), v[s].tobytes()))
+            rows += [(b, False, *row) for b, *row in _dealt(v, d, ((v >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "known", "docs", "counts", "hashes"])
 
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(send, SENT)
+
+
+def hits(rows: DataFrame, groups: int) -> DataFrame:
+    """The windows of ``sent`` that a smaller doc_id has, too, dealt to groups of documents."""
+
     def compare(table: pa.Table) -> pa.Table:
-        kept_docs, kept_values = [], []
+        found = []
         for known in (False, True):
-            part = table.filter(pc.equal(table["known"], known)) if known else table.filter(pc.invert(table["known"]))
+            part = table.filter(pc.equal(table["known"], known))
             if not part.num_rows:
                 continue
-            v = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in part["hashes"]])
-            d = np.concatenate([np.repeat(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int32)) for i, n in zip(part["docs"], part["counts"], strict=True)])
+            v, d = _entries(part)
             if not known:
                 order, _, repeat = _least(v, d)
                 v, d = v[order][repeat], d[order][repeat]
-            kept_docs.append(d)
-            kept_values.append(v)
-        d, v = np.concatenate(kept_docs), np.concatenate(kept_values)
-        if not len(d):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "hashes": pa.array([], pa.binary())})
+            found += _dealt(v, d, (mix(d.view(np.uint64), 5) % np.uint64(groups)).astype(np.int64))
+        columns = zip(*found, strict=True) if found else [[]] * 4
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["place", "docs", "counts", "hashes"])
+
+    return rows.groupBy("bucket").applyInArrow(compare, HITS)
+
+
+def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id, hashes (list of binaries): the windows that begin in a document with a smaller doc_id, too."""
+    buckets = max(1, -(-text_size(docs) // BUCKET_BYTES))
+
+    def gather(table: pa.Table) -> pa.Table:
+        v, d = _entries(table)
         by = np.argsort(d, kind="stable")
         own, counts = _runs(d[by])
         data, ends = v[by].tobytes(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64) * 8])
-        return pa.table({"doc_id": pa.array(own), "hashes": pa.array([data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+        return pa.table({"doc_id": pa.array(own), "hashes": pa.array([[data[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.list_(pa.binary()))})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = rows.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(compare, "doc_id long, hashes binary")
-    return found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    found = hits(sent(docs, size, buckets), -(-buckets // GROUP_BUCKETS))
+    return found.groupBy("place").applyInArrow(gather, "doc_id long, hashes array<binary>")
 
 
 def without_repeats(docs: DataFrame, size: int = WINDOW, layout: bool = False) -> DataFrame:
