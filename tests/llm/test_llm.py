@@ -168,6 +168,15 @@ def test_contained_detections_are_suppressed(spark):
     assert got[2]["labels"] == ["bsd", "bsd-3-clause"]
 
 
+def test_the_gate_is_never_stricter_than_a_rule(spark):
+    rows = [("Released under GPL 3.0", "gpl-3.0"), ("distributed under the Apache 2.0", "apache-2.0"), ("It is available under CC BY-SA 4.0.", "cc-by-sa-4.0"), ("published under BSD", "bsd"), ("provided under the terms of the ISC", "isc")]
+    got = by_id(licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")))
+    for i, (text, label) in enumerate(rows):
+        assert label in got[i]["labels"] and got[i]["score"] == 0.95, text
+    forms = re.search(r"\(\?:(licensed.*?)\) under", licenses.FORMS[1][0])[1].split("|")
+    assert all(any(k in f"{verb} under" for k in licenses.gate()) for verb in forms)
+
+
 def test_packing(docs, empty):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer

@@ -1,8 +1,8 @@
 """Operator 3: license detection by ordered signature rules, with DataFrame functions only.
 
 Texts are reduced to lower-case words joined by single spaces. A rule is a regex over those words
-with a label, a priority, a confidence and a keyword; it runs only on texts that hold a license word
-at all and the rule's own keyword. The rules are written by hand as a table of licenses (name, names
+with a label, a priority, a confidence and two keywords; it runs only on texts that hold both, and only
+texts with the first keyword of some rule are looked at (``gate()``). The rules are written by hand as a table of licenses (name, names
 in prose, identifier) and the forms in which each is mentioned; ``rules()`` spells out all of them.
 
 Every match is an interval of words. A match is suppressed if another one of the same or a higher
@@ -17,6 +17,9 @@ scanned each. An empty table gives an empty one. Extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +29,6 @@ OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose places are counted, and their labels (fixed values).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: A text without any of these is not scanned.
-GATE = r"licen[cs]|spdx|public domain|creativecommons|copyleft|creative commons"
-
 #: label; how prose names it, as a regex over words; its identifier in words; the keyword that must be there.
 LICENSES = (
     ("mit", "(?:mit|expat|x11)", "mit", "mit"),
@@ -113,6 +113,15 @@ FORMS = (
 )
 
 
+#: The keyword "under" as it stands in its form, where "under" alone is in too many texts.
+ENDS = {"under": ("ed under", "able under")}
+
+
+def gate() -> list[str]:
+    """Every match of a rule holds one of these."""
+    return list(dict.fromkeys(word for rule in rules() for word in ENDS.get(rule[3], (rule[3],))))
+
+
 def rules() -> list[tuple[str, int, float, str, str, str]]:
     """All rules in order: label, priority, confidence, two keywords, regex."""
     return [(label, priority, sure, own, word, form.format(name=name, id=ident)) for form, priority, sure, own in FORMS for label, name, ident, word in LICENSES]
@@ -158,7 +167,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "row", "doc_id",
         F.when(F.col("plain") == "", F.lit(0)).otherwise(_spaces(F.col("plain")) + 1).cast("long").alias("n_words"),
         places.alias("base"),
-        F.when(F.rlike(F.col("plain"), F.lit(GATE)), hits).alias("hits"),
+        F.when(reduce(or_, (F.contains(F.col("plain"), F.lit(word)) for word in gate())), hits).alias("hits"),
     )
     head = ["row", "doc_id", "n_words", "base"]
     found = rows.select(*head, F.posexplode_outer("hits").alias("rule", "hit"))
