@@ -177,6 +177,51 @@ def test_the_gate_is_never_stricter_than_a_rule(spark):
     assert all(any(k in f"{verb} under" for k in licenses.gate()) for verb in forms)
 
 
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
+MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD_USE = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""
+BSD_ADVERT = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by X."
+BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+ISC_USE = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE"
+GNU_NOTICE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+QUOTED = (
+    ({"mit"}, f"{MIT_GRANT}, subject to the following conditions: The above copyright notice shall be included. {MIT_END}"),
+    ({"mit"}, "Permission is hereby granted, free of charge, to the reader."),
+    ({"mit"}, "THE SOFTWARE IS PROVIDED \u201cAS IS\u201d, take it."),
+    ({"mit-0"}, f"{MIT_GRANT}. {MIT_END}"),
+    ({"bsd"}, BSD_USE[:120]),
+    ({"bsd-2-clause"}, f"{BSD_USE} {BSD_END}"),
+    ({"bsd-3-clause"}, f"{BSD_USE} 3. {BSD_NAME} {BSD_END}"),
+    ({"bsd-4-clause"}, f"{BSD_USE} {BSD_ADVERT} 4. {BSD_NAME} {BSD_END}"),
+    ({"isc"}, f"{ISC_USE}, provided that the above copyright notice and this permission notice appear in all copies. {ISC_END}."),
+    ({"0bsd"}, f"{ISC_USE}. {ISC_END}."),
+    ({"zlib"}, "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. The origin of this software must not be misrepresented; you must not claim that you wrote it."),
+    ({"unlicense"}, f"This is free and unencumbered software released into the public domain. Anyone is free to copy it. {MIT_END}"),
+    ({"gpl-2.0", "gpl"}, GNU_NOTICE.format("General Public License", 2)),
+    ({"gpl-3.0", "gpl"}, GNU_NOTICE.format("General Public License", 3)),
+    ({"lgpl-2.1", "gpl"}, GNU_NOTICE.format("Lesser General Public License", 2.1)),
+    ({"agpl-3.0", "gpl"}, GNU_NOTICE.format("Affero General Public License", 3)),
+    ({"apache-2.0", "apache"}, 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ({"mpl-2.0"}, "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ({"epl-2.0"}, "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ({"boost-1.0"}, "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ({"cc-by-sa-4.0"}, "see https://creativecommons.org/licenses/by-sa/4.0/"),
+    ({"gpl-3.0"}, "covered by GPLv3"),
+    ({"lgpl-2.1"}, "covered by LGPLv2.1"),
+    ({"agpl-3.0"}, "released under the AGPLv3"),
+    ({"mpl-2.0"}, "licensed under MPLv2"),
+    (set(), "The permission to use the garden was granted, and the software arrived without warranty papers."),
+)
+
+
+def test_license_texts_are_found_without_their_names(spark):
+    got = by_id(licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(QUOTED)], "doc_id long, text string")))
+    wrong = {text: got[i]["labels"] for i, (labels, text) in enumerate(QUOTED) if set(got[i]["labels"]) != labels}
+    assert not wrong
+
+
 def test_packing(docs, empty):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer

@@ -3,7 +3,8 @@
 Texts are reduced to lower-case words joined by single spaces. A rule is a regex over those words
 with a label, a priority, a confidence and two keywords; it runs only on texts that hold both, and only
 texts with the first keyword of some rule are looked at (``gate()``). The rules are written by hand as a table of licenses (name, names
-in prose, identifier) and the forms in which each is mentioned; ``rules()`` spells out all of them.
+in prose, identifier) and the forms in which each is mentioned, and as signatures of license bodies,
+headers and notices (``signatures.py``); ``rules()`` spells out all of them.
 
 Every match is an interval of words. A match is suppressed if another one of the same or a higher
 priority contains it; of two equal intervals the one of higher priority, then of the earlier rule,
@@ -23,6 +24,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.llm.signatures import signatures
+
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -35,7 +38,7 @@ LICENSES = (
     ("mit-0", "mit no attribution", "mit 0", "mit"),
     ("isc", "(?:isc|internet systems consortium)", "isc", "isc"),
     ("zlib", "zlib(?: libpng)?", "zlib", "zlib"),
-    ("libpng-2.0", "(?:libpng|png reference library)(?: version)? 2", "libpng 2 0", "png"),
+    ("libpng-2.0", "(?:libpng|png reference library)(?: version| ?v)? ?2", "libpng 2 0", "png"),
     ("unlicense", "unlicense", "unlicense", "unlicense"),
     ("wtfpl", "(?:wtfpl|do what the fuck you want to public)", "wtfpl", "w"),
     ("0bsd", "(?:0bsd|zero clause bsd|bsd zero clause)", "0bsd", "bsd"),
@@ -44,46 +47,46 @@ LICENSES = (
     ("bsd-3-clause", "(?:(?:new|modified|revised) bsd|bsd 3 clause|3 clause bsd)", "bsd 3 clause", "bsd"),
     ("bsd-4-clause", "(?:(?:original|old) bsd|bsd 4 clause|4 clause bsd)", "bsd 4 clause", "bsd"),
     ("bsd", "bsd(?: style)?", "bsd", "bsd"),
-    ("apache-1.0", "apache(?: software)?(?: license)?(?: version| v)? ?1 0", "apache 1 0", "apache"),
-    ("apache-1.1", "apache(?: software)?(?: license)?(?: version| v)? ?1 1", "apache 1 1", "apache"),
-    ("apache-2.0", "apache(?: software)?(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?", "apache 2 0", "apache"),
+    ("apache-1.0", "apache(?: software)?(?: license)?(?: version| ?v)? ?1 0", "apache 1 0", "apache"),
+    ("apache-1.1", "apache(?: software)?(?: license)?(?: version| ?v)? ?1 1", "apache 1 1", "apache"),
+    ("apache-2.0", "apache(?: software)?(?: licen[cs]e)?(?: version| ?v)? ?2(?: 0)?", "apache 2 0", "apache"),
     ("apache", "apache(?: software)?", "apache", "apache"),
-    ("gpl-1.0", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: gpl)?(?: version| v)? ?1(?: 0)?", "gpl 1 0", "g"),
-    ("gpl-2.0", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: gpl)?(?: version| v)? ?2(?: 0)?", "gpl 2 0", "g"),
-    ("gpl-3.0", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: gpl)?(?: version| v)? ?3(?: 0)?", "gpl 3 0", "g"),
+    ("gpl-1.0", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: gpl)?(?: version| ?v)? ?1(?: 0)?", "gpl 1 0", "g"),
+    ("gpl-2.0", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: gpl)?(?: version| ?v)? ?2(?: 0)?", "gpl 2 0", "g"),
+    ("gpl-3.0", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: gpl)?(?: version| ?v)? ?3(?: 0)?", "gpl 3 0", "g"),
     ("gpl", "(?:gnu general public|gnu gpl|gpl)", "gpl", "g"),
-    ("lgpl-2.0", "(?:gnu )?(?:library general public licen[cs]e|lgpl)(?: version| v)? ?2(?: 0)?", "lgpl 2 0", "l"),
-    ("lgpl-2.1", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| v)? ?2 1", "lgpl 2 1", "l"),
-    ("lgpl-3.0", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| v)? ?3(?: 0)?", "lgpl 3 0", "l"),
+    ("lgpl-2.0", "(?:gnu )?(?:library general public licen[cs]e|lgpl)(?: version| ?v)? ?2(?: 0)?", "lgpl 2 0", "l"),
+    ("lgpl-2.1", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| ?v)? ?2 1", "lgpl 2 1", "l"),
+    ("lgpl-3.0", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| ?v)? ?3(?: 0)?", "lgpl 3 0", "l"),
     ("lgpl", "(?:gnu )?(?:lesser general public|library general public|lgpl)", "lgpl", "l"),
-    ("agpl-3.0", "(?:gnu )?(?:affero general public licen[cs]e|agpl)(?: version| v)? ?3(?: 0)?", "agpl 3 0", "a"),
+    ("agpl-3.0", "(?:gnu )?(?:affero general public licen[cs]e|agpl)(?: version| ?v)? ?3(?: 0)?", "agpl 3 0", "a"),
     ("agpl", "(?:gnu )?(?:affero general public|agpl)", "agpl", "a"),
-    ("gfdl", "(?:gnu )?(?:free documentation|gfdl|fdl)(?: version)?(?: 1 [123])?", "gfdl", "f"),
-    ("mpl-1.0", "mozilla public(?: licen[cs]e)?(?: version| v)? ?1 0", "mpl 1 0", "mozilla"),
-    ("mpl-1.1", "mozilla public(?: licen[cs]e)?(?: version| v)? ?1 1", "mpl 1 1", "mozilla"),
-    ("mpl-2.0", "(?:mozilla public(?: licen[cs]e)?(?: mpl)?|mpl)(?: version| v)? ?2(?: 0)?", "mpl 2 0", "m"),
+    ("gfdl", "(?:gnu )?(?:free documentation|gfdl|fdl)(?: version| ?v)?(?: ?1 [123])?", "gfdl", "f"),
+    ("mpl-1.0", "mozilla public(?: licen[cs]e)?(?: version| ?v)? ?1 0", "mpl 1 0", "mozilla"),
+    ("mpl-1.1", "mozilla public(?: licen[cs]e)?(?: version| ?v)? ?1 1", "mpl 1 1", "mozilla"),
+    ("mpl-2.0", "(?:mozilla public(?: licen[cs]e)?(?: mpl)?|mpl)(?: version| ?v)? ?2(?: 0)?", "mpl 2 0", "m"),
     ("mpl", "mozilla public", "mpl", "mozilla"),
-    ("epl-1.0", "(?:eclipse public(?: licen[cs]e)?|epl)(?: version| v)? ?1(?: 0)?", "epl 1 0", "e"),
-    ("epl-2.0", "(?:eclipse public(?: licen[cs]e)?|epl)(?: version| v)? ?2(?: 0)?", "epl 2 0", "e"),
-    ("edl-1.0", "eclipse distribution(?: licen[cs]e)?(?: version| v)?(?: ?1 0)?", "edl 1 0", "eclipse"),
-    ("cddl-1.0", "(?:common development and distribution|cddl)(?: licen[cs]e)?(?: version| v)?(?: ?1(?: 0)?)?", "cddl 1 0", "c"),
-    ("cpl-1.0", "common public(?: licen[cs]e)?(?: version| v)?(?: ?1 0)?", "cpl 1 0", "common"),
-    ("eupl-1.1", "(?:european union public licen[cs]e|eupl)(?: version| v)? ?1 1", "eupl 1 1", "e"),
-    ("eupl-1.2", "(?:european union public licen[cs]e|eupl)(?: version| v)? ?1 2", "eupl 1 2", "e"),
-    ("cecill-2.1", "cecill(?: version| v)?(?: ?2 1)?", "cecill 2 1", "cecill"),
-    ("artistic-1.0", "artistic(?: licen[cs]e)?(?: version| v)? ?1(?: 0)?", "artistic 1 0", "artistic"),
-    ("artistic-2.0", "artistic(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?", "artistic 2 0", "artistic"),
-    ("boost-1.0", "boost software(?: licen[cs]e)?(?: version)?(?: ?1 0)?", "bsl 1 0", "boost"),
-    ("bsl-1.1", "business source(?: licen[cs]e)?(?: version)?(?: ?1 1)?", "busl 1 1", "business"),
+    ("epl-1.0", "(?:eclipse public(?: licen[cs]e)?|epl)(?: version| ?v)? ?1(?: 0)?", "epl 1 0", "e"),
+    ("epl-2.0", "(?:eclipse public(?: licen[cs]e)?|epl)(?: version| ?v)? ?2(?: 0)?", "epl 2 0", "e"),
+    ("edl-1.0", "eclipse distribution(?: licen[cs]e)?(?: version| ?v)?(?: ?1 0)?", "edl 1 0", "eclipse"),
+    ("cddl-1.0", "(?:common development and distribution|cddl)(?: licen[cs]e)?(?: version| ?v)?(?: ?1(?: 0)?)?", "cddl 1 0", "c"),
+    ("cpl-1.0", "common public(?: licen[cs]e)?(?: version| ?v)?(?: ?1 0)?", "cpl 1 0", "common"),
+    ("eupl-1.1", "(?:european union public licen[cs]e|eupl)(?: version| ?v)? ?1 1", "eupl 1 1", "e"),
+    ("eupl-1.2", "(?:european union public licen[cs]e|eupl)(?: version| ?v)? ?1 2", "eupl 1 2", "e"),
+    ("cecill-2.1", "cecill(?: version| ?v)?(?: ?2 1)?", "cecill 2 1", "cecill"),
+    ("artistic-1.0", "artistic(?: licen[cs]e)?(?: version| ?v)? ?1(?: 0)?", "artistic 1 0", "artistic"),
+    ("artistic-2.0", "artistic(?: licen[cs]e)?(?: version| ?v)? ?2(?: 0)?", "artistic 2 0", "artistic"),
+    ("boost-1.0", "boost software(?: licen[cs]e)?(?: version| ?v)?(?: ?1 0)?", "bsl 1 0", "boost"),
+    ("bsl-1.1", "business source(?: licen[cs]e)?(?: version| ?v)?(?: ?1 1)?", "busl 1 1", "business"),
     ("sspl-1.0", "(?:server side public|sspl)", "sspl 1 0", "s"),
-    ("elastic-2.0", "elastic(?: licen[cs]e)?(?: version| v)? ?2(?: 0)?", "elastic 2 0", "elastic"),
-    ("python-2.0", "(?:python software foundation|psf)(?: licen[cs]e)?(?: version)?(?: ?2)?", "python 2 0", "p"),
-    ("php-3.01", "php(?: licen[cs]e)?(?: version)? ?3 01", "php 3 01", "php"),
+    ("elastic-2.0", "elastic(?: licen[cs]e)?(?: version| ?v)? ?2(?: 0)?", "elastic 2 0", "elastic"),
+    ("python-2.0", "(?:python software foundation|psf)(?: licen[cs]e)?(?: version| ?v)?(?: ?2)?", "python 2 0", "p"),
+    ("php-3.01", "php(?: licen[cs]e)?(?: version| ?v)? ?3 01", "php 3 01", "php"),
     ("ruby", "ruby", "ruby", "ruby"),
     ("postgresql", "postgresql", "postgresql", "postgresql"),
     ("openssl", "openssl", "openssl", "openssl"),
-    ("ofl-1.1", "(?:sil )?open font(?: licen[cs]e)?(?: version)?(?: ?1 1)?", "ofl 1 1", "font"),
-    ("odbl-1.0", "(?:open database|odbl)(?: licen[cs]e)?(?: version| v)?(?: ?1 0)?", "odbl 1 0", "o"),
+    ("ofl-1.1", "(?:sil )?open font(?: licen[cs]e)?(?: version| ?v)?(?: ?1 1)?", "ofl 1 1", "font"),
+    ("odbl-1.0", "(?:open database|odbl)(?: licen[cs]e)?(?: version| ?v)?(?: ?1 0)?", "odbl 1 0", "o"),
     ("pddl-1.0", "public domain dedication and", "pddl 1 0", "dedication"),
     ("cc0-1.0", "(?:cc0|creative commons zero)(?: 1 0)?", "cc0 1 0", "c"),
     ("cc-by-3.0", "(?:cc by|creative commons attribution)(?: 3 0)", "cc by 3 0", "c"),
@@ -124,7 +127,8 @@ def gate() -> list[str]:
 
 def rules() -> list[tuple[str, int, float, str, str, str]]:
     """All rules in order: label, priority, confidence, two keywords, regex."""
-    return [(label, priority, sure, own, word, form.format(name=name, id=ident)) for form, priority, sure, own in FORMS for label, name, ident, word in LICENSES]
+    mentions = [(label, priority, sure, own, word, form.format(name=name, id=ident)) for form, priority, sure, own in FORMS for label, name, ident, word in LICENSES]
+    return mentions + signatures()
 
 
 def _spaces(x: Column) -> Column:
@@ -177,7 +181,7 @@ def scan(docs: DataFrame) -> DataFrame:
     run = Window.partitionBy("row", "rule").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("last", F.sum(F.col("gap") + F.col("long")).over(run)).withColumn("begin", F.col("last") - F.col("long"))
     before = Window.partitionBy("row").orderBy("begin", F.desc("last"), F.desc("priority"), "rule").rowsBetween(Window.unboundedPreceding, -1)
-    levels = sorted({form[1] for form in FORMS})
+    levels = sorted({rule[1] for rule in rules()})
     cover = F.lit(None).cast("long")
     for level in levels:
         cover = F.when(F.col("priority") == level, F.max(F.when(F.col("priority") >= level, F.col("last"))).over(before)).otherwise(cover)
