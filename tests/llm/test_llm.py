@@ -136,6 +136,24 @@ def test_line_index_is_reversible(docs):
     assert {k: v for k, v in marks(back).items() if v} == {k: v for k, v in marks(index).items() if v}
 
 
+def test_rows_that_repeat_a_doc_id_are_one_holder(spark):
+    import duckdb
+
+    from tidepanel.llm.sql import OP2
+
+    two, five = "a line that only two documents hold, one of them in many rows", "a line that five documents hold, so it stays in the last one only"
+    rows = [(1, two), *[(2, two)] * 4, *[(i, five) for i in range(3, 8)], (7, five)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {r[0]: r[2] > 0 for r in db.execute(OP2).fetchall()}
+    whole = lines.LineIndex.build(docs)
+    assert {r["doc_id"]: r["n_dropped"] > 0 for r in whole.clean(docs).collect()} == want == {i: 3 <= i < 7 for i in range(1, 8)}
+    grown = lines.LineIndex.build(docs.where("doc_id % 2 = 0")).insert(docs.where("doc_id % 2 = 1"))
+    assert set(map(tuple, grown.counts.collect())) == set(map(tuple, whole.counts.collect()))
+
+
 def test_cuckoo_filter_has_no_false_negatives():
     draw = np.random.default_rng(0)
     k1, k2 = (draw.integers(0, 1 << 63, 5000, dtype=np.uint64) for _ in range(2))

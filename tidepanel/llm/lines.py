@@ -177,7 +177,8 @@ class LineIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, holders: int = HOLDERS, shortest: int = SHORTEST) -> LineIndex:
-        refs = references(docs, shortest)
+        # rows that repeat a doc_id are one holder
+        refs = references(docs, shortest).dropDuplicates()
         counts = written(_counted(refs).where(F.col("n") >= holders), "line-counts")
         shards = max(1, -(-counts.count() // SHARD_KEYS))
         return cls(refs, counts, cls._filters(counts, shards), shards, holders, shortest)
