@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -425,6 +426,50 @@ def test_near_groups_at_the_threshold(spark, monkeypatch):
     assert 1 < len(set(got.values())) < 90
 
 
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (5, a + " else"), (4, "on its own")]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == {(1, 37): 1, (2, 38): 1, (3, 38): 1, (5, 38): 1, (4, 1): 4}
+
+
+def thue_morse(letters: int) -> tuple[str, str]:
+    """A word and its complement, whose polynomials modulo 2**64 agree at every odd base."""
+    bits = [bin(k).count("1") & 1 for k in range(letters)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_words_of_like_structure_are_told_apart(spark):
+    from tidepanel.llm.chunks import Words, windows
+
+    x, y = thue_morse(4096)
+    h = Words(pa.array([f"{x} {y}"]), True).hashes()
+    assert h[0] != h[1]
+    bits = np.array([bin(k).count("1") & 1 for k in range(64)])
+    u, v = np.where(bits, h[0], h[1]), np.where(bits, h[1], h[0])
+    assert windows(u, 64)[0] != windows(v, 64)[0]
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join([*words, x])), (2, " ".join([*words[10:], y, *words[:9]])), (3, " ".join([x] + [f"z{k}" for k in range(8)])), (4, " ".join([y] + [f"z{k}" for k in range(8)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.without_repeats(docs).collect()} == {1: 0, 2: 50, 3: 0, 4: 0}
+    want = linked(rows, 4, 80)
+    assert {r["doc_id"]: r["component_id"] for r in near.groups(docs, 4, 80).collect()} == {i: c for i, c in want.items() if i is not None}
+
+
+def test_a_large_component_meets_only_strangers(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 8)
+    rows = spark.createDataFrame([(1, i, 0 if i < 100 else i) for i in range(110)], "key long, rep long, comp long")
+    laid = near._blocks(rows, "key").collect()
+    assert len(laid) <= 100 * 2 + 10 * (2 + 13)
+    met = set()
+    groups = defaultdict(list)
+    for r in laid:
+        groups[r["p"], r["q"]].append(r)
+    for (p, q), g in groups.items():
+        met |= {(min(a["rep"], b["rep"]), max(a["rep"], b["rep"])) for a in g for b in g if a["comp"] != b["comp"] and (a["mine"] != b["mine"] or p == q)}
+    assert met == {(i, j) for j in range(100, 110) for i in range(j)}
+
+
 def test_bpe_equals_the_library(docs, empty):
     from tokenizers import Tokenizer
 
@@ -474,12 +519,12 @@ def test_windows_around_a_shared_passage_are_dealt_evenly(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     loads = Counter()
     for r in substring.sent(docs, 50, 64).where("not known").collect():
-        loads[r["bucket"]] += len(r["hashes"]) // 8
+        loads[r["bucket"]] += len(r["hashes"]) // substring.VALUE.itemsize
     assert max(loads.values()) < 1.5 * sum(loads.values()) / 64
     monkeypatch.setattr(substring, "BUCKET_BYTES", 1 << 14)  # many buckets and groups of documents
     found = substring.repeated(docs).collect()
     assert sorted(r["doc_id"] for r in found) == list(range(1, 400))  # one row a document
-    assert {sum(map(len, r["hashes"])) // 8 for r in found} == {71}
+    assert {sum(map(len, r["hashes"])) // substring.VALUE.itemsize for r in found} == {71}
     got = substring.without_repeats(docs).collect()
     assert {(r["doc_id"] > 0, r["n_words"], r["n_removed"]) for r in got} == {(False, 240, 0), (True, 240, 120)}
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text that are worked on at once; one longer text makes a chunk of its own.
 CHUNK_BYTES = 512 << 10
@@ -17,31 +18,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_ROLL = _U(0xD1342543DE82EF95)
-
-
-def _inverse(a: np.uint64) -> np.uint64:
-    return _U(pow(int(a), -1, 1 << 64))
-
-
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as have been asked for."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.up, self.down = base, np.ones(1, _U), np.ones(1, _U)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            for name, b in (("up", self.base), ("down", _inverse(self.base))):
-                x = np.full(size, b, _U)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up[:n], self.down[:n]
-
-
-_BYTE_POWERS, _WORD_POWERS = _Powers(_BASE), _Powers(_ROLL)
+#: Words of more bytes are hashed one by one; masks that keep a number's low bytes.
+LONG_WORD = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
+#: Windows are polynomials over the words' values modulo this prime; the two bases are drawn once.
+PRIME = (1 << 61) - 1
+BASES = tuple(int(x) for x in np.random.default_rng(20240301).integers(1 << 40, PRIME, 2))
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -130,24 +112,60 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit value of each word's bytes: polynomial differences of one running sum, then mixed."""
-        if not len(self.starts):
-            return np.zeros(0, _U)
-        up, down = _BYTE_POWERS.to(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, _U)
-        np.cumsum((self.data.astype(_U) + _U(1)) * up[:-1], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts], 1)
-
-
-def windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Rabin-Karp values of every ``size`` words in a row (over text borders too; callers mask those)."""
+        """A 64-bit value of each word: its bytes are taken eight at a time and mixed in; long words by xxh3.
+
+        Words of up to eight bytes never share a value with another word of their length.
+        """
+        sizes = self.ends - self.starts
+        out = mix(sizes.astype(_U), 3)
+        eights = np.ndarray(len(self.data), "<u8", np.concatenate([self.data, np.zeros(8, np.uint8)]), strides=(1,))
+        left = np.flatnonzero(sizes <= LONG_WORD)
+        for k in range(0, LONG_WORD, 8):
+            left = left[sizes[left] > k]
+            if not len(left):
+                break
+            keep = _KEEP[np.minimum(sizes[left] - k, 8)]
+            out[left] = mix(out[left] ^ (eights[self.starts[left] + k] & keep), 4)
+        for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(self.data[self.starts[k] : self.ends[k]])
+        return out
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number below PRIME + 8 that equals x modulo PRIME."""
+    return (x & _U(PRIME)) + (x >> _U(61))
+
+
+def _times(a: np.ndarray, b: int) -> np.ndarray:
+    """a * b modulo PRIME for folded a, by halves of 32 bits."""
+    high, low = a >> _U(32), a & _U(0xFFFFFFFF)
+    b1, b0 = _U(b >> 32), _U(b & 0xFFFFFFFF)
+    middle, least = high * b0 + low * b1, low * b0
+    return _folded((high * b1 << _U(3)) + (middle >> _U(29)) + ((middle & _U((1 << 29) - 1)) << _U(32)) + _folded(least))
+
+
+def windows(words: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
+    """Rabin-Karp values of every ``size`` words in a row (over text borders too; callers mask those).
+
+    A window's value is the polynomial of its words at ``base`` modulo a prime, put together from
+    windows of half the length, so no structure of the words makes values meet: two different
+    sequences agree at fewer than ``size`` of the 2**61 bases.
+    """
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, _U)
-    up, down = _WORD_POWERS.to(len(words) + 1)
-    sums = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * up[:-1], out=sums[1:])
-    return mix((sums[size:] - sums[:-size]) * down[:n], 2)
+    power, length, block = base, 1, _folded(words)
+    value, have = None, 0
+    while True:
+        if size & length:
+            value = block if value is None else _folded(_times(value[: len(value) - length], power) + block[have:])
+            have += length
+            if have == size:
+                break
+        block = _folded(_times(block[:-length], power) + block[length:])
+        power, length = power * power % PRIME, length * 2
+    value = value[:n]
+    return mix(np.where(value >= _U(PRIME), value - _U(PRIME), value), 2)
 
 
 def shingle_sets(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

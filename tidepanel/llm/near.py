@@ -1,7 +1,7 @@
 """Operator 7: near-duplicate documents by MinHash bands and sequential Bayesian verification.
 
-1. Texts become sets of word shingles (64-bit hashes). Documents with equal sets form a class, which
-   its smallest doc_id stands for from here on, so copies never meet in pairs.
+1. Texts become sets of word shingles (64-bit values, see ``chunks.windows``). Documents with equal sets
+   form a class with a number of its own, so copies never meet in pairs.
 2. Each class has ``BANDS * ROWS`` MinHash values; classes that agree in a whole band share a bucket.
    A pair at the threshold of 0.8 misses all 32 bands of 4 values with probability 5e-8.
 3. Every class is paired with the first of its buckets (as many pairs as members). Pairs are compared
@@ -9,7 +9,8 @@
    threshold is below ``MISS`` are dropped. The others are decided by the exact sizes of intersection
    and union, and the links make components.
 4. Only buckets that hold more than one component are looked at again. Their members are laid out in
-   pairs of blocks and compared by batches inside the tasks, which report which components may be
+   pairs of blocks (the largest component of a bucket meets only the others, so a large group of copies
+   with a few strangers costs one row a member) and compared by batches inside the tasks, which report which components may be
    linked (a spanning forest, so at most as many rows as members). The members of such a group of
    components are laid out in pairs of blocks again, with their sets, and all pairs across components
    that pass the batches are decided exactly inside the tasks, which report a spanning forest of the
@@ -19,8 +20,9 @@ Tables between steps are written to the shared folder. Shingle sets are made onl
 share a bucket. Nothing of the size of the corpus goes to the driver.
 
 Nulls: a null or empty text has no shingles and is linked with nothing; a document whose doc_id is
-null is kept with a null component. Repeated rows fall into one class. An empty table gives an empty
-one. Extra columns are not read.
+null is kept with a null component. Repeated rows fall into one class. Rows of one doc_id with
+different texts are one document: whatever any of them is linked with is reachable from it, and each
+row keeps its own n_shingles. An empty table gives an empty one. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +51,11 @@ def _sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle_sets(words.hashes(), words.first, size)
 
 
+def _digests(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits that stand for each set, as two signed numbers."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)), np.int64).reshape(-1, 2)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, n_shingles, d1, d2 (128 bits that stand for the set), minima (MinHash values)."""
 
@@ -62,7 +69,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             if len(full):
                 for k in range(BANDS * ROWS):
                     minima[full, k] = np.minimum.reduceat(low * _A[k] + high * _B[k], at[full])
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)), np.int64).reshape(-1, 2)
+            digests = _digests(values, at)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([m.tobytes() for m in minima], pa.binary())],
                 ["doc_id", "n_shingles", "d1", "d2", "minima"],
@@ -139,15 +146,17 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def shingles(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """rep, set (sorted 64-bit hashes) of the documents with the given ids."""
+    """rep, set (sorted 64-bit values) of the classes ``ids`` (rep, doc_id of a member, d1, d2)."""
 
     def run(batches):
         for part in chunks(batches):
             values, at = _sets(part, size)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["rep", "set"])
+            own = (_digests(values, at) == np.stack([part.column(c).to_numpy() for c in ("d1", "d2")], 1)).all(1)
+            sets = pa.array([values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("rep"), sets], ["rep", "set"]).filter(pa.array(own))
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.join(sized(ids.toDF("doc_id"), 16), "doc_id", "left_semi").mapInArrow(run, "rep long, set binary")
+    return rows.join(sized(ids, 40), "doc_id").select("text", "rep", "d1", "d2").mapInArrow(run, "rep long, set binary").dropDuplicates(["rep"])
 
 
 class _Joined:
@@ -157,8 +166,9 @@ class _Joined:
         self.parent: dict[int, int] = {}
 
     def root(self, x: int) -> int:
-        while (up := self.parent.get(x, x)) != x:
-            x = up
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
         return x
 
     def join(self, x: int, y: int) -> bool:
@@ -168,11 +178,19 @@ class _Joined:
         return x != y
 
 
-def _blocks(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows of a key (with its size n) dealt to pairs of blocks (p <= q), sorted so that a pair's rows stand together."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return rows.select(key, *columns, "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows (key, rep, comp) dealt to pairs of blocks (p <= q): two rows of one key and different components meet in one pair.
+
+    The members of a key's largest component have blocks of their own, which meet only the others'.
+    Keys with a single component are left out.
+    """
+    sizes = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy(key).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    few, many = F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int"), F.ceil(F.col("n_main") / BLOCK).cast("int")
+    main, draw = F.col("comp") == F.col("main"), F.xxhash64("rep")
+    rows = rows.join(sizes, key).withColumn("mine", F.when(main, few + F.pmod(draw, many)).otherwise(F.pmod(draw, few)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, few - 1).otherwise(few + many - 1))))
+    return rows.select(key, "rep", "comp", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
 
 
 def _by_blocks(rows: DataFrame, key: str, numbers: list[str], binaries: list[str], links) -> DataFrame:
@@ -220,8 +238,7 @@ def _maybe(members: DataFrame, labels: DataFrame, classes: DataFrame, similar: f
     """Pairs (a, b) of components that hold bucket mates which may be linked; within a task, a spanning forest of them."""
     least = least_matches(similar)
     own = members.join(labels.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_ = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    rows = _blocks(own.join(open_.select("key", "n"), "key"), "key", ["rep", "comp"]).join(classes.select("rep", "minima"), "rep")
+    rows = _blocks(own, "key").join(classes.select("rep", "minima"), "rep")
 
     def links(g):
         minima = np.frombuffer(b"".join(g["minima"]), np.uint32).reshape(-1, BANDS * ROWS)
@@ -240,8 +257,7 @@ def _decided(maybe: DataFrame, members: DataFrame, labels: DataFrame, classes: D
     wide = components(maybe).toDF("comp", "wide")
     own = members.select("rep").distinct().join(labels.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     own = written(own.join(wide, "comp"), "undecided")
-    sizes = own.groupBy("wide").agg(F.count(F.lit(1)).alias("n"))
-    rows = _blocks(own.join(sizes, "wide"), "wide", ["rep", "comp"]).join(classes.select("rep", "minima"), "rep").join(sets, "rep")
+    rows = _blocks(own, "wide").join(classes.select("rep", "minima"), "rep").join(sets, "rep")
 
     def links(g):
         minima = np.frombuffer(b"".join(g["minima"]), np.uint32).reshape(-1, BANDS * ROWS)
@@ -286,25 +302,37 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     similar = percent / 100
     made = written(signatures(docs, size), "signatures")
     linked = made.where("doc_id is not null and n_shingles > 0")
-    classes = written(linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima")), "classes")
+    classes = linked.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.first("minima").alias("minima"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("minima"), i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
     postings = classes.select("rep", F.explode(keys).alias("key"))
     shared = postings.groupBy("key").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(postings.join(shared.select("key", "first"), "key"), "members")
-    ids = written(members.select("rep").distinct(), "candidates")
-    sets = written(shingles(docs, ids, size).dropDuplicates(["rep"]), "sets")
+    ids = written(members.select("rep").distinct().join(classes.select("rep", "doc_id", "d1", "d2"), "rep"), "candidates")
+    sets = written(shingles(docs, ids, size), "sets")
 
     star = members.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = written(_exact(_survivors(star, classes, similar), sets, percent), "links")
+    edges = written(_exact(_survivors(star, classes, similar), sets, percent).unionByName(_same_document(linked, classes)), "links")
     labels = components(edges)
     maybe = written(_maybe(members.select("key", "rep"), labels, classes, similar), "maybe")
     if not maybe.isEmpty():
         more = written(_decided(maybe, members, labels, classes, sets, similar, percent), "links")
         labels = components(edges.unionByName(more))
 
-    of = classes.select("d1", "d2", "rep").join(labels.toDF("rep", "comp"), "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("comp"))
+    joined = labels.toDF("rep", "comp").join(classes.select("rep", "doc_id"), "rep")
+    least = joined.groupBy("comp").agg(F.min("doc_id").alias("least"))
+    of = classes.select("d1", "d2", "doc_id", "rep").join(joined.select("rep", "comp").join(least, "comp").select("rep", "least"), "rep", "left")
+    of = of.select("d1", "d2", F.coalesce("least", "doc_id").alias("component_id"))
     rows = made.select("doc_id", "n_shingles", "d1", "d2")
     apart = rows.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    together = rows.where("doc_id is not null and n_shingles > 0").join(of, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.col("comp").alias("component_id"))
+    together = rows.where("doc_id is not null and n_shingles > 0").join(of, ["d1", "d2"], "left").select("doc_id", "n_shingles", "component_id")
     return together.unionByName(apart)
+
+
+def _same_document(linked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that hold different texts of one doc_id."""
+    digest = F.struct("d1", "d2")
+    several = written(linked.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    own = linked.join(sized(several, 8), "doc_id", "left_semi").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("doc_id", "rep").distinct()
+    return own.join(own.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))

@@ -7,12 +7,13 @@ even around a phrase that many documents share. A bucket reports one row for eac
 that it has hits in, not one for each document; a second grouping gathers the hits of a document.
 Each document's reported windows then merge into maximal intervals, whose words are removed.
 
-A task sends each value once for a chunk of texts, with its smallest doc_id; the chunk's other holders
+A window is known by 96 bits: two polynomials modulo a prime at different bases, of which the first
+deals it to its bucket. For n windows about n*n / 2**97 unlike pairs share both (below 0.001 at 10**13
+windows), and no structure of the words makes them meet. A task sends each value once for a chunk of texts, with its smallest doc_id; the chunk's other holders
 are known to be repeats at once and travel as such, dealt evenly, so a passage that many documents
-share makes no bucket large. Values of a chunk for one bucket travel as one binary row (8 bytes a
+share makes no bucket large. Values of a chunk for one bucket travel as one binary row (12 bytes a
 window). The number of buckets follows the size of the texts (``BUCKET_BYTES``), so a bucket's memory
-doesn't grow with the corpus. Two different windows share a 64-bit value with probability 2**-64;
-for n windows about n*n / 2**65 such pairs are expected (0.0005 for 140 million windows).
+doesn't grow with the corpus.
 
 Nulls: a null text has no words; a document whose doc_id is null neither removes words nor loses any.
 Texts of fewer than 50 words lose none. Rows that repeat a doc_id count as one document and lose the
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.chunks import Words, chunks, mix, windows
+from tidepanel.llm.chunks import BASES, Words, chunks, mix, windows
 from tidepanel.llm.store import attach, text_size, written
 
 WINDOW = 50
@@ -40,6 +41,9 @@ GROUP_BUCKETS = 2
 #: Bytes of text in which a task merges equal windows before it sends them.
 MERGE_BYTES = 2 << 20
 
+#: A window's two values.
+VALUE = np.dtype([("v", "<u8"), ("w", "<u4")])
+
 SENT = "bucket int, known boolean, docs binary, counts binary, hashes binary"
 HITS = "place int, docs binary, counts binary, hashes binary"
 
@@ -50,20 +54,38 @@ def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[at], np.diff(np.append(at, len(ids))).astype(np.int32)
 
 
-def _least(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _values(words: np.ndarray, size: int) -> np.ndarray:
+    """Both values of every window over a run of words."""
+    first = windows(words, size)
+    out = np.empty(len(first), VALUE)
+    out["v"], out["w"] = first, windows(words, size, BASES[1]) & np.uint64(0xFFFFFFFF)
+    return out
+
+
+def _least(values: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by value, then document; which entries begin a value; which have a larger document than its first."""
-    order = np.lexsort((docs, hashes))
-    h, d = hashes[order], docs[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
+    v, w = np.ascontiguousarray(values["v"]), np.ascontiguousarray(values["w"])
+    order = np.lexsort((docs, w, v))
+    v, w, d = v[order], w[order], docs[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
     least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
     return order, new, d > least
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones."""
+    hit = np.isin(values["v"], known["v"])
+    at = np.flatnonzero(hit)
+    both = set(known.tolist())
+    hit[at] = [x in both for x in values[at].tolist()]
+    return hit
+
+
 def _windows(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Window values and doc_ids of a chunk; rows without a doc_id have none."""
     words = Words(part.column("text"), lower=False)
-    values, owner = windows(words.hashes(), size), words.owners()
+    values, owner = _values(words.hashes(), size), words.owners()
     ids = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False)
     ok = owner[: len(values)] == owner[size - 1 :] if len(values) else np.zeros(0, bool)
     if part.column("doc_id").null_count:
@@ -73,7 +95,7 @@ def _windows(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Values and doc_ids of the entries in the rows of a table."""
-    v = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table["hashes"]])
+    v = np.concatenate([np.frombuffer(x.as_buffer(), VALUE) for x in table["hashes"]])
     d = np.concatenate([np.repeat(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int32)) for i, n in zip(table["docs"], table["counts"], strict=True)])
     return v, d
 
@@ -105,7 +127,7 @@ def sent(docs: DataFrame, size: int, buckets: int) -> DataFrame:
                 # holders that the chunk itself shows to be repeats: dealt evenly, not by value
                 rows += [(b, True, *row) for b, *row in _dealt(v[repeat], d[repeat], np.full(repeat.sum(), d[repeat].min() % buckets))]
             v, d = v[new], d[new]
-            rows += [(b, False, *row) for b, *row in _dealt(v, d, ((v >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64))]
+            rows += [(b, False, *row) for b, *row in _dealt(v, d, ((v["v"] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64))]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "known", "docs", "counts", "hashes"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(send, SENT)
@@ -139,7 +161,7 @@ def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         v, d = _entries(table)
         by = np.argsort(d, kind="stable")
         own, counts = _runs(d[by])
-        data, ends = v[by].tobytes(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64) * 8])
+        data, ends = v[by].tobytes(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64) * VALUE.itemsize])
         return pa.table({"doc_id": pa.array(own), "hashes": pa.array([[data[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.list_(pa.binary()))})
 
     found = hits(sent(docs, size, buckets), -(-buckets // GROUP_BUCKETS))
@@ -173,7 +195,7 @@ def without_repeats(docs: DataFrame, size: int = WINDOW, layout: bool = False) -
                     continue
                 if hashes is None:
                     hashes = words.hashes()
-                hit = np.isin(windows(hashes[a:b], size), np.frombuffer(b"".join(gone), np.uint64))
+                hit = _among(_values(hashes[a:b], size), np.frombuffer(b"".join(gone), VALUE))
                 cover = np.zeros(b - a + 1, np.int64)
                 np.add.at(cover, np.flatnonzero(hit), 1)
                 np.add.at(cover, np.flatnonzero(hit) + size, -1)
