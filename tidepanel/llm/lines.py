@@ -8,14 +8,17 @@ those keys that cross the threshold, so deleting what was inserted gives the for
 
 To clean documents, tasks probe their lines in the filters and pass on only lines that may be
 repeated; those are joined with the exact counts, so a filter's false positives do no harm. The
-filters are sent to the tasks only if their measured size is within ``FILTER_BYTES``; beyond it all
-lines go to the join. A line that many documents share meets its count in a join whose skewed
-partitions Spark splits; counting aggregates before the shuffle.
+filters are sent to the tasks if their measured size is within ``FILTER_BYTES``; beyond it the lines
+are sent to the filters: lines and filter of a shard meet in one group, a shard with many lines in
+several groups with a copy of its filter each, so a line that many documents share is spread. Both
+ways return the same lines. Filters have ``SHARD_KEYS`` keys on average; when updates double that,
+the keys are dealt to more shards. A line that many documents share meets its count in a join whose
+skewed partitions Spark splits; counting aggregates before the shuffle.
 
 A key is a line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased, known by 128 bits of its hash.
 
 Nulls: a null or empty text is one empty line; a document whose doc_id is null is returned as it is.
-Rows that repeat a doc_id each count as a holder and lose the same lines. An empty table gives an
+Rows that repeat a doc_id are one holder and lose the same lines. An empty table gives an
 empty one.
 """
 
@@ -30,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.chunks import chunks
-from tidepanel.llm.store import attach, written
+from tidepanel.llm.store import attach, sized, written
 
 SHORTEST, HOLDERS = 40, 5
 SHARD_KEYS = 50_000
-#: Filters are sent to all tasks up to this size.
-FILTER_BYTES = 64 << 20
+#: Filters are sent to all tasks up to this size; beyond it, lines that meet one copy of a filter.
+FILTER_BYTES, PROBED_LINES = 64 << 20, 1 << 20
 STRIPPED = b" \t\n\x0b\x0c\r"
 KEY = ["k1", "k2"]
 
@@ -178,7 +181,7 @@ class LineIndex:
     @classmethod
     def build(cls, docs: DataFrame, holders: int = HOLDERS, shortest: int = SHORTEST) -> LineIndex:
         # rows that repeat a doc_id are one holder
-        refs = references(docs, shortest).dropDuplicates()
+        refs = written(references(docs, shortest).dropDuplicates(), "line-refs")
         counts = written(_counted(refs).where(F.col("n") >= holders), "line-counts")
         shards = max(1, -(-counts.count() // SHARD_KEYS))
         return cls(refs, counts, cls._filters(counts, shards), shards, holders, shortest)
@@ -197,6 +200,10 @@ class LineIndex:
         touched = written(touched.select(*KEY).distinct(), "line-touched")
         now = _counted(refs.join(touched, KEY, "left_semi")).where(F.col("n") >= self.holders)
         counts = written(self.counts.join(touched, KEY, "left_anti").unionByName(now), "line-counts")
+        keys = counts.count()
+        if keys > 2 * SHARD_KEYS * self.shards:
+            shards = -(-keys // SHARD_KEYS)
+            return LineIndex(refs, counts, self._filters(counts, shards), shards, self.holders, self.shortest)
         move = lambda a, b, sign: a.join(b, KEY, "left_anti").select(_shard(self.shards).alias("shard"), *KEY, F.lit(sign).alias("sign"))
         moves = move(counts, self.counts, 1).unionByName(move(self.counts, counts, -1))
         everything = counts.select(_shard(self.shards).alias("shard"), *KEY)
@@ -230,14 +237,31 @@ class LineIndex:
     def repeats(self, docs: DataFrame) -> DataFrame:
         """doc_id, lines: keys of each document that the counts have with a larger doc_id."""
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-        shared = None
         if size <= FILTER_BYTES:
             shared = docs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.collect()})
-        maybe = references(docs, self.shortest, shared, self.shards)
+            maybe = references(docs, self.shortest, shared, self.shards)
+        else:
+            maybe = self._probed(written(references(docs, self.shortest), "lines"))
         hit = maybe.join(self.counts, KEY).where(F.col("last") > F.col("doc_id"))
         # rows that repeat a doc_id find the same keys
         return hit.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("lines"))
 
+    def _probed(self, refs: DataFrame) -> DataFrame:
+        """The references that pass the filters, which they meet by shard."""
+        rows = refs.select("doc_id", *KEY, _shard(self.shards).alias("shard"))
+        copies = rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PROBED_LINES).cast("int").alias("copies"))
+        copies = sized(written(copies, "line-copies"), 16)
+        rows = rows.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id"), F.col("copies")).cast("int"))
+        filters = self.filters.join(copies, "shard").select("shard", "filter", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+
+        def probe(lines: pa.Table, held: pa.Table) -> pa.Table:
+            found = lines.select(["doc_id", *KEY])
+            if not held.num_rows:
+                return found.slice(0, 0)
+            return found.filter(pa.array(Cuckoo.from_bytes(held["filter"][0].as_py()).has(*_keys(found))))
+
+        return rows.groupBy("shard", "copy").cogroup(filters.groupBy("shard", "copy")).applyInArrow(probe, "doc_id long, k1 long, k2 long")
+
     def clean(self, docs: DataFrame) -> DataFrame:
         """The documents (doc_id, and rest if there) with n_lines, n_dropped and the kept lines."""
         names = ["doc_id", *(["rest"] if "rest" in docs.columns else [])]
