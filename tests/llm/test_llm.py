@@ -248,6 +248,39 @@ def test_license_texts_are_found_without_their_names(spark):
     assert not wrong
 
 
+def plain_labels(text: str) -> tuple[list[str], float]:
+    """Labels and score by trying every rule and comparing all matches in pairs."""
+    plain = re.sub(licenses.OTHER, " ", lower(text)).strip(" ")
+    words = plain.split(" ")
+    base = [name for phrase, name in licenses.BASE for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+    hits = []
+    for n, (label, priority, sure, _, _, regex) in enumerate(licenses.rules()):
+        for m in re.finditer(regex, plain, re.ASCII):
+            hits.append((plain[: m.start()].count(" "), plain[: m.end()].count(" "), priority, -n, label, sure))
+    inside = lambda a, b: a is not b and b[0] <= a[0] and a[1] <= b[1] and b[2] >= a[2] and (b[:2] != a[:2] or b[2:4] > a[2:4])
+    kept = [a for a in hits if not any(inside(a, b) for b in hits)]
+    return sorted({a[4] for a in kept} | set(base)), max([a[5] for a in kept], default=0.9 if base else 0.0)
+
+
+def test_license_labels_equal_brute_force(spark):
+    draw = random.Random(8)
+    some = [t for _, t in QUOTED] + [f"SPDX-License-Identifier: {ident}" for _, _, ident, _ in licenses.LICENSES] + ["licensed under the MIT or GPL v3 license", "see the new BSD license"]
+    rows = list(enumerate(some + [" and then ".join(draw.sample(some, 6)) for _ in range(40)]))
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, text in rows:
+        assert (got[i]["labels"], got[i]["score"]) == plain_labels(text), text
+    for i, (label, _, ident, _) in enumerate(licenses.LICENSES):
+        assert label in got[len(QUOTED) + i]["labels"], ident
+
+
+def test_license_scan_of_long_texts(spark):
+    rows = [(1, "mit license foo " * 130_000), (2, "license " * 250_000), (3, "x " * 1_000_000 + "Apache License, Version 2.0")]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["labels"]) == (130_000, 0, 3 * 129_999, ["mit"])
+    assert (got[2]["n_words"], got[2]["labels"]) == (250_000, [])
+    assert (got[3]["first_word"], got[3]["labels"]) == (1_000_000, ["apache", "apache-2.0"])
+
+
 def test_packing(docs, empty):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer

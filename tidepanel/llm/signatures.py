@@ -119,10 +119,10 @@ OTHERS = (
 )
 
 
-def signatures() -> list[tuple[str, int, float, str, str, str]]:
+def signatures() -> list[tuple[str, int, float, str, list[str], str]]:
     """All signature rules as those of ``licenses.rules()``."""
     out = []
     for label, priority, sure, own, word, words in (*PERMISSIVE, *GNU_RULES, *OTHERS):
         words = words.replace(" .. ", f" (?:.{{0,{GAP}}}? )?").replace("as is", "“?as is”?")
-        out.append((label, priority, sure, own, word, rf"\b{words}(?= |$)"))
+        out.append((label, priority, sure, own, [word], rf"\b{words}(?= |$)"))
     return out
