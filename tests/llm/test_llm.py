@@ -334,15 +334,35 @@ def test_bin_completion_is_optimal_on_small_cases():
         counts = [0] * 21
         for s in sizes:
             counts[s] += 1
-        made = packing.complete(counts, 20)
-        used = Counter()
-        for times, pieces in made:
-            assert sum(s * n for s, n in pieces.items()) <= 20
-            for s, n in pieces.items():
-                used[s] += n * times
-        assert used == Counter(sizes)
-        assert sum(t for t, _ in made) == fewest(sizes, 20)
-    assert packing.complete([0] * 21, 20) == []
+        for steps in (packing.STEPS, None):
+            made = packing.complete(counts, 20, steps)
+            used = Counter()
+            for times, pieces in made:
+                assert sum(s * n for s, n in pieces.items()) <= 20
+                for s, n in pieces.items():
+                    used[s] += n * times
+            assert used == Counter(sizes)
+            assert sum(t for t, _ in made) == fewest(sizes, 20) >= packing.least_sequences(counts, 20)
+    assert packing.complete([0] * 21, 20) == packing.complete([0] * 21, 20, None) == []
+
+
+def test_bin_completion_finds_perfect_triples():
+    draw = random.Random(4)
+    for n in (5, 8, 12, 15):
+        for _ in range(4):
+            counts = [0] * 1025
+            for _ in range(n):
+                a = draw.randint(256, 500)
+                b = draw.randint(256, min(500, 824 - a))
+                for x in (a, b, 1024 - a - b):
+                    counts[x] += 1
+            assert sum(t for t, _ in packing.complete(counts)) == n < sum(t for t, _ in packing.best_fit(counts))
+
+
+def test_undominated_fillings_are_those_without_a_better_exchange():
+    counts = [0, 0, 2, 1, 1, 1]
+    found = {tuple(items) for _, items in packing.fillings(counts, 5, 5, None, packing._Steps(10**6))}
+    assert found == {((5, 1),)}  # 3 + 2 could be exchanged for 5, 4 alone for 5, 2 + 2 for 4
 
 
 def test_byte_tokenizer_equals_the_library():
@@ -353,6 +373,8 @@ def test_byte_tokenizer_equals_the_library():
     draw = random.Random(2)
     for t in ["".join(draw.choice("ab  e'st.\n\t10éÉ中😀\x85\xa0") for _ in range(draw.randint(0, 30))) for _ in range(600)] + ["a <|endoftext|> b"]:
         assert np.frombuffer(own.encode(t), "<u4").tolist() == coder.encode(t, add_special_tokens=False).ids
+    for t in ["x" + " " * 5_000_000 + "y", "^" * 1_000_000, "\n" * 60_000 + "z"]:
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == coder.encode(t, add_special_tokens=False).ids
 
 
 def test_media_round_trip(docs, empty):

@@ -4,12 +4,15 @@ Texts are encoded as they are read and cut into pieces; only longer documents ar
 itself depends on the pieces' lengths alone, so Spark counts the pieces of each length and the search
 runs over that histogram, which has as many entries as a sequence has tokens, whatever the corpus.
 
-Bin completion: the largest remaining piece opens a sequence, undominated fillings of the rest are
-enumerated (no further piece fits and no piece could be exchanged for a longer one), the one with the least waste is
-used as often as its lengths last, and so on. Branch and bound goes back over other fillings while a
-packing with fewer sequences than the best-fit incumbent is possible by the waste so far, within
-``NODES`` steps. A filling is used until a length runs out, so a packing has at most as many fillings
-as there are lengths; that bounds what is sent to the executors.
+Bin completion: the largest remaining piece opens a sequence and undominated fillings of the rest are
+enumerated within the waste that a packing of fewer sequences than the incumbent leaves: no further
+piece fits, and no set of pieces could be exchanged for one longer piece that is left (``_undominated``).
+The best-fit packing is the first incumbent. The search deepens: it keeps 1, 3, 9 and at last all
+fillings of a piece and goes back over them, each pass for one sequence less than the incumbent, until
+the lower bound (``least_sequences``) is met, a pass without cuts proves the incumbent the best, or
+``steps`` are used up. In the passes that keep some, a filling is used as often as its lengths last;
+in the last one any number of times. ``steps=None`` searches until the result is proven. The ``pack``
+of a corpus uses ``STEPS``, and at most as many fillings as that bounds are sent to the executors.
 
 Each piece then takes its place by its rank among the pieces of its length: the rank within its task,
 written with the piece, plus the number of such pieces in earlier tasks.
@@ -20,7 +23,7 @@ empty table gives an empty packing. Extra columns are not read.
 
 from __future__ import annotations
 
-import base64
+import re
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
@@ -35,8 +38,10 @@ from tidepanel.llm.chunks import chunks
 from tidepanel.llm.store import sized, written
 
 LENGTH, END = 1024, 2
-#: Fillings that the search may enumerate after the incumbent, and steps for enumerating one piece's fillings.
-NODES, STEPS, KEPT = 2000, 4000, 3
+#: Steps for a whole search and for the fillings of one piece in a pass that keeps some of them.
+STEPS, NODE_STEPS = 400_000, 4000
+#: Runs of this many blanks are encoded by another library, as the pattern can't go back over them.
+LONG_RUN = 50_000
 #: Encoded words that a worker keeps; they are dropped together at this many.
 CACHED_WORDS = 400_000
 
@@ -64,8 +69,16 @@ class ByteTokenizer:
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.coder = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
         self.words: dict[str, bytes] = {}
+        self.path, self.slow = path, None
 
     def _ids(self, text: str) -> bytes:
+        if len(text) >= LONG_RUN and re.search(rf"\s{{{LONG_RUN}}}", text):
+            from tokenizers import Tokenizer
+
+            self.slow = self.slow or Tokenizer.from_file(self.path)
+            self.slow.no_truncation()
+            self.slow.no_padding()
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.coder.encode(text, allowed_special="all"), "<u4").tobytes()
 
     def _word(self, word: str) -> bytes | None:
@@ -119,69 +132,101 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
 
 
-def fillings(counts: list[int], room: int, steps: int = STEPS, kept: int = KEPT) -> list[tuple[int, list[int]]]:
-    """Up to ``kept`` undominated fillings of ``room`` with the least waste: (waste, lengths from the largest)."""
-    sizes = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s]]
-    if not sizes:
-        return [(room, [])]
-    rising = sizes[::-1]
-    found: dict[tuple[int, ...], int] = {}
-    left = [steps]
-    used: dict[int, int] = {}
-
-    def largest(most: int, below: int) -> int:
-        """The largest available size of at most ``most``, and of at most ``below``."""
-        i = bisect_right(rising, min(most, below)) - 1
-        while i >= 0 and counts[rising[i]] <= used.get(rising[i], 0):
-            i -= 1
-        return rising[i] if i >= 0 else 0
-
-    def undominated(items: list[int], waste: int) -> bool:
-        if largest(waste, waste):
-            return False
-        for size in set(items):
-            longer = largest(size + waste, size + waste)
-            if longer > size:
-                return False
-        return True
-
-    def go(items: list[int], space: int, below: int) -> bool:
-        left[0] -= 1
-        size = largest(space, below)
-        if not size:
-            if undominated(items, space):
-                found.setdefault(tuple(items), space)
-            return left[0] <= 0 or space == 0 and len(found) >= kept
-        while size:
-            if size == 1:  # pieces of one token fill up in one step, as there is nothing else to choose
-                ones = min(space, counts[1] - used.get(1, 0))
-                if undominated([s for s in items if s > 1], space - ones) or space == ones:
-                    found.setdefault((*items, *[1] * ones), space - ones)
-                return left[0] <= 0 or space == ones and len(found) >= kept
-            items.append(size)
-            used[size] = used.get(size, 0) + 1
-            stop = go(items, space - size, size)
-            used[size] -= 1
-            items.pop()
-            if stop or left[0] <= 0:
-                return True
-            size = largest(space, size - 1)
+Packing = list[tuple[int, dict[int, int]]]
+
+
+def least_sequences(counts: list[int], length: int = LENGTH) -> int:
+    """A lower bound on the sequences of any packing: by all tokens, and for each k by the pieces of at least k."""
+    n = np.array([*counts, *[0] * (length + 1 - len(counts))], object)
+    size = np.arange(length + 1)
+    total = int((n * size).sum())
+    best = -(-total // length)
+    for k in range(length // 2 + 1):
+        alone, half, small = size > length - k, (size > length // 2) & (size <= length - k), (size >= k) & (size <= length // 2)
+        room = int(n[half].sum()) * length - int((n * size)[half].sum())
+        best = max(best, int(n[alone].sum()) + int(n[half].sum()) + max(0, -(-(int((n * size)[small].sum()) - room) // length)))
+    return best
+
+
+def _smeared(bits: int, by: int) -> int:
+    """The bits moved up by 0, 1, ... ``by`` places, together."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def _undominated(items: list[tuple[int, int]], waste: int, left: int) -> bool:
+    """Whether no set of the items could be exchanged for one piece among ``left`` (a bit for each length) that is longer, or as long as two or more."""
+    if left & ((2 << waste) - 2):
         return False
+    one = several = 0
+    for size, n in items:
+        for _ in range(n):
+            several |= (several | one) << size
+            one |= 1 << size
+    return not (left & (_smeared(several, waste) | (_smeared(one << 1, waste - 1) if waste else 0)))
 
-    go([], room, room)
-    best = sorted(found.items(), key=lambda x: (x[1], len(x[0]), [-s for s in x[0]]))[:kept]
-    return [(waste, list(items)) for items, waste in best] or [(room, [])]
 
+class _Steps:
+    """What is left of a search's steps, and whether something has been cut."""
 
-Packing = list[tuple[int, dict[int, int]]]
+    def __init__(self, total: float):
+        self.left, self.cut = total, False
 
 
-def _fill(counts: list[int], largest: int, items: list[int]) -> tuple[int, dict[int, int]]:
-    """How often a filling can be used, and its pieces by length."""
-    made: dict[int, int] = {}
-    for s in (largest, *items):
-        made[s] = made.get(s, 0) + 1
-    return min(counts[s] // n for s, n in made.items()), made
+def fillings(counts: list[int], room: int, allowed: int, kept: int | None, steps: _Steps) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Undominated fillings of ``room`` with at most ``allowed`` tokens of waste, least waste first: (waste, [(length, pieces)]).
+
+    With ``kept``, that many at most, and within NODE_STEPS.
+    """
+    rising = [s for s in range(1, min(room, len(counts) - 1) + 1) if counts[s]]
+    sums = [0]
+    for s in rising:
+        sums.append(sums[-1] + s * counts[s])
+    every = sum(1 << s for s in range(1, len(counts)) if counts[s])
+    found: list[tuple[int, list[tuple[int, int]]]] = []
+    least = steps.left - NODE_STEPS if kept else 0
+    perfect = 0
+
+    def go(items: list[tuple[int, int]], space: int, below: int) -> bool:
+        """Whether to stop."""
+        nonlocal perfect
+        steps.left -= 1
+        if steps.left <= least:
+            steps.cut = True
+            return True
+        top = bisect_right(rising, min(space, below))
+        if sums[top] < space - allowed:
+            return False
+        if not top:
+            left = every
+            for size, n in items:
+                if n == counts[size]:
+                    left ^= 1 << size
+            if _undominated(items, space, left):
+                found.append((space, items))
+                perfect += space == 0
+                if kept and perfect >= kept:
+                    steps.cut = True
+                    return True
+            return False
+        for k in range(top - 1, -1, -1):
+            size = rising[k]
+            most = min(counts[size], space // size)
+            for n in range(most, 0 if k else most - 1, -1):
+                if go([*items, (size, n)], space - size * n, size - 1):
+                    return True
+        return False
+
+    go([], room, room)
+    found.sort(key=lambda x: (x[0], sum(n for _, n in x[1]), [-s for s, _ in x[1]]))
+    if kept and len(found) > kept:
+        steps.cut = True
+        found = found[:kept]
+    return found
 
 
 def best_fit(counts: list[int], length: int = LENGTH) -> Packing:
@@ -205,53 +250,75 @@ def best_fit(counts: list[int], length: int = LENGTH) -> Packing:
     return out
 
 
-def complete(counts: list[int], length: int = LENGTH, nodes: int = NODES) -> Packing:
-    """Sequences for a histogram of lengths (``counts[size]`` pieces): [(times, {size: pieces})]."""
-    total = sum(s * n for s, n in enumerate(counts))
-    least = -(-total // length)
-    best = best_fit(counts, length)
-    size = lambda packing: sum(t for t, _ in packing)
-    budget = nodes
-
-    # depth first over (choice at each step); the first descent takes the best filling everywhere
-    path: list[tuple[list[tuple[int, list[int]]], int, int, dict[int, int], int]] = []
-    state, waste = list(counts), 0
-    options: list[tuple[int, list[int]]] | None = None
-    first = True
-    while budget > 0 or first:
+def _search(counts: list[int], length: int, target: int, kept: int | None, steps: _Steps) -> Packing | None:
+    """A packing of at most ``target`` sequences, depth first; None if there is none or ``steps`` has run out or been cut."""
+    state = list(counts)
+    allowed = target * length - sum(s * n for s, n in enumerate(counts))
+    seen: set[tuple[int, ...]] = set()
+    path: list[list] = []  # choices left, times, pieces, waste
+    barred = None
+    while allowed >= 0:
         largest = next((s for s in range(length, 0, -1) if state[s]), 0)
-        back = False
         if not largest:
-            made = [(t, m) for _, t, _, m, _ in path]
-            if size(made) < size(best):
-                best = made
-            first = False
-            back = True
-            if size(best) <= least:
-                break
-        elif waste > (size(best) - 1) * length - total and not first:
-            back = True
-        elif options is None:
-            budget -= 1
+            return [(times, made) for _, times, made, _ in path]
+        key = tuple(state)
+        choices = []
+        if key not in seen or barred is not None:
+            if kept is None and barred is None and len(seen) < 1 << 16:
+                seen.add(key)
             state[largest] -= 1
-            options = fillings(state, length - largest)
+            for lost, items in fillings(state, length - largest, min(allowed, length), kept, steps):
+                made = dict(items)
+                made[largest] = made.get(largest, 0) + 1
+                if made != barred:
+                    most = min((counts_left + (s == largest)) // made[s] for s in made for counts_left in (state[s],))
+                    most = min(most, allowed // lost) if lost else most
+                    choices += [(t, made, lost, t < most) for t in range(most, 0 if kept is None else most - 1, -1)]
             state[largest] += 1
-        while back or not options:
-            if not path:
-                return best
-            options, times, lost, made, _ = path.pop()
+        path.append([iter(choices), 0, {}, 0])
+        while path:
+            if steps.left <= 0:
+                steps.cut = True
+                return None
+            top = path[-1]
+            for s, n in top[2].items():
+                state[s] += n * top[1]
+            allowed += top[3]
+            chosen = next(top[0], None)
+            if chosen is None:
+                path.pop()
+                continue
+            times, made, lost, fewer = chosen
+            top[1:] = [times, made, lost * times]
             for s, n in made.items():
-                state[s] += n * times
-            waste -= lost * times
-            back = False
-        lost, items = options[0]
-        largest = next(s for s in range(length, 0, -1) if state[s])
-        times, made = _fill(state, largest, items)
-        for s, n in made.items():
-            state[s] -= n * times
-        waste += lost * times
-        path.append((options[1:], times, lost, made, largest))
-        options = None
+                state[s] -= n * times
+            allowed -= lost * times
+            barred = made if fewer else None
+            break
+        else:
+            return None
+    return None
+
+
+def complete(counts: list[int], length: int = LENGTH, steps: int | None = STEPS) -> Packing:
+    """Sequences for a histogram of lengths (``counts[size]`` pieces): [(times, {size: pieces})]. Without ``steps``, a packing proven to have the fewest."""
+    size = lambda packing: sum(t for t, _ in packing)
+    best, least = best_fit(counts, length), least_sequences(counts, length)
+    if steps is None:
+        for target in range(least, size(best)):
+            if (made := _search(counts, length, target, None, _Steps(float("inf")))) is not None:
+                return made
+        return best
+    for kept in (1, 3, 9, None):
+        share = _Steps(steps / 4)
+        while size(best) > least:
+            share.cut = False
+            made = _search(counts, length, size(best) - 1, kept, share)
+            if made is None:
+                if not share.cut:
+                    return best  # proven
+                break
+            best = made
     return best
 
 
