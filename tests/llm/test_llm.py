@@ -591,28 +591,113 @@ def test_windows_around_a_shared_passage_are_dealt_evenly(spark, monkeypatch):
     assert {(r["doc_id"] > 0, r["n_words"], r["n_removed"]) for r in got} == {(False, 240, 0), (True, 240, 120)}
 
 
-def test_lm_scores(docs, empty):
+def plain_log10(classes: list[int], model) -> float:
+    """Sum of log10 probabilities of a text's classes, token by token."""
+    out = 0.0
+    for i, c in enumerate(classes):
+        r = np.zeros(lm.SIZE)
+        for k in range(1, lm.CONTEXT + 1):
+            r += model.weights[k - 1] * model.context[classes[i - k] if i >= k else model.m]
+        near_ = classes[max(0, i - lm.WINDOW) : i]
+        for x in near_:
+            r += model.topic[x] / np.sqrt(len(near_) * lm.WINDOW)
+        s = model.target.astype(float) @ r + model.bias
+        out += (s[c] - s.max() - np.log(np.exp(s - s.max()).sum())) / np.log(10)
+    return out
+
+
+def test_lm_scores(docs, empty, monkeypatch):
     train = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(False))
+    monkeypatch.setattr(lm, "SHORT", 20)
+    fitted, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda encoded, classes, total: fitted.append((classes, fit(encoded, classes, total))) or fitted[-1][1])
     got = by_id(lm.scores(docs, train))
     own = {i: [*WORDS.findall(lower(t)), None] for i, t in texts()}
     learns = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2
     c = Counter(w for i, ws in own.items() if learns(i) for w in ws)
     n, v = sum(c.values()), len(c)
+    ending = lambda w: 0 if w is None else (w.encode()[-1] * 31 + (w.encode()[-2] * 7 if len(w.encode()) > 1 else 0)) % lm.ENDINGS
+    model = lm.LogBilinear(*fitted[0])
+    code = {w: int(lm.Words(pa.array([w]), False).hashes().view(np.int64)[0]) for w in {w for ws in own.values() for w in ws} if w is not None} | {None: int(lm.END)}
+    short = {h: k for k, h in enumerate(fitted[0][0].short.tolist())}
+    rest = [w for w in c if code[w] not in short]
+    mass = Counter(ending(w) for w in rest) + Counter()
+    share = {e: sum(c[w] for w in rest if ending(w) == e) + mass[e] + 1 for e in range(lm.ENDINGS)}
     for i, ws in own.items():
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws))
-        assert r["score"] < 0
+        if len(ws) < 1000:
+            classes = [short.get(code[w], len(short) + ending(w)) for w in ws]
+            inside = sum(np.log10((c[w] + 1) / share[ending(w)]) for w in ws if code[w] not in short)
+            assert r["score"] == pytest.approx(plain_log10(classes, model) + inside, rel=1e-4)
     assert lm.scores(empty, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_lm_beats_the_unigrams_on_held_out_texts_at_any_partitioning(spark, parts):
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    from tidepanel.llm.queries import remainder
+
+    docs = spark.read.parquet(path).repartition(parts)
+    held = lm.scores(docs, F.coalesce(remainder(7) != 2, F.lit(False))).where(remainder(7) == 2)
+    tokens, base, score = held.agg(F.sum("n_tokens"), F.sum("base_score"), F.sum("score")).first()
+    assert score / tokens > base / tokens + 0.1
+    SCORES.append(score)
+    assert SCORES[0] == pytest.approx(score, rel=1e-9)
+
+
+SCORES: list[float] = []
+
+
 def test_lm_probabilities_sum_to_one():
     classes = lm.Classes([(5, 0, 10), (6, 1, 4), (int(lm.END), 0, 3)], 17, 3, {0: (2, 13), 1: (1, 4)})
     model = lm.LogBilinear(classes)
-    before = np.array([[classes.size, classes.size], [0, 1]])
-    for b in before:
-        p = np.exp(model.log_probability(np.arange(classes.size), np.tile(b, (classes.size, 1))))
-        assert p.sum() == pytest.approx(1, abs=1e-4)
+    for before in ([], [0, 1], [2] * 100):
+        p = [np.exp(model.log_probability(np.array([*before, k]), np.zeros(len(before) + 1, np.int64))[-1]) for k in range(classes.size)]
+        assert sum(p) == pytest.approx(1, abs=1e-4)
+
+
+def test_lm_runs_do_not_depend_on_how_texts_arrive(monkeypatch):
+    monkeypatch.setattr(lm, "WINDOW", 3)
+    draw = np.random.default_rng(1)
+    texts_ = [(draw.integers(0, 9, n), k) for k, n in enumerate([1, 5, 40, 2, 2, 17, 1, 9])]
+    runs = list(lm.blocks(texts_, 10))
+    assert np.concatenate([c[f:] for c, _, f in runs]).tolist() == np.concatenate([c for c, _ in texts_]).tolist()
+    assert np.concatenate([o[f:] for _, o, f in runs]).tolist() == [k for c, k in texts_ for _ in c]
+    assert [len(c) - f for c, _, f in runs[:-1]] == [10] * (len(runs) - 1) and all(f == 3 for _, _, f in runs[1:])
+
+
+def test_lm_gradient_is_that_of_the_objective(monkeypatch):
+    """One step's gradient against differences of the NCE objective."""
+    frequent = [(k, k % 4, 20 - k) for k in range(12)] + [(int(lm.END), 0, 3)]
+    classes = lm.Classes(frequent, 200, 17, {e: (1 + sum(x[1] == e for x in frequent), 9 + sum(x[2] for x in frequent if x[1] == e)) for e in range(4)})
+    draw = np.random.default_rng(5)
+    own, owner = draw.integers(0, classes.size, 30), np.repeat([0, 1], [18, 12])
+    start = lm.LogBilinear(classes).flat.astype(float)
+
+    def objective(flat):
+        model = lm.LogBilinear(classes, flat)
+        guess = model.predicted(own, *model._before(own, owner))[4:].astype(float)
+        noise = np.minimum(np.searchsorted(model.noise, np.random.default_rng(2).random(lm.NOISE)), model.m - 1)
+        shift = model.bias - model.log_noise - np.log(lm.NOISE)
+        real = (guess * model.target[own[4:]]).sum(1) + shift[own[4:]]
+        false = guess @ model.target[noise].T + shift[noise]
+        return -np.log1p(np.exp(-real)).sum() - np.log1p(np.exp(false)).sum()
+
+    model = lm.LogBilinear(classes, start.copy())
+    slopes = np.full_like(start, 1e12)  # so the step is a small multiple of the gradient
+    model.train(own, owner, 4, np.random.default_rng(2), slopes)
+    grad = (model.flat - start) * 1e6 / lm.RATE
+    rows = [own[0], own[10], classes.size, classes.size + 1 + own[6], 2 * classes.size + 2 + own[20], 3 * classes.size + 2]
+    for row in rows:
+        for k in (0, 7):
+            up, down = start.copy(), start.copy()
+            up[row, k] += 1e-3
+            down[row, k] -= 1e-3
+            assert grad[row, k] == pytest.approx((objective(up) - objective(down)) / 2e-3, rel=0.02, abs=0.02), (row, k)
 
 
 def test_pipeline_matches_plain_python(spark, tmp_path):

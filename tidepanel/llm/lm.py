@@ -2,12 +2,17 @@
 
 Spark counts all training tokens. The ``SHORT`` most frequent ones and the end of text are classes of
 their own; all others fall into ``ENDINGS`` classes by their last two bytes, inside which a token has
-its add-one share of the class's count (an unseen token the share of one). The model predicts the
-class from the ``CONTEXT`` classes before: r = sum of position weights * context vectors, score =
-r . target vector + bias, normalised over all classes. Class vectors are trained in numpy on every
-training text, data-parallel in ``ROUNDS`` shares of the texts: each task runs its texts against noise drawn from the
-class counts, then Spark averages the tasks' parameters, weighted by tokens. Normalisers are computed
-once for each context by batched matrix products.
+its add-one share of the class's count (an unseen token the share of one); the counts that these shares
+come from grow with the corpus, the classes don't. The model predicts the class from a representation
+of what stands before: r = sum of position weights * vectors of the ``CONTEXT`` classes before, plus the
+mean topic vector of the last ``WINDOW`` tokens of the text; score = r . target vector + bias,
+normalised over all classes by batched matrix products.
+
+Texts are encoded once, as class numbers. Training goes over all training texts in each of ``ROUNDS``
+rounds: encoded texts are dealt to shards by a hash, ``SHARD_TOKENS`` each, so neither shards nor the
+order in them depend on how the table is laid out; a task runs a shard in batches against noise drawn
+from the class counts, and Spark averages the shards' parameters, weighted by tokens, in whole numbers
+so that no order of summing changes them.
 
 What is sent to tasks is bounded by parameters: the model, and the counts of the ``FREQUENT`` most
 frequent tokens. Counts of all other tokens are looked up by a join with the table of all counts;
@@ -20,6 +25,8 @@ is uniform. An empty table gives an empty one. Extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,9 +35,11 @@ from pyspark.sql import functions as F
 from tidepanel.llm.chunks import Words, chunks
 from tidepanel.llm.store import written
 
-SHORT, ENDINGS, CONTEXT, SIZE = 1000, 64, 2, 24
+SHORT, ENDINGS, CONTEXT, WINDOW, SIZE = 256, 256, 2, 64, 16
 FREQUENT = 1 << 16
-ROUNDS, BATCH, NOISE, RATE = 2, 4096, 64, 0.1
+ROUNDS, BATCH, NOISE, RATE, SHARD_TOKENS = 2, 4096, 32, 0.05, 2_000_000
+#: Tokens that are scored at once; parameters are averaged in units of 2**-20.
+BLOCK, UNIT = 1 << 15, 1 << 20
 #: Bytes of text in which a task merges equal tokens before it sends their counts.
 MERGE_BYTES = 4 << 20
 END = np.int64(-0x4B1D5EED0E0F0A11)
@@ -101,133 +110,170 @@ class Classes:
         return np.where(self.known[at, 0] == hashes, self.known[at, 2], -1)
 
 
-def contexts(classes: np.ndarray, owner: np.ndarray, start: int) -> np.ndarray:
-    """The CONTEXT classes before each token (nearest first); ``start`` stands before a text."""
-    out = np.full((len(classes), CONTEXT), start, np.int64)
-    for k in range(1, CONTEXT + 1):
-        same = owner[k:] == owner[:-k]
-        out[k:, k - 1][same] = classes[:-k][same]
-    return out
+def blocks(pieces: Iterable[tuple[np.ndarray, int]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(classes, text, first) of runs of ``size`` tokens of (classes, number) texts in a row.
+
+    A run begins with up to WINDOW tokens of the one before, which only serve as context; its own
+    tokens begin at ``first``. Runs depend on the texts alone, not on how they arrive.
+    """
+    held_c, held_o, n, first = [], [], 0, 0
+    for classes, number in pieces:
+        held_c.append(classes)
+        held_o.append(np.full(len(classes), number, np.int64))
+        n += len(classes)
+        if n < size + first:
+            continue
+        c, o, at = np.concatenate(held_c), np.concatenate(held_o), 0
+        while n - at >= size + first:
+            yield c[at : at + first + size], o[at : at + first + size], first
+            at, first = at + first + size - min(WINDOW, first + size), min(WINDOW, first + size)
+        held_c, held_o, n = [c[at:]], [o[at:]], n - at
+    if n > first:
+        yield np.concatenate(held_c), np.concatenate(held_o), first
 
 
 class LogBilinear:
-    """Parameters as one matrix: context vectors (with one for the start), target vectors, position weights, biases in rows of SIZE."""
+    """Parameters as one matrix with rows of SIZE: context and topic vectors (with one for the start of a text), target vectors, position weights, biases."""
 
     def __init__(self, classes: Classes, flat: np.ndarray | None = None):
         m = self.m = classes.size
-        self.bias_rows = -(-m // SIZE)
-        rows = (m + 1) + m + CONTEXT + self.bias_rows
         if flat is None:
             draw = np.random.default_rng(7)
-            flat = draw.normal(0, 0.1, (rows, SIZE)).astype(np.float32)
-            flat[2 * m + 1 : 2 * m + 1 + CONTEXT] = 1
-            bias = np.zeros(self.bias_rows * SIZE, np.float32)
+            flat = draw.normal(0, 0.1, (3 * m + 2 + CONTEXT + -(-m // SIZE), SIZE)).astype(np.float32)
+            flat[3 * m + 2 : 3 * m + 2 + CONTEXT] = 1
+            bias = np.zeros(flat[3 * m + 2 + CONTEXT :].size, np.float32)
             bias[:m] = np.log(classes.noise)
-            flat[2 * m + 1 + CONTEXT :] = bias.reshape(-1, SIZE)
+            flat[3 * m + 2 + CONTEXT :] = bias.reshape(-1, SIZE)
         self.flat = flat
-        self.context, self.target = flat[: m + 1], flat[m + 1 : 2 * m + 1]
-        self.weights = flat[2 * m + 1 : 2 * m + 1 + CONTEXT]
-        self.bias = flat[2 * m + 1 + CONTEXT :].reshape(-1)[:m]
+        self.context, self.topic, self.target, self.weights, self.bias = self.views(flat)
+        self.noise = np.cumsum(classes.noise)
         self.log_noise = np.log(classes.noise).astype(np.float32)
-        self.norms = np.full((m + 1) ** CONTEXT, np.nan, np.float32)
-
-    def predicted(self, before: np.ndarray) -> np.ndarray:
-        return sum(self.weights[k] * self.context[before[:, k]] for k in range(CONTEXT))
-
-    def train(self, classes: np.ndarray, before: np.ndarray, draw: np.random.Generator, slopes: np.ndarray) -> None:
-        """One step of NCE on a batch; ``slopes`` holds the sums of squared gradients (Adagrad)."""
-        m, n = self.m, len(classes)
-        noise = draw.choice(m, NOISE, p=np.exp(self.log_noise.astype(float)) / np.exp(self.log_noise.astype(float)).sum())
-        guess = self.predicted(before)
-        logit = lambda s, w: s - self.log_noise[w] - np.float32(np.log(NOISE))
-        real = logit((guess * self.target[classes]).sum(1) + self.bias[classes], classes)
-        false = logit(guess @ self.target[noise].T + self.bias[noise], noise)
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        d_guess = up[:, None] * self.target[classes] + down @ self.target[noise]
+
+    def views(self, flat: np.ndarray) -> tuple[np.ndarray, ...]:
+        m = self.m
+        ends = (m + 1, 2 * m + 2, 3 * m + 2, 3 * m + 2 + CONTEXT)
+        return (*(flat[a:b] for a, b in zip((0, *ends), ends, strict=False)), flat[ends[-1] :].reshape(-1)[:m])
+
+    def _before(self, classes: np.ndarray, owner: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The CONTEXT classes before each token, nearest first; where each token's window begins, and its weight."""
+        before = []
+        for k in range(1, CONTEXT + 1):
+            at = np.full(len(classes), self.m)
+            same = owner[k:] == owner[:-k]
+            at[k:][same] = classes[:-k][same]
+            before.append(at)
+        place = np.arange(len(classes))
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1]]))
+        begin = np.maximum(np.repeat(new, np.diff(np.append(new, len(owner)))), place - WINDOW)
+        return before, begin, 1 / np.sqrt(np.maximum(place - begin, 1) * float(WINDOW))
+
+    def predicted(self, classes: np.ndarray, before: list[np.ndarray], begin: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        sums = np.zeros((len(classes) + 1, SIZE))
+        np.cumsum(self.topic[classes], axis=0, out=sums[1:])
+        out = ((sums[:-1] - sums[begin]) * weight[:, None]).astype(np.float32)
+        for k in range(CONTEXT):
+            out += self.weights[k] * self.context[before[k]]
+        return out
+
+    def train(self, classes: np.ndarray, owner: np.ndarray, first: int, draw: np.random.Generator, slopes: np.ndarray) -> None:
+        """One step of NCE on the tokens from ``first`` on; ``slopes`` holds the sums of squared gradients (Adagrad)."""
+        before, begin, weight = self._before(classes, owner)
+        guess = self.predicted(classes, before, begin, weight)[first:]
+        own, n = classes[first:], len(classes)
+        noise = np.minimum(np.searchsorted(self.noise, draw.random(NOISE)), self.m - 1)
+        many = np.float32(np.log(NOISE))
+        target = self.target[own]
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", guess, target) + (self.bias - self.log_noise)[own] - many, -30, 30)))
+        false = guess @ self.target[noise].T
+        false += (self.bias - self.log_noise)[noise] - many
+        down = np.exp(np.clip(-false, -30, 30, out=false), out=false)
+        down += 1
+        np.divide(-1, down, out=down)
+        slope = np.zeros((n, SIZE), np.float32)
+        slope[first:] = up[:, None] * target + down @ self.target[noise]
+
         grad = np.zeros_like(self.flat)
-        g_context, g_target = grad[: m + 1], grad[m + 1 : 2 * m + 1]
-        _add(g_target, classes, up[:, None] * guess)
-        np.add.at(g_target, noise, down.T @ guess)
+        g_context, g_topic, g_target, g_weights, g_bias = self.views(grad)
+        # one row for each token of the run: what it contributes as target, in windows and as context
+        parts = np.zeros((n, SIZE * (2 + CONTEXT) + 1), np.float32)
+        parts[first:, :SIZE] = up[:, None] * guess
+        parts[first:, -1] = up
+        sums = np.zeros((n + 1, SIZE))
+        np.cumsum(slope * weight[:, None], axis=0, out=sums[1:])
+        parts[:, SIZE : 2 * SIZE] = sums[np.searchsorted(begin, np.arange(n), side="right")] - sums[1:]
         for k in range(CONTEXT):
-            _add(g_context, before[:, k], d_guess * self.weights[k])
-            grad[2 * m + 1 + k] = (d_guess * self.context[before[:, k]]).sum(0)
-        g_bias = grad[2 * m + 1 + CONTEXT :].reshape(-1)
-        g_bias[:m] = np.bincount(classes, up, m)
+            g_weights[k] = np.einsum("ij,ij->j", slope, self.context[before[k]])
+            by = slope * self.weights[k]
+            inside = before[k] < self.m
+            by[~inside], g_context[self.m] = 0, g_context[self.m] + by[~inside].sum(0)
+            parts[: n - k - 1, SIZE * (2 + k) : SIZE * (3 + k)] = by[k + 1 :]
+        order = np.argsort(classes, kind="stable")
+        rows = classes[order]
+        at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        total, rows = np.add.reduceat(parts[order], at, axis=0), rows[at]
+        g_target[rows], g_topic[rows], g_bias[rows] = total[:, :SIZE], total[:, SIZE : 2 * SIZE], total[:, -1]
+        g_context[rows] += total[:, 2 * SIZE : -1].reshape(len(rows), CONTEXT, SIZE).sum(1)
+        np.add.at(g_target, noise, down.T @ guess)
         np.add.at(g_bias, noise, down.sum(0))
-        grad /= n
         slopes += grad * grad
-        self.flat += RATE * grad / (np.sqrt(slopes) + 1e-6)
-
-    def _fill(self, keys: np.ndarray) -> None:
-        """Normalisers of contexts that have none yet, in blocks."""
-        for at in range(0, len(keys), 2048):
-            block = keys[at : at + 2048]
-            parts = [block // (self.m + 1) ** k % (self.m + 1) for k in range(CONTEXT)]
-            s = self.predicted(np.stack(parts, 1)) @ self.target.T + self.bias
-            top = s.max(1)
-            self.norms[block] = top + np.log(np.exp(s - top[:, None]).sum(1))
-
-    def log_probability(self, classes: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """Natural logarithm of each class after its context; sums to one over the classes."""
-        keys = sum(before[:, k] * (self.m + 1) ** k for k in range(CONTEXT))
-        fresh = np.zeros(len(self.norms), bool)
-        fresh[keys] = True
-        self._fill(np.flatnonzero(fresh & np.isnan(self.norms)))
-        out = np.empty(len(classes), np.float64)
-        for at in range(0, len(classes), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            out[s] = np.einsum("ij,ij->i", self.predicted(before[s]), self.target[classes[s]]) + self.bias[classes[s]]
-        return out - self.norms[keys]
-
-
-def _add(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """out[rows] += values, with repeated rows summed."""
-    order = np.argsort(rows, kind="stable")
-    sorted_rows = rows[order]
-    at = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-    out[sorted_rows[at]] += np.add.reduceat(values[order], at, axis=0)
-
-
-def fit(docs: DataFrame, classes: Classes) -> np.ndarray:
-    """Parameters after ROUNDS of averaged training over all rows; each row trains in one round."""
-    spark = docs.sparkSession
+        self.flat += RATE * grad / np.sqrt(slopes)
+
+    def log_probability(self, classes: np.ndarray, owner: np.ndarray, first: int = 0) -> np.ndarray:
+        """Natural logarithm of each class from ``first`` on after what stands before it; sums to one over the classes."""
+        guess = self.predicted(classes, *self._before(classes, owner))
+        out = np.empty(len(classes) - first)
+        for at in range(first, len(classes), 512):
+            own = classes[at : at + 512]
+            s = guess[at : at + 512] @ self.target.T
+            s += self.bias
+            found, top = s[np.arange(len(own)), own], s.max(1)
+            s -= top[:, None]
+            out[at - first : at - first + len(own)] = found - top - np.log(np.exp(s, out=s).sum(1))
+        return out
+
+
+def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]]:
+    """Class numbers of every encoded text, and its number in the task."""
+    number = 0
+    for part in batches:
+        for x in part.column("classes"):
+            yield np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64), number
+            number += 1
+
+
+def fit(encoded: DataFrame, classes: Classes, total: int) -> np.ndarray:
+    """Parameters after ROUNDS of averaged training over all encoded texts (columns share, doc_id, classes)."""
+    spark = encoded.sparkSession
     flat = LogBilinear(classes).flat
-    rows = docs.select(F.col("text").cast("string"), F.pmod(F.xxhash64("text"), F.lit(ROUNDS)).alias("share"))
+    shards = max(1, -(-total // SHARD_TOKENS))
+    rows = encoded.repartition(shards, "share").sortWithinPartitions("share", "doc_id").select("classes")
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((classes, flat))
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, k=k):
             known, start = shared.value
-            model, draw = LogBilinear(known, start.copy()), np.random.default_rng(11)
-            slopes, seen = np.full_like(model.flat, 1e-8), 0
-            for part in chunks(batches):
-                hashes, ending, owner = tokens(part)
-                own = known.of(hashes, ending)
-                before = contexts(own, owner, known.size)
-                for at in range(0, len(own), BATCH):
-                    model.train(own[at : at + BATCH], before[at : at + BATCH], draw, slopes)
-                seen += len(own)
+            model, draw = LogBilinear(known, start.copy()), np.random.default_rng(11 + k)
+            slopes, seen = np.ones_like(model.flat), 0
+            for own, owner, first in blocks(_texts(batches), BATCH):
+                model.train(own, owner, first, draw, slopes)
+                seen += len(own) - first
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(model.flat)), pa.int32()), pa.array(np.full(len(model.flat), float(seen))), pa.array(list(model.flat.astype(float)), pa.list_(pa.float64()))], ["row", "weight", "v"])
+                weight = max(1, round(256 * seen / SHARD_TOKENS))
+                values = (np.rint(model.flat * UNIT).astype(np.int64) * weight).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array([weight] * len(values), pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["row", "weight", "v"])
 
-        made = rows.where(F.col("share") == k).select("text").mapInArrow(run, "row int, weight double, v array<double>")
-        means = made.groupBy("row").agg(*(F.round(F.sum(F.col("v")[i] * F.col("weight")) / F.sum("weight"), 7).alias(f"v{i}") for i in range(SIZE)))
+        made = rows.mapInArrow(run, "row int, weight long, v array<long>")
+        means = made.groupBy("row").agg(F.sum("weight").alias("weight"), *(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(SIZE)))
         found = means.collect()
         if found:
             flat = flat.copy()
             for r in found:
-                flat[r["row"]] = r[1:]
+                flat[r["row"]] = np.array(r[2:], float) / (r["weight"] * UNIT)
     return flat
 
 
-_MODELS: dict[str, LogBilinear] = {}
-
-
 def scores(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of all rows; rows with ``train`` are learned from."""
-    import uuid
-
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
     learn = texts.where("train")
@@ -236,30 +282,26 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
     by_ending = {r["ending"]: (r["v"], r["n"]) for r in counts.groupBy("ending").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()}
     frequent = [tuple(r) for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", "ending", "n").collect()]
     classes = Classes(frequent, total, distinct, by_ending)
-    flat = fit(learn, classes)
-    shared, name = spark.sparkContext.broadcast((classes, flat)), uuid.uuid4().hex
+    vocabulary = spark.sparkContext.broadcast(classes)
     floor = float(np.log10(total + distinct + 1))
 
-    def run(batches):
-        known, params = shared.value
-        if name not in _MODELS:
-            _MODELS.clear()
-            _MODELS[name] = LogBilinear(known, params)
-        model = _MODELS[name]
-        none = lambda n, t: pa.nulls(n, t)
+    def encode(batches):
+        known = vocabulary.value
+        none = pa.nulls
         for part in chunks(batches):
             hashes, ending, owner = tokens(part)
             n = part.num_rows
             own = known.of(hashes, ending)
-            logs = model.log_probability(own, contexts(own, owner, known.size)) / np.log(10)
             c = known.counts(hashes)
             rare = own >= len(known.short)
             here = np.log10(np.maximum(c, 0) + 1.0)
             inside = np.where(rare, here - np.log10(known.share[np.where(rare, own - len(known.short), 0)]), 0.0)
             sums = lambda x: np.bincount(owner, x, n)
-            ids = part.column("row")
+            data, ends = own.astype(np.uint16).tobytes(), np.searchsorted(owner, np.arange(n + 1)) * 2
+            texts = pa.array([data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+            head = [part.column(c) for c in HEAD]
             yield pa.RecordBatch.from_arrays(
-                [ids, part.column("doc_id"), pa.array(np.bincount(owner, minlength=n)), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(here) - floor * sums(np.ones(len(owner)))), pa.array(sums(logs + inside)), none(n, pa.int64()), none(n, pa.int64())],
+                [*head, pa.array(np.bincount(owner, minlength=n)), pa.array(sums(c > 0).astype(np.int64)), pa.array(sums(here) - floor * sums(np.ones(len(owner)))), pa.array(sums(inside)), texts, none(n, pa.int64()), none(n, pa.int64())],
                 OUT,
             )
             far = np.flatnonzero(c < 0)
@@ -269,18 +311,30 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
                 new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
                 at = np.flatnonzero(new)
                 k = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner[order][at])), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), none(k, pa.float64()), none(k, pa.float64()), pa.array(hashes[order][at]), pa.array(np.diff(np.append(at, len(order))))], OUT
-                )
-
-    OUT = ["row", "doc_id", "n_tokens", "known", "base", "model", "token", "times"]
-    made = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, model double, token long, times long")
-    made = written(made, "scored")
+                blank = [none(k, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([head[0].take(pa.array(owner[order][at])), *blank, pa.array(hashes[order][at]), pa.array(np.diff(np.append(at, len(order))))], OUT)
+
+    HEAD = ["row", "doc_id", "train", "share"]
+    OUT = [*HEAD, "n_tokens", "known", "base", "inside", "classes", "token", "times"]
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "train", F.xxhash64("text", "doc_id").alias("share"), "text")
+    made = written(rows.mapInArrow(encode, "row long, doc_id long, train boolean, share long, n_tokens long, known long, base double, inside double, classes binary, token long, times long"), "encoded")
+    coded = made.where("token is null")
+    flat = fit(coded.where("train").select("share", "doc_id", "classes"), classes, total)
+    shared = spark.sparkContext.broadcast((classes, flat))
+
+    def score(batches):
+        model = LogBilinear(*shared.value)
+        for part in batches:
+            sums = np.zeros(part.num_rows)
+            for own, owner, first in blocks(_texts([part]), BLOCK):
+                sums += np.bincount(owner[first:], model.log_probability(own, owner, first), part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(sums / np.log(10) + part.column("inside").to_numpy())], [*part.schema.names[:-2], "model"])
+
+    whole = coded.select("row", "doc_id", "n_tokens", "known", "base", "inside", "classes").mapInArrow(score, "row long, doc_id long, n_tokens long, known long, base double, model double")
     rare = made.where("token is not null").select("row", "token", "times").join(counts.select("token", "n"), "token", "left")
     rest = rare.groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 1.0)).alias("logs"))
-    whole = made.where("token is null").select("row", "doc_id", "n_tokens", "known", "base", "model").join(rest, "row", "left")
     logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return whole.select(
+    return whole.join(rest, "row", "left").select(
         "doc_id", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"),
     )
