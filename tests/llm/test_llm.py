@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidepanel.llm import bpe, langid, licenses, lines, lm, media, near, packing, sketches, substring
@@ -417,22 +418,54 @@ def shingle_set(text: str, size: int) -> frozenset:
     return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
 
 
-def test_sketches(docs, empty, monkeypatch):
+def spark_hash(*values) -> int:
+    """Spark's xxhash64 of texts and numbers, as an unsigned number."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), h)
+    return h
+
+
+def plain_sketch(text: str) -> list[int]:
+    h = [spark_hash(w) for w in WORDS.findall(text)]
+    found = {spark_hash(*h[k : k + 5]) for k in range(max(1, len(h) - 4))} if h else set()
+    return sorted(x - (x >> 63 << 64) for x in found)[:128]
+
+
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_sketches(docs, empty, monkeypatch, fan):
     monkeypatch.setattr(sketches, "RANGE_BYTES", 20_000)
-    rows = docs.where("doc_id is not null")
-    got = by_id(sketches.compared(rows).withColumns({"e": sketches.resemblance(F.col("sketch"), F.col("edited_sketch")), "n": sketches.resemblance(F.col("sketch"), F.col("next_sketch"))}))
-    order = sorted(((i, t) for i, t in texts() if i is not None), reverse=True)
-    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    monkeypatch.setattr(sketches, "FAN", fan)
+    got = by_id(sketches.compared(docs).withColumns({"e": sketches.resemblance(F.col("sketch"), F.col("edited_sketch")), "n": sketches.resemblance(F.col("sketch"), F.col("next_sketch"))}))
+    order = sorted(((i, t) for i, t in texts() if i is not None), reverse=True) + [(i, t) for i, t in texts() if i is None]
+
+    def share(a, b):
+        union = sorted(set(a) | set(b))[:128]
+        return len(set(union) & set(a) & set(b)) / len(union) if union else 1.0
+
     for k, (i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
         assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert abs(got[i]["e"] - jaccard(shingle_set(t, 5), shingle_set(edited, 5))) < 0.2
-        assert abs(got[i]["n"] - jaccard(shingle_set(t, 5), shingle_set(after, 5))) < 0.2
+        own, other, nxt = map(plain_sketch, (t, edited, after))
+        assert (got[i]["sketch"], got[i]["edited_sketch"]) == (own, other)
+        assert (got[i]["e"], got[i]["n"]) == (share(own, other), share(own, nxt))
     assert got[9]["sketch"] == got[900]["sketch"]
     assert sketches.compared(empty).count() == 0
-    assert sketches.compared(docs).count() == docs.count()
+
+
+def test_rows_without_a_doc_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "RANGE_BYTES", 500)
+    rows = spark.createDataFrame([(None, f"text {k} " * 9) for k in range(60)] + [(1, "one")], "doc_id long, text string")
+    got = sketches.with_next(rows)[0].where("not extra").select("doc_id", "text", "next_text", "part").collect()
+    assert len({r["part"] for r in got}) > 5
+    after = {r["text"]: r["next_text"] for r in got}
+    walk, at = [], "one"
+    while at not in walk:
+        walk.append(at)
+        at = after[at]
+    assert len(walk) == 61  # one ring through all
 
 
 def test_sketches_merge_and_estimate(spark):

@@ -7,10 +7,11 @@ smallest that both hold, and containment and the number of distinct shingles fol
 smallest as the k-minimum-values estimate. Sketches that are not full are exact sets.
 
 ``with_next`` gives each document the text of the next one in descending order of doc_id without a
-global sort: documents go to ranges of doc_id of about equal size, and the first document of each
-range is sent to the range before it as well.
+global sort: documents go to ranges of doc_id of about equal size in bytes, and the first document of
+each range is sent to the range before it as well. The borders are quantiles of doc_ids that occur in
+proportion to their bytes; they only decide which task works on a document.
 
-Nulls: a null text is empty; null doc_ids come last in the order. Rows that repeat a doc_id follow
+Nulls: a null text is empty; null doc_ids come last in the order, by the hash of their text. Rows that repeat a doc_id follow
 each other by the hash of their text. A lone document is its own next one. An empty table gives an
 empty one. Extra columns are not read.
 """
@@ -20,12 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.store import sized, text_size, written
+from tidepanel.llm.store import sized, written
 
 SHINGLE, K = 5, 128
 SPLIT = r"[\x20\x09-\x0D]+"
-#: Bytes of text in a range of documents, and pieces of the distribution of doc_ids.
-RANGE_BYTES, PIECES = 16 << 20, 32
+#: Bytes of text in a range of documents, ranges at most (FAN**3, found in three steps of FAN), and points a range by which borders are set.
+RANGE_BYTES, FAN, POINTS = 16 << 20, 32, 64
 
 
 def word_hashes(text: Column) -> Column:
@@ -67,36 +68,60 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def _ranges(docs: DataFrame) -> Column:
-    """The number of a range of doc_ids of about equal size, rising with doc_id; -1 for null."""
-    n = max(1, -(-text_size(docs) // RANGE_BYTES))
-    pieces = min(PIECES, n)
-    each = -(-n // pieces)
-    found = docs.agg(F.percentile_approx("doc_id", [k / pieces for k in range(pieces)], 10_000).alias("q"), F.max("doc_id").alias("top")).first()
-    if not found["q"]:
-        return F.lit(-1)
-    bounds = sorted(set(found["q"]))
-    low = F.array(*map(F.lit, bounds))
-    width = F.array(*(F.lit(-(-(b - a) // each)) for a, b in zip(bounds, [*bounds[1:], found["top"] + 1], strict=True)))
-    piece = F.greatest(F.size(F.filter(low, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))
-    docs_piece = F.struct(low.alias("low"), width.alias("width"), piece.alias("piece"))
-    inner = F.transform(F.array(docs_piece), lambda p: p["piece"] * each + F.least(F.greatest(F.floor((F.col("doc_id") - F.get(p["low"], p["piece"])) / F.get(p["width"], p["piece"])), F.lit(0)), F.lit(each - 1)))
-    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(F.get(inner, F.lit(0)).cast("long"))
+    """The number of a range of doc_ids of about equal bytes, rising with doc_id; null doc_ids have ranges below 0, rising with the hash."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    total, empty = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), size)), F.lit(0))).first()
+    n = min(max(1, -(-(total - empty) // RANGE_BYTES)), FAN**3)
+    # a doc_id occurs once for each (total / n / POINTS) bytes, the rest by a draw from its hash
+    each = max(1, (total - empty) // (n * POINTS))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
+    times = F.floor(size / each + draw).cast("int")
+    points = docs.where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))).alias("k"), times.alias("times")).where("times > 0")
+    found = points.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("q")).first()["q"] if n > 1 else None
+    low = [-(1 << 63), *sorted(set(found or ()))]
+    low += [(1 << 63) - 1] * (FAN**3 - len(low)) if len(low) > FAN**2 else [(1 << 63) - 1] * (FAN**2 - len(low)) if len(low) > FAN else []
+    nulls = max(1, -(-empty // RANGE_BYTES))
+    share = (F.col("hash") / float(1 << 63) + 1) / 2
+    null_part = F.greatest(F.least(F.floor(share * nulls), F.lit(nulls - 1)), F.lit(0)) - nulls
+    return F.when(F.col("doc_id").isNull(), null_part.cast("long")).otherwise(_place(low, F.col("doc_id")).cast("long"))
+
+
+def _place(low: list[int], x: Column) -> Column:
+    """How many of the sorted borders are at most x, less one; found by FAN comparisons a step."""
+    if len(low) <= FAN:
+        return F.size(F.filter(F.array(*map(F.lit, low)), lambda b: b <= x)) - 1
+    heads = F.array(*map(F.lit, low[:: len(low) // FAN]))
+    inner = [low[k : k + len(low) // FAN] for k in range(0, len(low), len(low) // FAN)]
+    first = F.size(F.filter(heads, lambda b: b <= x)) - 1
+    return F.get(F.transform(F.array(first), lambda k: k * (len(low) // FAN) + _inner(inner, k, x)), F.lit(0))
+
+
+def _inner(parts: list[list[int]], k: Column, x: Column) -> Column:
+    """The place of x in the k-th of equal parts."""
+    if len(parts[0]) <= FAN:
+        mine = F.get(F.array(*(F.array(*map(F.lit, p)) for p in parts)), k)
+        return F.size(F.filter(mine, lambda b: b <= x)) - 1
+    step = len(parts[0]) // FAN
+    heads = F.get(F.array(*(F.array(*map(F.lit, p[::step])) for p in parts)), k)
+    first = F.size(F.filter(heads, lambda b: b <= x)) - 1
+    flat = [p[j : j + step] for p in parts for j in range(0, len(p), step)]
+    return F.get(F.transform(F.array(first), lambda j: j * step + _inner(flat, k * FAN + j, x)), F.lit(0))
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     """doc_id, text, next_text, and ``extra`` rows (an edge's copy, to be dropped in the end); the window used."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     rows = rows.withColumn("part", _ranges(rows))
-    heads = rows.groupBy("part").agg(F.max("doc_id").alias("head"))
-    order = Window.orderBy("part")  # over one row for each range
+    heads = rows.groupBy("part").agg(F.max(F.struct("doc_id", "hash")).alias("head"))
+    order = Window.orderBy("part")  # over one row for each range, FAN**3 at most
     above = F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = written(heads.select("part", "head", above.alias("above")), "ranges")
-    heads = heads.withColumnRenamed("part", "own")
-    copied = rows.join(sized(heads, 24), (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    places = F.when(F.col("above").isNull(), F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")))).otherwise(
-        F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")), F.struct(F.col("above").alias("part"), F.lit(True).alias("extra")))
-    )
-    dealt = copied.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.explode(places).alias("place")).select("doc_id", "text", "hash", "place.part", "place.extra")
+    # the range above holds the documents before this one's first, so that first goes there too
+    heads = written(heads.select(F.col("part").alias("own"), "head", above.alias("above")), "ranges")
+    first = (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("hash") == F.col("head.hash"))
+    copied = rows.join(sized(heads, 40), first, "left")
+    own = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
+    places = F.when(F.col("above").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("above").alias("part"), F.lit(True).alias("extra"))))
+    dealt = copied.select("doc_id", "text", "hash", F.explode(places).alias("place")).select("doc_id", "text", "hash", "place.part", "place.extra")
     window = Window.partitionBy("part").orderBy("extra", F.desc_nulls_last("doc_id"), F.desc("hash"))
     return dealt.withColumn("next_text", F.lead("text").over(window)), window
 
