@@ -92,6 +92,35 @@ def test_language_profile_is_the_plain_count(docs):
     assert [r["gram"] for r in sorted(rows, key=lambda r: r["place"])] == sorted(want, key=lambda g: (-want[g], g))[: langid.PROFILE]
 
 
+def plain_language(text: str | None, profiles: dict[str, dict[int, int]]) -> tuple[str, float]:
+    grams = Counter()
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        p = f" {w} "
+        grams.update(w)
+        grams.update(p[i : i + 2] for i in range(len(p) - 1))
+        grams.update(p[i : i + 3] for i in range(len(p) - 2))
+    value = lambda g: sum((1 if c == " " else ord(c)) << (16 * k) for k, c in enumerate(reversed(g)))
+    mine = sorted(((-n, value(g)) for g, n in grams.items()))[: langid.PROFILE]
+    if not mine or not profiles:
+        return "und", 0.0
+    away = {lang: sum(abs(k - places[g]) if g in places else langid.PROFILE for k, (_, g) in enumerate(mine)) for lang, places in profiles.items()}
+    best = min(sorted(away), key=away.get)
+    return best, max(0.0, 1 - away[best] / (len(mine) * langid.PROFILE))
+
+
+@pytest.mark.parametrize("languages", [1000, 1])
+def test_language_predictions_equal_brute_force(docs, monkeypatch, languages):
+    monkeypatch.setattr(langid, "LANGUAGES", languages)
+    learned = langid.profiles(docs)
+    profiles = defaultdict(dict)
+    for r in learned.collect():
+        profiles[r["lang"]][r["gram"]] = r["place"]
+    got = by_id(langid.identify(docs, learned))
+    for i, t in texts():
+        lang, score = plain_language(t, profiles)
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score), i
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     if not os.path.exists(path):
@@ -413,6 +442,27 @@ def test_damaged_image_raises():
         media.from_png(bytes(png))
 
 
+def test_damaged_images_leave_the_others_alone(spark):
+    good = media.to_png(b"abc".ljust(192))
+    cut = [good[:k] for k in (0, 5, 9, 20, 40, len(good) - 6)] + [good[:-16] + good[-12:], b"x" * 300, None]
+    rows = spark.createDataFrame([(0, 3, good)] + [(k, 3, bytearray(x) if x is not None else None) for k, x in enumerate(cut, 1)], "doc_id long, n_bytes long, png binary")
+    got = by_id(media.decode(rows))
+    assert got[0]["payload"] == b"abc".ljust(192) and got[0]["damage"] is None
+    assert all(got[k]["payload"] is None and got[k]["phash"] is None and got[k]["damage"] for k in range(1, len(cut) + 1))
+
+
+def test_media_features_equal_a_plain_transform(spark):
+    text = " ".join(str(k * k) for k in range(3000))
+    r = media.decode(media.encode(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    grey = np.frombuffer(bytes(r["payload"]), np.uint8).reshape(-1, 32, 6).mean(2)
+    n = len(grey)
+    grid = [[np.mean([grey[y][x] for y in range(i * n // 32, (i + 1) * n // 32)]) for x in range(32)] for i in range(32)]
+    low = [[sum(grid[y][x] * np.cos(np.pi * u * (2 * y + 1) / 64) * np.cos(np.pi * v * (2 * x + 1) / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]
+    flat = [0.0, *[x for row in low for x in row][1:]]
+    bits = [x > np.median(flat) for x in flat]
+    assert bytes(r["phash"]) == np.packbits(bits).tobytes()
+
+
 def shingle_set(text: str, size: int) -> frozenset:
     w = WORDS.findall(text)
     return frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
@@ -754,6 +804,26 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
         assert stage.columns == docs.columns, name
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    same = " ".join(f"word{k}" for k in range(70))
+    rows = [(None, same), (None, None), (1, same), (1, same), (1, "another text of the same document"), (2, same + " and more"), (3, ""), (4, None), (5, "12 34"), (6, "x" * 300_000), (7, "a few letters")]
+    kind = "doc_id long, text string, lang string, source string, n_chars int, kept string, rest string"
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or ""), "clash", "clash") for i, t in rows], kind)
+    docs.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    got = cp.run(spark, str(tmp_path / "odd")).collect()
+    # no row has a language, so only texts without a letter go; of 1 and 2 only 1 stays
+    assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == {None: 1, 1: 3, 6: 1, 7: 1}
+    stage = docs
+    for name, f in cp.STAGES[:-1]:
+        stage = f(spark, stage, "")
+        assert (stage.columns, [x.dataType for x in stage.schema]) == (docs.columns, [x.dataType for x in docs.schema]), name
+        assert {r["kept"] for r in stage.collect()} == {"clash"}, name
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert cp.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_sql_agrees_on_a_small_table(spark, tmp_path):
     import duckdb
 

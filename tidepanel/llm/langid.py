@@ -5,8 +5,10 @@ every labelled text and keeps each language's ``PROFILE`` most frequent in rank
 ranking is compared with each profile by the sum of out-of-place distances (``PROFILE`` for an
 n-gram that the profile lacks); the nearest language wins, ties go to the name that sorts first.
 
-Counting is one pass whose tasks emit n-gram counts, summed by Spark; the profiles that are sent to
-the executors have ``PROFILE`` rows for each language, whatever the size of the corpus.
+Counting is one pass whose tasks emit n-gram counts, summed by Spark. Profiles are sent to the
+executors ``LANGUAGES`` languages at a time, ``PROFILE`` rows each, whatever the size of the corpus; if
+there are more, each further block of languages is one more pass over the texts and the nearest of all
+blocks wins, so the result doesn't depend on the blocks.
 
 Nulls: a text that is null or has no letter is ``und`` with score 0; rows with a null language don't
 train; a null doc_id is kept. If nothing trains, every text is ``und``. Repeated rows count as often
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from tidepanel.llm.chunks import CHUNK_BYTES, chunks
 
 PROFILE = 300
-LONGEST = 3
+#: Languages whose profiles are sent at once.
+LANGUAGES = 1000
 #: Distinct n-grams that a counting task holds before it emits them.
 HELD = 1 << 20
 SALTS = 16
@@ -142,34 +145,72 @@ class Ranker:
         return names, score
 
 
-def identify(docs: DataFrame, profile: DataFrame) -> DataFrame:
-    """doc_id, lang_pred, score of every row. ``profile`` has PROFILE rows a language and is sent to all tasks."""
+def _blocks(profile: DataFrame) -> list[list[tuple[str, int, int]]]:
+    """The profiles of up to LANGUAGES languages each, by name."""
+    from tidepanel.llm.store import written
+
+    profile = written(profile, "profiles")
+    names = profile.select("lang").distinct()
+    if names.count() <= LANGUAGES:
+        return [[tuple(r) for r in profile.collect()]]
+    blocks, last = [], None
+    while True:
+        ahead = names if last is None else names.where(F.col("lang") > last)
+        mine = [r["lang"] for r in ahead.orderBy("lang").limit(LANGUAGES).collect()]
+        if not mine:
+            return blocks
+        blocks.append([tuple(r) for r in profile.where(F.col("lang").between(mine[0], mine[-1])).collect()])
+        last = mine[-1]
+
+
+def predicted(docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with lang_pred and score added; clashing columns are replaced."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast([tuple(r) for r in profile.collect()])
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", lang_pred string, score double"
+
+    def one(rows: DataFrame, block: list, names: list[str], schema: str) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches):
+            ranker = Ranker(shared.value)
+            for part in chunks(batches, limit=CHUNK_BYTES // 2):
+                # the text's number takes 16 of a key's bits
+                for at in range(0, part.num_rows, 1 << 15):
+                    piece = part.slice(at, 1 << 15)
+                    found, score = ranker.predict(piece.column("text").to_pylist())
+                    yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(found, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+
+        return rows.select(*names).mapInArrow(run, schema)
+
+    blocks = _blocks(profile)
+    if len(blocks) == 1:
+        return one(docs, blocks[0], names, schema)
+    from tidepanel.llm.store import written
+
+    rows = written(docs.select(*names).withColumn("_row", F.monotonically_increasing_id()), "texts")
+    best = None
+    for k, block in enumerate(blocks):
+        made = one(rows, block, ["text", "_row"], "text string, _row long, lang_pred string, score double").select("_row", "lang_pred", "score", F.lit(k).alias("_block"))
+        best = made if best is None else best.unionByName(made)
+    # the nearest wins, ties go to the name that sorts first, as within a block
+    best = best.groupBy("_row").agg(F.max_by(F.struct("lang_pred", "score"), F.struct("score", -F.col("_block"))).alias("best"))
+    return rows.join(best, "_row").select(*names, "best.lang_pred", "best.score")
 
-    def run(batches):
-        ranker = Ranker(shared.value)
-        for part in chunks(batches, limit=CHUNK_BYTES // 2):
-            # the text's number takes 16 of a key's bits
-            for at in range(0, part.num_rows, 1 << 15):
-                piece = part.slice(at, 1 << 15)
-                names, score = ranker.predict(piece.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
+def identify(docs: DataFrame, profile: DataFrame) -> DataFrame:
+    """doc_id, lang_pred, score of every row."""
+    return predicted(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), profile).select("doc_id", "lang_pred", "score")
 
 
 def accepted(docs: DataFrame, profile: DataFrame, least: float) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text has a letter and scores at least ``least`` in its language."""
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in profile.collect()])
-
-    def run(batches):
-        ranker = Ranker(shared.value)
-        for part in chunks(batches, limit=CHUNK_BYTES // 2):
-            for at in range(0, part.num_rows, 1 << 15):
-                piece = part.slice(at, 1 << 15)
-                names, score = ranker.predict(piece.column("text").to_pylist())
-                yield piece.filter(pa.array((np.array(names) != "und") & (score >= least)))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The rows of ``docs``, unchanged, whose text has a letter and scores at least ``least`` in its language.
+
+    If no language was learned, nothing can be told about a text with a letter and all of these stay.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    found = predicted(docs.select(F.col("text").cast("string").alias("text"), *([F.struct(*others).alias("rest")] if others else [])), profile)
+    known = F.lit(not profile.isEmpty())
+    told = F.when(known, (F.col("lang_pred") != "und") & (F.col("score") >= least)).otherwise(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return found.where(told).select(*("text" if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

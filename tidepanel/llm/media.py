@@ -53,8 +53,8 @@ def to_png(payload: bytes) -> bytes:
 
 def _unfilter(body: np.ndarray, pixel: int) -> np.ndarray:
     """Rows without their filters; rows of one filter in a row are undone together where numpy can."""
-    kinds, rows = body[:, 0], body[:, 1:].copy()
-    edges = np.flatnonzero(np.diff(kinds, prepend=255, append=255))
+    kinds, rows = body[:, 0].astype(np.int16), body[:, 1:].copy()
+    edges = np.flatnonzero(np.diff(kinds, prepend=-1, append=-1))
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         kind, part = kinds[a], rows[a:b]
         above = rows[a - 1] if a else np.zeros(rows.shape[1], np.uint8)
@@ -88,11 +88,15 @@ def from_png(image: bytes) -> np.ndarray:
         raise ValueError("not a PNG file")
     at, packed, head, ended = 8, [], None, False
     while at < len(image) and not ended:
+        if at + 12 > len(image) or at + 12 + int.from_bytes(image[at : at + 4], "big") > len(image):
+            raise ValueError("image is cut inside a chunk")
         size, kind = struct.unpack_from(">I4s", image, at)
         body = image[at + 8 : at + 8 + size]
         if zlib.crc32(kind + body) != struct.unpack_from(">I", image, at + 8 + size)[0]:
             raise ValueError(f"checksum of chunk {kind!r} is wrong")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("header of the wrong size")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
@@ -104,7 +108,12 @@ def from_png(image: bytes) -> np.ndarray:
     samples = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
     if depth != 8 or samples is None or interlaced:
         raise ValueError("only 8-bit images without palette or interlacing are read")
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    except zlib.error as e:
+        raise ValueError("samples can't be unpacked") from e
+    if not height or len(raw) != height * (width * samples + 1):
+        raise ValueError("samples don't fill the image")
     return _unfilter(raw.reshape(height, width * samples + 1), samples)
 
 
@@ -144,15 +153,27 @@ def encode(docs: DataFrame) -> DataFrame:
 
 
 def decode(media: DataFrame) -> DataFrame:
-    """The rows of ``encode`` with payload (the samples read back) and phash (8 bytes)."""
+    """The rows of ``encode`` with payload (the samples read back), phash (8 bytes) and damage.
+
+    A damaged image has neither and its fault in ``damage``; the others' is null.
+    """
+
+    def read(image: bytes | None) -> np.ndarray | str:
+        try:
+            samples = from_png(image or b"")
+            if samples.shape[1] != ROW:
+                raise ValueError("image of another width")
+            return samples
+        except ValueError as e:
+            return str(e)
 
     def run(batches):
         for part in chunks(batches, "png"):
-            images = [from_png(x) for x in part.column("png").to_pylist()]
-            hashes = cosine_hashes(np.stack([_thumbnail(x) for x in images]))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array([x.tobytes() for x in images], pa.binary()), pa.array([h.tobytes() for h in hashes], pa.binary())],
-                [*part.schema.names, "payload", "phash"],
-            )
-
-    return media.select("doc_id", "n_bytes", "png").mapInArrow(run, "doc_id long, n_bytes long, png binary, payload binary, phash binary")
+            images = [read(x) for x in part.column("png").to_pylist()]
+            good = [x for x in images if not isinstance(x, str)]
+            hashes = iter(cosine_hashes(np.stack([_thumbnail(x) for x in good])) if good else ())
+            rows = [(None, None, x) if isinstance(x, str) else (x.tobytes(), next(hashes).tobytes(), None) for x in images]
+            found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *found], [*part.schema.names, "payload", "phash", "damage"])
+
+    return media.select("doc_id", "n_bytes", "png").mapInArrow(run, "doc_id long, n_bytes long, png binary, payload binary, phash binary, damage string")
