@@ -36,28 +36,48 @@ def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose text is near no language's profile, go."""
+    """Documents without a letter (null and empty texts, too), or whose text is near no language's profile, go.
+
+    Profiles are learned from all rows with a language. If no row has one, every document with a letter
+    stays. Repeated rows and null doc_ids are judged by their text alone; an empty table stays empty.
+    """
     return langid.accepted(docs, langid.profiles(docs), LEAST_SCORE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long lines found in five documents or more stay only in the one of the largest doc_id."""
+    """Long lines found in five documents or more stay only in the one of the largest doc_id.
+
+    A null text becomes an empty one. Rows with a null doc_id stay as they are; rows that repeat a doc_id
+    are one holder and lose the same lines. No row goes; an empty table stays empty.
+    """
     return _restored(lines.LineIndex.build(docs).clean(_carried(docs)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 over five-word shingles, the one of the smallest doc_id stays."""
+    """Of documents linked by a similarity of 0.8 over five-word shingles, the one of the smallest doc_id stays.
+
+    Texts without words are linked with nothing and stay, and so do rows with a null doc_id. All rows that
+    repeat the kept doc_id stay (later stages treat them as one document); an empty table stays empty.
+    """
     gone = store.written(near.groups(docs, size=5, percent=80).where("component_id <> doc_id").select("doc_id"), "near-copies")
     return docs.join(store.sized(gone, 16), "doc_id", "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that a document of a smaller doc_id has, too, are cut out."""
+    """Passages of 50 words and more that a document of a smaller doc_id has, too, are cut out.
+
+    A null text becomes an empty one. Rows with a null doc_id neither lose words nor make others lose them;
+    rows that repeat a doc_id lose the same passages. No row goes; an empty table stays empty.
+    """
     return _restored(substring.without_repeats(_carried(docs), layout=True), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Sequences of at most 1024 tokens: a row for each piece of a document, as ``packing.pack`` returns it.
+
+    An empty text is its end token alone; null doc_ids and repeated rows are packed each; an empty table
+    makes no sequence.
+    """
     return packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"))
 
 
