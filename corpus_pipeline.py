@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import langid, lines, near, packing, queries, store, substring
 
-#: Texts whose n-grams are this far from every language's profile are no prose in a known language.
+#: Texts of a lower score are no prose in a learned language: the 10,000 test documents score 0.38 to 0.95,
+#: texts in a script that no profile has 0.
 LEAST_SCORE = 0.1
 
 
