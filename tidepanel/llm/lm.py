@@ -220,15 +220,22 @@ class LogBilinear:
 
     def log_probability(self, classes: np.ndarray, owner: np.ndarray, first: int = 0) -> np.ndarray:
         """Natural logarithm of each class from ``first`` on after what stands before it; sums to one over the classes."""
-        guess = self.predicted(classes, *self._before(classes, owner))
-        out = np.empty(len(classes) - first)
-        for at in range(first, len(classes), 512):
-            own = classes[at : at + 512]
-            s = guess[at : at + 512] @ self.target.T
-            s += self.bias
-            found, top = s[np.arange(len(own)), own], s.max(1)
-            s -= top[:, None]
-            out[at - first : at - first + len(own)] = found - top - np.log(np.exp(s, out=s).sum(1))
+        guess = self.predicted(classes, *self._before(classes, owner))[first:]
+        own = classes[first:]
+        found = np.einsum("ij,ij->i", guess, self.target[own]) + self.bias[own]
+        # scores less a bound that no score of the row exceeds, in one product
+        bound = np.sqrt(np.einsum("ij,ij->i", guess, guess) * np.einsum("ij,ij->i", self.target, self.target).max()) + self.bias.max()
+        ones = np.ones((self.m, 1), np.float32)
+        right = np.ascontiguousarray(np.concatenate([self.target, self.bias[:, None], ones], axis=1).T)
+        left = np.concatenate([guess, np.ones((len(guess), 1), np.float32), -bound[:, None]], axis=1)
+        sums = np.empty(len(own), np.float32)
+        for at in range(0, len(own), 256):
+            s = left[at : at + 256] @ right
+            sums[at : at + 256] = (np.exp(s, out=s) @ ones)[:, 0]
+        out = found - bound - np.log(np.maximum(sums, 1e-45)).astype(float)
+        for at in np.flatnonzero(sums < 1e-20).tolist():  # the bound is far above the scores
+            s = self.target @ guess[at] + self.bias
+            out[at] = found[at] - s.max() - np.log(np.exp(s - s.max()).sum())
         return out
 
 
