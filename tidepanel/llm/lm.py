@@ -195,7 +195,7 @@ class LogBilinear:
         grad = np.zeros_like(self.flat)
         g_context, g_topic, g_target, g_weights, g_bias = self.views(grad)
         # one row for each token of the run: what it contributes as target, in windows and as context
-        parts = np.zeros((n, SIZE * (2 + CONTEXT) + 1), np.float32)
+        parts = np.zeros((n, 3 * SIZE + 1), np.float32)
         parts[first:, :SIZE] = up[:, None] * guess
         parts[first:, -1] = up
         sums = np.zeros((n + 1, SIZE))
@@ -206,13 +206,13 @@ class LogBilinear:
             by = slope * self.weights[k]
             inside = before[k] < self.m
             by[~inside], g_context[self.m] = 0, g_context[self.m] + by[~inside].sum(0)
-            parts[: n - k - 1, SIZE * (2 + k) : SIZE * (3 + k)] = by[k + 1 :]
+            parts[: n - k - 1, 2 * SIZE : -1] += by[k + 1 :]
         order = np.argsort(classes, kind="stable")
         rows = classes[order]
         at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         total, rows = np.add.reduceat(parts[order], at, axis=0), rows[at]
         g_target[rows], g_topic[rows], g_bias[rows] = total[:, :SIZE], total[:, SIZE : 2 * SIZE], total[:, -1]
-        g_context[rows] += total[:, 2 * SIZE : -1].reshape(len(rows), CONTEXT, SIZE).sum(1)
+        g_context[rows] += total[:, 2 * SIZE : -1]
         np.add.at(g_target, noise, down.T @ guess)
         np.add.at(g_bias, noise, down.sum(0))
         slopes += grad * grad
