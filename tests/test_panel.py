@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.config import Config
-from tidepanel.operators import adjust, backtest, factors, metrics, models, portfolio, universe, volatility
+from tidepanel.operators import adjust, backtest, factors, filings, metrics, models, portfolio, universe, volatility
 from tidepanel.operators import calendar as cal
 from tidepanel.sources import layouts
 from tidepanel.streaming import live
@@ -173,10 +174,90 @@ def test_drawdown_and_significance(spark):
 
 
 def test_layout_files(spark, tmp_path):
-    (tmp_path / "cm20200106.csv").write_text("SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,TOTALTRADES,ISIN\n AB , EQ,1,2,x,1.5,1,10,15,3,INE1\nCD,GB,1,2,1,1.5,1,10,15,3,INE2\nEF,EQ,1,2,1,1.5,1,10,15,3,IN9\n")
-    rows = layouts.read(spark, [str(tmp_path)], layouts.LEGACY).collect()
-    assert len(rows) == 1 and rows[0]["symbol"] == "AB" and rows[0]["low"] is None and rows[0]["date"] == dt.date(2020, 1, 6)
-    assert rows[0]["high"] == 2.0
+    (tmp_path / "cm20200106.csv").write_text("SYMBOL,SERIES,OPEN,HIGH,LOW,CLOSE,LAST,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,TIMESTAMP,TOTALTRADES,ISIN,\n AB , EQ,1,2,x,1.5,1.4,1,10,15,06-JAN-2020,3,INE1,\nCD,GB,1,2,1,1.5,1,1,10,15,d,3,INE2,\nEF,EQ,1,2,1,1.5,1,1,10,15,d,3,IN9,\n")
+    (tmp_path / "cm20200107.csv").write_text("\ufeffISIN , SYMBOL,CLOSE,SERIES,OPEN,HIGH,LOW,PREVCLOSE,TOTTRDQTY,TOTTRDVAL,TOTALTRADES\nINE1,AB,2.5,BE,1,2,1,1,10,15,3\n")
+    newer = ["ISIN", "FinInstrmTp", "Extra", *[v for k, v in layouts.NEWER.columns.items() if k not in ("isin", "kind")]]
+    cells = {"ISIN": "INE1", "FinInstrmTp": "STK", "Extra": '"a, b"', "TckrSymb": "AB", "SctySrs": "EQ"}
+    (tmp_path / "new20240108.csv").write_text(",".join(newer) + "\n" + ",".join(cells.get(c, "7") for c in newer) + "\n" + ",".join({**cells, "FinInstrmTp": "IDX"}.get(c, "7") for c in newer) + "\n")
+    (tmp_path / "odd20200109.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "cut20200110.csv.gz").write_bytes(b"\x1f\x8bnot a zip file")
+    panel, report = layouts.read(spark, [str(tmp_path)])
+    rows = {r["date"]: r for r in panel.collect()}
+    assert set(rows) == {dt.date(2020, 1, 6), dt.date(2020, 1, 7), dt.date(2024, 1, 8)} and panel.count() == 3
+    assert rows[dt.date(2020, 1, 6)]["symbol"] == "AB" and rows[dt.date(2020, 1, 6)]["low"] is None and rows[dt.date(2020, 1, 6)]["high"] == 2.0
+    assert rows[dt.date(2020, 1, 7)]["close"] == 2.5 and rows[dt.date(2024, 1, 8)]["turnover"] == 7.0
+    told = {r["file"].rsplit("/", 1)[1][:3]: (r["layout"], r["status"]) for r in report.collect()}
+    assert report.count() == 5 and told["new"] == ("newer", "read") and told["odd"] == (None, "no header") and told["cut"] == (None, "unreadable")
+
+
+def test_identities_are_followed_through_other_symbols(spark):
+    d = sessions(50)
+    names = [("S1", "A", 0, 9), ("S1", "B", 10, 19), ("S2", "B", 20, 24), ("S2", "C", 25, 29), ("S3", "C", 30, 34), ("S3", "D", 35, 49), ("S4", "E", 0, 5)]
+    rows = [(d[k], s, i, *[1.0] * 8) for s, i, a, b in names for k in range(a, b + 1)]
+    got = dict(map(tuple, adjust.isin_links(table(spark, rows)).collect()))
+    assert got == {"A": "D", "B": "D", "C": "D", "D": "D", "E": "E"}
+
+
+def test_ewma_of_long_series(spark):
+    from tidepanel.operators import volatility
+
+    rows = spark.range(15_000).select(F.lit("a").alias("isin"), F.col("id").alias("s"), F.col("id").alias("age"), F.when(F.col("id") % 3 > 0, F.sin("id") / 50).alias("ret"))
+    got = [r["v"] for r in rows.withColumn("v", volatility.ewma(0.94, 252, 10)).orderBy("s").collect()]
+    up = down = 0.0
+    for k in range(15_000):
+        up, down = up * 0.94, down * 0.94
+        if k % 3:
+            up, down = up + (np.sin(k) / 50) ** 2, down + 1
+        if k > 30 and k % 997 < 3 or k > 14_990:
+            assert got[k] == pytest.approx(np.sqrt(up / down * 252), rel=1e-9)
+
+
+def test_quarter_facts(spark):
+    def doc(*facts, instants=()):
+        days = "".join(f'<b:context id="{i}"><b:entity/><b:period><b:instant>{day}</b:instant></b:period></b:context>' for i, day in instants)
+        return '<x xmlns:in="http://x" xmlns:b="http://b">' + days + "".join(f'<in:{t} contextRef="{c}">{v}</in:{t}>' for t, c, v in facts) + "</x>"
+
+    start, end = filings.START, filings.END
+    year = [(start, "FourD", "2020-04-01"), (end, "FourD", "2020-12-31"), ("RevenueFromOperations", "FourD", "900")]
+    rows = [
+        (1, doc(*year, (start, "OneD", "2020-10-01"), (end, "OneD", "2020-12-31"), ("RevenueFromOperations", "OneD", "1,300.5"), ("EquityShareCapital", "I2", "5"), ("EquityShareCapital", "I1", "7"), instants=[("I1", "2020-12-30"), ("I2", "2020-03-31")])),
+        (2, doc(*year)),
+        (3, doc(("RevenueFromOperations", "OneD", "3"))),
+        (4, doc(*year)[:-3]),
+        (5, doc((start, "A", "2020-10-01"), (end, "A", "2020-12-31"), (start, "B", "2020-10-01"), (end, "B", "2020-12-20"), ("ProfitLossForPeriod", "B", "x"))),
+        (6, ""),
+        (7, None),
+    ]
+    got = {r["doc_id"]: r for r in filings.quarter_facts(spark.createDataFrame(rows, "doc_id long, doc string")).collect()}
+    assert set(got) == {1, 5}
+    assert (got[1]["revenue"], got[1]["share_capital"], got[1]["net_worth"], got[1]["total_debt"], got[1]["quarter_days"]) == (1300.5, 7.0, 7.0, None, 91)
+    assert got[1]["balance_sheet_date"] == dt.date(2020, 12, 30)
+    assert (got[5]["quarter_days"], got[5]["pat"], got[5]["balance_sheet_date"]) == (80, None, None)
+
+
+def test_stale_panels_raise(spark):
+    panel = spark.createDataFrame([(dt.date(2024, 1, 5),)], "date date")
+    live.require_fresh(panel, F.lit("2024-01-10").cast("date"))
+    with pytest.raises(live.StaleDataError):
+        live.require_fresh(panel, F.lit("2024-01-11").cast("date"))
+    with pytest.raises(live.StaleDataError):
+        live.require_fresh(panel.limit(0), F.lit("2024-01-06").cast("date"))
+
+
+def test_files_are_read_by_trimmed_names(spark, tmp_path):
+    (tmp_path / "ind.csv").write_text(" Index Name ,Closing Index Value,Div Yield\n Fifty ,10.5,-\n")
+    r = layouts.read_named(spark, [str(tmp_path / "ind.csv")], layouts.INDEX_COLUMNS, ("open", "high", "low", "close", "pe", "pb", "div_yield")).first()
+    assert (r["index_name"], r["close"], r["div_yield"], r["open"], r["pe"]) == ("Fifty", 10.5, None, None, None)
+    (tmp_path / "list.csv").write_text("Company Name, Industry ,Symbol,Series,ISIN Code\nA Ltd,Oil,AA,EQ,INE1\n")
+    r = layouts.read_named(spark, [str(tmp_path / "list.csv")], layouts.CONSTITUENTS).first()
+    assert (r["name"], r["symbol"], r["isin"], r["Industry"]) == ("A Ltd", "AA", "INE1", "Oil")
+
+
+def test_the_last_correction_of_a_batch_wins(spark):
+    stored = spark.createDataFrame([(1, 1.0), (2, 1.0)], "k int, v double")
+    fresh = spark.createDataFrame([(1, 9.0, 1), (1, 3.0, 2)], "k int, v double, arrival int")
+    assert {r["k"]: r["v"] for r in live.upsert(stored, fresh, ["k"]).collect()} == {1: 3.0, 2: 1.0}
+    assert {r["k"]: r["v"] for r in live.upsert(stored, fresh.drop("arrival"), ["k"]).collect()} == {1: 9.0, 2: 1.0}
 
 
 def test_streamed_append_takes_corrections(spark, tmp_path):
@@ -217,5 +298,23 @@ def test_garch_prefers_persistence(spark):
         r = draw.gauss(0, h**0.5)
         rows.append(("a", s, r))
         h = 1e-4 * 0.05 + 0.15 * r * r + 0.8 * h
-    got = models.garch(spark.createDataFrame(rows, "isin string, s long, ret double"), 4, 252, 100).first()
-    assert got["alpha"] + got["beta"] >= 0.7 and got["forecast"] > 0
+    dates = spark.createDataFrame([(dt.date(2020, 1, 1), 599), (dt.date(2019, 1, 1), 300), (dt.date(2018, 1, 1), 50)], "date date, s long")
+    table_ = spark.createDataFrame(rows, "isin string, s long, ret double")
+    got = {r["n"]: r for r in models.garch(table_, dates, 4, 252, 100).collect()}
+    assert set(got) == {600, 301} and got[600]["alpha"] + got[600]["beta"] >= 0.7 and got[600]["forecast"] > 0
+    alone = models.garch(table_.where("s <= 300"), dates.where("s = 300"), 4, 252, 100).first()
+    assert alone["forecast"] == pytest.approx(got[301]["forecast"])  # nothing later than its date counts
+
+
+def test_a_run_takes_the_callers_functions(spark):
+    panel = cal.indexed(adjust.adjusted(table(spark, bars(n=160))))
+    dates = cal.rebalances(cal.calendar(panel), 20)
+    top = lambda scores: portfolio.equal_weights(portfolio.top_n(scores, 2, ["period"], "score"), ["period"])
+    held = lambda p, f: p.join(F.broadcast(f), p.s == f.form_s).where("isin <> 'INE5A'").select("form_date", "isin")
+    score = lambda p, f: p.join(F.broadcast(f), p.s == f.form_s).select("form_date", "isin", F.substring("isin", 4, 1).cast("double").alias("score"))
+    got = backtest.run(panel, dates, held, score, top, 35.0).orderBy("form_date").collect()
+    fwd = backtest.forward_returns(panel, dates).where("isin in ('INE4A', 'INE3A')").groupBy("form_date").agg(F.avg("ret").alias("r")).collect()
+    want = {r["form_date"]: r["r"] for r in fwd}
+    assert len(got) == len(want) > 3 and all(r["gross_return"] == pytest.approx(want[r["form_date"]]) and r["n_holdings"] == 2 for r in got)
+    assert got[0]["turnover"] == pytest.approx(0.5) and all(r["turnover"] == pytest.approx(0) for r in got[1:])
+    assert backtest.clip(dates, start=str(got[1]["form_date"])).count() == len(got) - 1 + (dates.count() - len(got))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.config import Config
+from tidepanel.functions.tables import stored
 from tidepanel.operators.calendar import calendar, indexed
 
 def by_date() -> Window:
@@ -13,22 +14,26 @@ def by_date() -> Window:
 
 
 def isin_links(panel: DataFrame) -> DataFrame:
-    """isin, canonical_isin of every isin: the last identity of a chain of handovers.
+    """isin, canonical_isin of every isin: the last identity of its chain of handovers, through any number of symbols.
 
-    A handover is a symbol's next identity that begins exactly one session after the former ends.
-    Chains are runs of handovers among a symbol's spans; one more hop follows an identity that another
-    symbol took over.
+    A handover is a symbol's next identity that begins exactly one session after the former ends; of
+    several, the one under the symbol that sorts last counts. Links (few: one for each handover) are
+    followed to their ends by joining them with themselves, which doubles their reach each time.
     """
     cal = F.broadcast(calendar(panel))
     spans = panel.groupBy("symbol", "isin").agg(F.min("date").alias("first"), F.max("date").alias("last"))
     spans = spans.join(cal.toDF("first", "first_s"), "first").join(cal.toDF("last", "last_s"), "last")
     w = Window.partitionBy("symbol").orderBy("first", "isin")
-    broken = F.coalesce((F.col("first_s") != F.lag("last_s").over(w) + 1).cast("int"), F.lit(1))
-    runs = spans.withColumn("broken", broken).withColumn("run", F.sum("broken").over(w))
-    end = F.last("isin").over(Window.partitionBy("symbol", "run").orderBy("first", "isin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    own = runs.withColumn("to", end).groupBy("isin").agg(F.max_by("to", "last").alias("to"))
-    hop = own.select(F.col("isin").alias("to"), F.col("to").alias("far"))
-    return own.join(hop, "to", "left").select("isin", F.coalesce("far", "to").alias("canonical_isin"))
+    steps = spans.withColumn("to", F.when(F.lead("first_s").over(w) == F.col("last_s") + 1, F.lead("isin").over(w))).where("to <> isin")
+    links = stored(steps.groupBy("isin").agg(F.max_by("to", "symbol").alias("to")), "links")
+    n, reach = links.count(), 1
+    while reach < n:
+        hop = links.select(F.col("isin").alias("to"), F.col("to").alias("far"))
+        further = stored(links.join(hop, "to", "left").select("isin", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "links")
+        links, reach = further.select("isin", "to"), reach * 2
+        if further.where("moved").isEmpty():
+            break
+    return panel.select("isin").distinct().join(links, "isin", "left").select("isin", F.coalesce("to", "isin").alias("canonical_isin"))
 
 
 def apply_links(panel: DataFrame, links: DataFrame) -> DataFrame:

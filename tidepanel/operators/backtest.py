@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,3 +47,28 @@ def ledger(books: DataFrame, forms: DataFrame, cost_bps: float, keys: list[str])
     w = Window.partitionBy(*keys).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"gross_equity": F.product(1 + F.col("gross_return")).over(w), "net_equity": F.product(1 + F.col("net_return")).over(w)})
     return rows.select(*keys, "form_date", "entry", "exit", "n_holdings", "gross_return", "turnover", "cost", "net_return", "gross_equity", "net_equity")
+
+
+def clip(forms: DataFrame, start: str | None = None, end: str | None = None, last: DataFrame | None = None) -> DataFrame:
+    """Rebalances formed within start and end, and not after the one date in ``last`` (of the newest filing, say)."""
+    rows = forms if start is None else forms.where(F.col("form_date") >= F.lit(start).cast("date"))
+    rows = rows if end is None else rows.where(F.col("form_date") <= F.lit(end).cast("date"))
+    if last is None:
+        return rows
+    return rows.join(F.broadcast(last.toDF("_last")), F.col("form_date") <= F.col("_last")).drop("_last")
+
+
+Hook = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def run(panel: DataFrame, forms: DataFrame, universe_fn: Hook, score_fn: Hook, weight_fn: Callable[[DataFrame], DataFrame], cost_bps: float) -> DataFrame:
+    """The ledger of a walk-forward run with the caller's own functions, each over all dates at once.
+
+    universe_fn(panel, forms) gives form_date, isin; score_fn(panel, forms) gives form_date, isin, score from
+    bars up to each form_date; weight_fn(scores) takes form_date, period, isin, score of the universe and
+    gives period, isin, weight of the books (names without a score don't come).
+    """
+    scores = score_fn(panel, forms).where("score is not null").join(universe_fn(panel, forms).select("form_date", "isin"), ["form_date", "isin"], "left_semi")
+    scores = scores.join(F.broadcast(forms.select("form_date", "period")), "form_date").select("form_date", "period", "isin", "score")
+    books = weight_fn(scores).select(F.lit("run").alias("variant"), "period", "isin", "weight")
+    return ledger(tradable(books, forward_returns(panel, forms), ["variant"]), forms, cost_bps, ["variant"]).drop("variant")

@@ -9,9 +9,29 @@ FUND_SIGNS = {"earnings_yield": 1, "book_to_price": 1, "roe": 1, "gross_margin":
 BALANCE = ("net_worth", "total_debt")
 
 
-def visible(filings: DataFrame, dates: DataFrame) -> DataFrame:
-    """Every filing once for each as-of date (as_of) on which it was public; dates are few and broadcast."""
-    return filings.join(F.broadcast(dates), F.col("broadcast_date") <= F.col("as_of"))
+def visible(filings: DataFrame) -> DataFrame:
+    """Every filing once for each date (as_of) from its own on at which its company published: what is known can only change there.
+
+    The join is by isin; a company's filings meet its own publication dates only, whatever the calendar.
+    """
+    events = filings.select("isin", F.col("broadcast_date").alias("as_of")).distinct()
+    return filings.join(events, "isin").where(F.col("broadcast_date") <= F.col("as_of"))
+
+
+def at_dates(found: DataFrame, filings: DataFrame, dates: DataFrame) -> DataFrame:
+    """``found`` (as_of = a publication date, isin, ...) as it stands on each date: the company's last publication on or before it decides.
+
+    A merge by one sort within each isin; a date on which the last publication has no row in ``found`` gives none.
+    """
+    names = [c for c in found.columns if c not in ("as_of", "isin")]
+    events = filings.select("isin", F.col("broadcast_date").alias("as_of")).distinct()
+    known = events.join(found.withColumn("_hit", F.lit(True)), ["isin", "as_of"], "left")
+    known = known.select("isin", "as_of", F.lit(0).alias("_kind"), F.struct("_hit", *names).alias("_state"))
+    every = dates.agg(F.collect_set("as_of").alias("_dates"))  # one row; as-of dates are sessions of one calendar
+    asked = events.select("isin").distinct().join(F.broadcast(every)).select("isin", F.explode("_dates").alias("as_of"), F.lit(1).alias("_kind"), F.lit(None).cast(known.schema["_state"].dataType).alias("_state"))
+    w = Window.partitionBy("isin").orderBy("as_of", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = known.unionByName(asked).withColumn("_state", F.last("_state", ignorenulls=True).over(w))
+    return rows.where("_kind = 1 and _state._hit").select("as_of", "isin", *(F.col(f"_state.{c}").alias(c) for c in names))
 
 
 def pick_per_period(filings: DataFrame, keys: list[str], prefer_consolidated: bool = True) -> DataFrame:
@@ -27,15 +47,17 @@ def latest(filings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def as_of(filings: DataFrame, dates: DataFrame, max_age: int) -> DataFrame:
-    """The newest period's filing of each isin that was public and not stale on each date."""
-    fresh = visible(filings, dates).where(F.date_diff("as_of", "period_end") <= max_age)
-    return latest(pick_per_period(fresh, ["as_of"]), ["as_of"])
+    """The newest period's filing of each isin that was public and not stale on each date (if the newest is stale, so are all)."""
+    rows = at_dates(latest(pick_per_period(visible(filings), ["as_of"]), ["as_of"]), filings, dates)
+    return rows.where(F.date_diff("as_of", "period_end") <= max_age)
 
 
 def carry_balance_sheet(found: DataFrame, filings: DataFrame, dates: DataFrame, max_age: int) -> DataFrame:
     """Missing balance-sheet items from the newest public filing that has a net worth; its age in balance_sheet_age_days."""
-    have = visible(filings.where("net_worth is not null"), dates).where(F.date_diff("as_of", "period_end") <= max_age)
-    source = latest(pick_per_period(have, ["as_of"]), ["as_of"]).select("as_of", "isin", F.date_diff("as_of", "period_end").cast("long").alias("balance_sheet_age_days"), *(F.col(c).alias(f"_{c}") for c in BALANCE))
+    have = filings.where("net_worth is not null")
+    rows = at_dates(latest(pick_per_period(visible(have), ["as_of"]), ["as_of"]), have, dates)
+    age = F.date_diff("as_of", "period_end").cast("long")
+    source = rows.where(age <= max_age).select("as_of", "isin", age.alias("balance_sheet_age_days"), *(F.col(c).alias(f"_{c}") for c in BALANCE))
     rows = found.join(source, ["as_of", "isin"], "left")
     return rows.withColumns({c: F.coalesce(c, f"_{c}") for c in BALANCE}).drop(*(f"_{c}" for c in BALANCE))
 
@@ -47,22 +69,22 @@ def _recent(filings: DataFrame, n: int) -> DataFrame:
 
 def trailing_sum(filings: DataFrame, dates: DataFrame, column: str) -> DataFrame:
     """as_of, isin, ttm: the four newest periods' sum, if all are there and span about a year."""
-    rows = _recent(pick_per_period(visible(filings, dates), ["as_of"]), 4)
+    rows = _recent(pick_per_period(visible(filings), ["as_of"]), 4)
     span = F.date_diff(F.max("period_end"), F.min("period_end"))
     found = rows.groupBy("as_of", "isin").agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("k"), span.alias("span"), F.sum(column).alias("ttm"))
-    return found.where("n = 4 and k = 4 and span between 240 and 460").select("as_of", "isin", "ttm")
+    return at_dates(found.where("n = 4 and k = 4 and span between 240 and 460").select("as_of", "isin", "ttm"), filings, dates)
 
 
 def earnings_stability(filings: DataFrame, dates: DataFrame, floor: float = 0.02) -> DataFrame:
     """as_of, isin, earnings_stability over the eight newest periods, six at least; the last broadcast counts."""
-    rows = _recent(pick_per_period(visible(filings, dates), ["as_of"], prefer_consolidated=False), 8)
+    rows = _recent(pick_per_period(visible(filings), ["as_of"], prefer_consolidated=False), 8)
     found = rows.groupBy("as_of", "isin").agg(F.count("pat").alias("n"), F.stddev_samp("pat").alias("sd"), F.avg(F.abs("pat")).alias("scale")).where("n >= 6 and scale > 0")
-    return found.select("as_of", "isin", (1 / F.greatest(F.col("sd") / F.col("scale"), F.lit(floor))).alias("earnings_stability"))
+    return at_dates(found.select("as_of", "isin", (1 / F.greatest(F.col("sd") / F.col("scale"), F.lit(floor))).alias("earnings_stability")), filings, dates)
 
 
 def asset_growth(filings: DataFrame, dates: DataFrame) -> DataFrame:
     """as_of, isin, asset_growth: net worth against the observation nearest to a year before, within 75 days."""
-    rows = pick_per_period(visible(filings, dates), ["as_of"], prefer_consolidated=False).where("net_worth is not null")
+    rows = pick_per_period(visible(filings), ["as_of"], prefer_consolidated=False).where("net_worth is not null")
     rows = _recent(rows, 6)
     now = rows.where("_r = 1").select("as_of", "isin", F.col("period_end").alias("now_end"), F.col("net_worth").alias("now"))
     enough = rows.groupBy("as_of", "isin").agg(F.max("_r").alias("n")).where("n >= 5").select("as_of", "isin")
@@ -70,7 +92,7 @@ def asset_growth(filings: DataFrame, dates: DataFrame) -> DataFrame:
     prior = rows.where("_r > 1").join(now, ["as_of", "isin"]).withColumn("gap", gap)
     best = prior.groupBy("as_of", "isin", "now").agg(F.min_by(F.struct("net_worth", "gap"), F.struct("gap", "_r")).alias("p"))
     best = best.where("p.gap <= 75 and p.net_worth > 0").join(enough, ["as_of", "isin"], "left_semi")
-    return best.select("as_of", "isin", (F.col("now") / F.col("p.net_worth") - 1).alias("asset_growth"))
+    return at_dates(best.select("as_of", "isin", (F.col("now") / F.col("p.net_worth") - 1).alias("asset_growth")), filings, dates)
 
 
 def market_caps(found: DataFrame, bars: DataFrame, cal: DataFrame) -> DataFrame:
@@ -122,15 +144,58 @@ def index_rows(records: DataFrame) -> DataFrame:
     return rows.select(F.trim("isin").alias("isin"), "symbol", "broadcast_date", flag("consolidated", "consolidated").alias("consolidated"), flag("audited", "audited").alias("audited"), F.col("xbrl").alias("xbrl_url"), F.col("seqNumber").try_cast("long").alias("seq"))
 
 
+#: Element names of the facts (fixed values of the documents).
+FLOWS = {"revenue": "RevenueFromOperations", "other_income": "OtherIncome", "pbt": "ProfitBeforeTax", "tax": "TaxExpense", "pat": "ProfitLossForPeriod", "depreciation": "DepreciationDepletionAndAmortisationExpense", "finance_cost": "FinanceCosts", "paid_up": "PaidUpValueOfEquityShareCapital", "face_value": "FaceValueOfEquityShareCapital", "cfo": "CashFlowsFromUsedInOperatingActivities"}
+STOCKS = {"share_capital": "EquityShareCapital", "other_equity": "OtherEquity", "borrowings_noncurrent": "BorrowingsNoncurrent", "borrowings_current": "BorrowingsCurrent"}
+START, END = "DateOfStartOfReportingPeriod", "DateOfEndOfReportingPeriod"
+
+
 def quarter_facts(documents: DataFrame) -> DataFrame:
-    """doc_id, period_start, revenue: the facts of the context that the document's own start date names.
+    """One quarter's record of each document (doc_id, doc) that has one.
 
-    Documents that don't parse or name no start give no row.
+    The period of a context is what its reported start and end dates say, not what the context itself
+    claims. The quarter is the shortest span of 60 to 100 days; flow items come from its context, stock
+    items from the instant context nearest to its end. Of facts that repeat, the last counts. Documents
+    that don't parse, or have no such dates, give no row.
     """
-    checked = documents.withColumn("_c", F.from_xml("doc", "a string, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    doc = F.when(F.col("_c._corrupt_record").isNull(), F.col("doc"))
-    pick = lambda path: F.xpath_string(doc, F.lit(path))
-    rows = checked.select("doc_id", pick("//*[local-name()='Start']").alias("start"), pick("//*[local-name()='Start']/@contextRef").alias("context"), F.xpath(doc, F.lit("//*[local-name()='Rev']/@contextRef")).alias("contexts"), F.xpath(doc, F.lit("//*[local-name()='Rev']/text()")).alias("values"))
-    facts = rows.select("doc_id", "start", "context", F.explode(F.arrays_zip("contexts", "values")).alias("f")).where("f.contexts = context")
-    value: Column = F.replace(F.col("f.values"), F.lit(","), F.lit("")).try_cast("double")
-    return facts.select("doc_id", F.col("start").try_cast("date").alias("period_start"), value.alias("revenue")).where("period_start is not null")
+    fact = "array<struct<_contextRef: string, _VALUE: string>>"
+    tags = [START, END, *FLOWS.values(), *STOCKS.values()]
+    schema = ", ".join(f"{t} {fact}" for t in tags) + ", context array<struct<_id: string, period: struct<instant: string>>>, _bad string"
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreNamespace": "true"}
+    rows = documents.select("doc_id", F.from_xml("doc", schema, options).alias("x")).where("x._bad is null")
+
+    def value(tag: str, context: Column) -> Column:
+        """The last non-empty value that the tag has in a context."""
+        return F.trim(F.get(F.reverse(F.filter(f"x.{tag}", lambda f: (f["_contextRef"] == context) & (F.trim(f["_VALUE"]) != ""))), F.lit(0))["_VALUE"])
+
+    def spans(f: Column, i: Column) -> Column:
+        begin, end = F.try_to_date(F.trim(f["_VALUE"])), F.try_to_date(value(END, f["_contextRef"]))
+        return F.struct(F.date_diff(end, begin).alias("days"), i.alias("i"), f["_contextRef"].alias("context"), begin.alias("begin"), end.alias("end"))
+
+    def instants(c: Column, i: Column) -> Column:
+        day = F.try_to_date(F.trim(c["period"]["instant"]))
+        return F.struct(F.abs(F.date_diff(day, F.col("q.end"))).alias("gap"), i.alias("i"), c["_id"].alias("context"), day.alias("day"))
+
+    rows = rows.withColumn("q", F.array_min(F.filter(F.transform(f"x.{START}", spans), lambda s: s["days"].between(60, 100)))).where("q is not null")
+    rows = rows.withColumn("b", F.array_min(F.filter(F.transform("x.context", instants), lambda s: s["gap"].isNotNull())))
+    number = lambda tag, c: F.replace(value(tag, F.col(c)), F.lit(","), F.lit("")).try_cast("double")
+    facts = rows.select(
+        "doc_id", F.col("q.begin").alias("period_start"), F.col("q.end").alias("period_end"), F.col("q.days").alias("quarter_days"),
+        *(number(tag, "q.context").alias(name) for name, tag in FLOWS.items()),
+        *(number(tag, "b.context").alias(name) for name, tag in STOCKS.items()),
+        F.col("b.day").alias("balance_sheet_date"),
+    )
+    both = lambda a, b: F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
+    shares = F.when((F.col("paid_up") != 0) & (F.col("face_value") > 0), F.col("paid_up") / F.when(F.col("face_value") > 0, F.col("face_value")))
+    return facts.withColumns({"shares_outstanding": shares, "net_worth": both("share_capital", "other_equity"), "total_debt": both("borrowings_noncurrent", "borrowings_current")})
+
+
+def index_months(records: DataFrame, first: str, last: str) -> DataFrame:
+    """The filing index of the months first to last (yyyy-MM) from records (month, record), by isin and publication."""
+    rows = index_rows(records.where(F.col("month").between(first, last)))
+    return rows.repartitionByRange("isin", "broadcast_date").sortWithinPartitions("isin", "broadcast_date")
+
+
+def per_year(filings: DataFrame) -> DataFrame:
+    """year, n: filings published in each year."""
+    return filings.groupBy(F.year("broadcast_date").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"))

@@ -45,19 +45,19 @@ def sizing(rows: DataFrame, risk: str) -> DataFrame:
 
 
 def subsample(rows: DataFrame, n: int, seed: int) -> DataFrame:
-    """The n rows whose hash with the seed is smallest: the same draw at every run."""
-    return rows.orderBy(F.xxhash64("isin", F.lit(seed)), "isin").limit(n)
+    """The n rows whose digest with the seed is smallest: the same draw at every run and in every engine."""
+    return rows.orderBy(F.md5(F.concat("isin", F.lit(f":{seed}")).cast("binary")), "isin").limit(n)
 
 
-def _trees(rounds: int) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=rounds, stepSize=0.1, maxDepth=4, minInstancesPerNode=20, seed=7)
+def _trees(rounds: int, depth: int, leaf: int) -> GBTRegressor:
+    return GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=rounds, stepSize=0.05, maxDepth=depth, minInstancesPerNode=leaf, seed=7)
 
 
 def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(rows.dropna(subset=[*features, TARGET]))
 
 
-def boosted(parts: DataFrame, horizon: int, features: list[str], rounds: int = 10) -> DataFrame:
+def boosted(parts: DataFrame, horizon: int, features: list[str], rounds: int = 600, depth: int = 6, leaf: int = 200) -> DataFrame:
     """model, n, rmse, mae, corr, bias on non-overlapping test dates, of boosted trees and the anchor.
 
     The number of trees is that of the least validation error; the final fit is on train and valid.
@@ -67,24 +67,24 @@ def boosted(parts: DataFrame, horizon: int, features: list[str], rounds: int = 1
     rows = stored(parts.select("date", "isin", "part", "anchor", "forward_vol", TARGET, *features), "model-rows")
     whole = _assembled(rows, features)
     train, valid = whole.where("part = 'train'"), whole.where("part = 'valid'")
-    errors = _trees(rounds).fit(train).evaluateEachIteration(valid, "squared")
+    errors = _trees(rounds, depth, leaf).fit(train).evaluateEachIteration(valid, "squared")
     best = min(range(len(errors)), key=errors.__getitem__) + 1
-    final = _trees(best).fit(whole.where("part in ('train', 'valid')"))
+    final = _trees(best, depth, leaf).fit(whole.where("part in ('train', 'valid')"))
     test = final.transform(volatility.grid(whole.where("part = 'test'"), horizon))
     pred = F.explode(F.array(F.struct(F.lit("trees").alias("model"), (F.col("anchor") * F.exp("prediction")).alias("pred")), F.struct(F.lit("ewma").alias("model"), F.col("anchor").alias("pred"))))
     long = test.select(F.col("forward_vol").alias("actual"), pred.alias("m")).select("actual", "m.model", "m.pred")
     return forecast_scores(long, ["model"])
 
 
-def importance(parts: DataFrame, features: list[str], repeats: int = 3, rounds: int = 5) -> DataFrame:
-    """feature, mean_drop: R2 of the test rows less that with the feature's values permuted, over repeats.
+def importance(parts: DataFrame, horizon: int, features: list[str], repeats: int = 5, rounds: int = 600, depth: int = 6, leaf: int = 200) -> DataFrame:
+    """feature, mean_drop: R2 on the non-overlapping test dates less that with the feature's values permuted, over repeats.
 
     A permutation pairs every row's place in one hash order with its place in another; places are
     numbered within dates, so values are permuted inside their date.
     """
     rows = stored(parts.select("date", "isin", "part", TARGET, *features).dropna(), "importance-rows")
-    model = _trees(rounds).fit(_assembled(rows.where("part <> 'test'"), features))
-    test = rows.where("part = 'test'").select("date", "isin", TARGET, *features)
+    model = _trees(rounds, depth, leaf).fit(_assembled(rows.where("part <> 'test'"), features))
+    test = volatility.grid(rows.where("part = 'test'"), horizon).select("date", "isin", TARGET, *features)
     made = None
     for r in range(repeats):
         place = lambda seed: F.row_number().over(Window.partitionBy("date").orderBy(F.xxhash64("isin", F.lit(seed)), "isin"))
@@ -103,23 +103,29 @@ def importance(parts: DataFrame, features: list[str], repeats: int = 3, rounds:
     return r2.where("feature <> 'none'").join(base, "repeat").groupBy("feature").agg(F.avg(F.col("base") - F.col("r2")).alias("mean_drop"))
 
 
-def garch(rows: DataFrame, horizon: int, year: int, minimum: int) -> DataFrame:
-    """isin, n, alpha, beta, forecast: the likeliest (alpha, beta) of a grid, long-run variance as measured.
+def garch(rows: DataFrame, dates: DataFrame, horizon: int, year: int, minimum: int) -> DataFrame:
+    """isin, date, n, alpha, beta, forecast as of each evaluation date (date, s): the likeliest (alpha, beta) of a grid on the returns up to it, long-run variance as measured.
 
     The recursion runs over the ordered returns of an instrument as a higher-order aggregate; the mean
-    variance of the next ``horizon`` sessions follows in closed form.
+    variance of the next ``horizon`` sessions follows in closed form. An instrument's series is bounded by
+    the calendar.
     """
-    series = rows.where("ret is not null").groupBy("isin").agg(F.count(F.lit(1)).alias("n"), F.var_pop("ret").alias("v"), F.transform(F.array_sort(F.collect_list(F.struct("s", "ret"))), lambda x: x["ret"] * x["ret"]).alias("r2"))
-    series = series.where((F.col("n") >= minimum) & (F.col("v") > 0))
+    series = rows.where("ret is not null").groupBy("isin").agg(F.array_sort(F.collect_list(F.struct("s", "ret"))).alias("x"))
+    every = dates.agg(F.collect_set(F.struct("date", "s")).alias("d"))
+    series = series.join(F.broadcast(every)).select("isin", "x", F.explode("d").alias("d"))
+    series = series.select("isin", "d.date", F.transform(F.filter("x", lambda x: x["s"] <= F.col("d.s")), lambda x: x["ret"]).alias("r"))
+    mean_of = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
+    series = series.withColumn("n", F.size("r").cast("long")).where(F.col("n") >= minimum).withColumn("mean", mean_of(F.col("r")))
+    series = series.withColumn("r2", F.transform("r", lambda x: x * x)).withColumn("v", mean_of(F.col("r2")) - F.col("mean") * F.col("mean")).where("v > 0")
     grid = [(a, b) for a in (0.02, 0.05, 0.1, 0.15, 0.2) for b in (0.6, 0.7, 0.8, 0.9) if a + b < 1]
-    tried = series.select("isin", "n", "v", "r2", F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a, b in grid))).alias("g")).select("isin", "n", "v", "r2", "g.alpha", "g.beta")
+    tried = series.select("isin", "date", "n", "v", "r2", F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a, b in grid))).alias("g")).select("isin", "date", "n", "v", "r2", "g.alpha", "g.beta")
     a, b, v = F.col("alpha"), F.col("beta"), F.col("v")
     start = F.struct(v.alias("h"), F.lit(0.0).alias("loss"))
     run = F.aggregate("r2", start, lambda s, x: F.struct(((1 - a - b) * v + a * x + b * s["h"]).alias("h"), (s["loss"] + F.ln(s["h"]) + x / s["h"]).alias("loss")))
-    done = tried.withColumn("run", run).groupBy("isin", "n", "v").agg(F.min_by(F.struct("alpha", "beta", "run"), F.col("run.loss")).alias("best"))
+    done = tried.withColumn("run", run).groupBy("isin", "date", "n", "v").agg(F.min_by(F.struct("alpha", "beta", "run"), F.col("run.loss")).alias("best"))
     p = F.col("best.alpha") + F.col("best.beta")
     mean = v + (F.col("best.run.h") - v) * (1 - F.pow(p, horizon)) / (horizon * (1 - p))
-    return done.select("isin", "n", F.col("best.alpha").alias("alpha"), F.col("best.beta").alias("beta"), (F.sqrt(mean) * sqrt(year)).alias("forecast"))
+    return done.select("isin", "date", "n", F.col("best.alpha").alias("alpha"), F.col("best.beta").alias("beta"), (F.sqrt(mean) * sqrt(year)).alias("forecast"))
 
 
 def age(rows: DataFrame, most: int) -> DataFrame:

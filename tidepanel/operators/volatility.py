@@ -24,12 +24,27 @@ def realized(window: int, year: int) -> Column:
     return F.when(F.count("ret").over(w) >= max(3, window // 2), F.stddev_samp("ret").over(w) * sqrt(year))
 
 
+#: Sessions whose weights are counted from one point; lambda to this power is below what a sum can hold.
+EWMA_BLOCK = 2000
+
+
 def ewma(lam: float, year: int, minimum: int) -> Column:
-    """Exponentially weighted volatility; weights decay by sessions. Column ``age`` counts sessions since the isin's first."""
-    w = by_s().rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.pow(F.lit(lam), -F.col("age"))
-    seen = F.when(F.col("ret").isNotNull(), weight)
-    return F.when(F.count("ret").over(w) >= minimum, F.sqrt(F.sum(F.col("ret") * F.col("ret") * weight).over(w) / F.sum(seen).over(w) * year))
+    """Exponentially weighted volatility; weights decay by sessions. Column ``age`` counts sessions since the isin's first.
+
+    Weights grow from the beginning of a block of sessions, so they stay in range on series of any
+    length; the block before comes in with its own decay and earlier ones weigh less than 1e-50.
+    """
+    block = F.floor(F.col("age") / EWMA_BLOCK)
+    every = by_s().rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("isin", block).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("isin").orderBy(block).rangeBetween(-1, -1)
+    weight = F.pow(F.lit(lam), -F.pmod(F.col("age"), F.lit(EWMA_BLOCK)))
+
+    def total(x: Column) -> Column:
+        return F.coalesce(F.sum(x).over(own), F.lit(0.0)) + F.coalesce(F.sum(x).over(before), F.lit(0.0)) * lam**EWMA_BLOCK
+
+    mean = total(F.col("ret") * F.col("ret") * weight) / total(F.when(F.col("ret").isNotNull(), weight))
+    return F.when(F.count("ret").over(every) >= minimum, F.sqrt(mean * year))
 
 
 def parkinson(window: int, year: int, minimum: int) -> Column:

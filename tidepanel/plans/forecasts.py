@@ -200,7 +200,11 @@ def sizing_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.sizing(_newest(spark, sf_dir), "pred"))
 
 
-@query()
+#: Boosting rounds and rows a leaf on the weekly panels of the test tables; the operators' own defaults are 600 and 200.
+ROUNDS, LEAF = 20, 20
+
+
+@query("SELECT isin FROM (SELECT DISTINCT isin FROM adj) ORDER BY md5(isin || ':7'), isin LIMIT 25")
 def subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed draw of 25 instruments by hash (a sampling operator)."""
     return models.subsample(panel(spark, sf_dir).select("isin").distinct(), 25, 7)
@@ -209,20 +213,22 @@ def subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on the log ratio: rounds by validation error, refit on train and valid, scored beside the baselines."""
-    return rounded(models.boosted(_parts(spark, sf_dir), config(spark, sf_dir).horizon, volatility.FEATURES))
+    return rounded(models.boosted(_parts(spark, sf_dir), config(spark, sf_dir).horizon, volatility.FEATURES, rounds=ROUNDS, leaf=LEAF))
 
 
 @query()
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss of R2 when one feature is permuted over the test rows."""
-    return rounded(models.importance(_parts(spark, sf_dir), ["rv_2", "rv_4", "ewma", "market_rv"]))
+    """Loss of R2 when one feature is permuted over the test grid, for every feature."""
+    return rounded(models.importance(_parts(spark, sf_dir), config(spark, sf_dir).horizon, volatility.FEATURES, rounds=ROUNDS, leaf=LEAF))
 
 
 @query()
 def garch_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variance-targeted GARCH(1,1) by grid likelihood for every instrument as of the newest session."""
+    """Variance-targeted GARCH(1,1) by grid likelihood for every instrument and date of the test grid."""
     cfg = config(spark, sf_dir)
-    return rounded(models.garch(volatility.returns(panel(spark, sf_dir)), cfg.horizon, cfg.year, 100))
+    dates = volatility.grid(_parts(spark, sf_dir).where("part = 'test'"), cfg.horizon).select("date").distinct()
+    dates = dates.join(panel(spark, sf_dir).select("date", "s").distinct(), "date")
+    return rounded(models.garch(volatility.returns(panel(spark, sf_dir)), dates, cfg.horizon, cfg.year, 100))
 
 
 @query("SELECT MAX(date) AS trained, MAX(date) + 12 AS today, 12 AS age_days, false AS retrain FROM bars")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.tables import once
+from tidepanel.functions.tables import once, shared_dir
 from tidepanel.operators import adjust, quality, universe
 from tidepanel.operators import calendar as cal_ops
 from tidepanel.plans.registry import config, cte, panel, query, rounded
@@ -19,9 +21,10 @@ cte(
     reb="""SELECT *, ROW_NUMBER() OVER (ORDER BY form_s) - 1 AS period FROM (SELECT m.date AS form_date, m.s AS form_s, c.date AS entry, m.s + 1 AS entry_s,
         m.nx AS exit, m.nxs AS exit_s FROM (SELECT date, s, LEAD(date) OVER (ORDER BY s) AS nx, LEAD(s) OVER (ORDER BY s) AS nxs FROM mends WHERE s >= 60) m JOIN cal c ON c.s = m.s + 1 WHERE c.date < m.nx)""",
     spans="SELECT symbol, isin, MIN(date) AS d0, MAX(date) AS d1 FROM bars GROUP BY 1, 2",
-    runs="""SELECT *, SUM(brk) OVER (PARTITION BY symbol ORDER BY d0, isin) AS run FROM (SELECT p.*, a.s AS s0, b.s AS s1,
-        CASE WHEN a.s = LAG(b.s) OVER (PARTITION BY symbol ORDER BY d0, isin) + 1 THEN 0 ELSE 1 END AS brk FROM spans p JOIN cal a ON a.date = d0 JOIN cal b ON b.date = d1)""",
-    links="SELECT r.isin, arg_max(q.isin, q.d0) AS canonical_isin FROM runs r JOIN runs q ON r.symbol = q.symbol AND r.run = q.run GROUP BY r.isin",
+    hand="""SELECT isin, arg_max(nx, symbol) AS to_isin FROM (SELECT p.symbol, p.isin, LEAD(p.isin) OVER w AS nx, LEAD(a.s) OVER w AS ns, b.s AS s1 FROM spans p JOIN cal a ON a.date = d0 JOIN cal b ON b.date = d1
+        WINDOW w AS (PARTITION BY p.symbol ORDER BY d0, p.isin)) WHERE ns = s1 + 1 AND nx <> isin GROUP BY isin""",
+    links="""WITH RECURSIVE walk AS (SELECT isin, isin AS place, 0 AS n FROM (SELECT DISTINCT isin FROM bars) UNION ALL SELECT walk.isin, h.to_isin, n + 1 FROM walk JOIN hand h ON h.isin = walk.place WHERE n < 1000)
+        SELECT isin, arg_max(place, n) AS canonical_isin FROM walk GROUP BY isin""",
     linked="SELECT b.* EXCLUDE (isin), b.isin AS original_isin, l.canonical_isin AS isin, c.s FROM bars b JOIN links l ON b.isin = l.isin JOIN cal c ON c.date = b.date",
     factored="""SELECT *, CASE WHEN abs(g - 1) > 0.02 THEN g ELSE 1.0 END AS factor FROM (SELECT *, CASE WHEN f BETWEEN 0.02 AND 2.0 THEN f ELSE 1.0 END AS g
         FROM (SELECT *, CASE WHEN LAG(close) OVER (PARTITION BY isin ORDER BY date) > 0 THEN prevclose / LAG(close) OVER (PARTITION BY isin ORDER BY date) END AS f FROM linked))""",
@@ -53,6 +56,24 @@ def bars_udiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(layouts.parse(layouts.to_lines(rows, layouts.NEWER), layouts.NEWER))
 
 
+@query(f"SELECT {BAR_LIST} FROM bars WHERE trades % 7 <> 0")
+def bars_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written as daily CSV files, up to 1994 in the older layout and from then on in the newer one, and read back by their headers."""
+    rows = adapters.bars(spark, sf_dir).withColumn("series", F.when(F.col("trades") % 7 == 0, "BL").otherwise("EQ")).withColumn("kind", F.lit("STK"))
+    place = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
+    layouts.write(rows.where("date < date'1995-01-01'"), f"{place}/old", layouts.LEGACY)
+    layouts.write(rows.where("date >= date'1995-01-01'"), f"{place}/new", layouts.NEWER)
+    return rounded(layouts.read(spark, [f"{place}/old", f"{place}/new"])[0])
+
+
+@query("SELECT date, symbol, round(close, 6) AS close FROM bars")
+def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel written in canonical order and read back."""
+    place = f"{shared_dir(spark)}/canonical-{uuid.uuid4().hex}"
+    layouts.write_panel(adapters.bars(spark, sf_dir).select("date", "symbol", "close"), place)
+    return rounded(spark.read.parquet(place))
+
+
 @query(f"SELECT {BAR_LIST} FROM bars WHERE date BETWEEN DATE '1993-01-01' AND DATE '1995-12-31'")
 def load_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of days over both layouts: the older one before 1995, the newer one from then on."""
@@ -227,8 +248,8 @@ def ever_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT MAX(date) AS last_session FROM bars")
 def last_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A read of the date column alone."""
-    return adapters.bars(spark, sf_dir).agg(F.max("date").alias("last_session"))
+    """A read of the stored panel's date column alone."""
+    return panel(spark, sf_dir).select("date").agg(F.max("date").alias("last_session"))
 
 
 @query("SELECT a.date, a.isin FROM adj a WHERE EXISTS (SELECT 1 FROM uni u JOIN reb r ON r.form_date = u.form_date WHERE u.isin = a.isin AND a.s BETWEEN r.form_s AND r.exit_s)")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.functions.tables import once
+from tidepanel.functions.tables import once, shared_dir
 from tidepanel.operators import filings as ops
 from tidepanel.plans.panel import forms
 from tidepanel.plans.registry import config, cte, query, rounded
@@ -126,9 +128,30 @@ def filing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.index_rows(adapters.filings(spark, sf_dir).select(F.to_json(record).alias("record")))
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(o_orderdate AS DATE) AS period_start, CAST(o_custkey AS DOUBLE) AS revenue FROM orders")
+@query("""SELECT o_orderkey AS doc_id, d AS period_start, CAST(d + INTERVAL '89' DAY AS DATE) AS period_end, 89 AS quarter_days, c * 1000 AS revenue, CASE WHEN o_orderkey % 4 <> 0 THEN c END AS pat,
+    CASE WHEN o_orderkey % 6 <> 0 AND c <> 0 THEN c END AS shares_outstanding, c + CASE WHEN o_orderkey % 2 = 0 THEN c ELSE 0 END AS net_worth, CASE WHEN o_orderkey % 8 <> 0 THEN c END AS total_debt, CAST(d + INTERVAL '89' DAY AS DATE) AS balance_sheet_date
+    FROM (SELECT *, CAST(o_orderdate AS DATE) AS d, CAST(o_custkey AS DOUBLE) AS c FROM orders) WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0""")
 def xbrl_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.quarter_facts(adapters.xml_documents(spark, sf_dir))
+    """Quarterly records of documents with several spans and instants; those without a quarter, without dates or damaged give none."""
+    found = ops.quarter_facts(adapters.xml_documents(spark, sf_dir))
+    return rounded(found.select("doc_id", "period_start", "period_end", "quarter_days", "revenue", "pat", "shares_outstanding", "net_worth", "total_debt", "balance_sheet_date"))
+
+
+@query("SELECT isin, symbol, CAST(broadcast_date AS TIMESTAMP) + INTERVAL '10' HOUR AS broadcast_date, consolidated FROM fil WHERE strftime(broadcast_date, '%Y-%m') BETWEEN '1994-01' AND '1996-12'")
+def filing_index_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of three years, month files of JSON lines written and read back by month."""
+    when = F.date_format(F.col("broadcast_date").cast("timestamp") + F.expr("interval 10 hours"), "dd-MMM-yyyy HH:mm:ss")
+    record = F.struct("isin", "symbol", F.lit("https://host/xbrl/a.xml").alias("xbrl"), when.alias("broadCastDate"), F.when(F.col("consolidated"), "Consolidated").otherwise("Standalone").alias("consolidated"))
+    place = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    rows = adapters.filings(spark, sf_dir).select(F.date_format("broadcast_date", "yyyy-MM").alias("month"), F.to_json(record).alias("value"))
+    rows.repartition("month").write.partitionBy("month").text(place)
+    stored = spark.read.schema("value string, month string").text(place).withColumnRenamed("value", "record")
+    return ops.index_months(stored, "1994-01", "1996-12").select("isin", "symbol", "broadcast_date", "consolidated")
+
+
+@query("SELECT year(broadcast_date) AS year, COUNT(*) AS n FROM fil GROUP BY 1")
+def filings_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.per_year(adapters.filings(spark, sf_dir))
 
 
 @query("SELECT o_orderkey AS k, CAST(o_custkey AS DOUBLE) / CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 END AS shares_outstanding, round(o_custkey + COALESCE(CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END, 0), 4) AS net_worth, CASE WHEN o_orderkey % 5 > 0 THEN round(o_totalprice, 4) END AS total_debt FROM orders")
@@ -156,10 +179,22 @@ def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(live.append_new(bars.join(cut, F.col("date") <= F.col("cut")).drop("cut"), bars))
 
 
-@query("SELECT MAX(date) AS last, 6 AS age_days, false AS fresh FROM bars")
+@query("""SELECT COUNT(DISTINCT date) FILTER (date > cut) AS sessions_added, MAX(date) AS latest, COUNT(DISTINCT date) AS sessions, COUNT(*) AS bars
+    FROM bars, (SELECT CAST(MAX(date) - INTERVAL '70' DAY AS DATE) AS cut FROM bars)""")
+def append_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an append added and what the panel holds after it."""
+    bars = adapters.bars(spark, sf_dir).select("date", "isin", "close")
+    cut = F.broadcast(bars.agg(F.date_sub(F.max("date"), 70).alias("cut")))
+    return live.append_result(bars.join(cut, F.col("date") <= F.col("cut")).drop("cut"), bars)
+
+
+@query("""SELECT date AS last, date_diff('day', date, (SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders)) AS age_days, date_diff('day', date, (SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders)) <= 5 AS fresh
+    FROM (SELECT MAX(date) AS date FROM bars WHERE date < (SELECT MAX(CAST(o_orderdate AS DATE)) FROM orders))""")
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six days after the newest session the panel is no longer fresh."""
-    return live.freshness(adapters.bars(spark, sf_dir), F.date_add("last", 6))
+    """The age of the panel on the day of the newest order."""
+    today = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.max(F.col("o_orderdate").cast("date")).alias("today"))
+    rows = adapters.bars(spark, sf_dir).select("date").join(F.broadcast(today), F.col("date") < F.col("today"))
+    return rounded(live.freshness(rows, F.col("today")))
 
 
 @query("SELECT symbol, ts, round(price, 6) AS price, isodow(ts + INTERVAL '330' MINUTE) < 6 AND CAST(ts + INTERVAL '330' MINUTE AS TIME) BETWEEN TIME '09:15:00' AND TIME '15:30:00.999999' AS open FROM tick")
@@ -167,6 +202,16 @@ def market_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(adapters.ticks(spark, sf_dir).withColumn("open", live.market_open(F.col("ts"))))
 
 
+@query("SELECT symbol, time_bucket(INTERVAL '5' MINUTE, ts) AS start, round(arg_min(price, ts), 6) AS open, round(MAX(price), 6) AS high, round(MIN(price), 6) AS low, round(arg_max(price, ts), 6) AS close, COUNT(*) AS n FROM (SELECT DISTINCT symbol, ts, price FROM tick) GROUP BY 1, 2")
+def bars_5m_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute bars of ticks that arrive as files of a stream, repeated ticks dropped, under a watermark."""
+    place = f"{shared_dir(spark)}/ticks-{uuid.uuid4().hex}"
+    ticks = adapters.ticks(spark, sf_dir)
+    ticks.unionByName(ticks.where("price > 100")).write.parquet(f"{place}/in")
+    bars = live.run_bars_5m(spark, f"{place}/in", ticks.schema, f"{place}/out", f"{place}/cp")
+    return rounded(bars.withColumn("start", F.col("start").cast(ticks.schema["ts"].dataType)))
+
+
 @query("SELECT symbol, round(prev_close, 6) AS prev_close FROM prev")
 def previous_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(live.previous_close(adapters.ticks(spark, sf_dir)))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.tables import once
+from tidepanel.functions.tables import once, shared_dir
 from tidepanel.operators import backtest, factors, metrics, portfolio
 from tidepanel.plans.panel import forms, members
 from tidepanel.plans.registry import config, cte, panel, query, rounded
-from tidepanel.sources import adapters
+from tidepanel.sources import adapters, layouts
 
 NAMES = list(factors.PRICE_SIGNS)
 
@@ -346,3 +348,79 @@ def total_return(spark: SparkSession, sf_dir: str) -> DataFrame:
 def align_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index returns on the grid of the books."""
     return rounded(metrics.align(_total(spark, sf_dir).select("date", "index_name", F.col("total").alias("ret")), forms(spark, sf_dir), ["index_name"]))
+
+
+HOOKED = """WITH sc AS (SELECT r.form_date, r.period, u.isin, round(a.adj_close / b.adj_close - 1, 9) AS score FROM uni u JOIN reb r ON r.form_date = u.form_date JOIN adj a ON a.isin = u.isin AND a.s = u.form_s JOIN adj b ON b.isin = u.isin AND b.s = u.form_s - 26
+    WHERE r.form_date BETWEEN DATE '1994-01-01' AND DATE '1997-12-31'),
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY form_date ORDER BY score DESC, isin) AS k FROM sc)
+SELECT b.form_date, COUNT(*) AS n_holdings, round(SUM(ret * (11 - k)) / SUM(11 - k), 6) AS gross_return FROM best b JOIN fwd f ON f.period = b.period AND f.isin = b.isin WHERE k <= 10 GROUP BY 1"""
+
+
+@query("SELECT * FROM (" + HOOKED + ")")
+def hooked_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run with a universe, score and weights of its own: the ten best of 26 sessions, weighted by rank, formed from 1994 to 1997."""
+
+    def score(bars: DataFrame, dates: DataFrame) -> DataFrame:
+        ends = F.broadcast(dates.select("form_date", "form_s"))
+        now = bars.join(ends, F.col("s") == F.col("form_s")).select("form_date", "isin", "adj_close")
+        was = bars.join(ends, F.col("s") == F.col("form_s") - 26).select("form_date", "isin", F.col("adj_close").alias("was"))
+        return now.join(was, ["form_date", "isin"]).select("form_date", "isin", F.round(F.col("adj_close") / F.col("was") - 1, 9).alias("score"))
+
+    def weights(scores: DataFrame) -> DataFrame:
+        best = portfolio.top_n(scores, 10, ["period"], "score")
+        return best.withColumn("weight", (11 - F.col("rank")) / F.sum(11 - F.col("rank")).over(Window.partitionBy("period")))
+
+    dates = backtest.clip(forms(spark, sf_dir), "1994-01-01", "1997-12-31")
+    found = backtest.run(panel(spark, sf_dir), dates, lambda bars, dates: members(spark, sf_dir), score, weights, config(spark, sf_dir).cost_bps)
+    return rounded(found.select("form_date", "n_holdings", "gross_return"))
+
+
+@query("SELECT form_date, entry, exit FROM reb WHERE form_date BETWEEN DATE '1993-06-01' AND DATE '1998-06-30' AND form_date <= (SELECT MAX(broadcast_date) FROM fil)")
+def clipped_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rebalances between two days, and none after the newest filing."""
+    last = adapters.filings(spark, sf_dir).agg(F.max("broadcast_date"))
+    return backtest.clip(forms(spark, sf_dir), "1993-06-01", "1998-06-30", last).select("form_date", "entry", "exit")
+
+
+@query(f"SELECT {LEDGER} FROM led WHERE variant = 'equal'")
+def ledger_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger written as CSV and read back."""
+    rows, place = ledger(spark, sf_dir), f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    layouts.write_csv(rows, place, ["form_date"])
+    return spark.read.schema(rows.schema).option("header", True).csv(place)
+
+
+@query("SELECT date, index_name, round(close, 6) AS close, round(div_yield, 6) AS div_yield, CAST(NULL AS DOUBLE) AS pe FROM idx")
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index levels written as CSV files with the publisher's column names and read back by them."""
+    names, place = layouts.INDEX_COLUMNS, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    rows = adapters.index_levels(spark, sf_dir)
+    layouts.write_csv(rows.select("date", *(F.col(c).cast("string").alias(f" {names[c]}") for c in ("index_name", "close", "div_yield"))), place, ["date"])
+    found = layouts.read_named(spark, [place], names, tuple(c for c in names if c != "index_name"))
+    return rounded(found.select(F.col("date").cast("date").alias("date"), "index_name", "close", "div_yield", "pe"))
+
+
+@query("SELECT s_name AS name, 'S' || s_suppkey AS symbol, 'INE' || s_suppkey || 'A' AS isin FROM supplier")
+def constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published list of members written as CSV and read back by trimmed names."""
+    place = f"{shared_dir(spark)}/members-{uuid.uuid4().hex}"
+    key = F.col("s_suppkey").cast("string")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_name").alias("Company Name "), F.concat(F.lit("S"), key).alias(" Symbol"), F.concat(F.lit("INE"), key, F.lit("A")).alias("ISIN Code"))
+    layouts.write_csv(rows, place, [" Symbol"])
+    return layouts.read_named(spark, [place], layouts.CONSTITUENTS)
+
+
+@query("SELECT isin, symbol, round(median_turnover, 6) AS median_turnover FROM uni WHERE form_date = (SELECT MAX(form_date) FROM uni) ORDER BY uni.median_turnover DESC, isin LIMIT 25")
+def most_liquid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 most liquid members of the last formation."""
+    rows = members(spark, sf_dir)
+    rows = rows.join(F.broadcast(rows.agg(F.max("form_date").alias("form_date"))), "form_date")
+    return rounded(rows.orderBy(F.desc("median_turnover"), "isin").limit(25).select("isin", "symbol", "median_turnover"))
+
+
+@query("SELECT isin, round(vol, 6) AS vol FROM fac WHERE form_date = (SELECT MAX(form_date) FROM fac) AND vol IS NOT NULL ORDER BY fac.vol, isin LIMIT 20")
+def calmest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 members of the last formation with the least volatility."""
+    rows = _raw(spark, sf_dir)
+    rows = rows.join(F.broadcast(rows.agg(F.max("form_date").alias("form_date"))), "form_date")
+    return rounded(rows.where("vol is not null").orderBy("vol", "isin").limit(20).select("isin", "vol"))

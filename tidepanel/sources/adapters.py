@@ -43,8 +43,26 @@ SELECT date, r_name AS index_name, 1000 * EXP(SUM(r) OVER (PARTITION BY g ORDER
 
 TICKS = """SELECT CONCAT('U', CAST(user_id AS VARCHAR(20))) AS symbol, ts, 100 + value AS price FROM events WHERE event_type <> 'error'"""
 
-XML = """SELECT o_orderkey AS doc_id, CONCAT('<x xmlns:in="http://x"><in:Start contextRef="OneD">', CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)),
- '</in:Start><in:Rev contextRef="OneD">', CAST(o_custkey AS VARCHAR(20)), '</in:Rev><in:Rev contextRef="FourD">', CAST(o_custkey * 2 AS VARCHAR(20)), '</in:Rev></x>') AS doc FROM orders"""
+_DAY = "CAST(CAST({} AS DATE) AS VARCHAR(20))"
+_FACT = "'<in:{} contextRef=\"{}\">', {}, '</in:{}>'"
+
+
+def _fact(tag: str, context: str, value: str) -> str:
+    return _FACT.format(tag, context, value, tag)
+
+
+#: One document an order: a quarter, a longer quarter, the year to date and two instants; some lack dates or don't parse.
+XML = f"""SELECT k AS doc_id, CONCAT('<x xmlns:in="http://x" xmlns:b="http://b">',
+ '<b:context id="I0"><b:period><b:instant>', {_DAY.format("d - INTERVAL '200' DAY")}, '</b:instant></b:period></b:context><b:context id="I1"><b:period><b:instant>', {_DAY.format("e")}, '</b:instant></b:period></b:context>',
+ CASE WHEN k % 11 = 0 THEN '' ELSE CONCAT({_fact("DateOfStartOfReportingPeriod", "FourD", _DAY.format("d - INTERVAL '91' DAY"))}, {_fact("DateOfStartOfReportingPeriod", "OneD", _DAY.format("d"))}, {_fact("DateOfStartOfReportingPeriod", "Alt", _DAY.format("d"))}) END,
+ {_fact("DateOfEndOfReportingPeriod", "OneD", _DAY.format("e"))}, {_fact("DateOfEndOfReportingPeriod", "FourD", _DAY.format("e"))}, {_fact("DateOfEndOfReportingPeriod", "Alt", _DAY.format("e + INTERVAL '6' DAY"))},
+ {_fact("RevenueFromOperations", "OneD", "CONCAT(c, ',000')")}, {_fact("RevenueFromOperations", "FourD", "CONCAT(c, ',999')")}, {_fact("ProfitLossForPeriod", "FourD", "c")},
+ CASE WHEN k % 4 = 0 THEN '' ELSE CONCAT({_fact("ProfitLossForPeriod", "OneD", "c")}) END,
+ {_fact("PaidUpValueOfEquityShareCapital", "OneD", "CONCAT(c, '0')")}, {_fact("FaceValueOfEquityShareCapital", "OneD", "CASE WHEN k % 6 = 0 THEN '0' ELSE '10' END")},
+ {_fact("EquityShareCapital", "I1", "c")}, {_fact("EquityShareCapital", "I0", "'1'")}, CASE WHEN k % 2 = 0 THEN CONCAT({_fact("OtherEquity", "I1", "c")}) ELSE '' END,
+ {_fact("BorrowingsNoncurrent", "I0", "c")}, {_fact("BorrowingsCurrent", "I1", "CASE WHEN k % 8 = 0 THEN 'n/a' ELSE c END")}, CASE WHEN k % 13 = 0 THEN '' ELSE '</x>' END) AS doc
+FROM (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR(20)) AS c, CAST(o_orderdate AS DATE) AS d,
+  CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS DATE) + INTERVAL '120' DAY ELSE CAST(o_orderdate AS DATE) + INTERVAL '89' DAY END AS e FROM orders) q"""
 
 TABLES = {
     BARS: ("lineitem",),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NUMBERS = ("open", "high", "low", "close", "prevclose", "volume", "turnover", "trades")
@@ -41,14 +41,73 @@ def canonical(rows: DataFrame, layout: Layout) -> DataFrame:
     return rows.select("date", text["symbol"].alias("symbol"), text["isin"].alias("isin"), *(text[n].try_cast("double").alias(n) for n in NUMBERS))
 
 
-def read(spark: SparkSession, paths: list[str], layout: Layout, strict: bool = False) -> DataFrame:
-    """Daily CSV files with a header, the day in the file's name as yyyymmdd.
+def _cells(line: Column) -> Column:
+    """The trimmed cells of a CSV line; a comma inside quotes is part of its cell."""
+    plain, quoted = F.split(line, ","), F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain), lambda c: F.regexp_replace(c, '^[\\s\ufeff]*"?\\s*|\\s*"?\\s*$', ""))
 
-    Damaged files are skipped unless ``strict``; damaged values are null.
+
+def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Daily CSV files of any layout as (panel, report).
+
+    A file's layout is told by its header, wherever that names all columns of one, and cells are taken
+    by name, so their order, further columns and trailing commas don't matter. The day stands in the
+    file's name as yyyymmdd, or in its folder's as day=yyyymmdd. Damaged values are null.
+
+    The report has a row for each file: file, layout, rows read, status ("read", "no header" or
+    "unreadable"); the last two give no bars.
     """
-    rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", not strict).schema(layout.schema()).csv(paths)
-    day = F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1), "yyyyMMdd")
-    return canonical(rows.withColumn("date", day), layout)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("path").alias("file"))
+    text = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).text(paths)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), _cells(F.col("value")).alias("cells"))
+    kind = F.lit(None).cast("string")
+    for layout in (LEGACY, NEWER):
+        kind = F.when(F.forall(F.array(*map(F.lit, layout.columns.values())), lambda n: F.array_contains("cells", n)), layout.name).otherwise(kind)
+    lines = lines.withColumn("layout", kind)
+    heads = lines.where("layout is not null").groupBy("file").agg(F.min(F.struct("layout", "cells")).alias("head"))
+    rows = lines.where("layout is null").drop("layout").join(heads, "file")
+    day = F.coalesce(F.nullif(F.regexp_extract("file", r"day=(\d{8})", 1), F.lit("")), F.regexp_extract("file", r"(\d{8})[^/]*$", 1))
+    rows = rows.withColumn("date", F.try_to_date(day, "yyyyMMdd"))
+    panel = None
+    for layout in (LEGACY, NEWER):
+        at = lambda n: F.get("cells", F.array_position("head.cells", n).cast("int") - 1)
+        mine = rows.where(F.col("head.layout") == layout.name).select("date", *(at(n).alias(n) for n in layout.columns.values()))
+        mine = canonical(mine, layout)
+        panel = mine if panel is None else panel.unionByName(mine)
+    seen = lines.groupBy("file").agg(F.count_if(F.col("layout").isNull()).alias("rows"))
+    found = files.join(seen, "file", "left").join(heads.select("file", "head.layout"), "file", "left")
+    status = F.when(F.col("layout").isNotNull(), "read").when(F.col("rows").isNotNull(), "no header").otherwise("unreadable")
+    return panel, found.select("file", "layout", F.coalesce("rows", F.lit(0)).alias("rows"), status.alias("status"))
+
+
+def write(bars: DataFrame, path: str, layout: Layout) -> None:
+    """Bars (with series, and kind where the layout names it) as one CSV file a day, with header, in folders day=yyyymmdd."""
+    rows = bars.select(F.date_format("date", "yyyyMMdd").alias("day"), *(F.col(k).cast("string").alias(v) for k, v in layout.columns.items()))
+    rows.repartition("day").write.partitionBy("day").option("header", True).mode("overwrite").csv(path)
+
+
+def write_panel(panel: DataFrame, path: str) -> None:
+    """The panel as Parquet in canonical order: ranges of days, by date and symbol within."""
+    panel.repartitionByRange("date").sortWithinPartitions("date", "symbol").write.mode("overwrite").parquet(path)
+
+
+def write_csv(rows: DataFrame, path: str, order: list[str]) -> None:
+    """A result table (ledger, coefficients, metrics, predictions, shortlist) as CSV with header, in the order given."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
+
+
+#: Names of an index-level file's columns for the canonical ones (fixed values of the file format).
+INDEX_COLUMNS = {"index_name": "Index Name", "open": "Open Index Value", "high": "High Index Value", "low": "Low Index Value", "close": "Closing Index Value", "pe": "P/E", "pb": "P/B", "div_yield": "Div Yield"}
+CONSTITUENTS = {"name": "Company Name", "symbol": "Symbol", "isin": "ISIN Code"}
+
+
+def read_named(spark: SparkSession, paths: list[str], columns: dict[str, str], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """CSV files with headers by trimmed names (files of one header each call); a column that they lack is null, damaged numbers are null."""
+    rows = spark.read.option("header", True).option("recursiveFileLookup", False).csv(paths)
+    rows = rows.toDF(*(c.strip() for c in rows.columns))
+    kept = [c for c in rows.columns if c not in columns.values()]
+    out = [F.trim(F.col(f"`{v}`")) if v in rows.columns else F.lit(None).cast("string") for v in columns.values()]
+    return rows.select(*(F.col(f"`{c}`") for c in kept), *((x.try_cast("double") if k in numbers else x).alias(k) for k, x in zip(columns, out, strict=True)))
 
 
 def to_lines(bars: DataFrame, layout: Layout) -> DataFrame:

@@ -11,10 +11,17 @@ ZONE = "Asia/Kolkata"
 
 
 def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored and fresh rows, the fresh one where both have a key."""
-    rows = stored.withColumn("_seq", F.lit(0)).unionByName(fresh.withColumn("_seq", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc("_seq"))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_seq")
+    """Stored and fresh rows, the fresh one where both have a key.
+
+    Of several fresh rows of a key the last to arrive wins: by the column ``arrival`` if ``fresh`` has one
+    (it is dropped), else the row that sorts last by its values, so the result is always the same.
+    """
+    given = "arrival" in fresh.columns and "arrival" not in stored.columns
+    others = F.struct(*(c for c in stored.columns if c not in keys))
+    seq = F.col("arrival").cast("long") if given else F.lit(0).cast("long")
+    rows = stored.withColumns({"_new": F.lit(0), "_seq": F.lit(0).cast("long")}).unionByName(fresh.withColumns({"_new": F.lit(1), "_seq": seq}).drop(*(["arrival"] if given else [])))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_new"), F.desc("_seq"), F.desc(others))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new", "_seq")
 
 
 def append_new(stored: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -23,6 +30,25 @@ def append_new(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return stored.unionByName(fresh.join(F.broadcast(last), F.col("date") > F.col("last")).drop("last"))
 
 
+def append_result(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One row: sessions_added, latest, sessions, bars after ``append_new``; nothing new adds 0."""
+    last = stored.agg(F.max("date").alias("last"))
+    rows = append_new(stored, fresh).join(F.broadcast(last))
+    added = F.count_distinct(F.when(F.col("date") > F.col("last"), F.col("date")))
+    return rows.agg(added.alias("sessions_added"), F.max("date").alias("latest"), F.count_distinct("date").alias("sessions"), F.count(F.lit(1)).alias("bars"))
+
+
+class StaleDataError(RuntimeError):
+    """The newest session is older than allowed."""
+
+
+def require_fresh(panel: DataFrame, today: Column, most: int = 5) -> None:
+    """Raise ``StaleDataError`` if the newest session is more than ``most`` calendar days old, or there is none."""
+    found = freshness(panel, today, most).first()
+    if not found["fresh"]:
+        raise StaleDataError(f"latest session {found['last']} is {found['age_days']} days old (limit {most})")
+
+
 def run_append(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: list[str]) -> None:
     """Drain newly landed files into a panel partitioned by year; only touched years are rewritten, corrections win."""
 
@@ -43,9 +69,11 @@ def run_append(spark: SparkSession, source: str, schema, target: str, checkpoint
 
 
 def freshness(panel: DataFrame, today: Column, most: int = 5) -> DataFrame:
-    """last, age_days, fresh: whether the newest session is at most ``most`` calendar days old."""
+    """last, age_days, fresh: whether the newest session is at most ``most`` calendar days before ``today`` (which may use the panel's other columns)."""
+    names = [c for c in panel.columns if c != "date"]
+    rows = panel.agg(F.max("date").alias("last"), *(F.max(c).alias(c) for c in names))
     age = F.date_diff(today, F.col("last"))
-    return panel.agg(F.max("date").alias("last")).select("last", age.alias("age_days"), (age <= most).alias("fresh"))
+    return rows.select("last", age.alias("age_days"), F.coalesce(age <= most, F.lit(False)).alias("fresh"))
 
 
 def market_open(ts: Column) -> Column:
@@ -76,12 +104,30 @@ def latest_price(ticks: DataFrame) -> DataFrame:
 
 
 def bars_5m(ticks: DataFrame) -> DataFrame:
-    """symbol, start, open, high, low, close, n of five-minute windows; late ticks count within the watermark of a stream."""
+    """symbol, start, open, high, low, close, n of five-minute windows. For streams see ``run_bars_5m``."""
     w = F.window("ts", "5 minutes")
     out = ticks.groupBy("symbol", w).agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.count(F.lit(1)).alias("n"))
     return out.select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "n")
 
 
+def run_bars_5m(spark: SparkSession, source: str, schema, target: str, checkpoint: str, late: str = "10 minutes") -> DataFrame:
+    """Drain files of ticks (symbol, ts, price) into five-minute bars and return the bars so far.
+
+    A tick that repeats within the watermark counts once, and one that is later than ``late`` against the
+    newest seen is left out. A window is written again in each batch that adds to it; its last state
+    (of most ticks) is the bar, so windows that are still open are there, too.
+    """
+    ticks = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "ts", "price"])
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    bars_5m(ticks).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{target}/batch=*")
+    w = Window.partitionBy("symbol", "start").orderBy(F.desc("n"), F.desc("batch"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "batch")
+
+
 def surprise(latest: DataFrame, previous: DataFrame, forecasts: DataFrame) -> DataFrame:
     """symbol, price, prev_close, move, expected_move, surprise: today's move over what the yearly forecast (percent) implies for a day."""
     rows = latest.join(previous, "symbol").join(forecasts, "symbol").where("prev_close > 0 and forecast > 0")
