@@ -27,6 +27,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,10 +94,19 @@ def _windows(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return values[ok], ids[owner[: len(values)][ok]]
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed differences; sorted doc_ids and runs of short counts take a byte or two each."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(numbers, prepend=numbers.dtype.type(0)).tobytes())
+
+
+def _numbers(data: pa.Scalar, kind: type) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), kind), dtype=kind)
+
+
 def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Values and doc_ids of the entries in the rows of a table."""
     v = np.concatenate([np.frombuffer(x.as_buffer(), VALUE) for x in table["hashes"]])
-    d = np.concatenate([np.repeat(np.frombuffer(i.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int32)) for i, n in zip(table["docs"], table["counts"], strict=True)])
+    d = np.concatenate([np.repeat(_numbers(i, np.int64), _numbers(n, np.int32)) for i, n in zip(table["docs"], table["counts"], strict=True)])
     return v, d
 
 
@@ -108,7 +118,7 @@ def _dealt(v: np.ndarray, d: np.ndarray, to: np.ndarray) -> list[tuple[int, byte
     for part in np.split(np.arange(len(to)), np.flatnonzero(to[1:] != to[:-1]) + 1) if len(to) else []:
         s = slice(part[0], part[-1] + 1)
         own, counts = _runs(d[s])
-        rows.append((int(to[s.start]), own.tobytes(), counts.tobytes(), v[s].tobytes()))
+        rows.append((int(to[s.start]), _small(own), _small(counts), v[s].tobytes()))
     return rows
 
 
@@ -164,7 +174,8 @@ def repeated(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         data, ends = v[by].tobytes(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64) * VALUE.itemsize])
         return pa.table({"doc_id": pa.array(own), "hashes": pa.array([[data[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.list_(pa.binary()))})
 
-    found = hits(sent(docs, size, buckets), -(-buckets // GROUP_BUCKETS))
+    # as many partitions as buckets, so that a task's share doesn't grow with the corpus
+    found = hits(sent(docs, size, buckets).repartition(buckets, "bucket"), -(-buckets // GROUP_BUCKETS))
     return found.groupBy("place").applyInArrow(gather, "doc_id long, hashes array<binary>")
 
 
