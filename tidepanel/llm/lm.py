@@ -36,7 +36,7 @@ from tidepanel.llm.chunks import Words, chunks
 from tidepanel.llm.store import written
 
 SHORT, ENDINGS, CONTEXT, WINDOW, SIZE = 256, 256, 2, 64, 16
-FREQUENT = 1 << 16
+FREQUENT = 1 << 18
 ROUNDS, BATCH, NOISE, RATE, SHARD_TOKENS = 2, 4096, 32, 0.05, 2_000_000
 #: Tokens that are scored at once; parameters are averaged in units of 2**-20.
 BLOCK, UNIT = 1 << 15, 1 << 20
@@ -200,7 +200,7 @@ class LogBilinear:
         parts[first:, -1] = up
         sums = np.zeros((n + 1, SIZE))
         np.cumsum(slope * weight[:, None], axis=0, out=sums[1:])
-        parts[:, SIZE : 2 * SIZE] = sums[np.searchsorted(begin, np.arange(n), side="right")] - sums[1:]
+        parts[:, SIZE : 2 * SIZE] = sums[np.cumsum(np.bincount(begin, minlength=n))] - sums[1:]
         for k in range(CONTEXT):
             g_weights[k] = np.einsum("ij,ij->j", slope, self.context[before[k]])
             by = slope * self.weights[k]
