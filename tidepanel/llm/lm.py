@@ -36,7 +36,7 @@ from tidepanel.llm.chunks import Words, chunks
 from tidepanel.llm.store import written
 
 SHORT, ENDINGS, CONTEXT, WINDOW, SIZE = 256, 256, 2, 64, 16
-FREQUENT = 1 << 18
+FREQUENT = 1 << 16
 ROUNDS, BATCH, NOISE, RATE, SHARD_TOKENS = 2, 4096, 32, 0.05, 2_000_000
 #: Tokens that are scored at once; parameters are averaged in units of 2**-20.
 BLOCK, UNIT = 1 << 15, 1 << 20
