@@ -38,8 +38,8 @@ from tidepanel.llm.store import written
 SHORT, ENDINGS, CONTEXT, WINDOW, SIZE = 256, 256, 2, 64, 16
 FREQUENT = 1 << 16
 ROUNDS, BATCH, NOISE, RATE, SHARD_TOKENS = 2, 4096, 32, 0.05, 2_000_000
-#: Tokens that are scored at once; parameters are averaged in units of 2**-20.
-BLOCK, UNIT = 1 << 15, 1 << 20
+#: Tokens that are scored at once, rows of a product; parameters are averaged in units of 2**-20.
+BLOCK, ROWS, UNIT = 1 << 15, 512, 1 << 20
 #: Bytes of text in which a task merges equal tokens before it sends their counts.
 MERGE_BYTES = 4 << 20
 END = np.int64(-0x4B1D5EED0E0F0A11)
@@ -169,10 +169,12 @@ class LogBilinear:
 
     def predicted(self, classes: np.ndarray, before: list[np.ndarray], begin: np.ndarray, weight: np.ndarray) -> np.ndarray:
         sums = np.zeros((len(classes) + 1, SIZE))
-        np.cumsum(self.topic[classes], axis=0, out=sums[1:])
-        out = ((sums[:-1] - sums[begin]) * weight[:, None]).astype(np.float32)
+        np.cumsum(self.topic.astype(float).take(classes, axis=0), axis=0, out=sums[1:])
+        window = sums[:-1] - sums.take(begin, axis=0)
+        window *= weight[:, None]
+        out = window.astype(np.float32)
         for k in range(CONTEXT):
-            out += self.weights[k] * self.context[before[k]]
+            out += (self.weights[k] * self.context).take(before[k], axis=0)
         return out
 
     def train(self, classes: np.ndarray, owner: np.ndarray, first: int, draw: np.random.Generator, slopes: np.ndarray) -> None:
@@ -182,7 +184,7 @@ class LogBilinear:
         own, n = classes[first:], len(classes)
         noise = np.minimum(np.searchsorted(self.noise, draw.random(NOISE)), self.m - 1)
         many = np.float32(np.log(NOISE))
-        target = self.target[own]
+        target = self.target.take(own, axis=0)
         up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", guess, target) + (self.bias - self.log_noise)[own] - many, -30, 30)))
         false = guess @ self.target[noise].T
         false += (self.bias - self.log_noise)[noise] - many
@@ -202,15 +204,16 @@ class LogBilinear:
         np.cumsum(slope * weight[:, None], axis=0, out=sums[1:])
         parts[:, SIZE : 2 * SIZE] = sums[np.cumsum(np.bincount(begin, minlength=n))] - sums[1:]
         for k in range(CONTEXT):
-            g_weights[k] = np.einsum("ij,ij->j", slope, self.context[before[k]])
+            g_weights[k] = np.einsum("ij,ij->j", slope, self.context.take(before[k], axis=0))
             by = slope * self.weights[k]
-            inside = before[k] < self.m
-            by[~inside], g_context[self.m] = 0, g_context[self.m] + by[~inside].sum(0)
+            outside = np.flatnonzero(before[k] == self.m)
+            g_context[self.m] += by[outside].sum(0)
+            by[outside] = 0
             parts[: n - k - 1, 2 * SIZE : -1] += by[k + 1 :]
-        order = np.argsort(classes, kind="stable")
+        order = np.argsort(classes.astype(np.uint16), kind="stable")
         rows = classes[order]
         at = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        total, rows = np.add.reduceat(parts[order], at, axis=0), rows[at]
+        total, rows = np.add.reduceat(parts.take(order, axis=0), at, axis=0), rows[at]
         g_target[rows], g_topic[rows], g_bias[rows] = total[:, :SIZE], total[:, SIZE : 2 * SIZE], total[:, -1]
         g_context[rows] += total[:, 2 * SIZE : -1]
         np.add.at(g_target, noise, down.T @ guess)
@@ -225,13 +228,14 @@ class LogBilinear:
         found = np.einsum("ij,ij->i", guess, self.target[own]) + self.bias[own]
         # scores less a bound that no score of the row exceeds, in one product
         bound = np.sqrt(np.einsum("ij,ij->i", guess, guess) * np.einsum("ij,ij->i", self.target, self.target).max()) + self.bias.max()
-        ones = np.ones((self.m, 1), np.float32)
-        right = np.ascontiguousarray(np.concatenate([self.target, self.bias[:, None], ones], axis=1).T)
+        ones = np.ones(self.m, np.float32)
+        right = np.ascontiguousarray(np.concatenate([self.target, self.bias[:, None], ones[:, None]], axis=1).T)
         left = np.concatenate([guess, np.ones((len(guess), 1), np.float32), -bound[:, None]], axis=1)
         sums = np.empty(len(own), np.float32)
-        for at in range(0, len(own), 256):
-            s = left[at : at + 256] @ right
-            sums[at : at + 256] = (np.exp(s, out=s) @ ones)[:, 0]
+        room = np.empty((ROWS, self.m), np.float32)
+        for at in range(0, len(own), ROWS):
+            s = np.matmul(left[at : at + ROWS], right, out=room[: len(own) - at])
+            np.matmul(np.exp(s, out=s), ones, out=sums[at : at + ROWS])
         out = found - bound - np.log(np.maximum(sums, 1e-45)).astype(float)
         for at in np.flatnonzero(sums < 1e-20).tolist():  # the bound is far above the scores
             s = self.target @ guess[at] + self.bias
