@@ -39,7 +39,7 @@ SHORT, ENDINGS, CONTEXT, WINDOW, SIZE = 256, 256, 2, 64, 16
 FREQUENT = 1 << 16
 ROUNDS, BATCH, NOISE, RATE, SHARD_TOKENS = 2, 4096, 32, 0.05, 2_000_000
 #: Tokens that are scored at once, rows of a product; parameters are averaged in units of 2**-20.
-BLOCK, ROWS, UNIT = 1 << 15, 512, 1 << 20
+BLOCK, ROWS, UNIT = 1 << 15, 128, 1 << 20
 #: Bytes of text in which a task merges equal tokens before it sends their counts.
 MERGE_BYTES = 4 << 20
 END = np.int64(-0x4B1D5EED0E0F0A11)
@@ -247,8 +247,13 @@ def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int]
     """Class numbers of every encoded text, and its number in the task."""
     number = 0
     for part in batches:
-        for x in part.column("classes"):
-            yield np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64), number
+        column = part.column("classes").cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8) // 2
+        codes = np.frombuffer(data, np.uint16, int(ends[-1] - ends[0]), int(ends[0]) * 2).astype(np.int64) if ends[-1] > ends[0] else np.zeros(0, np.int64)
+        ends = (ends - ends[0]).tolist()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield codes[a:b], number
             number += 1
 
 
