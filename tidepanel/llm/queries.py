@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of the numbered operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import bpe, langid, licenses, lines, lm, media, near, packing, sketches, substring
+from tidepanel.llm import bpe, decontaminate, infill, langid, licenses, lines, lm, media, near, packing, sketches, substring, whitening
 from tidepanel.llm.sql import SQL  # noqa: F401
 
 
@@ -98,4 +98,34 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_fingerprints, op7_minhash_dedup, op8_bpe_automaton, op9_substring_dedup, op10_lm_scoring)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(documents(spark, sf_dir))
+    texts = {"output_sha256": F.col("output"), "restored_sha256": infill.restore(F.col("output"), F.col("form"))}
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(F.sha2(x.cast("binary"), 256).alias(k) for k, x in texts.items()))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.integers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    model, seen = whitening.fit(rows)
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    each = whitening.whiten(rows, model).select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("_k", "whitened"))
+    shares = F.array(*(F.lit(x) for x in model.explained))
+    error = whitening.identity_error(seen, model)
+    return each.select("vec_id", (F.col("_k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, "_k").alias("explained"), F.lit(error).alias("identity_error"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_license_scan, op4_best_fit_packing, op5_media_columns, op6_fingerprints, op7_minhash_dedup, op8_bpe_automaton, op9_substring_dedup, op10_lm_scoring, op11_fill_in_middle, op12_decontamination, op13_whitening)}
