@@ -9,6 +9,11 @@ from tidepanel.config import Config
 from tidepanel.functions.tables import stored
 from tidepanel.operators.calendar import calendar, indexed
 
+
+class LinkCycleError(ValueError):
+    """Identities hand over to each other in a circle."""
+
+
 def by_date() -> Window:
     return Window.partitionBy("isin").orderBy("date")
 
@@ -18,21 +23,26 @@ def isin_links(panel: DataFrame) -> DataFrame:
 
     A handover is a symbol's next identity that begins exactly one session after the former ends; of
     several, the one under the symbol that sorts last counts. Links (few: one for each handover) are
-    followed to their ends by joining them with themselves, which doubles their reach each time.
+    followed to their ends by joining them with themselves, which doubles their reach each time. A cycle of
+    handovers has no end: ``LinkCycleError`` names its identities.
     """
     cal = F.broadcast(calendar(panel))
     spans = panel.groupBy("symbol", "isin").agg(F.min("date").alias("first"), F.max("date").alias("last"))
     spans = spans.join(cal.toDF("first", "first_s"), "first").join(cal.toDF("last", "last_s"), "last")
     w = Window.partitionBy("symbol").orderBy("first", "isin")
     steps = spans.withColumn("to", F.when(F.lead("first_s").over(w) == F.col("last_s") + 1, F.lead("isin").over(w))).where("to <> isin")
-    links = stored(steps.groupBy("isin").agg(F.max_by("to", "symbol").alias("to")), "links")
+    links = first = stored(steps.groupBy("isin").agg(F.max_by("to", "symbol").alias("to")), "links")
     n, reach = links.count(), 1
-    while reach < n:
+    while reach <= n:
         hop = links.select(F.col("isin").alias("to"), F.col("to").alias("far"))
         further = stored(links.join(hop, "to", "left").select("isin", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "links")
         links, reach = further.select("isin", "to"), reach * 2
         if further.where("moved").isEmpty():
             break
+    # after as many steps as there are links a chain has ended; what can still move goes round
+    endless = links.join(first.select(F.col("isin").alias("to")), "to", "left_semi").orderBy("isin").limit(20).collect()
+    if endless:
+        raise LinkCycleError(f"handovers go in a circle: {', '.join(r['isin'] for r in endless)}")
     return panel.select("isin").distinct().join(links, "isin", "left").select("isin", F.coalesce("to", "isin").alias("canonical_isin"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.operators.portfolio import WeightFn, folded_books, top_n
+
 
 def forward_returns(panel: DataFrame, forms: DataFrame) -> DataFrame:
     """form_date, period, isin, ret from the entry close to the last close up to the exit; no entry bar, no row.
@@ -61,14 +63,32 @@ def clip(forms: DataFrame, start: str | None = None, end: str | None = None, las
 Hook = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+def _scored(panel: DataFrame, forms: DataFrame, universe_fn: Hook, score_fn: Hook) -> DataFrame:
+    """form_date, period, isin, score of the universe's names that have one."""
+    scores = score_fn(panel, forms).where("score is not null").join(universe_fn(panel, forms).select("form_date", "isin"), ["form_date", "isin"], "left_semi")
+    return scores.join(F.broadcast(forms.select("form_date", "period")), "form_date").select("form_date", "period", "isin", "score")
+
+
 def run(panel: DataFrame, forms: DataFrame, universe_fn: Hook, score_fn: Hook, weight_fn: Callable[[DataFrame], DataFrame], cost_bps: float) -> DataFrame:
     """The ledger of a walk-forward run with the caller's own functions, each over all dates at once.
 
     universe_fn(panel, forms) gives form_date, isin; score_fn(panel, forms) gives form_date, isin, score from
     bars up to each form_date; weight_fn(scores) takes form_date, period, isin, score of the universe and
-    gives period, isin, weight of the books (names without a score don't come).
+    gives period, isin, weight of the books (names without a score don't come). For weights that depend on the
+    held book see ``run_held``.
     """
-    scores = score_fn(panel, forms).where("score is not null").join(universe_fn(panel, forms).select("form_date", "isin"), ["form_date", "isin"], "left_semi")
-    scores = scores.join(F.broadcast(forms.select("form_date", "period")), "form_date").select("form_date", "period", "isin", "score")
-    books = weight_fn(scores).select(F.lit("run").alias("variant"), "period", "isin", "weight")
+    books = weight_fn(_scored(panel, forms, universe_fn, score_fn)).select(F.lit("run").alias("variant"), "period", "isin", "weight")
     return ledger(tradable(books, forward_returns(panel, forms), ["variant"]), forms, cost_bps, ["variant"]).drop("variant")
+
+
+def run_held(panel: DataFrame, forms: DataFrame, universe_fn: Hook, score_fn: Hook, weight_fn: WeightFn, cost_bps: float, variants: DataFrame | None = None, deepest: int | None = None) -> DataFrame:
+    """The ledger of ``run`` with a weight function that sees the held book: (rows of a period, held) to weights.
+
+    Scores, ranks and returns of all dates are made in one plan; only the fold over periods is in order
+    (``folded_books``). ``variants`` (variant and parameters, a small table) runs all of them at once, its columns
+    beside the rows of each. ``deepest`` is the last rank that a book may hold, all by default.
+    """
+    ranked = top_n(_scored(panel, forms, universe_fn, score_fn), deepest or (1 << 31) - 1, ["period"], "score")
+    ranked = ranked.join(forward_returns(panel, forms).select("period", "isin", "ret"), ["period", "isin"], "left")
+    ranked = ranked.withColumn("variant", F.lit("run")) if variants is None else ranked.crossJoin(F.broadcast(variants))
+    return ledger(folded_books(ranked, weight_fn), forms, cost_bps, ["variant"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import gamma, pi, sqrt
+from math import pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,10 +39,34 @@ def ic_table(ics: DataFrame) -> DataFrame:
     )
 
 
+def _verdict(t: Column, least: float) -> Column:
+    return F.when(t >= least, "kept").when(t <= -least, "wrong sign").otherwise("noise")
+
+
 def select_factors(table: DataFrame, least: float = 2.0) -> DataFrame:
     """factor, t_stat, verdict: kept, wrong sign or noise."""
-    verdict = F.when(F.col("t_stat") >= least, "kept").when(F.col("t_stat") <= -least, "wrong sign").otherwise("noise")
-    return table.select("factor", "t_stat", verdict.alias("verdict"))
+    return table.select("factor", "t_stat", _verdict(F.col("t_stat"), least).alias("verdict"))
+
+
+def fold_verdicts(ics: DataFrame, least: float = 2.0) -> DataFrame:
+    """fold, factor, n, t_stat, verdict: each year of ``ics`` (factor, form_date, ic) is a fold, judged by the formations before it alone."""
+    folds = ics.select(F.year("form_date").alias("fold")).distinct()
+    past = ics.withColumn("year", F.year("form_date")).join(F.broadcast(folds), F.col("year") < F.col("fold"))
+    sd = F.stddev_samp("ic")
+    t = F.when(sd > 0, F.avg("ic") / F.when(sd > 0, sd) * F.sqrt(F.count("ic")))
+    table = past.groupBy("fold", "factor").agg(F.count("ic").alias("n"), t.alias("t_stat"))
+    return table.withColumn("verdict", _verdict(F.col("t_stat"), least))
+
+
+def out_of_sample(z: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """fold, form_date, isin, composite: the mean z of the factors that a formation's fold kept, if half of them are there.
+
+    ``z``: form_date, isin, factor, z. The choice stays in the plan: kept factors are a join on (fold, factor).
+    """
+    kept = verdicts.where("verdict = 'kept'").select("fold", "factor", F.count(F.lit(1)).over(Window.partitionBy("fold")).alias("k"))
+    rows = z.where("z is not null").withColumn("fold", F.year("form_date")).join(F.broadcast(kept), ["fold", "factor"])
+    found = rows.groupBy("fold", "form_date", "isin").agg(F.avg("z").alias("composite"), (F.count("z") >= F.max("k") / 2).alias("_half"))
+    return found.where("_half").drop("_half")
 
 
 def equity(rows: DataFrame, keys: list[str], order: str, ret: str) -> DataFrame:
@@ -118,8 +142,3 @@ def correlation(rows: DataFrame, x: str, y: str) -> DataFrame:
     found = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("corr"))
     t = F.col("corr") * F.sqrt((F.col("n") - 2) / (1 - F.col("corr") * F.col("corr")))
     return found.select("n", "corr", t_two_sided(t, (F.col("n") - 2).cast("int")).alias("p"))
-
-
-def t_density(t: float, df: int) -> float:
-    """Density of Student's t, for tests."""
-    return gamma((df + 1) / 2) / (sqrt(df * pi) * gamma(df / 2)) * (1 + t * t / df) ** (-(df + 1) / 2)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
 from math import sqrt
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.tables import stored
-from tidepanel.operators import volatility
+from tidepanel.functions.tables import exists, stored
+from tidepanel.operators import boosting, volatility
+from tidepanel.operators.boosting import Settings
 
 TARGET = "target_log_ratio"
 
@@ -49,58 +51,83 @@ def subsample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     return rows.orderBy(F.md5(F.concat("isin", F.lit(f":{seed}")).cast("binary")), "isin").limit(n)
 
 
-def _trees(rounds: int, depth: int, leaf: int) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol=TARGET, maxIter=rounds, stepSize=0.05, maxDepth=depth, minInstancesPerNode=leaf, seed=7)
+def fitted(parts: DataFrame, features: list[str], settings: Settings = Settings()) -> tuple[boosting.Model, boosting.Model]:
+    """The model on the train rows, whose errors are those of the valid rows, and the final one on both.
 
+    The final one has as many trees as gave the least validation error.
+    """
+    rows = stored(complete(parts, [*features, TARGET]).where("part in ('train', 'valid')").select("part", TARGET, *features), "model-rows")
+    probe = boosting.fit(rows, features, TARGET, F.col("part") == "valid", settings)
+    best = min(range(len(probe.errors)), key=probe.errors.__getitem__) + 1 if probe.errors else settings.rounds
+    return probe, boosting.fit(rows, features, TARGET, F.lit(False), replace(settings, rounds=best, patience=None))
 
-def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features").transform(rows.dropna(subset=[*features, TARGET]))
 
+def complete(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that have a (finite) value in all of the columns."""
+    there = [F.coalesce(~F.isnan(F.col(c).cast("double")) & (F.abs(c) < float("inf")), F.lit(False)) for c in columns]
+    return rows.where(reduce(lambda a, b: a & b, there))
 
-def boosted(parts: DataFrame, horizon: int, features: list[str], rounds: int = 600, depth: int = 6, leaf: int = 200) -> DataFrame:
-    """model, n, rmse, mae, corr, bias on non-overlapping test dates, of boosted trees and the anchor.
 
-    The number of trees is that of the least validation error; the final fit is on train and valid.
-    """
+def boosted(parts: DataFrame, horizon: int, model: boosting.Model) -> DataFrame:
+    """date, isin, actual, trees, ewma, persistence: forecasts of the non-overlapping test dates."""
+    test = volatility.grid(complete(parts.where("part = 'test'"), [*model.features, TARGET]), horizon)
+    return test.select("date", "isin", F.col("forward_vol").alias("actual"), (F.col("anchor") * F.exp(model.column())).alias("trees"), F.col("anchor").alias("ewma"), F.col("rv_2").alias("persistence"))
+
+
+def scored(rows: DataFrame, models: list[str]) -> DataFrame:
+    """model, n, rmse, mae, corr, bias of forecasts that stand side by side, over the rows that have all of them."""
     from tidepanel.operators.metrics import forecast_scores
 
-    rows = stored(parts.select("date", "isin", "part", "anchor", "forward_vol", TARGET, *features), "model-rows")
-    whole = _assembled(rows, features)
-    train, valid = whole.where("part = 'train'"), whole.where("part = 'valid'")
-    errors = _trees(rounds, depth, leaf).fit(train).evaluateEachIteration(valid, "squared")
-    best = min(range(len(errors)), key=errors.__getitem__) + 1
-    final = _trees(best, depth, leaf).fit(whole.where("part in ('train', 'valid')"))
-    test = final.transform(volatility.grid(whole.where("part = 'test'"), horizon))
-    pred = F.explode(F.array(F.struct(F.lit("trees").alias("model"), (F.col("anchor") * F.exp("prediction")).alias("pred")), F.struct(F.lit("ewma").alias("model"), F.col("anchor").alias("pred"))))
-    long = test.select(F.col("forward_vol").alias("actual"), pred.alias("m")).select("actual", "m.model", "m.pred")
-    return forecast_scores(long, ["model"])
+    both = rows.where(reduce(lambda a, b: a & b, (F.col(m).isNotNull() for m in models)))
+    return forecast_scores(both.unpivot(["actual"], models, "model", "pred"), ["model"])
 
 
-def importance(parts: DataFrame, horizon: int, features: list[str], repeats: int = 5, rounds: int = 600, depth: int = 6, leaf: int = 200) -> DataFrame:
-    """feature, mean_drop: R2 on the non-overlapping test dates less that with the feature's values permuted, over repeats.
+def placed(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """The rows with ``place``, from 0 in the whole order: ranges are sorted and counted, so no task holds all rows."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = stored(ranged.withColumns({"_part": F.spark_partition_id(), "_i": F.monotonically_increasing_id() % (1 << 33)}), "placed")
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
 
-    A permutation pairs every row's place in one hash order with its place in another; places are
-    numbered within dates, so values are permuted inside their date.
+
+def importance(parts: DataFrame, horizon: int, model: boosting.Model, repeats: int = 5) -> DataFrame:
+    """feature, mean_drop, sd: R2 on the non-overlapping test dates less that with the feature's values permuted over all rows, over repeats.
+
+    A permutation gives each row the values of the row that has its place in another order, by a hash of the repeat.
     """
-    rows = stored(parts.select("date", "isin", "part", TARGET, *features).dropna(), "importance-rows")
-    model = _trees(rounds, depth, leaf).fit(_assembled(rows.where("part <> 'test'"), features))
-    test = volatility.grid(rows.where("part = 'test'"), horizon).select("date", "isin", TARGET, *features)
-    made = None
-    for r in range(repeats):
-        place = lambda seed: F.row_number().over(Window.partitionBy("date").orderBy(F.xxhash64("isin", F.lit(seed)), "isin"))
-        left = test.withColumn("place", place(2 * r))
-        right = test.withColumn("place", place(2 * r + 1)).select("date", "place", *(F.col(f).alias(f"p_{f}") for f in features))
-        both = left.join(right, ["date", "place"])
-        kinds = F.explode(F.array(F.lit("none"), *map(F.lit, features)))
-        both = both.withColumn("feature", kinds).withColumn("repeat", F.lit(r))
-        both = both.withColumns({f: F.when(F.col("feature") == f, F.col(f"p_{f}")).otherwise(F.col(f)) for f in features})
-        part = both.select("feature", "repeat", TARGET, *features)
-        made = part if made is None else made.unionByName(part)
-    scored = model.transform(_assembled(made, features))
-    e = F.col(TARGET) - F.col("prediction")
-    r2 = scored.groupBy("feature", "repeat").agg((1 - F.avg(e * e) / F.var_pop(TARGET)).alias("r2"))
-    base = r2.where("feature = 'none'").select("repeat", F.col("r2").alias("base"))
-    return r2.where("feature <> 'none'").join(base, "repeat").groupBy("feature").agg(F.avg(F.col("base") - F.col("r2")).alias("mean_drop"))
+    features, d = model.features, len(model.features)
+    test = complete(parts.where("part = 'test'"), [*features, TARGET])
+    test = placed(volatility.grid(test, horizon).select("date", "isin", TARGET, *features), "date", "isin")
+    size = test.agg(F.count(F.lit(1)).alias("n"), (F.var_pop(TARGET) * F.count(F.lit(1))).alias("spread"))
+    again = test.drop("place").withColumn("repeat", F.explode(F.array(*map(F.lit, range(repeats)))))
+    drawn = placed(again, "repeat", F.xxhash64("isin", "date", "repeat"), "isin", "date").join(F.broadcast(size))
+    drawn = drawn.select("repeat", (F.col("place") - F.col("repeat") * F.col("n")).alias("place"), *(F.col(f).alias(f"p_{f}") for f in features))
+
+    def errors(batches):
+        total = {}
+        for batch in batches:
+            rows = batch.to_pandas()
+            x, other = (model.bins([rows[c + f].to_numpy(float) for f in features]) for c in ("", "p_"))
+            for repeat in rows["repeat"].unique():
+                on = np.flatnonzero(rows["repeat"] == repeat)
+                y = rows[TARGET].to_numpy(float)[on]
+                for k in range(-1, d):
+                    mixed = x[:, on].copy()
+                    if k >= 0:
+                        mixed[k] = other[k, on]
+                    at = int(repeat), k
+                    total[at] = total.get(at, 0.0) + float(((model.predicted(mixed) - y) ** 2).sum())
+        rows = [(r, k, e) for (r, k), e in total.items()]
+        yield pa.RecordBatch.from_pylist([dict(zip(("repeat", "k", "error"), r, strict=True)) for r in rows], pa.schema([("repeat", pa.int32()), ("k", pa.int32()), ("error", pa.float64())]))
+
+    parts_ = test.join(drawn, "place").select("repeat", TARGET, *features, *(f"p_{f}" for f in features)).mapInArrow(errors, "repeat int, k int, error double")
+    sums = parts_.groupBy("repeat", "k").agg(F.sum("error").alias("error"))
+    base = sums.where("k < 0").select("repeat", F.col("error").alias("plain"))
+    drop = sums.where("k >= 0").join(base, "repeat").join(F.broadcast(size)).withColumn("drop", (F.col("error") - F.col("plain")) / F.col("spread"))
+    named = F.get(F.array(*map(F.lit, features)), F.col("k"))
+    return drop.groupBy(named.alias("feature")).agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("sd"))
 
 
 def garch(rows: DataFrame, dates: DataFrame, horizon: int, year: int, minimum: int) -> DataFrame:
@@ -134,15 +161,24 @@ def age(rows: DataFrame, most: int) -> DataFrame:
     return rows.select("trained", "today", days.alias("age_days"), F.coalesce(days > most, F.lit(True)).alias("retrain"))
 
 
-def save(model: PipelineModel, spark: SparkSession, path: str, trained) -> None:
-    """A fitted pipeline with its metadata beside it."""
-    model.write().overwrite().save(f"{path}/model")
-    spark.createDataFrame([(trained,)], "trained date").write.mode("overwrite").parquet(f"{path}/meta")
+def save(model: boosting.Model, spark: SparkSession, path: str, trained) -> None:
+    """A model's trees with its metadata beside them: trained (a date), trees, features."""
+    boosting.to_rows(spark, model).write.mode("overwrite").parquet(f"{path}/trees")
+    spark.createDataFrame([(trained, len(model.trees), model.features)], "trained date, trees long, features array<string>").write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame] | None:
-    """The pipeline and its metadata; None if there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+def load(spark: SparkSession, path: str) -> tuple[boosting.Model, DataFrame] | None:
+    """The model and its metadata; None if there is none (the metadata is written last)."""
+    if not exists(spark, f"{path}/meta"):
         return None
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/meta")
+    meta = spark.read.parquet(f"{path}/meta")
+    return boosting.from_rows(spark.read.parquet(f"{path}/trees"), meta.first()["features"]), meta
+
+
+def due(spark: SparkSession, path: str, today, most: int, forced: bool = False) -> tuple[bool, str]:
+    """Whether to train, and why: absent, forced, old (more than ``most`` days) or fresh."""
+    found = load(spark, path)
+    if found is None:
+        return True, "absent"
+    old = age(found[1].select("trained", F.lit(today).cast("date").alias("today")), most).first()["retrain"]
+    return (True, "forced") if forced else (old, "old" if old else "fresh")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,25 +62,70 @@ def buffer_step(ranked: DataFrame, held: DataFrame, n: int, mult: float, keys: l
     return rows.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).withColumn("kept", keep).drop("_i", "_held")
 
 
-def buffered_books(ranked: DataFrame, n: int) -> DataFrame:
-    """variant, period, isin, weight of buffered books over all periods.
+#: A weight function that sees the book: (one period's rows of a variant by rank, held weights by isin) to weights by isin.
+WeightFn = Callable[[pd.DataFrame, dict[str, float]], dict[str, float]]
+
+
+def folded_books(ranked: DataFrame, weight_fn: WeightFn) -> DataFrame:
+    """variant, period, isin, weight, ret of books that depend on the book before.
 
-    ``ranked``: variant, mult, period, isin, rank (to n * mult at most), ret (null if not tradable). A book
-    depends on the one before, so each variant is folded in order; a variant's group is bounded by
-    periods * n * mult rows.
+    ``ranked``: variant, period, isin, rank, ret (null if not tradable) and whatever ``weight_fn`` reads, a
+    variant's parameters among them. Each variant is folded in order of its periods: names that can't be
+    traded leave the weights, the others are scaled to one, and what remains is held into the next period; a
+    period without a book leaves the held one as it is. A variant's group has its ranked rows only, so leave
+    out ranks that can't be chosen.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held: set[str] = set()
+        held: dict[str, float] = {}
         out = []
-        limit = int(n * rows["mult"].iloc[0])
         for period, now in rows.sort_values(["period", "rank"]).groupby("period", sort=True):
-            kept = [i for i, r in zip(now["isin"], now["rank"], strict=True) if i in held and r <= limit][:n]
-            fill = [i for i in now["isin"] if i not in set(kept)][: n - len(kept)]
-            book = now[now["isin"].isin([*kept, *fill]) & now["ret"].notna()]
-            if len(book):
-                held = set(book["isin"])
-                out.append(pd.DataFrame({"variant": rows["variant"].iloc[0], "period": period, "isin": book["isin"], "weight": 1.0 / len(book), "ret": book["ret"]}))
+            ret = dict(zip(now["isin"], now["ret"], strict=True))
+            book = {i: w for i, w in weight_fn(now, held).items() if pd.notna(ret[i]) and w > 0}
+            if book:
+                total = sum(book.values())
+                held = {i: w / total for i, w in book.items()}
+                out.append(pd.DataFrame({"variant": rows["variant"].iloc[0], "period": period, "isin": list(held), "weight": list(held.values()), "ret": [ret[i] for i in held]}))
         return pd.concat(out) if out else pd.DataFrame({"variant": [], "period": [], "isin": [], "weight": [], "ret": []})
 
     return ranked.groupBy("variant").applyInPandas(fold, "variant string, period long, isin string, weight double, ret double")
+
+
+def kept_and_filled(now: pd.DataFrame, held: dict[str, float], n: int, mult: float) -> list[str]:
+    """Held names while their rank is within n * mult, and the best others up to n."""
+    kept = [i for i, r in zip(now["isin"], now["rank"], strict=True) if i in held and r <= int(n * mult)][:n]
+    have = set(kept)
+    return kept + [i for i in now["isin"] if i not in have][: n - len(kept)]
+
+
+def capped_inverse(risk: pd.Series, max_weight: float, floor: float) -> pd.Series:
+    """Weights of one book inverse to risk, as ``inverse_vol_weights`` gives for many."""
+    middle = risk.median() if risk.notna().any() else 1.0
+    w = 1 / risk.fillna(middle).clip(lower=floor)
+    w, cap = w / w.sum(), max(max_weight, 1 / len(w))
+    top: set = set()
+    while True:
+        rest = [i for i in w.index if i not in top]
+        left = (1 - cap * len(top)) / w[rest].sum() if rest else 0.0
+        over = [i for i in rest if w[i] * left > cap * (1 + EPS)]
+        if not over:
+            return pd.Series({i: cap if i in top else w[i] * left for i in w.index})
+        top.update(over)
+
+
+def sized_buffer(max_weight: float, floor: float) -> WeightFn:
+    """A weight function over the columns n, mult (buffer), sizing (equal or inverse) and vol of its rows."""
+
+    def weigh(now: pd.DataFrame, held: dict[str, float]) -> dict[str, float]:
+        first = now.iloc[0]
+        chosen = kept_and_filled(now, held, int(first["n"]), float(first["mult"]))
+        if first["sizing"] == "inverse":
+            return capped_inverse(now.set_index("isin").loc[chosen, "vol"].astype(float), max_weight, floor).to_dict()
+        return dict.fromkeys(chosen, 1.0 / len(chosen))
+
+    return weigh
+
+
+def buffered_books(ranked: DataFrame, n: int) -> DataFrame:
+    """variant, period, isin, weight, ret of equal-weight books with a buffer; ``ranked`` has mult beside the columns of ``folded_books``."""
+    return folded_books(ranked, lambda now, held: dict.fromkeys(kept_and_filled(now, held, n, float(now["mult"].iloc[0])), 1.0))

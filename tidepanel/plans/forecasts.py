@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.functions.tables import once
-from tidepanel.operators import metrics, models, volatility
+from tidepanel.operators import boosting, metrics, models, volatility
+from tidepanel.operators.boosting import Settings
 from tidepanel.plans.registry import config, cte, panel, query, rounded
 
 cte(
@@ -200,26 +201,54 @@ def sizing_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.sizing(_newest(spark, sf_dir), "pred"))
 
 
-#: Boosting rounds and rows a leaf on the weekly panels of the test tables; the operators' own defaults are 600 and 200.
-ROUNDS, LEAF = 20, 20
-
-
 @query("SELECT isin FROM (SELECT DISTINCT isin FROM adj) ORDER BY md5(isin || ':7'), isin LIMIT 25")
 def subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed draw of 25 instruments by hash (a sampling operator)."""
     return models.subsample(panel(spark, sf_dir).select("isin").distinct(), 25, 7)
 
 
+#: Boosting as by default (600 rounds, depth 6, 31 leaves of 200 rows, L2 of 1); the search ends 50 rounds after the least validation error.
+SETTINGS = Settings(patience=50)
+
+
+@once
+def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The final model's trees, and the validation curve under the tree numbers from -2 downwards."""
+    probe, final = models.fitted(_parts(spark, sf_dir), volatility.FEATURES, SETTINGS)
+    curve = spark.createDataFrame([(-2 - k, 0, e) for k, e in enumerate(probe.errors)], "tree int, node int, value double")
+    return boosting.to_rows(spark, final).unionByName(curve, allowMissingColumns=True)
+
+
+def _model(spark: SparkSession, sf_dir: str) -> boosting.Model:
+    return boosting.from_rows(_model_rows(spark, sf_dir).where("tree > -2"), volatility.FEATURES, SETTINGS)
+
+
+@query()
+def gbt_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validation error after each round, and whether it is the number of rounds that was taken."""
+    curve = _model_rows(spark, sf_dir).where("tree < -1").select((-1 - F.col("tree")).alias("round"), F.sqrt("value").alias("rmse"))
+    least = curve.agg(F.min_by("round", F.struct("rmse", "round")).alias("best"))
+    return rounded(curve.join(F.broadcast(least)).select("round", "rmse", (F.col("round") == F.col("best")).alias("taken")))
+
+
 @query()
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boosted trees on the log ratio: rounds by validation error, refit on train and valid, scored beside the baselines."""
-    return rounded(models.boosted(_parts(spark, sf_dir), config(spark, sf_dir).horizon, volatility.FEATURES, rounds=ROUNDS, leaf=LEAF))
+    rows = models.boosted(_parts(spark, sf_dir), config(spark, sf_dir).horizon, _model(spark, sf_dir))
+    return rounded(models.scored(rows, ["trees", "ewma", "persistence"]))
+
+
+@query()
+def gbt_per_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees against the anchor on each test date, and what came after what was before."""
+    rows = models.boosted(_parts(spark, sf_dir), config(spark, sf_dir).horizon, _model(spark, sf_dir))
+    return rounded(models.per_date(rows.select("date", F.col("trees").alias("a"), F.col("ewma").alias("b"), "actual", F.col("ewma").alias("before"))))
 
 
 @query()
 def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loss of R2 when one feature is permuted over the test grid, for every feature."""
-    return rounded(models.importance(_parts(spark, sf_dir), config(spark, sf_dir).horizon, volatility.FEATURES, rounds=ROUNDS, leaf=LEAF))
+    """Loss of R2 when one feature is permuted over all rows of the test grid, for every feature."""
+    return rounded(models.importance(_parts(spark, sf_dir), config(spark, sf_dir).horizon, _model(spark, sf_dir)))
 
 
 @query()

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.functions.tables import once, shared_dir
+from tidepanel.functions.tables import once, shared_dir, stored
 from tidepanel.operators import filings as ops
 from tidepanel.plans.panel import forms
 from tidepanel.plans.registry import config, cte, query, rounded
@@ -179,6 +179,35 @@ def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(live.append_new(bars.join(cut, F.col("date") <= F.col("cut")).drop("cut"), bars))
 
 
+@query("SELECT date, isin, round(CASE WHEN isin LIKE '%7A' THEN close / 3 WHEN isin LIKE '%3A' AND date >= (SELECT MAX(date) - 200 FROM bars) THEN close * 0.9 ELSE close END, 6) AS close FROM bars")
+def append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel drained from files in three waves, with corrections of a key inside a file, a batch and over batches; the last one is often the smallest."""
+    place = f"{shared_dir(spark)}/append-{uuid.uuid4().hex}"
+    bars = adapters.bars(spark, sf_dir).select("date", "isin", "close")
+    cut = F.broadcast(bars.agg(F.date_sub(F.max("date"), 200).alias("cut")))
+    bars = stored(bars.join(cut).select("date", "isin", "close", "cut"), "append-bars")
+    old, new, close = F.col("date") < F.col("cut"), F.col("date") >= F.col("cut"), F.col("close")
+
+    def land(rows: DataFrame, value) -> None:
+        rows.select("date", "isin", value.alias("close")).write.mode("append").parquet(f"{place}/in")
+
+    def drain() -> DataFrame:
+        live.run_append(spark, f"{place}/in", bars.drop("cut").schema, f"{place}/panel", f"{place}/cp", ["date", "isin"])
+        return live.appended(spark, f"{place}/panel")
+
+    land(bars.where(old), close * 5)
+    land(bars.where(old).sortWithinPartitions("date"), close)  # the same keys again in the first batch
+    drain()
+    sevens = bars.where(F.col("isin").endswith("7A"))
+    land(bars.where(new), close)
+    land(sevens.where(old), close * 9)
+    land(sevens.withColumn("k", F.explode(F.array(F.lit(4), F.lit(2)))).coalesce(1), close * F.col("k"))
+    drain()
+    land(sevens, close / 3)
+    land(bars.where(new & F.col("isin").endswith("3A")), close * 0.9)
+    return rounded(drain())
+
+
 @query("""SELECT COUNT(DISTINCT date) FILTER (date > cut) AS sessions_added, MAX(date) AS latest, COUNT(DISTINCT date) AS sessions, COUNT(*) AS bars
     FROM bars, (SELECT CAST(MAX(date) - INTERVAL '70' DAY AS DATE) AS cut FROM bars)""")
 def append_result(spark: SparkSession, sf_dir: str) -> DataFrame:

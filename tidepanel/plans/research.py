@@ -212,17 +212,6 @@ def buffer_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.buffer_step(ranked, held, cfg.holdings, cfg.buffer, ["period"]).select("period", "isin", "rank", "kept")
 
 
-@query()
-def buffered_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ledgers of books with buffers of 1, 1.5 and 2; tested against a plain loop."""
-    cfg = config(spark, sf_dir)
-    rows = _scored(spark, sf_dir).select("form_date", "isin", "composite").join(F.broadcast(forms(spark, sf_dir).select("form_date", "period")), "form_date")
-    rows = portfolio.top_n(rows, 2 * cfg.holdings, ["form_date", "period"]).join(_fwd(spark, sf_dir).select("period", "isin", "ret"), ["period", "isin"], "left")
-    variants = F.explode(F.array(*(F.struct(F.lit(f"buffer {m}").alias("variant"), F.lit(m).alias("mult")) for m in (1.0, 1.5, 2.0))))
-    rows = rows.select("period", "isin", "rank", "ret", variants.alias("v")).select("period", "isin", "rank", "ret", "v.variant", "v.mult").where(F.col("rank") <= F.floor(F.col("mult") * cfg.holdings))
-    return rounded(backtest.ledger(portfolio.buffered_books(rows, cfg.holdings), forms(spark, sf_dir), cfg.cost_bps, ["variant"]))
-
-
 @query("SELECT period, isin, round(weight, 6) AS weight FROM invbook")
 def inverse_vol_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_inverse(spark, sf_dir).select("period", "isin", "weight"))

@@ -18,6 +18,8 @@ class Layout:
 
     name: str
     columns: dict[str, str] = field(hash=False)
+    #: The column of a file's own day, and how it is written.
+    day: tuple[str, str]
 
     def schema(self) -> str:
         return ", ".join(f"`{c}` string" for c in self.columns.values())
@@ -26,11 +28,15 @@ class Layout:
 LEGACY = Layout(
     "legacy",
     {"symbol": "SYMBOL", "series": "SERIES", "open": "OPEN", "high": "HIGH", "low": "LOW", "close": "CLOSE", "prevclose": "PREVCLOSE", "volume": "TOTTRDQTY", "turnover": "TOTTRDVAL", "trades": "TOTALTRADES", "isin": "ISIN"},
+    ("TIMESTAMP", "dd-MMM-yyyy"),
 )
 NEWER = Layout(
     "newer",
     {"symbol": "TckrSymb", "series": "SctySrs", "kind": "FinInstrmTp", "open": "OpnPric", "high": "HghPric", "low": "LwPric", "close": "ClsPric", "prevclose": "PrvsClsgPric", "volume": "TtlTradgVol", "turnover": "TtlTrfVal", "trades": "TtlNbOfTxsExctd", "isin": "ISIN"},
+    ("TradDt", "yyyy-MM-dd"),
 )
+#: Where a path tells the day, first match first, and how it is written there (fixed values of published names).
+DAYS = ((r"day=(\d{8})", "yyyyMMdd"), (r"(\d{8})[^/]*$", "yyyyMMdd"), (r"(?i)(\d{2}[a-z]{3}\d{4})[^/]*$", "ddMMMyyyy"))
 
 
 def canonical(rows: DataFrame, layout: Layout) -> DataFrame:
@@ -52,12 +58,13 @@ def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
 
     A file's layout is told by its header, wherever that names all columns of one, and cells are taken
     by name, so their order, further columns and trailing commas don't matter. The day stands in the
-    file's name as yyyymmdd, or in its folder's as day=yyyymmdd. Damaged values are null.
+    file's path (``DAYS``: day=yyyymmdd, yyyymmdd or ddMMMyyyy in its name), or else in the layout's own
+    column of each row. Damaged values are null.
 
-    The report has a row for each file: file, layout, rows read, status ("read", "no header" or
-    "unreadable"); the last two give no bars.
+    The report has a row for each file: file, layout, rows read, day (the first one), status ("read",
+    "no date", "no header" or "unreadable"). Only files that are read give bars; a row of theirs without a day gives none.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("path").alias("file"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("_metadata.file_path").alias("file"))
     text = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).text(paths)
     lines = text.select(F.col("_metadata.file_path").alias("file"), _cells(F.col("value")).alias("cells"))
     kind = F.lit(None).cast("string")
@@ -66,18 +73,43 @@ def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     lines = lines.withColumn("layout", kind)
     heads = lines.where("layout is not null").groupBy("file").agg(F.min(F.struct("layout", "cells")).alias("head"))
     rows = lines.where("layout is null").drop("layout").join(heads, "file")
-    day = F.coalesce(F.nullif(F.regexp_extract("file", r"day=(\d{8})", 1), F.lit("")), F.regexp_extract("file", r"(\d{8})[^/]*$", 1))
-    rows = rows.withColumn("date", F.try_to_date(day, "yyyyMMdd"))
+    at = lambda n: F.get("cells", F.array_position("head.cells", n).cast("int") - 1)
+    told = F.coalesce(*(F.try_to_date(F.nullif(F.regexp_extract("file", pattern, 1), F.lit("")), form) for pattern, form in DAYS))
+    own = F.coalesce(*(F.when(F.col("head.layout") == x.name, F.try_to_date(at(x.day[0]), x.day[1])) for x in (LEGACY, NEWER)))
+    rows = rows.withColumn("date", F.coalesce(told, own))
     panel = None
     for layout in (LEGACY, NEWER):
-        at = lambda n: F.get("cells", F.array_position("head.cells", n).cast("int") - 1)
-        mine = rows.where(F.col("head.layout") == layout.name).select("date", *(at(n).alias(n) for n in layout.columns.values()))
+        mine = rows.where((F.col("head.layout") == layout.name) & F.col("date").isNotNull()).select("date", *(at(n).alias(n) for n in layout.columns.values()))
         mine = canonical(mine, layout)
         panel = mine if panel is None else panel.unionByName(mine)
     seen = lines.groupBy("file").agg(F.count_if(F.col("layout").isNull()).alias("rows"))
-    found = files.join(seen, "file", "left").join(heads.select("file", "head.layout"), "file", "left")
-    status = F.when(F.col("layout").isNotNull(), "read").when(F.col("rows").isNotNull(), "no header").otherwise("unreadable")
-    return panel, found.select("file", "layout", F.coalesce("rows", F.lit(0)).alias("rows"), status.alias("status"))
+    days = rows.groupBy("file").agg(F.min("date").alias("day"))
+    found = files.join(seen, "file", "left").join(heads.select("file", "head.layout"), "file", "left").join(days, "file", "left")
+    dated = F.col("day").isNotNull() | (F.coalesce("rows", F.lit(0)) == 0)
+    status = F.when(F.col("layout").isNotNull() & dated, "read").when(F.col("layout").isNotNull(), "no date").when(F.col("rows").isNotNull(), "no header").otherwise("unreadable")
+    return panel, found.select("file", "layout", F.coalesce("rows", F.lit(0)).alias("rows"), "day", status.alias("status"))
+
+
+class MissingDaysError(RuntimeError):
+    """Days of a range could not be loaded."""
+
+
+def load_files(spark: SparkSession, paths: list[str], first: str, last: str, expected: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """The bars of daily files between two days, from ``read``.
+
+    With ``strict``, a file that can't be read, and a day of ``expected`` (column date) in the range without a
+    bar raise ``MissingDaysError``, which names the first five; else they are left out.
+    """
+    panel, report = read(spark, paths)
+    panel = panel.where(F.col("date").between(first, last))
+    if strict:
+        bad = [f"{r['file']} ({r['status']})" for r in report.where("status <> 'read'").orderBy("file").limit(5).collect()]
+        if expected is not None:
+            absent = expected.select("date").distinct().where(F.col("date").between(first, last)).join(panel.select("date").distinct(), "date", "left_anti")
+            bad += [str(r["date"]) for r in absent.orderBy("date").limit(5).collect()]
+        if bad:
+            raise MissingDaysError(f"could not load {', '.join(bad[:5])}")
+    return panel
 
 
 def write(bars: DataFrame, path: str, layout: Layout) -> None:

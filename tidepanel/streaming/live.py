@@ -7,6 +7,8 @@ from math import pi, sqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.tables import exists
+
 ZONE = "Asia/Kolkata"
 
 
@@ -49,25 +51,46 @@ def require_fresh(panel: DataFrame, today: Column, most: int = 5) -> None:
         raise StaleDataError(f"latest session {found['last']} is {found['age_days']} days old (limit {most})")
 
 
+#: When a row came: the batch, then the file's time and name, then the place in the file.
+ARRIVAL = "struct<batch:bigint,time:timestamp,file:string,row:bigint>"
+
+
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows of a key the one that arrived last (column ``arrival``)."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("arrival"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def run_append(spark: SparkSession, source: str, schema, target: str, checkpoint: str, keys: list[str]) -> None:
-    """Drain newly landed files into a panel partitioned by year; only touched years are rewritten, corrections win."""
+    """Drain newly landed Parquet files into a panel partitioned by year (see ``appended``); the last correction of a key wins.
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch = batch.withColumn("year", F.year("date"))
+    Rows keep when they arrived, so of several corrections in one batch, one file or different batches the latest
+    counts, whatever its values; a batch that is run again changes nothing. Only touched years are rewritten.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        order = F.struct(F.lit(number).cast("long").alias("batch"), "_file.file_modification_time", "_file.file_path", "_file.row_index")
+        batch = batch.select("*", order.cast(ARRIVAL).alias("arrival"), F.year("date").alias("year")).drop("_file")
         years = [r["year"] for r in batch.select("year").distinct().collect()]
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(target)
-        out = batch
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            out = upsert(spark.read.parquet(target).where(F.col("year").isin(years)).select(*batch.columns), batch, keys)
+        if not years:
+            return
+        if exists(spark, target):
+            batch = spark.read.parquet(target).where(F.col("year").isin(years)).select(*batch.columns).unionByName(batch)
         # the rewritten partitions are read above, so their rows are held outside the target first
         held = f"{checkpoint}-held"
-        out.write.mode("overwrite").parquet(held)
-        spark.read.schema(out.schema).parquet(held).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(target)
+        newest(batch, keys).write.mode("overwrite").parquet(held)
+        spark.read.parquet(held).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(target)
 
-    stream = spark.readStream.schema(schema).parquet(source)
+    files = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index")
+    stream = spark.readStream.schema(schema).parquet(source).select("*", files.alias("_file"))
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def appended(spark: SparkSession, target: str) -> DataFrame:
+    """The panel that ``run_append`` keeps."""
+    return spark.read.parquet(target).drop("arrival", "year")
+
+
 def freshness(panel: DataFrame, today: Column, most: int = 5) -> DataFrame:
     """last, age_days, fresh: whether the newest session is at most ``most`` calendar days before ``today`` (which may use the panel's other columns)."""
     names = [c for c in panel.columns if c != "date"]
