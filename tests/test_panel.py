@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.config import Config
+from tidepanel.config import WEEKLY
 from tidepanel.operators import adjust, backtest, factors, filings, metrics, models, portfolio, universe, volatility
 from tidepanel.operators import calendar as cal
 from tidepanel.sources import layouts
 from tidepanel.streaming import live
 
-CFG = Config.for_panel(10)
+CFG = replace(WEEKLY, universe_size=5, holdings=5, z_minimum=5)
 
 
 def sessions(n: int) -> list[dt.date]:
@@ -297,19 +298,95 @@ def test_surprise_and_empty_feed(spark):
     assert '"available":false' in live.live_payload(live.surprise(latest, prev, fore).limit(0)).first()[0]
 
 
-def test_garch_prefers_persistence(spark):
-    draw, rows = random.Random(2), []
-    h = 1e-4
-    for s in range(600):
-        r = draw.gauss(0, h**0.5)
-        rows.append(("a", s, r))
-        h = 1e-4 * 0.05 + 0.15 * r * r + 0.8 * h
-    dates = spark.createDataFrame([(dt.date(2020, 1, 1), 599), (dt.date(2019, 1, 1), 300), (dt.date(2018, 1, 1), 50)], "date date, s long")
-    table_ = spark.createDataFrame(rows, "isin string, s long, ret double")
-    got = {r["n"]: r for r in models.garch(table_, dates, 4, 252, 100).collect()}
-    assert set(got) == {600, 301} and got[600]["alpha"] + got[600]["beta"] >= 0.7 and got[600]["forecast"] > 0
-    alone = models.garch(table_.where("s <= 300"), dates.where("s = 300"), 4, 252, 100).first()
-    assert alone["forecast"] == pytest.approx(got[301]["forecast"])  # nothing later than its date counts
+def test_garch_finds_known_parameters(spark):
+    rows = []
+    for name, alpha, beta in (("a", 0.15, 0.8), ("b", 0.1, 0.6)):
+        draw, h = np.random.default_rng(7), 1e-4
+        for s in range(6000):
+            r = 0.001 + draw.normal() * h**0.5
+            rows.append((name, s, float(r)))
+            h = 1e-4 * (1 - alpha - beta) + alpha * (r - 0.001) ** 2 + beta * h
+    rows += [("flat", s, 0.0) for s in range(700)] + [("short", s, 0.01) for s in range(99)]
+    dates = spark.createDataFrame([(dt.date(2022, 1, 1), 5999), (dt.date(2021, 1, 1), 3000), (dt.date(2018, 1, 1), 50)], "date date, s long")
+    frame = spark.createDataFrame(rows, "isin string, s long, ret double")
+    got = {(r["isin"], r["n"]): r for r in models.garch(frame, dates, 4, 252, 100).collect()}
+    assert set(got) == {("a", 6000), ("a", 3001), ("b", 6000), ("b", 3001)}  # no fit without variance or observations
+    for name, alpha, beta in (("a", 0.15, 0.8), ("b", 0.1, 0.6)):
+        r = got[name, 6000]
+        assert r["converged"] and r["alpha"] == pytest.approx(alpha, abs=0.03) and r["beta"] == pytest.approx(beta, abs=0.1), r
+    alone = models.garch(frame.where("s <= 3000"), dates.where("s = 3000"), 4, 252, 100).where("isin = 'a'").first()
+    assert alone["forecast"] == pytest.approx(got["a", 3001]["forecast"])  # nothing later than its date counts
+    assert models.garch(frame.limit(0), dates, 4, 252).count() == 0
+
+
+def test_garch_search_equals_plain_loops():
+    draw = np.random.default_rng(1)
+    ret = draw.normal(size=80) * 0.01 * (1 + (np.arange(80) // 20) % 2)
+    search = models.GarchSearch(passes=3)
+    (a, p, converged, v, after), none = models._garch_fits(ret, np.array([70, 80]), search)[0], models._garch_fits(np.zeros(9), np.array([9]), search)[0]
+    x, best, point = ret[:70], None, search.centre
+    for k in range(3):
+        best = None
+        for i in search.steps:
+            for j in search.steps:
+                q = min(max(point[1] + j * search.width[1] * 0.5**k, 0.05), 0.999)
+                b = min(min(max(point[0] + i * search.width[0] * 0.5**k, 0.001), 0.4), q)
+                h, loss = x.var(), 0.0
+                for r in x - x.mean():
+                    loss, h = loss + np.log(h) + r * r / h, (1 - q) * x.var() + b * r * r + (q - b) * h
+                if best is None or loss < best[0] - 1e-12:
+                    best = (loss, b, q, h, max(abs(i), abs(j)) < 1)
+        point = best[1:3]
+    assert none is None and (a, p, v, after) == pytest.approx((*point, x.var(), best[3])) and isinstance(converged, bool)
+
+
+def test_wide_files_are_unpivoted_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Datetime,AA.NS, B-B.NS ,CC\n2024-01-05 09:15:00,1,,x\n2024-01-05 09:20:00,,,\nodd,1,2,3\n2024-01-05 09:25:00,2.5,3,4\n")
+    (tmp_path / "b.csv").write_text("Datetime,DD.NS\r\n2024-01-05 09:15:00,7\r\n")
+    (tmp_path / "c.csv").write_text("")
+    (tmp_path / "d.csv").write_text("Datetime,AA.NS\n")
+    got = live.wide_ticks(spark.read.text(str(tmp_path), wholetext=True)).collect()
+    assert sorted((r["symbol"], r["ts"].minute, r["price"]) for r in got) == [("AA", 15, 1.0), ("AA", 25, 2.5), ("B-B", 25, 3.0), ("CC", 25, 4.0), ("DD", 15, 7.0)]
+
+
+def test_the_monitor_carries_prices_through_the_day_only(spark, tmp_path):
+    schema = "symbol string, ts timestamp, price double"
+    src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+    previous = spark.createDataFrame([("A", 100.0), ("B", 100.0), ("C", 100.0)], "symbol string, prev_close double")
+    forecasts = spark.createDataFrame([(s, 20.0) for s in "ABC"], "symbol string, forecast double")
+
+    def wave(*rows):
+        spark.createDataFrame([(s, dt.datetime(2024, 1, d, h), p) for s, d, h, p in rows], schema).write.mode("append").parquet(src)
+        live.run_monitor(spark, spark.readStream.schema(schema).parquet(src), previous, forecasts, out, cp)
+        scored, document = live.monitored(spark, out)
+        return {r["symbol"]: r["price"] for r in scored.collect()}, document.first()["payload"]
+
+    got, text = wave()  # a file without ticks
+    assert got == {} and '"available":false' in text
+    got, text = wave(("A", 4, 5, 101.0), ("B", 4, 5, 90.0), ("A", 4, 4, 1.0))
+    assert got == {"A": 101.0, "B": 90.0} and '"available":true' in text and '"scored":2' in text
+    assert wave(("C", 4, 6, 105.0), ("A", 4, 4, 2.0))[0] == {"A": 101.0, "B": 90.0, "C": 105.0}  # carried on; a late tick changes nothing
+    assert wave(("C", 5, 5, 99.0))[0] == {"C": 99.0}  # the next day
+    assert wave(("A", 5, 6, 98.0))[0] == {"A": 98.0, "C": 99.0}
+
+
+def test_stored_tables_follow_their_folder(spark, tmp_path):
+    from tidepanel.functions import tables
+
+    made = []
+
+    @tables.once
+    def doubled(spark, folder):
+        made.append(folder)
+        return spark.read.parquet(f"{folder}/t.parquet").selectExpr("2 * id as id")
+
+    place = f"file://{tmp_path}"
+    spark.range(3).write.parquet(f"{place}/t.parquet")
+    assert [doubled(spark, place).count(), doubled(spark, place).count(), len(made)] == [3, 3, 1]
+    spark.range(5).write.mode("overwrite").parquet(f"{place}/t.parquet")
+    assert [doubled(spark, place).count(), len(made)] == [5, 2]
+    tables.forget(spark)
+    assert [doubled(spark, place).count(), len(made)] == [5, 3]
 
 
 def test_a_run_takes_the_callers_functions(spark):

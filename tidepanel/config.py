@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
-    """Defaults for daily panels; ``for_panel`` shrinks them for weekly fixtures."""
+    """Defaults for daily panels. Nothing depends on how large a panel is."""
 
     universe_size: int = 500
     holdings: int = 30
@@ -40,23 +40,19 @@ class Config:
     filing_age: int = 400
     balance_age: int = 550
 
-    @classmethod
-    def for_panel(cls, instruments: int) -> Config:
-        """Weekly panels of a known number of instruments."""
-        return cls(
-            universe_size=instruments // 2,
-            holdings=5 if instruments <= 10 else 20 if instruments <= 100 else 50,
-            formation=26,
-            min_trading_frac=0.6,
-            min_turnover=1e4,
-            warmup=60,
-            long_momentum=48,
-            short_momentum=22,
-            skip=4,
-            vol_window=26,
-            vol_history=13,
-            reversal=4,
-            horizon=4,
-            windows=(4, 13, 26, 52),
-            z_minimum=5 if instruments <= 10 else 10,
-        )
+
+#: Weekly panels: the same sizes, with windows in weeks and thresholds for names that trade less often.
+WEEKLY = Config(
+    formation=26,
+    min_trading_frac=0.6,
+    min_turnover=1e4,
+    warmup=60,
+    long_momentum=48,
+    short_momentum=22,
+    skip=4,
+    vol_window=26,
+    vol_history=13,
+    reversal=4,
+    horizon=4,
+    windows=(4, 13, 26, 52),
+)

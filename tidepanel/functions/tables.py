@@ -11,7 +11,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-_WRITTEN: dict[tuple[str, str, str], tuple[str, str]] = {}
+#: By application, function and folder: path, schema, and the folder's state when it was written.
+_WRITTEN: dict[tuple[str, str, str], tuple[str, str, str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,18 +38,47 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def state(spark: SparkSession, folder: str) -> str:
+    """What a folder of tables holds just now: each table's bytes and files and when it was changed."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = []
+    for x in store.listStatus(place):
+        total = store.getContentSummary(x.getPath())
+        seen.append((x.getPath().getName(), x.getModificationTime(), total.getLength(), total.getFileCount()))
+    return json.dumps(sorted(seen))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete the tables that ``once`` has written; they are made again when they are next wanted."""
+    for path, _, _ in _WRITTEN.values():
+        _remove(spark, path)
+    _WRITTEN.clear()
+
+
 def once(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Write the table that f(spark, sf_dir) gives at its first use in an application; later uses read it."""
+    """Write the table that f(spark, sf_dir) gives at its first use in an application; later uses read it.
+
+    When the tables of the folder have changed since, it is made anew and the old one deleted.
+    """
 
     @wraps(f)
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, f.__module__ + "." + f.__qualname__, sf_dir)
+        now = state(spark, sf_dir)
+        if key in _WRITTEN and _WRITTEN[key][2] != now:
+            _remove(spark, _WRITTEN.pop(key)[0])
         if key not in _WRITTEN:
             df = f(spark, sf_dir)
             path = f"{shared_dir(spark)}/{f.__name__.strip('_')}-{uuid.uuid4().hex}"
             df.write.parquet(path)
-            _WRITTEN[key] = path, df.schema.json()
-        path, schema = _WRITTEN[key]
+            _WRITTEN[key] = path, df.schema.json(), now
+        path, schema, _ = _WRITTEN[key]
         return spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(path)
 
     return get

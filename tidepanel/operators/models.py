@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from functools import reduce
 from math import sqrt
 
@@ -130,29 +130,96 @@ def importance(parts: DataFrame, horizon: int, model: boosting.Model, repeats: i
     return drop.groupBy(named.alias("feature")).agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("sd"))
 
 
-def garch(rows: DataFrame, dates: DataFrame, horizon: int, year: int, minimum: int) -> DataFrame:
-    """isin, date, n, alpha, beta, forecast as of each evaluation date (date, s): the likeliest (alpha, beta) of a grid on the returns up to it, long-run variance as measured.
+@dataclass(frozen=True)
+class GarchSearch:
+    """A grid of (alpha, alpha + beta) that narrows around its best point: centre, half-widths, passes, and the region's borders.
 
-    The recursion runs over the ordered returns of an instrument as a higher-order aggregate; the mean
-    variance of the next ``horizon`` sessions follows in closed form. An instrument's series is bounded by
-    the calendar.
+    tolerance is what the last pass may still take off minus twice the log-likelihood of a fit that has converged.
     """
+
+    centre: tuple[float, float] = (0.12, 0.84)
+    width: tuple[float, float] = (0.1, 0.15)
+    passes: int = 6
+    shrink: float = 0.5
+    alpha: tuple[float, float] = (0.001, 0.4)
+    persistence: tuple[float, float] = (0.05, 0.999)
+    steps: tuple[float, ...] = (-1.0, -0.5, 0.0, 0.5, 1.0)
+    tolerance: float = 0.1
+
+
+_GARCH = "isin string, date date, n long, alpha double, beta double, converged boolean, forecast double"
+
+
+def garch(rows: DataFrame, dates: DataFrame, horizon: int, year: int, minimum: int = 500, search: GarchSearch = GarchSearch()) -> DataFrame:
+    """isin, date, n, alpha, beta, converged, forecast as of each evaluation date (date, s), from at least ``minimum`` returns up to it.
+
+    GARCH(1,1) of the returns about their mean, with the long-run variance as measured: the likeliest point of a grid
+    over (alpha, alpha + beta), which is searched again in half the width around it, ``passes`` times. All dates
+    and candidates of an instrument go through one recursion over its sessions at once; a candidate's state is its
+    variance and its loss. ``converged`` says that the last pass gained less than the tolerance and its best point lies inside the region.
+    The mean variance of the next ``horizon`` sessions follows in closed form. A group is one
+    instrument's returns, bounded by the calendar.
+    """
+    every = dates.agg(F.array_sort(F.collect_set(F.struct("s", "date"))).alias("d"))
     series = rows.where("ret is not null").groupBy("isin").agg(F.array_sort(F.collect_list(F.struct("s", "ret"))).alias("x"))
-    every = dates.agg(F.collect_set(F.struct("date", "s")).alias("d"))
-    series = series.join(F.broadcast(every)).select("isin", "x", F.explode("d").alias("d"))
-    series = series.select("isin", "d.date", F.transform(F.filter("x", lambda x: x["s"] <= F.col("d.s")), lambda x: x["ret"]).alias("r"))
-    mean_of = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
-    series = series.withColumn("n", F.size("r").cast("long")).where(F.col("n") >= minimum).withColumn("mean", mean_of(F.col("r")))
-    series = series.withColumn("r2", F.transform("r", lambda x: x * x)).withColumn("v", mean_of(F.col("r2")) - F.col("mean") * F.col("mean")).where("v > 0")
-    grid = [(a, b) for a in (0.02, 0.05, 0.1, 0.15, 0.2) for b in (0.6, 0.7, 0.8, 0.9) if a + b < 1]
-    tried = series.select("isin", "date", "n", "v", "r2", F.explode(F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a, b in grid))).alias("g")).select("isin", "date", "n", "v", "r2", "g.alpha", "g.beta")
-    a, b, v = F.col("alpha"), F.col("beta"), F.col("v")
-    start = F.struct(v.alias("h"), F.lit(0.0).alias("loss"))
-    run = F.aggregate("r2", start, lambda s, x: F.struct(((1 - a - b) * v + a * x + b * s["h"]).alias("h"), (s["loss"] + F.ln(s["h"]) + x / s["h"]).alias("loss")))
-    done = tried.withColumn("run", run).groupBy("isin", "date", "n", "v").agg(F.min_by(F.struct("alpha", "beta", "run"), F.col("run.loss")).alias("best"))
-    p = F.col("best.alpha") + F.col("best.beta")
-    mean = v + (F.col("best.run.h") - v) * (1 - F.pow(p, horizon)) / (horizon * (1 - p))
-    return done.select("isin", "date", "n", F.col("best.alpha").alias("alpha"), F.col("best.beta").alias("beta"), (F.sqrt(mean) * sqrt(year)).alias("forecast"))
+    series = series.select("isin", "x.s", "x.ret").where(F.size("s") >= minimum).join(F.broadcast(every)).select("isin", "s", "ret", F.col("d.s").alias("ends"), F.col("d.date").alias("dates"))
+
+    def fits(batches):
+        for batch in batches:
+            for one in batch.to_pylist():
+                ret, upto = np.array(one["ret"]), np.searchsorted(one["s"], one["ends"], side="right")
+                on = np.flatnonzero(upto >= minimum)
+                found = _garch_fits(ret, upto[on], search)
+                keep = [k for k in range(len(on)) if found[k] is not None]
+                cells = [(one["isin"], one["dates"][on[k]], int(upto[on[k]]), *_garch_forecast(found[k], horizon, year)) for k in keep]
+                names = [c.split()[0] for c in _GARCH.split(", ")]
+                kinds = [pa.string(), pa.date32(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True) if cells else [[]] * 7, kinds, strict=True)], names)
+
+    return series.mapInArrow(fits, _GARCH)
+
+
+def _garch_fits(ret: np.ndarray, upto: np.ndarray, search: GarchSearch) -> list[tuple | None]:
+    """(alpha, persistence, converged, variance, next variance) for the returns up to each end; None without variance."""
+    if not len(upto):
+        return []
+    mean, v = (np.array([f(ret[:n]) for n in upto]) for f in (np.mean, np.var))
+    start = np.where(v > 0, v, 1.0)
+    grid = np.array([(i, j) for i in search.steps for j in search.steps])
+    best, ends = np.tile(np.array(search.centre), (len(upto), 1)), np.arange(len(upto))
+    least = np.full(len(upto), np.inf)
+    for k in range(search.passes):
+        points = best[:, None, :] + grid * np.array(search.width) * search.shrink**k
+        p = np.clip(points[..., 1], *search.persistence)
+        a = np.minimum(np.clip(points[..., 0], *search.alpha), p)
+        loss, after = _garch_losses(ret, upto, mean, start, a, p)
+        at = loss.argmin(1)
+        gain, least = least - loss[ends, at], loss[ends, at]
+        best = np.column_stack([a[ends, at], p[ends, at]])
+    alpha, persistence = best.T
+    inside = (gain <= search.tolerance) & (alpha > search.alpha[0]) & (alpha < np.minimum(search.alpha[1], persistence)) & (persistence > search.persistence[0]) & (persistence < search.persistence[1])
+    return [(float(alpha[d]), float(persistence[d]), bool(inside[d]), float(v[d]), float(after[d, at[d]])) if v[d] > 0 else None for d in ends]
+
+
+def _garch_losses(ret: np.ndarray, upto: np.ndarray, mean: np.ndarray, start: np.ndarray, a: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minus twice the log-likelihood (but for a constant) of each end's candidates, and their variance one session later."""
+    h = np.repeat(start[:, None], a.shape[1], 1)
+    base, b, total = (1 - p) * h, p - a, np.zeros_like(h)
+    loss, after = np.zeros_like(h), np.zeros_like(h)
+    for t in range(int(upto.max())):
+        e = ((ret[t] - mean) ** 2)[:, None]
+        total += np.log(h) + e / h
+        h = base + a * e + b * h
+        done = upto == t + 1
+        if done.any():
+            loss[done], after[done] = total[done], h[done]
+    return loss, after
+
+
+def _garch_forecast(fit: tuple, horizon: int, year: int) -> tuple[float, float, bool, float]:
+    a, p, converged, v, after = fit
+    mean = v + (after - v) * (1 - p**horizon) / (horizon * (1 - p))
+    return a, p - a, converged, sqrt(mean) * sqrt(year)
 
 
 def age(rows: DataFrame, most: int) -> DataFrame:

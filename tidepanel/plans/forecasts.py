@@ -166,12 +166,24 @@ def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.paired_t(_per_date(spark, sf_dir).withColumn("d", F.col("rmse_a") - F.col("rmse_b")), "d").drop("p"))
 
 
-@query()
+def _two_sided(t: str, df: str) -> str:
+    """Student's two-sided probability in SQL: Simpson's rule over the density."""
+    density = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * power(1 + power(abs({t}) * k / 2000.0, 2) / {df}, -({df} + 1) / 2.0)"
+    return f"1 - 2 * abs({t}) / 6000.0 * list_sum(list_transform(range(0, 2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * {density}))"
+
+
+@query(f"SELECT n, round(mean, 8) AS mean, round(t, 8) AS t_stat, round({_two_sided('t', '(n - 1)')}, 8) AS p FROM (SELECT COUNT(*) AS n, AVG(d) AS mean, AVG(d) / stddev_samp(d) * sqrt(COUNT(*)) AS t FROM (SELECT rmse_a - rmse_b AS d FROM pdate))")
 def paired_t_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with its two-sided probability; tested against numerical integration."""
+    """The same with its two-sided probability."""
     return rounded(metrics.paired_t(_per_date(spark, sf_dir).withColumn("d", F.col("rmse_a") - F.col("rmse_b")), "d"), 8)
 
 
+@query(f"SELECT n, round(r, 8) AS corr, round({_two_sided('t', '(n - 2)')}, 8) AS p FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT COUNT(*) AS n, corr(vol_change, improvement) AS r FROM pdate))")
+def regime_corr_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regime's correlation with its two-sided probability."""
+    return rounded(metrics.correlation(_per_date(spark, sf_dir), "vol_change", "improvement"), 8)
+
+
 @query("SELECT COUNT(*) AS n, round(corr(vol_change, improvement), 6) AS corr FROM pdate")
 def regime_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.correlation(_per_date(spark, sf_dir), "vol_change", "improvement").drop("p"))
@@ -251,13 +263,12 @@ def perm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.importance(_parts(spark, sf_dir), config(spark, sf_dir).horizon, _model(spark, sf_dir)))
 
 
-@query()
-def garch_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variance-targeted GARCH(1,1) by grid likelihood for every instrument and date of the test grid."""
-    cfg = config(spark, sf_dir)
-    dates = volatility.grid(_parts(spark, sf_dir).where("part = 'test'"), cfg.horizon).select("date").distinct()
-    dates = dates.join(panel(spark, sf_dir).select("date", "s").distinct(), "date")
-    return rounded(models.garch(volatility.returns(panel(spark, sf_dir)), dates, cfg.horizon, cfg.year, 100))
+@query("SELECT t.trained, t.today, date_diff('day', t.trained, t.today) AS age_days, t.trained IS NULL OR date_diff('day', t.trained, t.today) > 30 AS retrain FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) END AS trained, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 61 AS INT) AS DATE) AS today FROM orders) t")
+def model_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether models of many ages are due; some are absent."""
+    when, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.when(key % 5 > 0, when).alias("trained"), F.date_add(when, (key % 61).cast("int")).alias("today"))
+    return rounded(models.age(rows, 30))
 
 
 @query("SELECT MAX(date) AS trained, MAX(date) + 12 AS today, 12 AS age_days, false AS retrain FROM bars")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from tidepanel.sources import adapters, layouts
 
 cte(
     bars=adapters.BARS,
-    cfg="""SELECT COUNT(*) // 2 AS u, CASE WHEN COUNT(*) <= 10 THEN 5 ELSE 10 END AS zmin, CASE WHEN COUNT(*) <= 10 THEN 5 WHEN COUNT(*) <= 100 THEN 20 ELSE 50 END AS h FROM supplier""",
+    cfg="SELECT 500 AS u, 10 AS zmin, 30 AS h",
     cal="SELECT date, ROW_NUMBER() OVER (ORDER BY date) - 1 AS s FROM (SELECT DISTINCT date FROM bars)",
     mends="SELECT CAST(date_trunc('month', date) AS DATE) AS month, MAX(date) AS date, MAX(s) AS s FROM cal GROUP BY 1",
     reb="""SELECT *, ROW_NUMBER() OVER (ORDER BY form_s) - 1 AS period FROM (SELECT m.date AS form_date, m.s AS form_s, c.date AS entry, m.s + 1 AS entry_s,
@@ -173,6 +174,12 @@ def action_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(quality.action_stats(actions, cal_ops.calendar(bars), 52.0))
 
 
+@query("SELECT isin, date, round(factor, 6) AS factor FROM (SELECT isin, date, round(factor, 6) AS factor FROM factored WHERE factor <> 1) ORDER BY factor, isin, date LIMIT 8")
+def smallest_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight most drastic corporate actions."""
+    return quality.smallest_actions(detect_actions(spark, sf_dir))
+
+
 @query("""SELECT COUNT(raw) AS n_raw, round(stddev_samp(raw), 6) AS std_raw, COUNT(*) FILTER (raw < -0.4) AS crashes_raw, COUNT(fix) AS n_adjusted, round(stddev_samp(fix), 6) AS std_adjusted, COUNT(*) FILTER (fix < -0.4) AS crashes_adjusted
     FROM (SELECT close / LAG(close) OVER w - 1 AS raw, adj_close / LAG(adj_close) OVER w - 1 AS fix FROM adj WINDOW w AS (PARTITION BY isin ORDER BY s))""")
 def return_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,6 +227,12 @@ def universe_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(universe.universe(universe.formation_stats(rows, last, cfg.formation), cfg).select("isin", "symbol", "median_turnover", "rank"))
 
 
+@query("SELECT form_date, isin, rank FROM (SELECT form_date, isin, ROW_NUMBER() OVER (PARTITION BY form_date ORDER BY median_turnover DESC, isin) AS rank FROM stats WHERE traded AND trading_frac >= 0.6 AND median_turnover >= 1e4) WHERE rank <= 25")
+def universe_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Universes of the 25 most liquid names."""
+    return universe.universe(_stats(spark, sf_dir), replace(config(spark, sf_dir), universe_size=25)).select("form_date", "isin", "rank")
+
+
 @query("""SELECT a.form_date, COUNT(*) - COUNT(b.isin) AS n_new, COUNT(*) AS size, round((COUNT(*) - COUNT(b.isin)) / COUNT(*), 6) AS churn FROM uni a
     JOIN (SELECT form_date, LAG(form_date) OVER (ORDER BY form_date) AS p FROM (SELECT DISTINCT form_date FROM uni)) d ON d.form_date = a.form_date AND p IS NOT NULL
     LEFT JOIN uni b ON b.form_date = d.p AND b.isin = a.isin GROUP BY 1""")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.config import Config
+from tidepanel.config import WEEKLY, Config
 from tidepanel.functions.tables import once
 from tidepanel.operators.adjust import prepared
 from tidepanel.sources import adapters
@@ -25,6 +24,20 @@ def cte(**texts: str) -> None:
     CTES.update(texts)
 
 
+def copied(prefix: str, names: list[str], changes: dict[str, list[tuple[str, str]]]) -> None:
+    """Further CTEs like those named, under a prefix, that read each other; ``changes`` are replacements in the text of some."""
+    ends = "ON|USING|WHERE|GROUP|ORDER|JOIN|LEFT|FULL|CROSS|WINDOW|HAVING|QUALIFY|UNION|LIMIT"
+    for name in names:
+        text = CTES[name]
+        for old, new in changes.get(name, []):
+            if old not in text:
+                raise ValueError(f"{name} does not contain {old}")
+            text = text.replace(old, new)
+        one = rf"\b(FROM|JOIN) ({'|'.join(names)})\b(?! (?!(?:{ends})\b)[A-Za-z])"
+        text = re.sub(one, rf"\1 {prefix}\2 AS \2", text)
+        CTES[prefix + name] = re.sub(rf"\b(FROM|JOIN) ({'|'.join(names)})\b(?! AS \2\b)", rf"\1 {prefix}\2", text)
+
+
 def with_ctes(text: str) -> str:
     """The text with exactly the CTEs that it uses, directly or through others, in front."""
     used: dict[str, str] = {}
@@ -59,9 +72,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-@lru_cache(8)
 def config(spark: SparkSession, sf_dir: str) -> Config:
-    return Config.for_panel(spark.read.parquet(f"{sf_dir}/supplier.parquet").count())
+    """The thresholds of the weekly panel's queries."""
+    return WEEKLY
 
 
 @once

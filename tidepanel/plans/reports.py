@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.tables import once, shared_dir, stored
@@ -237,10 +237,47 @@ def bars_5m_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = f"{shared_dir(spark)}/ticks-{uuid.uuid4().hex}"
     ticks = adapters.ticks(spark, sf_dir)
     ticks.unionByName(ticks.where("price > 100")).write.parquet(f"{place}/in")
-    bars = live.run_bars_5m(spark, f"{place}/in", ticks.schema, f"{place}/out", f"{place}/cp")
+    bars = live.run_bars_5m(spark, spark.readStream.schema(ticks.schema).parquet(f"{place}/in"), f"{place}/out", f"{place}/cp")
     return rounded(bars.withColumn("start", F.col("start").cast(ticks.schema["ts"].dataType)))
 
 
+def land_wide(ticks: DataFrame, place: str, files: int = 12) -> None:
+    """Ticks as wide files: a header with the symbols of a file under the feed's names, and one line a time."""
+    one = ticks.groupBy("symbol", F.col("ts").cast("string").alias("ts")).agg(F.max("price").alias("price")).withColumn("file", F.pmod(F.xxhash64("symbol"), F.lit(files)))
+    names = one.groupBy("file").agg(F.sort_array(F.collect_set("symbol")).alias("names"))
+    lines = one.groupBy("file", "ts").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "price"))).alias("m")).join(F.broadcast(names), "file")
+    cells = F.transform("names", lambda s: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda k, _: k == s)), F.lit(0)).cast("string"), F.lit("")))
+    text = lines.select("file", "names", "ts", F.concat_ws(",", "ts", cells).alias("line"))
+    text = text.groupBy("file").agg(F.concat_ws(",", F.lit("Datetime"), F.transform(F.first("names"), lambda s: F.concat(s, F.lit(live.SUFFIX)))).alias("head"), F.sort_array(F.collect_list("line")).alias("lines"))
+    text.select("file", F.concat_ws("\n", "head", F.array_join("lines", "\n")).alias("value")).repartition("file").write.partitionBy("file").text(place)
+
+
+@query("SELECT symbol, time_bucket(INTERVAL '5' MINUTE, ts) AS start, round(arg_min(price, ts), 6) AS open, round(MAX(price), 6) AS high, round(MIN(price), 6) AS low, round(arg_max(price, ts), 6) AS close, COUNT(*) AS n FROM (SELECT symbol, ts, MAX(price) AS price FROM tick GROUP BY 1, 2) GROUP BY 1, 2")
+def bars_5m_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute bars of a stream of wide files, each with columns of its own."""
+    place = f"{shared_dir(spark)}/wide-{uuid.uuid4().hex}"
+    ticks = adapters.ticks(spark, sf_dir)
+    land_wide(ticks, f"{place}/in")
+    files = spark.readStream.text(f"{place}/in", wholetext=True)
+    bars = live.run_bars_5m(spark, live.wide_ticks(files), f"{place}/out", f"{place}/cp")
+    return rounded(bars.withColumn("start", F.col("start").cast(ticks.schema["ts"].dataType)))
+
+
+@query("SELECT symbol, round(price, 6) AS price, round(move, 6) AS move, round(surprise, 6) AS surprise FROM surp WHERE CAST(last_bar + INTERVAL '330' MINUTE AS DATE) = (SELECT CAST(MAX(ts) + INTERVAL '330' MINUTE AS DATE) FROM tick)")
+def monitor_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live monitor over ticks that land in three waves after an empty one; prices of earlier days have expired."""
+    place = f"{shared_dir(spark)}/monitor-{uuid.uuid4().hex}"
+    ticks = adapters.ticks(spark, sf_dir)
+    thirds = F.ntile(3).over(Window.orderBy("day"))  # one row a day
+    days = ticks.select(live.session_date(F.col("ts")).alias("day")).distinct().withColumn("wave", thirds)
+    waved = stored(ticks.withColumn("day", live.session_date(F.col("ts"))).join(F.broadcast(days), "day"), "waves")
+    for wave in range(4):
+        waved.where(F.col("wave") == wave).select("symbol", "ts", "price").write.mode("append").parquet(f"{place}/in")
+        stream = spark.readStream.schema(ticks.schema).parquet(f"{place}/in")
+        live.run_monitor(spark, stream, live.previous_close(ticks), _forecasts(spark, sf_dir), f"{place}/out", f"{place}/cp")
+    return rounded(live.monitored(spark, f"{place}/out")[0].select("symbol", "price", "move", "surprise"))
+
+
 @query("SELECT symbol, round(prev_close, 6) AS prev_close FROM prev")
 def previous_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(live.previous_close(adapters.ticks(spark, sf_dir)))
@@ -251,11 +288,14 @@ def bars_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(live.bars_5m(adapters.ticks(spark, sf_dir)))
 
 
-def _surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    forecasts = events.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), (20.0 + F.col("user_id") % 40).alias("forecast")).distinct()
+    return events.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), (20.0 + F.col("user_id") % 40).alias("forecast")).distinct()
+
+
+def _surprise(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = adapters.ticks(spark, sf_dir)
-    return live.surprise(live.latest_price(ticks), live.previous_close(ticks), forecasts)
+    return live.surprise(live.latest_price(ticks), live.previous_close(ticks), _forecasts(spark, sf_dir))
 
 
 @query(f"SELECT symbol, {R('price', 'prev_close', 'move', 'expected_move', 'surprise')} FROM surp")
@@ -277,3 +317,14 @@ def hot_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def live_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monitor's JSON document."""
     return live.live_payload(_surprise(spark, sf_dir))
+
+
+PAYLOAD = "available boolean, reason string, scored long, hot long, rows array<struct<symbol:string,price:double,move:double,surprise:double>>"
+
+
+@query("""SELECT true AS available, (SELECT COUNT(*) FROM surp) AS scored, (SELECT COUNT(*) FROM surp WHERE surprise >= 2.5) AS hot, symbol, round(price, 6) AS price, round(move, 6) AS move, round(surprise, 6) AS surprise
+    FROM (SELECT * FROM surp ORDER BY surprise DESC, symbol LIMIT 25)""")
+def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monitor's document read back."""
+    doc = live_payload(spark, sf_dir).select(F.from_json("payload", PAYLOAD).alias("d")).select("d.*")
+    return rounded(doc.select("available", "scored", "hot", F.explode("rows").alias("r")).select("available", "scored", "hot", "r.*"))

@@ -22,6 +22,15 @@ SELECT date, CONCAT('S', CAST(k AS VARCHAR(20))) AS symbol,
   volume, turnover, trades
 FROM e WHERE NOT (k % 5 = 1 AND s BETWEEN 170 AND 185)"""
 
+#: Daily bars of the suppliers' nations; each line trades on three days, so that most nations trade on most days.
+DAILY = """WITH t AS (SELECT s_nationkey AS k, CAST(l_shipdate AS DATE) AS d, l_discount, l_extendedprice, l_quantity, l_tax FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+f AS (SELECT k, d AS date, l_discount, l_extendedprice, l_quantity, l_tax FROM t UNION ALL SELECT k, CAST(d + INTERVAL '30' DAY AS DATE), l_discount, l_extendedprice, l_quantity, l_tax FROM t
+  UNION ALL SELECT k, CAST(d + INTERVAL '61' DAY AS DATE), l_discount, l_extendedprice, l_quantity, l_tax FROM t),
+cell AS (SELECT k, date, (AVG(l_discount) - 0.05) * (1 + EXTRACT(month FROM date) % 3) / 2 AS r, 1000 * SUM(l_extendedprice) AS turnover, SUM(l_quantity) AS volume, COUNT(*) AS trades, MAX(l_tax) AS tx, MIN(l_tax) AS tn FROM f GROUP BY 1, 2),
+c AS (SELECT *, 100 * EXP(SUM(r) OVER (PARTITION BY k ORDER BY date)) AS close FROM cell)
+SELECT date, CONCAT('N', CAST(k AS VARCHAR(20))) AS symbol, CONCAT('INE', CAST(k AS VARCHAR(20)), 'N') AS isin, close AS open, close * (1 + tx / 4) AS high, close * (1 - tn / 4) AS low, close,
+  COALESCE(LAG(close) OVER (PARTITION BY k ORDER BY date), close) AS prevclose, volume, turnover, trades FROM c"""
+
 FILINGS = """WITH q AS (SELECT o_custkey % (SELECT COUNT(*) FROM supplier) AS k,
     CAST(date_trunc('quarter', o_orderdate) AS DATE) AS period_start,
     CASE WHEN o_orderstatus = 'F' THEN true ELSE false END AS consolidated,
@@ -66,6 +75,7 @@ FROM (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR(20)) AS c, CAST(o_orderd
 
 TABLES = {
     BARS: ("lineitem",),
+    DAILY: ("lineitem", "supplier"),
     FILINGS: ("orders", "supplier"),
     INDEX_LEVELS: ("lineitem", "supplier", "nation", "region"),
     TICKS: ("events",),
@@ -84,6 +94,10 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, BARS)
 
 
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over(spark, sf_dir, DAILY)
+
+
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, FILINGS)
 

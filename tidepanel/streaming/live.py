@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import pi, sqrt
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,14 +135,14 @@ def bars_5m(ticks: DataFrame) -> DataFrame:
     return out.select("symbol", F.col("window.start").alias("start"), "open", "high", "low", "close", "n")
 
 
-def run_bars_5m(spark: SparkSession, source: str, schema, target: str, checkpoint: str, late: str = "10 minutes") -> DataFrame:
-    """Drain files of ticks (symbol, ts, price) into five-minute bars and return the bars so far.
+def run_bars_5m(spark: SparkSession, ticks: DataFrame, target: str, checkpoint: str, late: str = "10 minutes") -> DataFrame:
+    """Drain a stream of ticks (symbol, ts, price) into five-minute bars and return the bars so far.
 
     A tick that repeats within the watermark counts once, and one that is later than ``late`` against the
     newest seen is left out. A window is written again in each batch that adds to it; its last state
     (of most ticks) is the bar, so windows that are still open are there, too.
     """
-    ticks = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "ts", "price"])
+    ticks = ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "ts", "price"])
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
@@ -151,6 +153,89 @@ def run_bars_5m(spark: SparkSession, source: str, schema, target: str, checkpoin
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "batch")
 
 
+#: What the feed appends to a symbol (a fixed value of its format).
+SUFFIX = ".NS"
+
+
+def wide_ticks(files: DataFrame) -> DataFrame:
+    """symbol, ts, price of wide intraday files, one row a file (column value, as the text source gives with wholetext).
+
+    A file's first line names its time column and one column a symbol, with or without the feed's suffix; each file has
+    columns of its own. Empty and damaged cells give nothing, so lines without any value don't either.
+    """
+    cells = lambda line: F.transform(F.split(line, ","), lambda c: F.trim(c))
+    lines = F.split("value", "\r?\n")
+    rows = files.select(cells(F.get(lines, F.lit(0))).alias("head"), F.explode(F.slice(lines, 2, 1 << 30)).alias("line"))
+    rows = rows.select("head", cells(F.col("line")).alias("cells")).withColumn("ts", F.try_to_timestamp(F.get("cells", F.lit(0))))
+    rows = rows.where("ts is not null").select("ts", F.explode(F.slice(F.arrays_zip("head", "cells"), 2, 1 << 30)).alias("c"))
+    symbol = F.when(F.endswith("c.head", F.lit(SUFFIX)), F.expr(f"left(c.head, length(c.head) - {len(SUFFIX)})")).otherwise(F.col("c.head"))
+    return rows.select(symbol.alias("symbol"), "ts", F.col("c.cells").try_cast("double").alias("price")).where("price is not null and symbol <> ''")
+
+
+def _newest_batch(spark: SparkSession, folder: str, before: int | None = None) -> int | None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return None
+    found = [int(x.getPath().getName().removeprefix("batch=")) for x in store.listStatus(place) if x.getPath().getName().startswith("batch=")]
+    return max((n for n in found if before is None or n < before), default=None)
+
+
+def _quote(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """A symbol's newest price of the day (us: its time); the state ends with the day, which is told once."""
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame({"symbol": [key[0]], "price": [0.0], "us": [0], "expired": [True]})
+        return
+    price, us, ends = state.get if state.exists else (None, None, None)
+    for rows in parts:
+        top = rows.sort_values(["us", "price"]).iloc[-1]
+        if us is None or top["us"] >= us:
+            price, us, ends = float(top["price"]), int(top["us"]), int(top["ends"])
+    over = ends <= state.getCurrentWatermarkMs()
+    if over and state.exists:
+        state.remove()
+    if not over:
+        state.update((price, us, ends))
+        state.setTimeoutTimestamp(ends)
+    yield pd.DataFrame({"symbol": [key[0]], "price": [price], "us": [us], "expired": [over]})
+
+
+def run_monitor(spark: SparkSession, ticks: DataFrame, previous: DataFrame, forecasts: DataFrame, target: str, checkpoint: str, late: str = "10 minutes", hot: float = 2.5) -> None:
+    """Drain a stream of ticks (symbol, ts, price) into the monitor's tables; see ``monitored``.
+
+    A symbol's last price is state, carried on while others tick and dropped by a timer when its local day is over.
+    Each batch writes the quotes (the batch before's, with what changed), the scores against ``previous``
+    and ``forecasts`` of the newest day, and the JSON document under its own number, so a batch that is run
+    again overwrites itself. Without quotes the document says that there are none.
+    """
+    end = F.to_utc_timestamp(F.date_add(session_date(F.col("ts")), 1).cast("timestamp_ntz").cast("timestamp"), ZONE)
+    rows = ticks.where("price is not null and ts is not null").select("symbol", F.col("ts").cast("timestamp").alias("ts"), "price")
+    rows = rows.select("symbol", "ts", "price", F.unix_micros("ts").alias("us"), F.unix_millis(end).alias("ends")).withWatermark("ts", late)
+    quotes = rows.groupBy("symbol").applyInPandasWithState(_quote, "symbol string, price double, us long, expired boolean", "price double, us long, ends long", "update", "EventTimeTimeout")
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.select("symbol", "price", F.timestamp_micros("us").alias("last_bar"), "expired").persist()
+        now = fresh.where("not expired").drop("expired")
+        last = _newest_batch(spark, f"{target}/quotes", number)
+        if last is not None:
+            now = spark.read.parquet(f"{target}/quotes/batch={last}").join(fresh.select("symbol"), "symbol", "left_anti").unionByName(now)
+        now.write.mode("overwrite").parquet(f"{target}/quotes/batch={number}")
+        now = spark.read.schema(now.schema).parquet(f"{target}/quotes/batch={number}").withColumn("day", session_date(F.col("last_bar")))
+        today = now.join(F.broadcast(now.agg(F.max("day").alias("day"))), "day").drop("day")
+        surprise(today, previous, forecasts).write.mode("overwrite").parquet(f"{target}/scored/batch={number}")
+        live_payload(spark.read.parquet(f"{target}/scored/batch={number}"), hot).write.mode("overwrite").text(f"{target}/payload/batch={number}")
+        fresh.unpersist()
+
+    quotes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def monitored(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame]:
+    """The scores and the document (column payload) of the newest batch of ``run_monitor``."""
+    n = _newest_batch(spark, f"{target}/payload")
+    return spark.read.parquet(f"{target}/scored/batch={n}"), spark.read.text(f"{target}/payload/batch={n}").withColumnRenamed("value", "payload")
+
+
 def surprise(latest: DataFrame, previous: DataFrame, forecasts: DataFrame) -> DataFrame:
     """symbol, price, prev_close, move, expected_move, surprise: today's move over what the yearly forecast (percent) implies for a day."""
     rows = latest.join(previous, "symbol").join(forecasts, "symbol").where("prev_close > 0 and forecast > 0")
