@@ -69,7 +69,7 @@ def daily_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = factors.composite(_zscores(spark, sf_dir), NAMES).join(F.broadcast(_forms(spark, sf_dir).select("form_date", "period")), "form_date")
     books = portfolio.equal_weights(portfolio.top_n(rows, CFG.holdings, ["period"]), ["period"]).select("period", "isin", "weight")
     books = backtest.tradable(books, backtest.forward_returns(_panel(spark, sf_dir), _forms(spark, sf_dir)), []).withColumn("variant", F.lit("equal"))
-    return rounded(backtest.ledger(books, _forms(spark, sf_dir), CFG.cost_bps, ["variant"]).drop("variant"), 8)
+    return rounded(backtest.ledger(books, _forms(spark, sf_dir), CFG.cost_bps, ["variant"]).drop("variant"), 10)
 
 
 # --- GARCH beside the baselines ------------------------------------------------------------------

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.tables import once, shared_dir
 from tidepanel.operators import adjust, quality, universe
 from tidepanel.operators import calendar as cal_ops
-from tidepanel.plans.registry import config, cte, panel, query, rounded
+from tidepanel.plans.registry import bars_table, config, cte, panel, query, rounded
 from tidepanel.sources import adapters, layouts
 
 cte(
@@ -46,21 +46,21 @@ BAR_LIST = "date, symbol, isin, round(open, 6) AS open, round(high, 6) AS high,
 @query(f"SELECT {BAR_LIST} FROM bars WHERE trades % 7 <> 0")
 def bars_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written as lines of the older daily layout and read back; other series than equity are dropped."""
-    rows = adapters.bars(spark, sf_dir).withColumn("series", F.when(F.col("trades") % 7 == 0, "BL").otherwise("EQ"))
+    rows = bars_table(spark, sf_dir).withColumn("series", F.when(F.col("trades") % 7 == 0, "BL").otherwise("EQ"))
     return rounded(layouts.parse(layouts.to_lines(rows, layouts.LEGACY), layouts.LEGACY))
 
 
 @query(f"SELECT {BAR_LIST} FROM bars WHERE trades % 5 <> 0")
 def bars_udiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for the newer layout, which names its instrument type."""
-    rows = adapters.bars(spark, sf_dir).withColumn("series", F.lit("EQ")).withColumn("kind", F.when(F.col("trades") % 5 == 0, "IDX").otherwise("STK"))
+    rows = bars_table(spark, sf_dir).withColumn("series", F.lit("EQ")).withColumn("kind", F.when(F.col("trades") % 5 == 0, "IDX").otherwise("STK"))
     return rounded(layouts.parse(layouts.to_lines(rows, layouts.NEWER), layouts.NEWER))
 
 
 @query(f"SELECT {BAR_LIST} FROM bars WHERE trades % 7 <> 0")
 def bars_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written as daily CSV files, up to 1994 in the older layout and from then on in the newer one, and read back by their headers."""
-    rows = adapters.bars(spark, sf_dir).withColumn("series", F.when(F.col("trades") % 7 == 0, "BL").otherwise("EQ")).withColumn("kind", F.lit("STK"))
+    rows = bars_table(spark, sf_dir).withColumn("series", F.when(F.col("trades") % 7 == 0, "BL").otherwise("EQ")).withColumn("kind", F.lit("STK"))
     place = f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}"
     layouts.write(rows.where("date < date'1995-01-01'"), f"{place}/old", layouts.LEGACY)
     layouts.write(rows.where("date >= date'1995-01-01'"), f"{place}/new", layouts.NEWER)
@@ -71,14 +71,14 @@ def bars_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel written in canonical order and read back."""
     place = f"{shared_dir(spark)}/canonical-{uuid.uuid4().hex}"
-    layouts.write_panel(adapters.bars(spark, sf_dir).select("date", "symbol", "close"), place)
+    layouts.write_panel(bars_table(spark, sf_dir).select("date", "symbol", "close"), place)
     return rounded(spark.read.parquet(place))
 
 
 @query(f"SELECT {BAR_LIST} FROM bars WHERE date BETWEEN DATE '1993-01-01' AND DATE '1995-12-31'")
 def load_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of days over both layouts: the older one before 1995, the newer one from then on."""
-    rows = adapters.bars(spark, sf_dir).where(F.col("date").between("1993-01-01", "1995-12-31")).withColumn("series", F.lit("EQ")).withColumn("kind", F.lit("STK"))
+    rows = bars_table(spark, sf_dir).where(F.col("date").between("1993-01-01", "1995-12-31")).withColumn("series", F.lit("EQ")).withColumn("kind", F.lit("STK"))
     old = layouts.to_lines(rows.where("date < date'1995-01-01'"), layouts.LEGACY)
     new = layouts.to_lines(rows.where("date >= date'1995-01-01'"), layouts.NEWER)
     return rounded(layouts.load_range({"legacy": old, "newer": new}, "1993-01-01", "1995-12-31"))
@@ -86,7 +86,7 @@ def load_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date, s FROM cal")
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal_ops.calendar(adapters.bars(spark, sf_dir))
+    return cal_ops.calendar(bars_table(spark, sf_dir))
 
 
 @query("SELECT month, date, s FROM mends")
@@ -114,18 +114,18 @@ def coverage_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT isin, canonical_isin FROM links")
 def isin_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adjust.isin_links(adapters.bars(spark, sf_dir))
+    return adjust.isin_links(bars_table(spark, sf_dir))
 
 
 @query("SELECT date, symbol, original_isin, isin FROM linked")
 def apply_isin_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = adapters.bars(spark, sf_dir)
+    bars = bars_table(spark, sf_dir)
     return adjust.apply_links(bars, adjust.isin_links(bars)).select("date", "symbol", "original_isin", "isin")
 
 
 @query("SELECT isin, date, round(factor, 6) AS factor FROM factored WHERE factor <> 1")
 def detect_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = adapters.bars(spark, sf_dir)
+    bars = bars_table(spark, sf_dir)
     return rounded(adjust.detect_actions(adjust.apply_links(bars, adjust.isin_links(bars))))
 
 
@@ -158,18 +158,18 @@ def trailing_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT MIN(k) FROM (SELECT COUNT(*) AS k FROM bars GROUP BY date)) AS names_min, (SELECT MEDIAN(k) FROM (SELECT COUNT(*) AS k FROM bars GROUP BY date)) AS names_median,
     (SELECT MAX(k) FROM (SELECT COUNT(*) AS k FROM bars GROUP BY date)) AS names_max FROM bars""")
 def panel_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.panel_shape(adapters.bars(spark, sf_dir))
+    return quality.panel_shape(bars_table(spark, sf_dir))
 
 
 @query("SELECT symbol, COUNT(DISTINCT isin) AS isins FROM bars GROUP BY symbol HAVING COUNT(DISTINCT isin) > 1 ORDER BY isins DESC, symbol LIMIT 10")
 def symbol_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.symbol_reuse(adapters.bars(spark, sf_dir))
+    return quality.symbol_reuse(bars_table(spark, sf_dir))
 
 
 @query("""SELECT COUNT(*) AS n, round(COUNT(*) / ((SELECT COUNT(*) FROM cal) / 52.0), 6) AS per_year, round(AVG(factor), 6) AS mean, round(quantile_cont(factor, 0.05), 6) AS p05, round(quantile_cont(factor, 0.25), 6) AS p25,
     round(quantile_cont(factor, 0.5), 6) AS p50, round(quantile_cont(factor, 0.75), 6) AS p75, round(quantile_cont(factor, 0.95), 6) AS p95 FROM factored WHERE factor <> 1""")
 def action_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = adapters.bars(spark, sf_dir)
+    bars = bars_table(spark, sf_dir)
     actions = adjust.detect_actions(adjust.apply_links(bars, adjust.isin_links(bars)))
     return rounded(quality.action_stats(actions, cal_ops.calendar(bars), 52.0))
 
@@ -188,7 +188,7 @@ def return_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @once
 def _calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal_ops.calendar(adapters.bars(spark, sf_dir))
+    return cal_ops.calendar(bars_table(spark, sf_dir))
 
 
 @once

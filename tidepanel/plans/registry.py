@@ -77,10 +77,16 @@ def config(spark: SparkSession, sf_dir: str) -> Config:
     return WEEKLY
 
 
+@once
+def bars_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly bars, written once: calendar, spans and links of an identity start from it several times."""
+    return adapters.bars(spark, sf_dir)
+
+
 @once
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The linked, adjusted and indexed bar panel."""
-    return prepared(adapters.bars(spark, sf_dir))
+    return prepared(bars_table(spark, sf_dir))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidepanel.functions.tables import once, shared_dir, stored
 from tidepanel.operators import filings as ops
 from tidepanel.plans.panel import forms
-from tidepanel.plans.registry import config, cte, query, rounded
+from tidepanel.plans.registry import bars_table, config, cte, query, rounded
 from tidepanel.sources import adapters
 from tidepanel.streaming import live
 
@@ -59,7 +59,7 @@ def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _caps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = adapters.bars(spark, sf_dir)
+    bars = bars_table(spark, sf_dir)
     return ops.market_caps(_found(spark, sf_dir), bars, bars.select("date").distinct())
 
 
@@ -166,7 +166,7 @@ def derived_fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT b.date, b.isin, round(CASE WHEN b.date = (SELECT MAX(date) FROM bars) THEN b.close * 1.01 ELSE b.close END, 6) AS close FROM bars b")
 def upsert_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest session re-published with corrected closes; the correction wins."""
-    bars = adapters.bars(spark, sf_dir).select("date", "isin", "close")
+    bars = bars_table(spark, sf_dir).select("date", "isin", "close")
     fresh = bars.join(F.broadcast(bars.agg(F.max("date").alias("date"))), "date").withColumn("close", F.col("close") * 1.01).select("date", "isin", "close")
     return rounded(live.upsert(bars, fresh, ["date", "isin"]))
 
@@ -174,7 +174,7 @@ def upsert_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT date, isin, round(close, 6) AS close FROM bars")
 def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A panel cut ten sessions early, brought up to date; stored sessions are not added again."""
-    bars = adapters.bars(spark, sf_dir).select("date", "isin", "close")
+    bars = bars_table(spark, sf_dir).select("date", "isin", "close")
     cut = F.broadcast(bars.agg(F.date_sub(F.max("date"), 70).alias("cut")))
     return rounded(live.append_new(bars.join(cut, F.col("date") <= F.col("cut")).drop("cut"), bars))
 
@@ -183,7 +183,7 @@ def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A panel drained from files in three waves, with corrections of a key inside a file, a batch and over batches; the last one is often the smallest."""
     place = f"{shared_dir(spark)}/append-{uuid.uuid4().hex}"
-    bars = adapters.bars(spark, sf_dir).select("date", "isin", "close")
+    bars = bars_table(spark, sf_dir).select("date", "isin", "close")
     cut = F.broadcast(bars.agg(F.date_sub(F.max("date"), 200).alias("cut")))
     bars = stored(bars.join(cut).select("date", "isin", "close", "cut"), "append-bars")
     old, new, close = F.col("date") < F.col("cut"), F.col("date") >= F.col("cut"), F.col("close")
@@ -212,7 +212,7 @@ def append_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM bars, (SELECT CAST(MAX(date) - INTERVAL '70' DAY AS DATE) AS cut FROM bars)""")
 def append_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an append added and what the panel holds after it."""
-    bars = adapters.bars(spark, sf_dir).select("date", "isin", "close")
+    bars = bars_table(spark, sf_dir).select("date", "isin", "close")
     cut = F.broadcast(bars.agg(F.date_sub(F.max("date"), 70).alias("cut")))
     return live.append_result(bars.join(cut, F.col("date") <= F.col("cut")).drop("cut"), bars)
 
@@ -222,7 +222,7 @@ def append_result(spark: SparkSession, sf_dir: str) -> DataFrame:
 def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The age of the panel on the day of the newest order."""
     today = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.max(F.col("o_orderdate").cast("date")).alias("today"))
-    rows = adapters.bars(spark, sf_dir).select("date").join(F.broadcast(today), F.col("date") < F.col("today"))
+    rows = bars_table(spark, sf_dir).select("date").join(F.broadcast(today), F.col("date") < F.col("today"))
     return rounded(live.freshness(rows, F.col("today")))
 
 

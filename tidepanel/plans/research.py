@@ -129,7 +129,7 @@ def _ledger(spark: SparkSession, sf_dir: str, variants: tuple[str, ...] = ("equa
 
 
 R = lambda *cols, digits=6: ", ".join(f"round({c}, {digits}) AS {c}" for c in cols)
-LEDGER = f"form_date, entry, exit, n_holdings, {R('gross_return', 'turnover', 'cost', 'net_return', 'gross_equity', 'net_equity', digits=8)}"
+LEDGER = f"form_date, entry, exit, n_holdings, {R('gross_return', 'turnover', 'cost', 'net_return', 'gross_equity', 'net_equity', digits=10)}"
 
 
 @query(f"SELECT form_date, isin, {R(*NAMES)} FROM fac")
@@ -252,17 +252,17 @@ def book_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {LEDGER} FROM led WHERE variant = 'equal'")
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_ledger(spark, sf_dir, ("equal",)).drop("variant"), 8)
+    return rounded(_ledger(spark, sf_dir, ("equal",)).drop("variant"), 10)
 
 
 @query(f"SELECT {LEDGER} FROM led WHERE variant = 'universe'")
 def equal_weight_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_ledger(spark, sf_dir, ("universe",)).drop("variant"), 8)
+    return rounded(_ledger(spark, sf_dir, ("universe",)).drop("variant"), 10)
 
 
 @query(f"SELECT variant, {LEDGER} FROM led")
 def variant_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_ledger(spark, sf_dir), 8)
+    return rounded(_ledger(spark, sf_dir), 10)
 
 
 cte(

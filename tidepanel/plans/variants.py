@@ -83,7 +83,7 @@ def buffered_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = portfolio.top_n(rows, 2 * cfg.holdings, ["form_date", "period"]).join(_fwd(spark, sf_dir).select("period", "isin", "ret"), ["period", "isin"], "left")
     variants = F.explode(F.array(*(F.struct(F.lit(f"buffer {m}").alias("variant"), F.lit(m).alias("mult")) for m in (1.0, 1.5, 2.0))))
     rows = rows.select("period", "isin", "rank", "ret", variants.alias("v")).select("period", "isin", "rank", "ret", "v.variant", "v.mult").where(F.col("rank") <= F.floor(F.col("mult") * cfg.holdings))
-    return rounded(backtest.ledger(portfolio.buffered_books(rows, cfg.holdings), forms(spark, sf_dir), cfg.cost_bps, ["variant"]), 8)
+    return rounded(backtest.ledger(portfolio.buffered_books(rows, cfg.holdings), forms(spark, sf_dir), cfg.cost_bps, ["variant"]), 10)
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def _grid_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT variant, {LEDGER} FROM gridled")
 def variant_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledgers of eighteen variants: factor sets by size, buffer and sizing."""
-    return rounded(_grid_ledger(spark, sf_dir), 8)
+    return rounded(_grid_ledger(spark, sf_dir), 10)
 
 
 @query(f"SELECT variant, n, {R('cagr', 'vol', 'sharpe', 'max_drawdown', 'hit_rate', 'best', 'worst')} FROM benchperf")
@@ -165,7 +165,7 @@ def held_run(spark: SparkSession, sf_dir: str) -> DataFrame:
         chosen = keep(now, held, n, mult)
         return {i: (1 - share) / len(chosen) + share * held.get(i, 0.0) for i in chosen}
 
-    return rounded(backtest.run_held(panel(spark, sf_dir), forms(spark, sf_dir), often, change, weigh, config(spark, sf_dir).cost_bps, deepest=HELD_RANK), 8)
+    return rounded(backtest.run_held(panel(spark, sf_dir), forms(spark, sf_dir), often, change, weigh, config(spark, sf_dir).cost_bps, deepest=HELD_RANK), 10)
 
 
 cte(
@@ -208,4 +208,4 @@ def oos_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _oos(spark, sf_dir).withColumn("composite", F.round("composite", 10)).join(F.broadcast(forms(spark, sf_dir).select("form_date", "period")), "form_date")
     books = portfolio.equal_weights(portfolio.top_n(rows, cfg.holdings, ["period"]), ["period"])
     books = backtest.tradable(books.select("period", "isin", "weight"), _fwd(spark, sf_dir), []).withColumn("variant", F.lit("out of sample"))
-    return rounded(backtest.ledger(books, forms(spark, sf_dir), cfg.cost_bps, ["variant"]), 8)
+    return rounded(backtest.ledger(books, forms(spark, sf_dir), cfg.cost_bps, ["variant"]), 10)
