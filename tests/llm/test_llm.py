@@ -735,6 +735,17 @@ def test_lm_beats_the_unigrams_on_held_out_texts_at_any_partitioning(spark, part
 SCORES: list[float] = []
 
 
+def test_the_end_is_known_in_tables_of_few_long_texts(spark, monkeypatch):
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(900)]
+    rows = [(k, " ".join(draw.choice(words) for _ in range(9000))) for k in range(3)] + [(9, "w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {i: (r["base_score"], r["score"]) for i, r in by_id(lm.scores(docs, F.col("doc_id") < 9)).items()}
+    monkeypatch.setattr(lm, "FREQUENT", 600)  # the end is rarer than all of these
+    got = {i: (r["base_score"], r["score"]) for i, r in by_id(lm.scores(docs, F.col("doc_id") < 9)).items()}
+    assert all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
 def test_lm_probabilities_sum_to_one():
     classes = lm.Classes([(5, 0, 10), (6, 1, 4), (int(lm.END), 0, 3)], 17, 3, {0: (2, 13), 1: (1, 4)})
     model = lm.LogBilinear(classes)

@@ -296,7 +296,8 @@ def scores(docs: DataFrame, train: Column) -> DataFrame:
     counts = written(count_tokens(learn), "tokens")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     by_ending = {r["ending"]: (r["v"], r["n"]) for r in counts.groupBy("ending").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()}
-    frequent = [tuple(r) for r in counts.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token", "ending", "n").collect()]
+    # the end always goes along: in tables of few, long documents it is rarer than many words
+    frequent = [tuple(r) for r in counts.orderBy(F.col("token") != int(END), F.desc("n"), "token").limit(FREQUENT).select("token", "ending", "n").collect()]
     classes = Classes(frequent, total, distinct, by_ending)
     vocabulary = spark.sparkContext.broadcast(classes)
     floor = float(np.log10(total + distinct + 1))
