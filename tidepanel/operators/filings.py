@@ -113,11 +113,11 @@ def fund_factors(carried: DataFrame, caps: DataFrame, pat: DataFrame, revenue: D
     return rows.select("as_of", "isin", over("ttm_pat", "market_cap").alias("earnings_yield"), book.alias("book_to_price"), over("ttm_pat", "net_worth").alias("roe"), over("ttm_pat", "ttm_revenue").alias("gross_margin"), over("total_debt", "net_worth").alias("debt_to_equity"))
 
 
-def derived(rows: DataFrame) -> DataFrame:
-    """shares, net_worth, total_debt from reported items; a sum is null only if both parts are."""
+def derived(rows: DataFrame, capital: str = "paid_up") -> DataFrame:
+    """shares_outstanding, net_worth (``capital`` and other equity), total_debt from reported items; a sum is null only if both parts are."""
     both = lambda a, b: F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
-    shares = F.when(F.col("face_value") > 0, F.col("paid_up") / F.when(F.col("face_value") > 0, F.col("face_value")))
-    return rows.withColumns({"shares_outstanding": shares, "net_worth": both("paid_up", "other_equity"), "total_debt": both("borrowings_noncurrent", "borrowings_current")})
+    shares = F.when((F.col("paid_up") != 0) & (F.col("face_value") > 0), F.col("paid_up") / F.when(F.col("face_value") > 0, F.col("face_value")))
+    return rows.withColumns({"shares_outstanding": shares, "net_worth": both(capital, "other_equity"), "total_debt": both("borrowings_noncurrent", "borrowings_current")})
 
 
 def reporting_lag(filings: DataFrame) -> DataFrame:
@@ -185,9 +185,7 @@ def quarter_facts(documents: DataFrame) -> DataFrame:
         *(number(tag, "b.context").alias(name) for name, tag in STOCKS.items()),
         F.col("b.day").alias("balance_sheet_date"),
     )
-    both = lambda a, b: F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
-    shares = F.when((F.col("paid_up") != 0) & (F.col("face_value") > 0), F.col("paid_up") / F.when(F.col("face_value") > 0, F.col("face_value")))
-    return facts.withColumns({"shares_outstanding": shares, "net_worth": both("share_capital", "other_equity"), "total_debt": both("borrowings_noncurrent", "borrowings_current")})
+    return derived(facts, "share_capital")
 
 
 def index_months(records: DataFrame, first: str, last: str) -> DataFrame:
