@@ -116,7 +116,7 @@ def fund_factors(carried: DataFrame, caps: DataFrame, pat: DataFrame, revenue: D
 def derived(rows: DataFrame, capital: str = "paid_up") -> DataFrame:
     """shares_outstanding, net_worth (``capital`` and other equity), total_debt from reported items; a sum is null only if both parts are."""
     both = lambda a, b: F.when(F.col(a).isNotNull() | F.col(b).isNotNull(), F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0)))
-    shares = F.when((F.col("paid_up") != 0) & (F.col("face_value") > 0), F.col("paid_up") / F.when(F.col("face_value") > 0, F.col("face_value")))
+    shares = F.when(F.col("face_value") > 0, F.col("paid_up") / F.when(F.col("face_value") > 0, F.col("face_value")))
     return rows.withColumns({"shares_outstanding": shares, "net_worth": both(capital, "other_equity"), "total_debt": both("borrowings_noncurrent", "borrowings_current")})
 
 
@@ -185,7 +185,8 @@ def quarter_facts(documents: DataFrame) -> DataFrame:
         *(number(tag, "b.context").alias(name) for name, tag in STOCKS.items()),
         F.col("b.day").alias("balance_sheet_date"),
     )
-    return derived(facts, "share_capital")
+    # a document that reports no paid-up capital tells nothing of its shares
+    return derived(facts, "share_capital").withColumn("shares_outstanding", F.when(F.col("paid_up") != 0, F.col("shares_outstanding")))
 
 
 def index_months(records: DataFrame, first: str, last: str) -> DataFrame:
