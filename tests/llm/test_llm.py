@@ -674,6 +674,33 @@ def test_windows_around_a_shared_passage_are_dealt_evenly(spark, monkeypatch):
     assert {(r["doc_id"] > 0, r["n_words"], r["n_removed"]) for r in got} == {(False, 240, 0), (True, 240, 120)}
 
 
+@pytest.mark.parametrize("hold", [1 << 18, 20])
+def test_a_passage_of_all_documents_is_sent_once_a_task(spark, monkeypatch, hold):
+    monkeypatch.setattr(substring, "HOLD", hold)
+    monkeypatch.setattr(substring, "MERGE_BYTES", 3000)  # a few documents a chunk
+    draw = random.Random(12)
+    text = lambda n: " ".join(str(draw.randrange(10**6)) for _ in range(n))
+    passages = [text(70), text(55), text(50)]
+    rows = [(draw.randrange(200), f"{text(20)} {passages[0]} {text(20)} {passages[1 + (i % 7 > 0)] if i % 3 == 0 else text(9)}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    counts = Counter()
+    for r in substring.sent(docs, 50, 8).where("not known").collect():
+        counts.update(np.frombuffer(r["hashes"], substring.VALUE).tolist())
+    if hold > 20:  # once when it is first met (not yet known to come again), once at the end of a task
+        assert max(counts.values()) <= 8
+    holders = defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            holders[tuple(w[k : k + 50])].add(i)
+    want = {i: 0 for i, _ in rows}
+    for found in holders.values():
+        for i in found - {min(found)}:
+            want[i] += 1
+    got = {r["doc_id"]: len(set(np.frombuffer(b"".join(r["hashes"]), substring.VALUE).tolist())) for r in substring.repeated(docs).collect()}
+    assert got == {i: n for i, n in want.items() if n}
+
+
 def plain_log10(classes: list[int], model) -> float:
     """Sum of log10 probabilities of a text's classes, token by token."""
     out = 0.0

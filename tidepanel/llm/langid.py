@@ -165,6 +165,10 @@ def _blocks(profile: DataFrame) -> list[list[tuple[str, int, int]]]:
 
 def predicted(docs: DataFrame, profile: DataFrame) -> DataFrame:
     """The rows of ``docs`` with lang_pred and score added; clashing columns are replaced."""
+    return _ranked(docs, _blocks(profile))
+
+
+def _ranked(docs: DataFrame, blocks: list[list[tuple]]) -> DataFrame:
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -184,7 +188,6 @@ def predicted(docs: DataFrame, profile: DataFrame) -> DataFrame:
 
         return rows.select(*names).mapInArrow(run, schema)
 
-    blocks = _blocks(profile)
     if len(blocks) == 1:
         return one(docs, blocks[0], names, schema)
     from tidepanel.llm.store import written
@@ -210,7 +213,8 @@ def accepted(docs: DataFrame, profile: DataFrame, least: float) -> DataFrame:
     If no language was learned, nothing can be told about a text with a letter and all of these stay.
     """
     others = [c for c in docs.columns if c != "text"]
-    found = predicted(docs.select(F.col("text").cast("string").alias("text"), *([F.struct(*others).alias("rest")] if others else [])), profile)
-    known = F.lit(not profile.isEmpty())
+    blocks = _blocks(profile)  # counts the corpus, once
+    found = _ranked(docs.select(F.col("text").cast("string").alias("text"), *([F.struct(*others).alias("rest")] if others else [])), blocks)
+    known = F.lit(bool(blocks[0]))
     told = F.when(known, (F.col("lang_pred") != "und") & (F.col("score") >= least)).otherwise(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return found.where(told).select(*("text" if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

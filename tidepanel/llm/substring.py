@@ -10,8 +10,9 @@ Each document's reported windows then merge into maximal intervals, whose words
 A window is known by 96 bits: two polynomials modulo a prime at different bases, of which the first
 deals it to its bucket. For n windows about n*n / 2**97 unlike pairs share both (below 0.001 at 10**13
 windows), and no structure of the words makes them meet. A task sends each value once for a chunk of texts, with its smallest doc_id; the chunk's other holders
-are known to be repeats at once and travel as such, dealt evenly, so a passage that many documents
-share makes no bucket large. Values of a chunk for one bucket travel as one binary row (12 bytes a
+are known to be repeats at once and travel as such, dealt evenly. Values that a task meets again, in the
+same chunk or a later one, are held back (``Held``) and sent once each when the task ends, so a bucket
+gets an entry of a passage that all documents share from each task, not from each chunk. Values of a chunk for one bucket travel as one binary row (12 bytes a
 window). The number of buckets follows the size of the texts (``BUCKET_BYTES``), so a bucket's memory
 doesn't grow with the corpus.
 
@@ -41,6 +42,8 @@ BUCKET_BYTES = 8 << 20
 GROUP_BUCKETS = 2
 #: Bytes of text in which a task merges equal windows before it sends them.
 MERGE_BYTES = 2 << 20
+#: Bits by which a task remembers the values it has sent, and values it holds back before it sends them after all.
+SEEN_BITS, HOLD = 28, 1 << 18
 
 #: A window's two values.
 VALUE = np.dtype([("v", "<u8"), ("w", "<u4")])
@@ -122,23 +125,81 @@ def _dealt(v: np.ndarray, d: np.ndarray, to: np.ndarray) -> list[tuple[int, byte
     return rows
 
 
+class Held:
+    """Values that a task has met more than once, each with the smallest doc_id so far.
+
+    Which values are held back decides only what is sent, never what is found: a value that was sent
+    before it came again is compared once more in its bucket, and so is one that leaves when the table is full.
+    """
+
+    def __init__(self) -> None:
+        self.seen = np.zeros(1 << SEEN_BITS >> 3, np.uint8)
+        self.clear()
+
+    def clear(self) -> None:
+        self.v, self.d = np.zeros(0, VALUE), np.zeros(0, np.int64)
+
+    def again(self, v: np.ndarray) -> np.ndarray:
+        """Which values came before (or share a bit with one that did); all are remembered."""
+        bit = (mix(v["v"], 9) >> np.uint64(64 - SEEN_BITS)).astype(np.int64)
+        mask = np.left_shift(1, bit & 7).astype(np.uint8)
+        before = (self.seen[bit >> 3] & mask) > 0
+        np.bitwise_or.at(self.seen, bit >> 3, mask)
+        return before
+
+    def take(self, v: np.ndarray, d: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Values in order, each once with its smallest doc_id, and which of them stand in another document of the chunk.
+
+        Returns what is to be sent now, and (value, doc_id) pairs that are repeats of a held value.
+        """
+        at = np.searchsorted(self.v["v"], v["v"])
+        held = at < len(self.v)
+        held[held] = self.v[at[held]] == v[held]
+        mine, old, new = at[held], self.d[at[held]], d[held]
+        more = old != new
+        more_v, more_d = v[held][more], np.maximum(old, new)[more]
+        self.d[mine] = np.minimum(old, new)
+        v, d, keep = v[~held], d[~held], repeated[~held]
+        keep = keep | self.again(v)
+        if keep.any():
+            both, docs = np.concatenate([self.v, v[keep]]), np.concatenate([self.d, d[keep]])
+            order = np.argsort(both["v"], kind="stable")
+            self.v, self.d = both[order], docs[order]
+        return v[~keep], d[~keep], more_v, more_d
+
+
 def sent(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     """The windows of all chunks, dealt to buckets by value."""
+    kinds = {"bucket": pa.int32(), "known": pa.bool_(), "docs": pa.binary(), "counts": pa.binary(), "hashes": pa.binary()}
+
+    def batch(known, v, d, to):
+        rows = [(b, known, *row) for b, *row in _dealt(v, d, to)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
+
+    def by_value(v, d):
+        return batch(False, v, d, ((v["v"] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64))
 
     def send(batches):
+        held = Held()
         for part in chunks(batches, limit=MERGE_BYTES):
             values, ids = _windows(part, size)
             if not len(values):
                 continue
             order, new, repeat = _least(values, ids)
             v, d = values[order], ids[order]
-            rows = []
-            if repeat.any():
-                # holders that the chunk itself shows to be repeats: dealt evenly, not by value
-                rows += [(b, True, *row) for b, *row in _dealt(v[repeat], d[repeat], np.full(repeat.sum(), d[repeat].min() % buckets))]
-            v, d = v[new], d[new]
-            rows += [(b, False, *row) for b, *row in _dealt(v, d, ((v["v"] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "known", "docs", "counts", "hashes"])
+            shared = np.bincount(np.cumsum(new) - 1, repeat) > 0
+            now_v, now_d, more_v, more_d = held.take(v[new], d[new], shared)
+            more_v, more_d = np.concatenate([v[repeat], more_v]), np.concatenate([d[repeat], more_d])
+            if len(more_v):
+                # holders that the task itself shows to be repeats: dealt evenly, not by value
+                yield batch(True, more_v, more_d, np.full(len(more_d), more_d.min() % buckets))
+            if len(now_v):
+                yield by_value(now_v, now_d)
+            if len(held.v) > HOLD:
+                yield by_value(held.v, held.d)
+                held.clear()
+        if len(held.v):
+            yield by_value(held.v, held.d)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(send, SENT)
 
