@@ -482,9 +482,9 @@ def plain_sketch(text: str) -> list[int]:
     return sorted(x - (x >> 63 << 64) for x in found)[:128]
 
 
-@pytest.mark.parametrize("fan", [2, 3, 32])
-def test_sketches(docs, empty, monkeypatch, fan):
-    monkeypatch.setattr(sketches, "RANGE_BYTES", 20_000)
+@pytest.mark.parametrize(("fan", "size"), [(1, 2000), (2, 2000), (3, 20_000), (5, 2000), (32, 20_000)])
+def test_sketches(docs, empty, monkeypatch, fan, size):
+    monkeypatch.setattr(sketches, "RANGE_BYTES", size)
     monkeypatch.setattr(sketches, "FAN", fan)
     got = by_id(sketches.compared(docs).withColumns({"e": sketches.resemblance(F.col("sketch"), F.col("edited_sketch")), "n": sketches.resemblance(F.col("sketch"), F.col("next_sketch"))}))
     order = sorted(((i, t) for i, t in texts() if i is not None), reverse=True) + [(i, t) for i, t in texts() if i is None]
@@ -505,6 +505,17 @@ def test_sketches(docs, empty, monkeypatch, fan):
     assert sketches.compared(empty).count() == 0
 
 
+def test_ranges_follow_the_size_of_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(sketches, "FAN", 3)  # nine borders in the plan, the others in a table
+    rows = spark.createDataFrame([(k * 7, f"{k} " * 40) for k in range(4000)], "doc_id long, text string").repartition(4)
+    got = sketches.with_next(rows)[0].where("not extra").select("doc_id", "next_text", "part").collect()
+    sizes = Counter(r["part"] for r in got)
+    assert len(sizes) > 180 and max(sizes.values()) < 4 * len(got) / len(sizes)
+    assert sorted(got, key=lambda r: r["doc_id"]) == sorted(got, key=lambda r: (r["part"], r["doc_id"]))
+    assert all(r["next_text"] == f"{(r['doc_id'] // 7 - 1) % 4000} " * 40 for r in got)
+
+
 def test_rows_without_a_doc_id_are_spread(spark, monkeypatch):
     monkeypatch.setattr(sketches, "RANGE_BYTES", 500)
     rows = spark.createDataFrame([(None, f"text {k} " * 9) for k in range(60)] + [(1, "one")], "doc_id long, text string")

@@ -9,7 +9,8 @@ smallest as the k-minimum-values estimate. Sketches that are not full are exact
 ``with_next`` gives each document the text of the next one in descending order of doc_id without a
 global sort: documents go to ranges of doc_id of about equal size in bytes, and the first document of
 each range is sent to the range before it as well. The borders are quantiles of doc_ids that occur in
-proportion to their bytes; they only decide which task works on a document.
+proportion to their bytes; they only decide which task works on a document. The number of ranges follows
+the size of the texts without a bound, so a range doesn't grow with the corpus.
 
 Nulls: a null text is empty; null doc_ids come last in the order, by the hash of their text. Rows that repeat a doc_id follow
 each other by the hash of their text. A lone document is its own next one. An empty table gives an
@@ -25,7 +26,8 @@ from tidepanel.llm.store import sized, written
 
 SHINGLE, K = 5, 128
 SPLIT = r"[\x20\x09-\x0D]+"
-#: Bytes of text in a range of documents, ranges at most (FAN**3, found in three steps of FAN), and points a range by which borders are set.
+#: Bytes of text in a range of documents; a document's range is found in steps of about FAN comparisons, the first FAN**2
+#: borders in the plan itself and those within in a table; points for each border by which it is set.
 RANGE_BYTES, FAN, POINTS = 16 << 20, 32, 64
 
 
@@ -67,56 +69,81 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
     return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), common / F.greatest(distinct(a, k), F.lit(1.0))))
 
 
-def _ranges(docs: DataFrame) -> Column:
-    """The number of a range of doc_ids of about equal bytes, rising with doc_id; null doc_ids have ranges below 0, rising with the hash."""
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    total, empty = docs.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), size)), F.lit(0))).first()
-    n = min(max(1, -(-(total - empty) // RANGE_BYTES)), FAN**3)
-    # a doc_id occurs once for each (total / n / POINTS) bytes, the rest by a draw from its hash
-    each = max(1, (total - empty) // (n * POINTS))
+def _points(rows: DataFrame, each: int) -> DataFrame:
+    """doc_id, once for every ``each`` bytes of its text, the rest by a draw from its hash."""
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    times = F.floor(size / each + draw).cast("int")
-    points = docs.where("doc_id is not null").select("doc_id", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))).alias("k"), times.alias("times")).where("times > 0")
-    found = points.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("q")).first()["q"] if n > 1 else None
+    times = F.floor(_bytes() / each + draw).cast("int")
+    return rows.where("doc_id is not null").withColumn("times", times).where("times > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("times"))))
+
+
+def _bytes() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+
+
+def _quantiles(n: int) -> Column:
+    return F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n))
+
+
+def _ranged(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with ``part``, and how many numbers of parts make a group of them (FAN**2 groups or few more).
+
+    ``part`` is the number of a range of doc_ids of about equal bytes, rising with doc_id; null doc_ids have
+    ranges below 0, rising with the hash.
+    """
+    total, empty = rows.agg(F.coalesce(F.sum(_bytes()), F.lit(0)), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), _bytes())), F.lit(0))).first()
+    n, nulls = max(1, -(-(total - empty) // RANGE_BYTES)), max(1, -(-empty // RANGE_BYTES))
+    cells = min(n, FAN**2)
+    inner = -(-n // cells)
+    found = _points(rows, max(1, (total - empty) // (cells * POINTS))).agg(_quantiles(cells)).first()[0] if cells > 1 else None
     low = [-(1 << 63), *sorted(set(found or ()))]
-    low += [(1 << 63) - 1] * (FAN**3 - len(low)) if len(low) > FAN**2 else [(1 << 63) - 1] * (FAN**2 - len(low)) if len(low) > FAN else []
-    nulls = max(1, -(-empty // RANGE_BYTES))
     share = (F.col("hash") / float(1 << 63) + 1) / 2
     null_part = F.greatest(F.least(F.floor(share * nulls), F.lit(nulls - 1)), F.lit(0)) - nulls
-    return F.when(F.col("doc_id").isNull(), null_part.cast("long")).otherwise(_place(low, F.col("doc_id")).cast("long"))
+    rows = rows.withColumn("cell", F.when(F.col("doc_id").isNotNull(), _place(low, F.col("doc_id"))).cast("long"))
+    place = F.lit(0)
+    if inner > 1:
+        points = _points(rows.select("doc_id", "text", "cell"), max(1, (total - empty) // (n * POINTS)))
+        points = points.withColumn("cell", _place(low, F.col("doc_id")).cast("long"))
+        borders = points.groupBy("cell").agg(F.sort_array(F.array_distinct(_quantiles(inner))).alias("borders"))
+        step = max(1, int(inner**0.5))
+        borders = written(borders.withColumn("heads", F.filter("borders", lambda _, i: i % step == 0)), "borders")
+        rows = rows.join(sized(borders, 10 * inner + 100), "cell", "left")
+        heads = F.size(F.filter("heads", lambda b: b <= F.col("doc_id")))
+        within = F.filter(F.slice("borders", (F.greatest(heads, F.lit(1)) - 1) * step + 1, step), lambda b: b <= F.col("doc_id"))
+        place = F.coalesce((F.greatest(heads, F.lit(1)) - 1) * step + F.size(within), F.lit(0))
+    part = F.when(F.col("doc_id").isNull(), null_part.cast("long")).otherwise(F.col("cell") * inner + place)
+    return rows.withColumn("part", part).select("doc_id", "text", "hash", "part"), -(-(n + nulls) // FAN**2)
 
 
 def _place(low: list[int], x: Column) -> Column:
-    """How many of the sorted borders are at most x, less one; found by FAN comparisons a step."""
-    if len(low) <= FAN:
-        return F.size(F.filter(F.array(*map(F.lit, low)), lambda b: b <= x)) - 1
-    heads = F.array(*map(F.lit, low[:: len(low) // FAN]))
-    inner = [low[k : k + len(low) // FAN] for k in range(0, len(low), len(low) // FAN)]
-    first = F.size(F.filter(heads, lambda b: b <= x)) - 1
-    return F.get(F.transform(F.array(first), lambda k: k * (len(low) // FAN) + _inner(inner, k, x)), F.lit(0))
-
-
-def _inner(parts: list[list[int]], k: Column, x: Column) -> Column:
-    """The place of x in the k-th of equal parts."""
-    if len(parts[0]) <= FAN:
-        mine = F.get(F.array(*(F.array(*map(F.lit, p)) for p in parts)), k)
-        return F.size(F.filter(mine, lambda b: b <= x)) - 1
-    step = len(parts[0]) // FAN
-    heads = F.get(F.array(*(F.array(*map(F.lit, p[::step])) for p in parts)), k)
-    first = F.size(F.filter(heads, lambda b: b <= x)) - 1
-    flat = [p[j : j + step] for p in parts for j in range(0, len(p), step)]
-    return F.get(F.transform(F.array(first), lambda j: j * step + _inner(flat, k * FAN + j, x)), F.lit(0))
+    """How many of the sorted borders (FAN**2 at most) are at most x, less one; found in two steps."""
+    step = -(-len(low) // FAN)
+    count = lambda part: F.size(F.filter(F.array(*map(F.lit, part)), lambda b: b <= x))
+    if step == 1:
+        return count(low) - 1
+    parts = F.array(*(F.array(*map(F.lit, low[k : k + step])) for k in range(0, len(low), step)))
+    return F.get(F.transform(F.array(count(low[::step]) - 1), lambda k: k * step + F.size(F.filter(F.get(parts, k), lambda b: b <= x)) - 1), F.lit(0))
+
+
+def _above(heads: DataFrame, span: int) -> DataFrame:
+    """``heads`` (a written table, one row a part) with ``above``, the next part that has documents; the last one's is the first.
+
+    Parts are followed within groups of ``span`` numbers, and one row a group gives the next group's first.
+    """
+    heads = heads.withColumn("group", F.floor(F.col("part") / span))
+    order = Window.orderBy("group")  # over a row for each group, whose number is bounded
+    first = heads.groupBy("group").agg(F.min("part").alias("least"))
+    first = first.select("group", F.coalesce(F.lead("least").over(order), F.first("least").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("onward"))
+    within = F.lead("part").over(Window.partitionBy("group").orderBy("part"))
+    return heads.withColumn("within", within).join(F.broadcast(first), "group").withColumn("above", F.coalesce("within", "onward"))
 
 
 def with_next(docs: DataFrame) -> tuple[DataFrame, Window]:
     """doc_id, text, next_text, and ``extra`` rows (an edge's copy, to be dropped in the end); the window used."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    rows = rows.withColumn("part", _ranges(rows))
-    heads = rows.groupBy("part").agg(F.max(F.struct("doc_id", "hash")).alias("head"))
-    order = Window.orderBy("part")  # over one row for each range, FAN**3 at most
-    above = F.coalesce(F.lead("part").over(order), F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows, span = _ranged(rows)
+    heads = written(rows.groupBy("part").agg(F.max(F.struct("doc_id", "hash")).alias("head")), "heads")
     # the range above holds the documents before this one's first, so that first goes there too
-    heads = written(heads.select(F.col("part").alias("own"), "head", above.alias("above")), "ranges")
+    heads = written(_above(heads, span).select(F.col("part").alias("own"), "head", "above"), "ranges")
     first = (F.col("part") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("hash") == F.col("head.hash"))
     copied = rows.join(sized(heads, 40), first, "left")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
