@@ -268,7 +268,24 @@ QUOTED = (
     ({"lgpl-2.1"}, "covered by LGPLv2.1"),
     ({"agpl-3.0"}, "released under the AGPLv3"),
     ({"mpl-2.0"}, "licensed under MPLv2"),
-    (set(), "The permission to use the garden was granted, and the software arrived without warranty papers."),
+    ({"mit"}, "It has the X11 license."),
+    ({"ruby"}, "It has the Ruby license. Tests pass."),
+    *(
+        (set(), text)
+        for text in (
+            "The permission to use the garden was granted, and the software arrived without warranty papers.",
+            "The driver license office is open. We run X11 on it.",
+            "Buy ruby license plates here.",
+            "The common public license fee rises; a driver's licence costs more.",
+            "An Elastic license key and a PostgreSQL license holder are not needed.",
+            "The vim licence holder moved. A license for fishing, hunting and for Apache helicopters.",
+            "Enter the OpenSSL license number.",
+            "He was licensed under the age of 18 in 2.0 states.",
+            "The film was released under a new title in the public eye.",
+            "This artistic licence fee was provided under protest.",
+            "Our boost in software license revenues, and the mozilla in the public license office.",
+        )
+    ),
 )
 
 

@@ -107,12 +107,16 @@ LICENSES = (
     ("public-domain", "public domain", "public domain", "public domain"),
 )
 
+#: Words after "license" by which it is a permit, a plate or a product, and not a license of this list. Words that
+#: often begin the next sentence (tests, servers) are not among them, as texts are scanned without their full stops.
+PERMITS = r"(?! (?:plates?|fees?|keys?|numbers?|holders?|offices?|renewals?|revenues?)\b)"
+
 #: How a license is mentioned: form, with {name} or {id}; priority; confidence; a keyword of the form's own.
 FORMS = (
     (r"\bspdx license identifier {id}(?: only| or later)?\b", 4, 1.0, "spdx"),
     (r"\b(?:licensed|released|distributed|published|available|provided) under (?:the |an? )?(?:terms of (?:the )?)?{name}(?: (?:public )?licen[cs]e)?(?: version \d(?: \d)?)?\b", 3, 0.95, "under"),
-    (r"\b(?:the )?{name} (?:public )?licen[cs]e\b", 2, 0.9, "licen"),
-    (r"\b(?:the )?{name}\b(?<=\d)", 2, 0.85, "licen"),
+    (r"\b(?:the )?{name} (?:public )?licen[cs]e\b" + PERMITS, 2, 0.9, "licen"),
+    (r"\b(?:the )?{name}\b(?<=\d)(?<!\bx11)" + PERMITS, 2, 0.85, "licen"),
     (r"\b(?:opensource org|spdx org|creativecommons org|choosealicense com|gnu org|apache org) licenses? {id}\b", 2, 0.9, "license"),
 )
 
