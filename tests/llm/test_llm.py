@@ -629,6 +629,60 @@ def test_words_of_like_structure_are_told_apart(spark):
     assert {r["doc_id"]: r["component_id"] for r in near.groups(docs, 4, 80).collect()} == {i: c for i, c in want.items() if i is not None}
 
 
+def test_hot_buckets_are_split_without_losing_a_pair(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 16)
+    draw = np.random.default_rng(8)
+    n, width = 600, near.BANDS * near.ROWS
+    minima = draw.integers(0, 1 << 32, (n, width), dtype=np.uint32)
+    minima[:, : width // 2] = minima[0, : width // 2]  # what a passage of all documents gives
+    for i in range(0, 60, 2):  # pairs around the least number of equal values
+        minima[i + 1] = minima[i]
+        changed = draw.permutation(width)[: 20 + i]
+        minima[i + 1, changed] = draw.integers(0, 1 << 32, len(changed), dtype=np.uint32)
+    classes = spark.createDataFrame([(i, bytearray(m.tobytes())) for i, m in enumerate(minima)], "rep long, minima binary")
+    rows = spark.createDataFrame([(7, i, i) for i in range(n)] + [(9, i, i) for i in range(5)], "key long, rep long, comp long")
+    got, sizes = near._narrowed(rows, "key", classes, 0.8)
+    holds = defaultdict(set)
+    for r in got.collect():
+        holds[r["key"]].add(r["rep"])
+    assert holds.pop(9) == set(range(5)) and 7 not in holds
+    least = near.least_matches(0.8)[-1]
+    equal = np.array([(minima == m).sum(1) for m in minima])
+    need = {(i, j) for i, j in np.argwhere(equal >= least).tolist() if i < j}
+    assert 5 < len(need) < 30
+    assert all(any({i, j} <= h for h in holds.values()) for i, j in need)
+    assert set.union(*holds.values()) <= set(range(60)) and max(len(h) for h in holds.values()) == 2  # the passage brings nobody together
+    assert {r["key"] for r in sizes.collect()} - {9} <= set(holds)
+
+
+def test_near_groups_of_documents_that_share_a_passage(spark, monkeypatch):
+    draw = random.Random(12)
+    vocab = [f"w{k}" for k in range(5000)]
+    passage = [draw.choice(vocab) for _ in range(66)]
+    rows = [(i, " ".join(passage + [draw.choice(vocab) for _ in range(54)])) for i in range(150)]
+    for i in range(30):  # copies with a few words changed, at both sides of the threshold
+        w = rows[i][1].split()
+        for _ in range(1 + i % 6):
+            w[draw.randrange(len(w))] = draw.choice(vocab)
+        rows.append((150 + i, " ".join(w)))
+    split = []
+    narrowed = near._narrowed
+
+    def seen(rows, key, classes, similar):
+        out = narrowed(rows, key, classes, similar)
+        split.append(out[0] is not rows)
+        return out
+
+    monkeypatch.setattr(near, "_narrowed", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: c for i, c in linked(rows, 4, 80).items() if i is not None}
+    for block in (4, 512):
+        monkeypatch.setattr(near, "BLOCK", block)
+        assert {r["doc_id"]: r["component_id"] for r in near.groups(docs, 4, 80).collect()} == want
+        assert split[0] == (block == 4)
+        split.clear()
+
+
 def test_a_large_component_meets_only_strangers(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 8)
     rows = spark.createDataFrame([(1, i, 0 if i < 100 else i) for i in range(110)], "key long, rep long, comp long")

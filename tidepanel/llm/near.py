@@ -15,6 +15,8 @@
    components are laid out in pairs of blocks again, with their sets, and all pairs across components
    that pass the batches are decided exactly inside the tasks, which report a spanning forest of the
    links. No pair within a component is compared, none across is left out, and no task emits all pairs.
+   Where a bucket or group has more than a block of members beside its largest component, it is split first
+   by its members' rarest MinHash values (``_narrowed``), so unlike documents that share a passage hardly meet.
 
 Tables between steps are written to the shared folder. Shingle sets are made only for classes that
 share a bucket. Nothing of the size of the corpus goes to the driver.
@@ -178,17 +180,61 @@ class _Joined:
         return x != y
 
 
-def _blocks(rows: DataFrame, key: str) -> DataFrame:
+def _sizes(rows: DataFrame, key: str) -> DataFrame:
+    """Keys with several components: main (the largest one), n_main and n (members of it and of all)."""
+    sizes = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy(key).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"))
+    return sizes.where("comps > 1").drop("comps")
+
+
+def _tokens(members: DataFrame) -> DataFrame:
+    """rep, comp, token: each MinHash value of the members (rep, comp, minima) together with its place."""
+    place = np.arange(BANDS * ROWS, dtype=np.int64) << 32
+
+    def run(batches):
+        for part in batches:
+            for at in range(0, part.num_rows, 4096):
+                some = part.slice(at, 4096)
+                of = pa.array(np.repeat(np.arange(some.num_rows), BANDS * ROWS))
+                token = pa.array((_minima(some.column("minima")).astype(np.int64) | place).ravel())
+                yield pa.RecordBatch.from_arrays([some.column("rep").take(of), some.column("comp").take(of), token], ["rep", "comp", "token"])
+
+    return members.select("rep", "comp", "minima").mapInArrow(run, "rep long, comp long, token long")
+
+
+def _narrowed(rows: DataFrame, key: str, classes: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, rep, comp) and the sizes of their keys, with every key of more than one block of members beside its largest component split.
+
+    Pairs that pass all batches agree in at least m values. With all values in one order, each member
+    keeps its ``values - m + 1`` first ones: two members that agree in m values then have one of them in
+    common, so no pair that could pass is lost. The order is by rising count, so what many members share (a
+    passage of all, say) is hardly ever among them; values of one member alone are not kept at all.
+    """
+    sizes = written(_sizes(rows, key), "sizes")
+    hot = written(sizes.where(F.col("n") - F.col("n_main") > BLOCK).select(key), "hot-keys")
+    if hot.isEmpty():
+        return rows, sizes
+    hot = sized(hot, 8)
+    members = rows.join(hot, key, "left_semi").select("rep", "comp").distinct().join(classes.select("rep", "minima"), "rep")
+    tokens = _tokens(written(members, "hot-members"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = tokens.join(counts, "token").groupBy("rep", "comp").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    first = F.slice("t", 1, F.greatest(F.size("t") - (least_matches(similar)[-1] - 1), F.lit(0)))
+    split = kept.select("rep", "comp", F.explode(first).alias("t")).select(F.xxhash64("t.token").alias(key), "rep", "comp")
+    split = written(split, "split")
+    apart = rows.join(hot, key, "left_anti").select(key, "rep", "comp").unionByName(split.select(key, "rep", "comp"))
+    return apart, sizes.join(hot, key, "left_anti").unionByName(_sizes(split, key))
+
+
+def _blocks(rows: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFrame:
     """Rows (key, rep, comp) dealt to pairs of blocks (p <= q): two rows of one key and different components meet in one pair.
 
     The members of a key's largest component have blocks of their own, which meet only the others'.
     Keys with a single component are left out.
     """
-    sizes = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy(key).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     few, many = F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int"), F.ceil(F.col("n_main") / BLOCK).cast("int")
     main, draw = F.col("comp") == F.col("main"), F.xxhash64("rep")
-    rows = rows.join(sizes, key).withColumn("mine", F.when(main, few + F.pmod(draw, many)).otherwise(F.pmod(draw, few)).cast("int"))
+    rows = rows.join(_sizes(rows, key) if sizes is None else sizes, key).withColumn("mine", F.when(main, few + F.pmod(draw, many)).otherwise(F.pmod(draw, few)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, few - 1).otherwise(few + many - 1))))
     return rows.select(key, "rep", "comp", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
 
@@ -238,7 +284,8 @@ def _maybe(members: DataFrame, labels: DataFrame, classes: DataFrame, similar: f
     """Pairs (a, b) of components that hold bucket mates which may be linked; within a task, a spanning forest of them."""
     least = least_matches(similar)
     own = members.join(labels.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    rows = _blocks(own, "key").join(classes.select("rep", "minima"), "rep")
+    rows, sizes = _narrowed(own.select("key", "rep", "comp"), "key", classes, similar)
+    rows = _blocks(rows, "key", sizes).join(classes.select("rep", "minima"), "rep")
 
     def links(g):
         minima = np.frombuffer(b"".join(g["minima"]), np.uint32).reshape(-1, BANDS * ROWS)
@@ -257,7 +304,8 @@ def _decided(maybe: DataFrame, members: DataFrame, labels: DataFrame, classes: D
     wide = components(maybe).toDF("comp", "wide")
     own = members.select("rep").distinct().join(labels.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     own = written(own.join(wide, "comp"), "undecided")
-    rows = _blocks(own, "wide").join(classes.select("rep", "minima"), "rep").join(sets, "rep")
+    rows, sizes = _narrowed(own.select("wide", "rep", "comp"), "wide", classes, similar)
+    rows = _blocks(rows, "wide", sizes).join(classes.select("rep", "minima"), "rep").join(sets, "rep")
 
     def links(g):
         minima = np.frombuffer(b"".join(g["minima"]), np.uint32).reshape(-1, BANDS * ROWS)
