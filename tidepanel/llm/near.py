@@ -202,27 +202,55 @@ def _tokens(members: DataFrame) -> DataFrame:
     return members.select("rep", "comp", "minima").mapInArrow(run, "rep long, comp long, token long")
 
 
+def _dealt(sizes: DataFrame) -> DataFrame:
+    """Sizes with few and many (blocks of the members beside the main component, and of its own)."""
+    return sizes.withColumn("few", F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int")).withColumn("many", F.ceil(F.col("n_main") / BLOCK).cast("int"))
+
+
+def _counted(tokens: DataFrame, members: int) -> DataFrame:
+    """Tokens that two members or more have, with n, how many have them.
+
+    Tokens of more than a thousandth of the members are 1000 * BANDS * ROWS at most, so they are broadcast;
+    the join that shuffles the others has no larger group than that thousandth.
+    """
+    counts = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "tokens")
+    often = F.broadcast(counts.where(F.col("n") * 1000 > members))
+    seldom = tokens.join(often, "token", "left_anti").join(counts.where(F.col("n") * 1000 <= members), "token")
+    return tokens.join(often, "token").unionByName(seldom)
+
+
 def _narrowed(rows: DataFrame, key: str, classes: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, rep, comp) and the sizes of their keys, with every key of more than one block of members beside its largest component split.
+    """Rows (key, rep, comp) and the sizes of their keys, with keys split that have more than a block of members beside their largest component.
 
     Pairs that pass all batches agree in at least m values. With all values in one order, each member
     keeps its ``values - m + 1`` first ones: two members that agree in m values then have one of them in
     common, so no pair that could pass is lost. The order is by rising count, so what many members share (a
     passage of all, say) is hardly ever among them; values of one member alone are not kept at all.
+
+    Members that are all nearly alike share their rarest values, too. So a key is split only if its members
+    have fewer rows in blocks of the split than in those of the key; both ways find the same pairs.
     """
     sizes = written(_sizes(rows, key), "sizes")
-    hot = written(sizes.where(F.col("n") - F.col("n_main") > BLOCK).select(key), "hot-keys")
+    large = written(_dealt(sizes).where(F.col("n") - F.col("n_main") > BLOCK), "large")
+    if large.isEmpty():
+        return rows, sizes
+    mine = rows.join(sized(large.select(key), 8), key, "left_semi").select(key, "rep", "comp")
+    members = written(mine.select("rep", "comp").distinct().join(classes.select("rep", "minima"), "rep"), "members-of-large")
+    kept = _counted(_tokens(members), members.count()).groupBy("rep", "comp").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    first = F.slice("t", 1, F.greatest(F.size("t") - (least_matches(similar)[-1] - 1), F.lit(0)))
+    split = written(kept.select("rep", "comp", F.explode(first).alias("t")).select(F.xxhash64("t.token").alias(key), "rep", "comp"), "split")
+
+    blocks = F.when(F.col("comp") == F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("many"))
+    cost = split.join(_dealt(_sizes(split, key)), key).groupBy("rep").agg(F.sum(blocks).alias("cost"))
+    cost = mine.join(cost, "rep", "left").groupBy(key).agg(F.sum(F.coalesce("cost", F.lit(0))).alias("cost"))
+    others = F.col("n") - F.col("n_main")
+    hot = large.join(cost, key).where(F.col("cost") < others * (F.col("few") + F.col("many")) + F.col("n_main") * F.col("few"))
+    hot = written(hot.select(key), "hot-keys")
     if hot.isEmpty():
         return rows, sizes
     hot = sized(hot, 8)
-    members = rows.join(hot, key, "left_semi").select("rep", "comp").distinct().join(classes.select("rep", "minima"), "rep")
-    tokens = _tokens(written(members, "hot-members"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    kept = tokens.join(counts, "token").groupBy("rep", "comp").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    first = F.slice("t", 1, F.greatest(F.size("t") - (least_matches(similar)[-1] - 1), F.lit(0)))
-    split = kept.select("rep", "comp", F.explode(first).alias("t")).select(F.xxhash64("t.token").alias(key), "rep", "comp")
-    split = written(split, "split")
-    apart = rows.join(hot, key, "left_anti").select(key, "rep", "comp").unionByName(split.select(key, "rep", "comp"))
+    split = split.join(mine.join(hot, key, "left_semi").select("rep").distinct(), "rep", "left_semi").select(key, "rep", "comp")
+    apart = rows.join(hot, key, "left_anti").select(key, "rep", "comp").unionByName(split)
     return apart, sizes.join(hot, key, "left_anti").unionByName(_sizes(split, key))
 
 
@@ -232,9 +260,9 @@ def _blocks(rows: DataFrame, key: str, sizes: DataFrame | None = None) -> DataFr
     The members of a key's largest component have blocks of their own, which meet only the others'.
     Keys with a single component are left out.
     """
-    few, many = F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int"), F.ceil(F.col("n_main") / BLOCK).cast("int")
-    main, draw = F.col("comp") == F.col("main"), F.xxhash64("rep")
-    rows = rows.join(_sizes(rows, key) if sizes is None else sizes, key).withColumn("mine", F.when(main, few + F.pmod(draw, many)).otherwise(F.pmod(draw, few)).cast("int"))
+    few, many, main, draw = F.col("few"), F.col("many"), F.col("comp") == F.col("main"), F.xxhash64("rep")
+    rows = rows.join(_dealt(_sizes(rows, key) if sizes is None else sizes), key)
+    rows = rows.withColumn("mine", F.when(main, few + F.pmod(draw, many)).otherwise(F.pmod(draw, few)).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(main, few - 1).otherwise(few + many - 1))))
     return rows.select(key, "rep", "comp", "mine", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"))
 
