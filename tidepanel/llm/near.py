@@ -16,7 +16,8 @@
    that pass the batches are decided exactly inside the tasks, which report a spanning forest of the
    links. No pair within a component is compared, none across is left out, and no task emits all pairs.
    Where a bucket or group has more than a block of members beside its largest component, it is split first
-   by its members' rarest MinHash values (``_narrowed``), so unlike documents that share a passage hardly meet.
+   by its members' rarest MinHash values (``_narrowed``) if that lays out fewer rows, so unlike documents that
+   share a passage hardly meet.
 
 Tables between steps are written to the shared folder. Shingle sets are made only for classes that
 share a bucket. Nothing of the size of the corpus goes to the driver.
