@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepanel.config import WEEKLY
 from tidepanel.operators import adjust, backtest, factors, filings, metrics, models, portfolio, universe, volatility
 from tidepanel.operators import calendar as cal
+from tidepanel.plans.reports import WIDE, land_wide
 from tidepanel.sources import layouts
 from tidepanel.streaming import live
 
@@ -349,6 +350,20 @@ def test_wide_files_are_unpivoted_by_their_own_header(spark, tmp_path):
     assert sorted((r["symbol"], r["ts"].minute, r["price"]) for r in got) == [("AA", 15, 1.0), ("AA", 25, 2.5), ("B-B", 25, 3.0), ("CC", 25, 4.0), ("DD", 15, 7.0)]
 
 
+def test_wide_files_keep_their_width_however_many_symbols(spark, tmp_path):
+    draw = random.Random(3)
+    rows = [(f"U{k}", dt.datetime(2024, 1 + k % 2, 5, 9, draw.randrange(60), k % 60), float(k)) for k in range(4000)]
+    ticks = spark.createDataFrame(rows, "symbol string, ts timestamp, price double")
+    land_wide(ticks, str(tmp_path / "in"))
+    files = list((tmp_path / "in").rglob("*.txt"))
+    assert max(len(f.read_text().split("\n")[0].split(",")) for f in files) < 2 * WIDE
+    found = live.wide_ticks(spark.read.text(str(tmp_path / "in"), wholetext=True))
+    assert sorted(map(tuple, found.select("symbol", "ts", "price").collect())) == sorted(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    carried = [line for line in plan.splitlines() if "explode(lines" in line]
+    assert len(carried) == 1 and "value" not in carried[0]  # a line does not carry its file
+
+
 def test_the_monitor_carries_prices_through_the_day_only(spark, tmp_path):
     schema = "symbol string, ts timestamp, price double"
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))

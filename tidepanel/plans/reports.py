@@ -241,15 +241,25 @@ def bars_5m_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.withColumn("start", F.col("start").cast(ticks.schema["ts"].dataType)))
 
 
-def land_wide(ticks: DataFrame, place: str, files: int = 12) -> None:
-    """Ticks as wide files: a header with the symbols of a file under the feed's names, and one line a time."""
-    one = ticks.groupBy("symbol", F.col("ts").cast("string").alias("ts")).agg(F.max("price").alias("price")).withColumn("file", F.pmod(F.xxhash64("symbol"), F.lit(files)))
-    names = one.groupBy("file").agg(F.sort_array(F.collect_set("symbol")).alias("names"))
-    lines = one.groupBy("file", "ts").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "price"))).alias("m")).join(F.broadcast(names), "file")
-    cells = F.transform("names", lambda s: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda k, _: k == s)), F.lit(0)).cast("string"), F.lit("")))
-    text = lines.select("file", "names", "ts", F.concat_ws(",", "ts", cells).alias("line"))
-    text = text.groupBy("file").agg(F.concat_ws(",", F.lit("Datetime"), F.transform(F.first("names"), lambda s: F.concat(s, F.lit(live.SUFFIX)))).alias("head"), F.sort_array(F.collect_list("line")).alias("lines"))
-    text.select("file", F.concat_ws("\n", "head", F.array_join("lines", "\n")).alias("value")).repartition("file").write.partitionBy("file").text(place)
+#: Symbols of a wide file, on average. A file also ends with its month, so none grows with the feed.
+WIDE = 64
+
+
+def land_wide(ticks: DataFrame, place: str) -> None:
+    """Ticks as wide files: a header with the symbols of a file under the feed's names, and one line a time.
+
+    Symbols are dealt over as many files as ``WIDE`` asks for, so lines keep their width however many symbols there are.
+    """
+    files = max(12, -(-ticks.select("symbol").distinct().count() // WIDE))
+    key = ["file", "month"]
+    dealt = ticks.select(F.pmod(F.xxhash64("symbol"), F.lit(files)).alias("file"), F.date_format("ts", "yyyyMM").alias("month"), "symbol", F.col("ts").cast("string").alias("ts"), "price")
+    one = dealt.repartition(*key).groupBy(*key, "symbol", "ts").agg(F.max("price").alias("price"))
+    names = one.groupBy(*key).agg(F.sort_array(F.collect_set("symbol")).alias("names"))
+    lines = one.groupBy(*key, "ts").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "price"))).alias("m")).join(names, key)
+    cells = F.transform("names", lambda s: F.coalesce(F.try_element_at("m", s).cast("string"), F.lit("")))
+    text = lines.select(*key, "names", "ts", F.concat_ws(",", "ts", cells).alias("line"))
+    text = text.groupBy(*key).agg(F.concat_ws(",", F.lit("Datetime"), F.transform(F.first("names"), lambda s: F.concat(s, F.lit(live.SUFFIX)))).alias("head"), F.sort_array(F.collect_list("line")).alias("lines"))
+    text.select(*key, F.concat_ws("\n", "head", F.array_join("lines", "\n")).alias("value")).write.partitionBy(*key).text(place)
 
 
 @query("SELECT symbol, time_bucket(INTERVAL '5' MINUTE, ts) AS start, round(arg_min(price, ts), 6) AS open, round(MAX(price), 6) AS high, round(MIN(price), 6) AS low, round(arg_max(price, ts), 6) AS close, COUNT(*) AS n FROM (SELECT symbol, ts, MAX(price) AS price FROM tick GROUP BY 1, 2) GROUP BY 1, 2")

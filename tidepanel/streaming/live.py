@@ -165,9 +165,11 @@ def wide_ticks(files: DataFrame) -> DataFrame:
     """
     cells = lambda line: F.transform(F.split(line, ","), lambda c: F.trim(c))
     lines = F.split("value", "\r?\n")
-    rows = files.select(cells(F.get(lines, F.lit(0))).alias("head"), F.explode(F.slice(lines, 2, 1 << 30)).alias("line"))
+    # inline makes columns of head and lines, so that a file is split once and its lines carry the head, not the text
+    split = F.inline(F.array(F.struct(cells(F.get(lines, F.lit(0))).alias("head"), F.slice(lines, 2, 1 << 30).alias("lines"))))
+    rows = files.select(split).select("head", F.explode("lines").alias("line"))
     rows = rows.select("head", cells(F.col("line")).alias("cells")).withColumn("ts", F.try_to_timestamp(F.get("cells", F.lit(0))))
-    rows = rows.where("ts is not null").select("ts", F.explode(F.slice(F.arrays_zip("head", "cells"), 2, 1 << 30)).alias("c"))
+    rows = rows.where("ts is not null").select("ts", F.explode(F.filter(F.slice(F.arrays_zip("head", "cells"), 2, 1 << 30), lambda c: c["cells"] != "")).alias("c"))
     symbol = F.when(F.endswith("c.head", F.lit(SUFFIX)), F.expr(f"left(c.head, length(c.head) - {len(SUFFIX)})")).otherwise(F.col("c.head"))
     return rows.select(symbol.alias("symbol"), "ts", F.col("c.cells").try_cast("double").alias("price")).where("price is not null and symbol <> ''")
 
