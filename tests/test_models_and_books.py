@@ -83,6 +83,21 @@ def test_boosting_equals_plain_numpy(spark, monkeypatch, driver, keep, leaves):
     assert df.limit(1).withColumn("a", F.lit(None).cast("double")).select(model.column()).first()[0] is None
 
 
+def test_a_level_costs_the_same_in_every_round(spark, monkeypatch):
+    seen, level = [], boosting._level
+
+    def counted(*args, **kw):
+        seen.append(sum(isinstance(t, boosting.Tree) for a in args for t in (a if isinstance(a, list) else [a])))
+        return level(*args, **kw)
+
+    monkeypatch.setattr(boosting, "_level", counted)
+    df, *_ = table(spark)
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    model = boosting.fit(df, FEATURES, "y", F.col("held") == 1, boosting.Settings(rounds=6, depth=2, leaf=25))
+    assert len(model.trees) == 6 and set(seen) == {1}  # only the tree that grows is looked up, not those before it
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == held
+
+
 def test_boosting_of_odd_tables(spark):
     df, *_ = table(spark, 60)
     s = boosting.Settings(rounds=3)  # 200 rows a leaf: no cut is allowed

@@ -7,9 +7,10 @@ cut is found: in the driver while all of them take ``DRIVER_BYTES`` at most, els
 the cluster, of which the driver sees one row each. Residuals are counted in whole multiples of a small
 unit, so sums, and with them trees, are the same at any partitioning and in both places.
 
-The driver holds the trees (``leaves`` at most, a few numbers each) and the validation curve. Every
-``KEEP`` rounds the predictions so far are written with the blocks, so that plans and work stay
-short, and lost executors cost no more than the rounds since.
+The driver holds the trees (``leaves`` at most, a few numbers each) and the validation curve. A tree is
+applied to the rows once, when it is done: the blocks with the predictions so far are held by the
+executors (memory, else disk), so a level costs the same in every round. Every ``KEEP`` rounds they are
+written, so that plans stay short, and lost executors cost no more than the rounds since.
 """
 
 from __future__ import annotations
@@ -144,8 +145,8 @@ _PART = "node int, feature int, sums binary, counts binary"
 _BEST = "node int, feature int, gain double, cut int, left_sum double, left_n long, sum double, n long"
 
 
-def _level(blocks: DataFrame, model: Model, since: list[Tree], tree: Tree, open_: list[int], unit: float, tasks: int) -> list[dict]:
-    """The best cut of each open node and feature; at a tree's root also the held rows' squared error (node -1: sum, n)."""
+def _level(blocks: DataFrame, model: Model, tree: Tree, open_: list[int], unit: float, tasks: int, level: int = 0) -> list[dict]:
+    """The best cut of each open node (``level`` cuts below the root) and feature; at a tree's root also the held rows' squared error (node -1: sum, n)."""
     d, b, s = len(model.features), model.settings.bins, model.settings
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,16 +155,13 @@ def _level(blocks: DataFrame, model: Model, since: list[Tree], tree: Tree, open_
         sums, counts = np.zeros((d, len(open_) * b)), np.zeros((d, len(open_) * b), np.int64)
         wrong = np.zeros(2)
         for x, y, f, held in _blocks(batches, d):
-            f = f.copy()
-            for t in since:
-                f += np.array(t.value)[t.reached(x, s.depth)]
             if open_ == [0]:
                 wrong += [float(((y - f)[held] ** 2).sum()), held.sum()]
-            node = place[tree.reached(x, s.depth)]
+            node = place[tree.reached(x, level)]
             on = np.flatnonzero((node >= 0) & ~held)
-            residual = np.rint((y[on] - f[on]) / unit)
+            residual, first = np.rint((y[on] - f[on]) / unit), node[on] * b
             for k in range(d):
-                cell = node[on] * b + x[k, on]
+                cell = first + x[k, on]
                 sums[k] += np.bincount(cell, residual, len(open_) * b)
                 counts[k] += np.bincount(cell, minlength=len(open_) * b)
         rows = [(n, k, sums[k, i * b : i * b + b].tobytes(), counts[k, i * b : i * b + b].tobytes()) for i, n in enumerate(open_) for k in range(d)]
@@ -198,15 +196,15 @@ def _level(blocks: DataFrame, model: Model, since: list[Tree], tree: Tree, open_
     return [best(*key, parts) for key, parts in found.items()]
 
 
-def _grown(blocks: DataFrame, model: Model, since: list[Tree], unit: float, tasks: int, error: list[float]) -> Tree:
+def _grown(blocks: DataFrame, model: Model, unit: float, tasks: int, error: list[float]) -> Tree:
     """One tree on the residuals of the trees so far; ``error`` gets the mean squared error of the held rows before it."""
     s, full = model.settings, Tree()
     full.add(0.0)
     open_, cuts, totals = [0], {}, {}
-    for _ in range(s.depth):
+    for level in range(s.depth):
         if not open_:
             break
-        rows = _level(blocks, model, since, full, open_, unit, tasks)
+        rows = _level(blocks, model, full, open_, unit, tasks, level)
         nodes: dict[int, list] = {}
         for r in rows:
             if r["node"] >= 0:
@@ -248,18 +246,18 @@ def _pruned(full: Tree, cuts: dict[int, float], totals: dict[int, tuple[float, i
     return out
 
 
-def _advanced(blocks: DataFrame, model: Model, since: list[Tree]) -> DataFrame:
-    """The blocks with the predictions of the trees ``since`` added, written."""
+def _advanced(blocks: DataFrame, model: Model, tree: Tree, write: bool) -> DataFrame:
+    """The blocks with the predictions of one more tree added, written or held by the executors."""
     d, depth = len(model.features), model.settings.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = np.array(tree.value)
         for x, y, f, held in _blocks(batches, d):
-            f = f.copy()
-            for t in since:
-                f += np.array(t.value)[t.reached(x, depth)]
+            f = f + value[tree.reached(x, depth)]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in (x, y, f, held.astype(np.uint8))], ["x", "y", "f", "held"])
 
-    return stored(blocks.mapInArrow(run, "x binary, y binary, f binary, held binary"), "boosting")
+    moved = blocks.mapInArrow(run, "x binary, y binary, f binary, held binary")
+    return stored(moved, "boosting") if write else moved.persist()
 
 
 def fit(rows: DataFrame, features: list[str], target: str, held: Column, settings: Settings = Settings()) -> Model:
@@ -277,21 +275,22 @@ def fit(rows: DataFrame, features: list[str], target: str, held: Column, setting
         return model
     blocks = stored(_packed(whole, model, target, F.col("_held")), "boosting")
     tasks = blocks.rdd.getNumPartitions()
-    since: list[Tree] = []
     errors: list[float] = []  # before each tree
+    before = blocks
     while len(model.trees) < settings.rounds:
-        tree = _grown(blocks, model, since, unit, tasks, errors)
+        tree = _grown(blocks, model, unit, tasks, errors)
+        before.unpersist()  # these blocks have been made from it by now
         model.trees.append(tree)
-        since.append(tree)
+        before, blocks = blocks, _advanced(blocks, model, tree, len(model.trees) % KEEP == 0)
         best = int(np.argmin(errors)) if errors else 0
         if settings.patience and errors and len(errors) - 1 - best >= settings.patience:
             break
-        if len(since) == KEEP:
-            blocks, since = _advanced(blocks, model, since), []
     last: list[float] = []
-    for r in _level(blocks, model, since, Tree([-1], [0], [0], [0], [0.0]), [0], unit, tasks):
+    for r in _level(blocks, model, Tree([-1], [0], [0], [0], [0.0]), [0], unit, tasks):
         if r["node"] < 0 and r["n"]:
             last.append(r["sum"] / r["n"])
+    before.unpersist()
+    blocks.unpersist()
     model.errors = [*errors, *last][1:]
     return model
 
