@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str, rows: int, most: int = 1 << 18) -> DataFrame:
+    """``df`` dealt by a key to so many tasks that each has about ``most`` of ``rows`` rows: its memory stays the same on any table.
+
+    What groups, joins small tables or has windows by that key, alone or with further ones, then needs no shuffle.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)), key)
+
+
 def state(spark: SparkSession, folder: str) -> str:
     """What a folder of tables holds just now: each table's bytes and files and when it was changed."""
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.config import Config
-from tidepanel.functions.tables import stored
+from tidepanel.functions.tables import dealt, stored
 from tidepanel.operators.calendar import calendar, indexed
 
 
@@ -19,7 +19,12 @@ def by_date() -> Window:
 
 
 def isin_links(panel: DataFrame) -> DataFrame:
-    """isin, canonical_isin of every isin: the last identity of its chain of handovers, through any number of symbols.
+    """isin, canonical_isin of every isin: the last identity of its chain of handovers (``handed``), or itself."""
+    return panel.select("isin").distinct().join(handed(panel), "isin", "left").withColumn("canonical_isin", F.coalesce("canonical_isin", "isin"))
+
+
+def handed(panel: DataFrame) -> DataFrame:
+    """isin, canonical_isin of the isins that hand over: the last identity of the chain, through any number of symbols.
 
     A handover is a symbol's next identity that begins exactly one session after the former ends; of
     several, the one under the symbol that sorts last counts. Links (few: one for each handover) are
@@ -43,7 +48,7 @@ def isin_links(panel: DataFrame) -> DataFrame:
     endless = links.join(first.select(F.col("isin").alias("to")), "to", "left_semi").orderBy("isin").limit(20).collect()
     if endless:
         raise LinkCycleError(f"handovers go in a circle: {', '.join(r['isin'] for r in endless)}")
-    return panel.select("isin").distinct().join(links, "isin", "left").select("isin", F.coalesce("to", "isin").alias("canonical_isin"))
+    return links.select("isin", F.col("to").alias("canonical_isin"))
 
 
 def apply_links(panel: DataFrame, links: DataFrame) -> DataFrame:
@@ -72,8 +77,12 @@ def adjusted(panel: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def prepared(panel: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Linked, adjusted and indexed: what all later operators take."""
-    return indexed(adjusted(apply_links(panel, isin_links(panel)), cfg))
+    """Linked, adjusted and indexed: what all later operators take.
+
+    The panel is joined with the few identities that hand over, and dealt by isin once; the calendar is that of the panel as given.
+    """
+    linked = apply_links(panel, handed(panel))
+    return indexed(adjusted(dealt(linked, "isin", panel.count()), cfg), calendar(panel))
 
 
 def returns(panel: DataFrame, gap: str = "null", cap: float | None = 0.5) -> DataFrame:

@@ -23,8 +23,11 @@ def _at(back: Column | int) -> Column:
 def price_factors(panel: DataFrame, forms: DataFrame, cfg: Config, members: DataFrame | None = None) -> DataFrame:
     """form_date, isin and the raw factors from one grouping; with members, exactly their rows.
 
-    A history shorter by one session than lookback + skip + 1 answers with its oldest session.
+    A history shorter by one session than lookback + skip + 1 answers with its oldest session. Bars of names that
+    are never members are left out before anything is sent.
     """
+    if members is not None:
+        panel = panel.join(members.select("isin").distinct(), "isin", "left_semi")
     longest = max(cfg.long_momentum + cfg.skip + 1, cfg.vol_window + 1, cfg.reversal + 1)
     rows = spread(returns(panel, cap=None), forms, longest)
     oldest = lambda back: F.least(F.lit(back), F.col("form_s"))

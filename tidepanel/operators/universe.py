@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.config import Config
+from tidepanel.functions.tables import dealt
 from tidepanel.operators.calendar import covering
 
 
@@ -15,12 +16,15 @@ def spread(panel: DataFrame, forms: DataFrame, window: int) -> DataFrame:
 
 
 def formation_stats(panel: DataFrame, forms: DataFrame, window: int) -> DataFrame:
-    """form_date, isin, symbol, median_turnover, n_days, last_close, window_days, trading_frac, traded (on the date itself)."""
-    rows = spread(panel, forms, window)
+    """form_date, isin, symbol, median_turnover, n_days, last_close, window_days, trading_frac, traded (on the date itself).
+
+    Bars are dealt by isin before they are spread, so each is sent once, not once for every formation that sees it.
+    """
+    rows = spread(dealt(panel.select("isin", "s", "symbol", "turnover", "close"), "isin", panel.count()), forms, window)
     stats = rows.groupBy("form_date", "form_s", "isin").agg(
         F.max_by("symbol", "s").alias("symbol"),
         F.median("turnover").alias("median_turnover"),
-        F.count_distinct("s").alias("n_days"),
+        F.size(F.collect_set("s")).cast("long").alias("n_days"),
         F.max_by("close", F.when(F.col("close").isNotNull(), F.col("s"))).alias("last_close"),
         (F.max("s") == F.col("form_s")).alias("traded"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.config import Config
+from tidepanel.functions.tables import dealt
 from tidepanel.operators.adjust import returns
 
 def by_s() -> Window:
@@ -82,6 +83,7 @@ def features(panel: DataFrame, cfg: Config) -> DataFrame:
     w1, w2, w3, w4 = cfg.windows
     y = cfg.year
     first = F.min("s").over(Window.partitionBy("isin"))
+    panel = dealt(panel.select("date", "s", "isin", "symbol", "high", "low", "turnover", "adj_close"), "isin", panel.count())
     rows = returns(panel, cap=cfg.return_cap).withColumn("age", F.col("s") - first)
     rows = rows.select(
         "date", "s", "isin", "symbol", "ret",

@@ -44,7 +44,6 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volatility.features(panel(spark, sf_dir), config(spark, sf_dir))
 
 
-@once
 def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volatility.usable(_features(spark, sf_dir))
 

@@ -1,8 +1,12 @@
-"""Panel-shaped tables derived from the star-schema tables; one SQL text serves Spark and other engines."""
+"""Panel-shaped tables derived from the star-schema tables; one SQL text serves Spark and other engines, but for the bars."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidepanel.functions.tables import dealt
+from tidepanel.operators.calendar import calendar, indexed
 
 BARS = """WITH cell AS (SELECT l_suppkey AS k, CAST(date_trunc('week', l_shipdate) AS DATE) AS date,
     AVG(l_discount) - 0.05 AS r, SUM(l_extendedprice) AS turnover, SUM(l_quantity) AS volume,
@@ -74,12 +78,10 @@ FROM (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR(20)) AS c, CAST(o_orderd
   CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderdate AS DATE) + INTERVAL '120' DAY ELSE CAST(o_orderdate AS DATE) + INTERVAL '89' DAY END AS e FROM orders) q"""
 
 TABLES = {
-    BARS: ("lineitem",),
     DAILY: ("lineitem", "supplier"),
     FILINGS: ("orders", "supplier"),
     INDEX_LEVELS: ("lineitem", "supplier", "nation", "region"),
     TICKS: ("events",),
-    XML: ("orders",),
 }
 
 
@@ -91,7 +93,25 @@ def _over(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, sf_dir, BARS)
+    """The rows of ``BARS`` by one shuffle: lines are dealt by supplier, and cells, running sums and lags follow in the same task."""
+    table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = table.select(F.col("l_suppkey").alias("k"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), "l_discount", "l_extendedprice", "l_quantity", "l_tax")
+    cells = dealt(lines, "k", table.count(), 1 << 19).groupBy("k", "date").agg(
+        (F.avg("l_discount") - 0.05).alias("r"), F.sum("l_extendedprice").alias("turnover"), F.sum("l_quantity").alias("volume"),
+        F.count(F.lit(1)).alias("trades"), F.max("l_tax").alias("tx"), F.min("l_tax").alias("tn"),
+    )
+    w = Window.partitionBy("k").orderBy("date")
+    k, s = F.col("k"), F.col("s")
+    ex = F.when((F.row_number().over(w) > 1) & ((k * 7 + s) % 97 == 0), 1).otherwise(0)
+    rows = indexed(cells, calendar(lines)).withColumns({"cr": F.sum("r").over(w), "ex": ex}).withColumn("half", F.pow(F.lit(0.5), F.sum("ex").over(w)))
+    rows = rows.where(~((k % 5 == 1) & s.between(170, 185)))  # lags go over the weeks that are left
+    rows = rows.withColumns({"close": 100 * F.exp("cr") * F.col("half"), "before": 100 * F.exp(F.lag("cr").over(w)) * F.col("half")})
+    name = k.cast("string")
+    isin = F.concat(F.lit("INE"), name, F.when((k % 5).isin(0, 1) & (s >= 180), "B").otherwise("A"))
+    return rows.select(
+        "date", F.concat(F.lit("S"), name).alias("symbol"), isin.alias("isin"), F.col("close").alias("open"), (F.col("close") * (1 + F.col("tx"))).alias("high"), (F.col("close") * (1 - F.col("tn") / 2)).alias("low"), "close",
+        F.coalesce("before", "close").alias("prevclose"), "volume", "turnover", "trades",
+    )
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,4 +131,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xml_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _over(spark, sf_dir, XML)
+    """One document an order, written (and then read) by as many tasks as there are documents for, however few files the orders are in."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    dealt(orders.select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey", orders.count(), 1 << 16).createOrReplaceTempView("orders")
+    return spark.sql(XML)
