@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepanel.functions.tables import dealt
+
 FUND_SIGNS = {"earnings_yield": 1, "book_to_price": 1, "roe": 1, "gross_margin": 1, "debt_to_equity": -1, "earnings_stability": 1, "asset_growth": -1}
 BALANCE = ("net_worth", "total_debt")
 
@@ -30,7 +32,7 @@ def at_dates(found: DataFrame, filings: DataFrame, dates: DataFrame) -> DataFram
     every = dates.agg(F.collect_set("as_of").alias("_dates"))  # one row; as-of dates are sessions of one calendar
     asked = events.select("isin").distinct().join(F.broadcast(every)).select("isin", F.explode("_dates").alias("as_of"), F.lit(1).alias("_kind"), F.lit(None).cast(known.schema["_state"].dataType).alias("_state"))
     w = Window.partitionBy("isin").orderBy("as_of", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = known.unionByName(asked).withColumn("_state", F.last("_state", ignorenulls=True).over(w))
+    rows = dealt(known.unionByName(asked), "isin", filings.count(), 1 << 16).withColumn("_state", F.last("_state", ignorenulls=True).over(w))
     return rows.where("_kind = 1 and _state._hit").select("as_of", "isin", *(F.col(f"_state.{c}").alias(c) for c in names))
 
 
@@ -48,20 +50,32 @@ def latest(filings: DataFrame, keys: list[str]) -> DataFrame:
 
 def as_of(filings: DataFrame, dates: DataFrame, max_age: int) -> DataFrame:
     """The newest period's filing of each isin that was public and not stale on each date (if the newest is stale, so are all)."""
-    rows = at_dates(latest(pick_per_period(visible(filings), ["as_of"]), ["as_of"]), filings, dates)
+    rows = at_dates(newest(filings), filings, dates)
     return rows.where(F.date_diff("as_of", "period_end") <= max_age)
 
 
 def carry_balance_sheet(found: DataFrame, filings: DataFrame, dates: DataFrame, max_age: int) -> DataFrame:
     """Missing balance-sheet items from the newest public filing that has a net worth; its age in balance_sheet_age_days."""
     have = filings.where("net_worth is not null")
-    rows = at_dates(latest(pick_per_period(visible(have), ["as_of"]), ["as_of"]), have, dates)
+    rows = at_dates(newest(have).select("as_of", "isin", "period_end", *BALANCE), have, dates)
     age = F.date_diff("as_of", "period_end").cast("long")
     source = rows.where(age <= max_age).select("as_of", "isin", age.alias("balance_sheet_age_days"), *(F.col(c).alias(f"_{c}") for c in BALANCE))
     rows = found.join(source, ["as_of", "isin"], "left")
     return rows.withColumns({c: F.coalesce(c, f"_{c}") for c in BALANCE}).drop(*(f"_{c}" for c in BALANCE))
 
 
+def newest(filings: DataFrame) -> DataFrame:
+    """The newest period's filing that ``pick_per_period`` prefers, at each date (as_of) at which its company published.
+
+    It is the largest by period, kind and publication of those so far, so a running maximum finds it: no filing meets another.
+    """
+    rows = filings.where("isin is not null and broadcast_date is not null")
+    w = Window.partitionBy("isin").orderBy("broadcast_date").rangeBetween(Window.unboundedPreceding, 0)
+    best = F.max_by(F.struct(*filings.columns), F.struct("period_end", "consolidated", "broadcast_date")).over(w)
+    found = dealt(rows, "isin", filings.count(), 1 << 16).select(best.alias("_best"), F.col("broadcast_date").alias("as_of"), F.col("isin").alias("_isin")).dropDuplicates(["_isin", "as_of"])
+    return found.select("_best.*", "as_of")
+
+
 def _recent(filings: DataFrame, n: int) -> DataFrame:
     w = Window.partitionBy("as_of", "isin").orderBy(F.desc("period_end"))
     return filings.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
@@ -162,7 +176,9 @@ def quarter_facts(documents: DataFrame) -> DataFrame:
     tags = [START, END, *FLOWS.values(), *STOCKS.values()]
     schema = ", ".join(f"{t} {fact}" for t in tags) + ", context array<struct<_id: string, period: struct<instant: string>>>, _bad string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "ignoreNamespace": "true"}
-    rows = documents.select("doc_id", F.from_xml("doc", schema, options).alias("x")).where("x._bad is null")
+    # inline makes a column of what was parsed, so that no filter or later field parses a document again
+    once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))
+    rows = documents.select("doc_id", once(F.from_xml("doc", schema, options), "x")).where("x._bad is null")
 
     def value(tag: str, context: Column) -> Column:
         """The last non-empty value that the tag has in a context."""
@@ -176,7 +192,7 @@ def quarter_facts(documents: DataFrame) -> DataFrame:
         day = F.try_to_date(F.trim(c["period"]["instant"]))
         return F.struct(F.abs(F.date_diff(day, F.col("q.end"))).alias("gap"), i.alias("i"), c["_id"].alias("context"), day.alias("day"))
 
-    rows = rows.withColumn("q", F.array_min(F.filter(F.transform(f"x.{START}", spans), lambda s: s["days"].between(60, 100)))).where("q is not null")
+    rows = rows.select("doc_id", "x", once(F.array_min(F.filter(F.transform(f"x.{START}", spans), lambda s: s["days"].between(60, 100))), "q")).where("q is not null")
     rows = rows.withColumn("b", F.array_min(F.filter(F.transform("x.context", instants), lambda s: s["gap"].isNotNull())))
     number = lambda tag, c: F.replace(value(tag, F.col(c)), F.lit(","), F.lit("")).try_cast("double")
     facts = rows.select(

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from tidepanel.operators import factors
 from tidepanel.operators import filings as ops
 from tidepanel.plans.registry import CTES, config, cte, query, rounded
-from tidepanel.plans.reports import RATIOS, _dates, fund_factors
+from tidepanel.plans.reports import RATIOS, _dates, _filings, fund_factors
 from tidepanel.plans.research import NAMES, _perf, _raw, exposure, ic_table, shortlist
-from tidepanel.sources import adapters
 
 EXTRA = {f: ops.FUND_SIGNS[f] for f in RATIOS}
 
@@ -47,7 +46,7 @@ cte(
 @query("SELECT form_date, isin, round(CASE WHEN COUNT(z) >= 6 THEN AVG(z) END, 5) AS composite FROM az GROUP BY 1, 2")
 def all_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite over the five price factors and all seven fundamentals; half of the twelve must be there."""
-    f, d = adapters.filings(spark, sf_dir), _dates(spark, sf_dir)
+    f, d = _filings(spark, sf_dir), _dates(spark, sf_dir)
     more = rounded(ops.earnings_stability(f, d)).join(rounded(ops.asset_growth(f, d)), ["as_of", "isin"], "full")
     extra = fund_factors(spark, sf_dir).join(more, ["as_of", "isin"], "full").withColumnRenamed("as_of", "form_date")
     rows, signs = factors.with_extra(_raw(spark, sf_dir), extra.select("form_date", "isin", *ALL), factors.PRICE_SIGNS, ALL)

@@ -48,14 +48,20 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms(spark, sf_dir).select(F.col("form_date").alias("as_of"))
 
 
+@once
+def _filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filings, written once: what is known and at which dates are taken from them apart."""
+    return adapters.filings(spark, sf_dir)
+
+
 @once
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.as_of(adapters.filings(spark, sf_dir), _dates(spark, sf_dir), config(spark, sf_dir).filing_age)
+    return ops.as_of(_filings(spark, sf_dir), _dates(spark, sf_dir), config(spark, sf_dir).filing_age)
 
 
 @once
 def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.carry_balance_sheet(_found(spark, sf_dir), adapters.filings(spark, sf_dir), _dates(spark, sf_dir), config(spark, sf_dir).balance_age)
+    return ops.carry_balance_sheet(_found(spark, sf_dir), _filings(spark, sf_dir), _dates(spark, sf_dir), config(spark, sf_dir).balance_age)
 
 
 def _caps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,17 +90,17 @@ def balance_sheet_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT as_of, isin, round(ttm_pat, 4) AS ttm FROM ttm")
 def ttm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ops.trailing_sum(adapters.filings(spark, sf_dir), _dates(spark, sf_dir), "pat"), 4)
+    return rounded(ops.trailing_sum(_filings(spark, sf_dir), _dates(spark, sf_dir), "pat"), 4)
 
 
 @query(f"SELECT as_of, isin, {R('earnings_stability')} FROM stab")
 def earnings_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ops.earnings_stability(adapters.filings(spark, sf_dir), _dates(spark, sf_dir)))
+    return rounded(ops.earnings_stability(_filings(spark, sf_dir), _dates(spark, sf_dir)))
 
 
 @query(f"SELECT as_of, isin, {R('asset_growth')} FROM growth")
 def asset_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ops.asset_growth(adapters.filings(spark, sf_dir), _dates(spark, sf_dir)))
+    return rounded(ops.asset_growth(_filings(spark, sf_dir), _dates(spark, sf_dir)))
 
 
 @query("SELECT as_of, isin, round(market_cap, 4) AS market_cap FROM caps")
@@ -104,7 +110,7 @@ def market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT as_of, isin, {R(*RATIOS)} FROM ffac")
 def fund_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, d = adapters.filings(spark, sf_dir), _dates(spark, sf_dir)
+    f, d = _filings(spark, sf_dir), _dates(spark, sf_dir)
     return rounded(ops.fund_factors(_carried(spark, sf_dir), _caps(spark, sf_dir), ops.trailing_sum(f, d, "pat"), ops.trailing_sum(f, d, "revenue")))
 
 
