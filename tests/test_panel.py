@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 from dataclasses import replace
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.config import WEEKLY
+from tidepanel.functions.tables import dealt
 from tidepanel.operators import adjust, backtest, factors, filings, metrics, models, portfolio, universe, volatility
 from tidepanel.operators import calendar as cal
 from tidepanel.plans.reports import WIDE, land_wide
@@ -103,6 +105,27 @@ def test_factors_and_universe_are_causal(spark):
     causal(spark, make, ends[1])
 
 
+def sent(df) -> list[str]:
+    """What the plan deals out by keys."""
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_bars_are_sent_once_not_once_a_formation(spark, tmp_path):
+    p = cal.indexed(table(spark, bars(130)).withColumn("adj_close", F.col("close")))
+    p.write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    forms = spark.createDataFrame([(d, s) for s, d in enumerate(sessions(130)) if s % 20 == 19], "form_date date, form_s long")
+    plain = universe.formation_stats(p, forms, 26)
+    assert len(sent(plain)) == 1 and re.fullmatch(r"isin#\d+", sent(plain)[0])
+    doubled = universe.formation_stats(p.union(p), forms, 26)  # sessions count once, whatever the bars
+    assert [r["n_days"] for r in doubled.orderBy("form_date", "isin").collect()] == [r["n_days"] for r in plain.orderBy("form_date", "isin").collect()]
+
+
+def test_tasks_grow_in_number_not_in_size(spark):
+    assert dealt(spark.range(10), "id", 10).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert dealt(spark.range(10), "id", 1 << 24).rdd.getNumPartitions() == 64
+
+
 def test_weights_sum_to_one_and_respect_caps(spark):
     draw = random.Random(4)
     rows = [(p, f"n{i}", draw.choice([None, draw.random() ** 3]), f"g{i % 3}") for p in range(20) for i in range(12)]
@@ -341,6 +364,33 @@ def test_garch_search_equals_plain_loops():
     assert none is None and (a, p, v, after) == pytest.approx((*point, x.var(), best[3])) and isinstance(converged, bool)
 
 
+def test_the_newest_filing_is_a_running_maximum(spark):
+    draw = random.Random(8)
+    d0 = dt.date(2020, 1, 1)
+    seen, rows = set(), []
+    for _ in range(300):
+        key = (f"n{draw.randrange(5)}", d0 + dt.timedelta(days=91 * draw.randrange(6)), draw.random() < 0.5, d0 + dt.timedelta(days=draw.randrange(700)))
+        if key not in seen:
+            seen.add(key)
+            rows.append((*key, float(len(rows))))
+    rows.append(("n0", d0, True, None, -1.0))
+    f = spark.createDataFrame(rows, "isin string, period_end date, consolidated boolean, broadcast_date date, pat double")
+    want = filings.latest(filings.pick_per_period(filings.visible(f), ["as_of"]), ["as_of"])
+    got = filings.newest(f)
+    order = ["isin", "as_of", "period_end", "consolidated", "broadcast_date", "pat"]
+    assert sorted(map(tuple, got.select(order).collect())) == sorted(map(tuple, want.select(order).collect()))
+    assert len(sent(got)) == 1 and "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_and_lines_are_parsed_once(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "<x/>")], "doc_id long, doc string")
+    plan = filings.quarter_facts(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml") + plan.count("xmltostructs") + plan.count("XmlToStructs") <= 1 or plan.lower().count("invoke") <= 1
+    (tmp_path / "a20240105.csv").write_text("x\n")
+    plan = layouts.read(spark, [str(tmp_path)])[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 12
+
+
 def test_wide_files_are_unpivoted_by_their_own_header(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Datetime,AA.NS, B-B.NS ,CC\n2024-01-05 09:15:00,1,,x\n2024-01-05 09:20:00,,,\nodd,1,2,3\n2024-01-05 09:25:00,2.5,3,4\n")
     (tmp_path / "b.csv").write_text("Datetime,DD.NS\r\n2024-01-05 09:15:00,7\r\n")

@@ -50,7 +50,8 @@ def canonical(rows: DataFrame, layout: Layout) -> DataFrame:
 def _cells(line: Column) -> Column:
     """The trimmed cells of a CSV line; a comma inside quotes is part of its cell."""
     plain, quoted = F.split(line, ","), F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain), lambda c: F.regexp_replace(c, '^[\\s\ufeff]*"?\\s*|\\s*"?\\s*$', ""))
+    bare = F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain), lambda c: F.regexp_replace(c, '^[\\s\ufeff]*"?\\s*|\\s*"?\\s*$', ""))
+    return F.when(F.rlike(line, F.lit('["\\s\ufeff]')), bare).otherwise(plain)  # most lines have nothing to strip
 
 
 def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -66,13 +67,16 @@ def read(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, DataFrame]:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select(F.col("_metadata.file_path").alias("file"))
     text = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).text(paths)
-    lines = text.select(F.col("_metadata.file_path").alias("file"), _cells(F.col("value")).alias("cells"))
+    # inline makes columns of cells and layout: what reads them later, filters too, splits no line again
+    once = lambda c, name: F.inline(F.array(F.struct(c.alias(name))))
+    lines = text.select(F.col("_metadata.file_path").alias("file"), "value", once(_cells(F.col("value")), "cells"))
     kind = F.lit(None).cast("string")
     for layout in (LEGACY, NEWER):
-        kind = F.when(F.forall(F.array(*map(F.lit, layout.columns.values())), lambda n: F.array_contains("cells", n)), layout.name).otherwise(kind)
-    lines = lines.withColumn("layout", kind)
+        names = F.forall(F.array(*map(F.lit, layout.columns.values())), lambda n: F.array_contains("cells", n))
+        kind = F.when(F.contains("value", F.lit(layout.columns["isin"])) & names, layout.name).otherwise(kind)
+    lines = lines.select("file", "cells", once(kind, "layout"))
     heads = lines.where("layout is not null").groupBy("file").agg(F.min(F.struct("layout", "cells")).alias("head"))
-    rows = lines.where("layout is null").drop("layout").join(heads, "file")
+    rows = lines.where("layout is null").drop("layout").join(F.broadcast(heads), "file")  # one row a file
     at = lambda n: F.get("cells", F.array_position("head.cells", n).cast("int") - 1)
     told = F.coalesce(*(F.try_to_date(F.nullif(F.regexp_extract("file", pattern, 1), F.lit("")), form) for pattern, form in DAYS))
     own = F.coalesce(*(F.when(F.col("head.layout") == x.name, F.try_to_date(at(x.day[0]), x.day[1])) for x in (LEGACY, NEWER)))
