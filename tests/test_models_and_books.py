@@ -98,6 +98,35 @@ def test_a_level_costs_the_same_in_every_round(spark, monkeypatch):
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == held
 
 
+def test_a_level_counts_the_smaller_of_two_nodes(spark, monkeypatch):
+    seen, level = [], boosting._level
+
+    def counted(blocks, model, tree, nodes, *rest):
+        sums, counts, wrong = level(blocks, model, tree, nodes, *rest)
+        seen.append((nodes, int(counts[:, 0].sum())))
+        return sums, counts, wrong
+
+    monkeypatch.setattr(boosting, "_level", counted)
+    df, _, _, held = table(spark)
+    boosting.fit(df, FEATURES, "y", F.col("held") == 1, boosting.Settings(rounds=2, depth=4, leaf=25))
+    train = int((~held).sum())
+    assert len(seen) == 9 and all(n == train if nodes == [0] else n <= train // 2 for nodes, n in seen)  # the other node is the difference
+
+
+def test_a_block_takes_the_rows_of_several_batches(spark):
+    df, x, y, held = table(spark)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        model = boosting.Model(FEATURES, [[0.0]] * 3, 0.5, [], [], boosting.Settings())
+        got = boosting._packed(df.coalesce(1), model, "y", F.col("held") == 1).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    order = np.argsort(held, kind="stable")
+    assert len(got) == 1 and got[0]["train"] == (~held).sum()
+    assert np.array_equal(np.frombuffer(got[0]["rest"]), (y - 0.5)[order]) and np.array_equal(np.frombuffer(got[0]["x"], np.uint8).reshape(3, -1), (x > 0).T[:, order])
+
+
 def test_boosting_of_odd_tables(spark):
     df, *_ = table(spark, 60)
     s = boosting.Settings(rounds=3)  # 200 rows a leaf: no cut is allowed

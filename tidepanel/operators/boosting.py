@@ -1,14 +1,15 @@
 """Histogram gradient boosting on squared error, with every sum made by Spark.
 
 Features are cut once into at most 255 bins by their quantiles and the rows packed into blocks of
-bins. A level of a tree is one job: each task adds up residuals and counts by node, feature and bin, and
-the partial histograms of a node and feature meet in one place (one row a task), where the best
-cut is found: in the driver while all of them take ``DRIVER_BYTES`` at most, else in groups of
-the cluster, of which the driver sees one row each. Residuals are counted in whole multiples of a small
-unit, so sums, and with them trees, are the same at any partitioning and in both places.
-
-The driver holds the trees (``leaves`` at most, a few numbers each) and the validation curve. A tree is
-applied to the rows once, when it is done: the blocks with the predictions so far are held by the
+bins. A level of a tree is one job: each task adds up residuals and counts by feature, node and bin. Of two
+nodes with one parent only the one with fewer rows is counted; the other is the parent less that one. The tasks'
+partial histograms are added up by the driver while all of them take ``DRIVER_BYTES`` at most, else by
+the cluster, of which the driver gets one row a feature. Residuals are counted in whole multiples of a small
+unit, so sums and differences, and with them trees, are the same at any partitioning and in both places.
+
+The driver holds the trees (``leaves`` at most, a few numbers each), the histograms of one level (16 bytes a
+node, feature and bin) and the validation curve. A tree is
+applied to the rows once, when it is done: the blocks with what is left of the target are held by the
 executors (memory, else disk), so a level costs the same in every round. Every ``KEEP`` rounds they are
 written, so that plans stay short, and lost executors cost no more than the rounds since.
 """
@@ -27,9 +28,9 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.tables import stored
 
-#: Rows of a block, and rounds between two writes of the predictions.
-BLOCK, KEEP = 1 << 15, 20
-#: Histograms of a level that the driver adds up itself; more are added up in groups.
+#: Rows of a block, rows of a task at most, and rounds between two writes of the blocks.
+BLOCK, TASK, KEEP = 1 << 16, 1 << 22, 20
+#: Partial histograms of a level that the driver adds up itself; more are added up by the cluster.
 DRIVER_BYTES = 64 << 20
 #: Residuals are counted in units of 2**-UNIT of the target's largest distance from its mean; 2**(52 - UNIT) rows add up exactly.
 UNIT = 22
@@ -59,16 +60,22 @@ class Tree:
     right: list[int] = field(default_factory=list)
     value: list[float] = field(default_factory=list)
 
-    def reached(self, x: np.ndarray, depth: int) -> np.ndarray:
-        """The node of each row (x: one row of bins a feature)."""
-        feature, cut, left, right = (np.array(c) for c in (self.feature, self.cut, self.left, self.right))
-        node = np.zeros(x.shape[1], np.int64)
-        for _ in range(depth):
-            f = feature[node]
-            inner = f >= 0
-            down = np.where(x[np.maximum(f, 0), np.arange(x.shape[1])] <= cut[node], left[node], right[node])
-            node = np.where(inner, down, node)
-        return node
+    def reached(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row (x: one row of bins a feature)."""
+        out = np.zeros(x.shape[1], np.uint8 if len(self.feature) <= 256 else np.int32)
+        there = {0: np.ones(x.shape[1], bool)}
+        for node, f in enumerate(self.feature):  # children come after their parents
+            here = there.pop(node)
+            if f < 0:
+                out += here * out.dtype.type(node)
+            else:
+                down = x[f] <= self.cut[node]
+                there[self.left[node]], there[self.right[node]] = here & down, here & ~down
+        return out
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        """The value of each row's leaf."""
+        return np.array(self.value).take(self.reached(x))
 
     def add(self, value: float) -> int:
         for column, start in ((self.feature, -1), (self.cut, 0), (self.left, 0), (self.right, 0), (self.value, value)):
@@ -93,7 +100,7 @@ class Model:
     def predicted(self, x: np.ndarray) -> np.ndarray:
         out = np.full(x.shape[1], self.base)
         for t in self.trees:
-            out += np.array(t.value)[t.reached(x, self.settings.depth)]
+            out += t.values(x)
         return out
 
     def column(self) -> Column:
@@ -119,110 +126,144 @@ def edges(rows: DataFrame, features: list[str], bins: int) -> list[list[float]]:
     return [sorted({float(v) for v in found[f] or () if v < found[f"top_{f}"]}) for f in features]
 
 
+_BLOCK = "x binary, rest binary, train int"
+
+
+def _block(x: np.ndarray, rest: np.ndarray, train: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([rest.tobytes()], pa.binary()), pa.array([train], pa.int32())], ["x", "rest", "train"])
+
+
 def _packed(rows: DataFrame, model: Model, target: str, held: Column) -> DataFrame:
-    """Blocks of rows: x (a byte a feature and row), y and f (target and prediction, doubles), held (a byte)."""
+    """Blocks of rows: x (a byte a feature and row), rest (the target less the prediction, doubles); the first ``train`` rows are not held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        n = 0
+
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(kept)
+            of = lambda c: table.column(c).to_numpy()
+            late = of("_held").astype(bool)
+            order = np.argsort(late, kind="stable")
+            x = model.bins([of(c).astype(float)[order] for c in model.features])
+            return _block(x, of(target).astype(float)[order] - model.base, len(late) - int(late.sum()))
+
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                of = lambda c: part.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                x = model.bins([of(c).astype(float) for c in model.features])
-                cells = [x.tobytes(), of(target).astype(float).tobytes(), np.full(len(of(target)), model.base).tobytes(), of("_held").astype(np.uint8).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["x", "y", "f", "held"])
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, BLOCK - n)
+                kept.append(part)
+                at, n = at + part.num_rows, n + part.num_rows
+                if n == BLOCK:
+                    yield block()
+                    kept, n = [], 0
+        if n:
+            yield block()
 
-    return rows.select(*model.features, target, held.alias("_held")).mapInArrow(run, "x binary, y binary, f binary, held binary")
+    return rows.select(*model.features, target, held.alias("_held")).mapInArrow(run, _BLOCK)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     for batch in batches:
-        for x, y, f, held in zip(*(batch.column(c) for c in ("x", "y", "f", "held")), strict=True):
-            of = lambda c, kind: np.frombuffer(c.as_buffer(), kind)
-            yield of(x, np.uint8).reshape(d, -1), of(y, np.float64), of(f, np.float64), of(held, np.uint8) > 0
+        for x, rest, train in zip(*(batch.column(c) for c in ("x", "rest", "train")), strict=True):
+            yield np.frombuffer(x.as_buffer(), np.uint8).reshape(d, -1), np.frombuffer(rest.as_buffer(), np.float64), train.as_py()
+
 
+_PART = "feature int, sums binary, counts binary"
 
-_PART = "node int, feature int, sums binary, counts binary"
-_BEST = "node int, feature int, gain double, cut int, left_sum double, left_n long, sum double, n long"
 
+def _level(blocks: DataFrame, model: Model, tree: Tree, counted: list[int], unit: float, tasks: int) -> tuple[np.ndarray, np.ndarray, tuple[float, int]]:
+    """Sums and counts by counted node (a leaf so far), feature and bin; at a tree's root also the held rows' squared error and number."""
+    d, b, root = len(model.features), model.settings.bins, counted == [0]
 
-def _level(blocks: DataFrame, model: Model, tree: Tree, open_: list[int], unit: float, tasks: int, level: int = 0) -> list[dict]:
-    """The best cut of each open node (``level`` cuts below the root) and feature; at a tree's root also the held rows' squared error (node -1: sum, n)."""
-    d, b, s = len(model.features), model.settings.bins, model.settings
+    def part(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["feature", "sums", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(len(tree.value), -1)
-        place[open_] = np.arange(len(open_))
-        sums, counts = np.zeros((d, len(open_) * b)), np.zeros((d, len(open_) * b), np.int64)
+        size = len(counted) * b
+        sums, counts = np.zeros((d, size)), np.zeros((d, size), np.int64)
         wrong = np.zeros(2)
-        for x, y, f, held in _blocks(batches, d):
-            if open_ == [0]:
-                wrong += [float(((y - f)[held] ** 2).sum()), held.sum()]
-            node = place[tree.reached(x, level)]
-            on = np.flatnonzero((node >= 0) & ~held)
-            residual, first = np.rint((y[on] - f[on]) / unit), node[on] * b
+        wanted, place = np.zeros(len(tree.value), bool), np.zeros(len(tree.value), np.intp)
+        wanted[counted], place[counted] = True, np.arange(0, size, b)
+        for x, rest, train in _blocks(batches, d):
+            if root:
+                wrong += [float((rest[train:] ** 2).sum()), len(rest) - train]
+            x, rest = x[:, :train], rest[:train]
+            if not root:
+                node = tree.reached(x)
+                on = np.flatnonzero(wanted.take(node))
+                first, rest = place.take(node.take(on)), rest.take(on)
+            residual = np.rint(rest / unit)
             for k in range(d):
-                cell = first + x[k, on]
-                sums[k] += np.bincount(cell, residual, len(open_) * b)
-                counts[k] += np.bincount(cell, minlength=len(open_) * b)
-        rows = [(n, k, sums[k, i * b : i * b + b].tobytes(), counts[k, i * b : i * b + b].tobytes()) for i, n in enumerate(open_) for k in range(d)]
-        rows.append((-1, -1, wrong[:1].tobytes(), wrong[1:].astype(np.int64).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["node", "feature", "sums", "counts"])
-
-    def best(node: int, feature: int, parts: list[tuple[bytes, bytes]]) -> dict:
-        g = sum(np.frombuffer(x, np.float64) for x, _ in parts)
-        n = sum(np.frombuffer(x, np.int64) for _, x in parts)
-        total_g, total_n = float(g.sum()), int(n.sum())
-        row = {"node": node, "feature": feature, "gain": 0.0, "cut": -1, "left_sum": 0.0, "left_n": 0, "sum": total_g, "n": total_n}
-        if node >= 0:
-            left_g, left_n = np.cumsum(g)[:-1], np.cumsum(n)[:-1]
-            score = lambda a, m: (a * unit) ** 2 / (m + s.l2)
-            gain = score(left_g, left_n) + score(total_g - left_g, total_n - left_n) - score(total_g, total_n)
-            gain[(left_n < s.leaf) | (total_n - left_n < s.leaf)] = -1.0
-            at = int(gain.argmax())
-            row |= {"gain": float(gain[at]), "cut": at, "left_sum": float(left_g[at]), "left_n": int(left_n[at])}
-        return row
-
-    def grouped(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(x.as_py(), y.as_py()) for b in batches for x, y in zip(b.column("sums"), b.column("counts"), strict=True)]
-        kinds = {"node": pa.int32(), "feature": pa.int32(), "gain": pa.float64(), "cut": pa.int32(), "left_sum": pa.float64(), "left_n": pa.int64(), "sum": pa.float64(), "n": pa.int64()}
-        yield pa.RecordBatch.from_pylist([best(*(k.as_py() for k in key), parts)], pa.schema(list(kinds.items())))
-
-    counted = blocks.mapInArrow(count, _PART)
-    if tasks * len(open_) * d * b * 16 > DRIVER_BYTES:
-        return [r.asDict() for r in counted.groupBy("node", "feature").applyInArrow(grouped, _BEST).collect()]
-    found: dict[tuple[int, int], list] = {}
-    for r in counted.collect():
-        found.setdefault((r["node"], r["feature"]), []).append((bytes(r["sums"]), bytes(r["counts"])))
-    return [best(*key, parts) for key, parts in found.items()]
+                cell = x[k].astype(np.intp) if root else x[k].take(on) + first
+                sums[k] += np.bincount(cell, residual, size)
+                counts[k] += np.bincount(cell, minlength=size)
+        yield part([(-1, wrong[:1].tobytes(), wrong[1:].astype(np.int64).tobytes()), *((k, sums[k].tobytes(), counts[k].tobytes()) for k in range(d))])
+
+    def total(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        return sum(np.frombuffer(x, np.float64) for x, _ in parts), sum(np.frombuffer(x, np.int64) for _, x in parts)
+
+    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = total([(x.as_py(), y.as_py()) for b in batches for x, y in zip(b.column("sums"), b.column("counts"), strict=True)])
+        yield part([(key[0].as_py(), sums.tobytes(), counts.tobytes())])
+
+    parts = blocks.mapInArrow(count, _PART)
+    if tasks * len(counted) * d * b * 16 > DRIVER_BYTES:
+        parts = parts.groupBy("feature").applyInArrow(added, _PART)
+    found: dict[int, list] = {}
+    for r in parts.collect():
+        found.setdefault(r["feature"], []).append((bytes(r["sums"]), bytes(r["counts"])))
+    if not found:  # no task, no rows
+        return np.zeros((len(counted), d, b)), np.zeros((len(counted), d, b), np.int64), (0.0, 0)
+    wrong, n = total(found[-1])
+    sums, counts = (np.stack(c).reshape(d, -1, b).swapaxes(0, 1) for c in zip(*(total(found[k]) for k in range(d)), strict=True))
+    return sums, counts, (float(wrong[0]), int(n[0]))
+
+
+def _cuts(sums: np.ndarray, counts: np.ndarray, s: Settings, unit: float) -> list[dict]:
+    """The best cut of each node from its histograms (node, feature, bin); the first feature and bin if gains are equal."""
+    all_g, all_n = sums[:, 0].sum(-1), counts[:, 0].sum(-1)
+    left_g, left_n = np.cumsum(sums, -1)[..., :-1], np.cumsum(counts, -1)[..., :-1]
+    score = lambda a, m: (a * unit) ** 2 / (m + s.l2)
+    total_g, total_n = all_g[:, None, None], all_n[:, None, None]
+    gain = score(left_g, left_n) + score(total_g - left_g, total_n - left_n) - score(total_g, total_n)
+    gain[(left_n < s.leaf) | (total_n - left_n < s.leaf)] = -1.0
+    out = []
+    for i, of in enumerate(gain):
+        f, at = np.unravel_index(of.argmax(), of.shape)
+        out.append({"feature": int(f), "gain": float(of[f, at]), "cut": int(at), "left_sum": float(left_g[i, f, at]), "left_n": int(left_n[i, f, at]), "sum": float(all_g[i]), "n": int(all_n[i])})
+    return out
 
 
 def _grown(blocks: DataFrame, model: Model, unit: float, tasks: int, error: list[float]) -> Tree:
     """One tree on the residuals of the trees so far; ``error`` gets the mean squared error of the held rows before it."""
     s, full = model.settings, Tree()
     full.add(0.0)
-    open_, cuts, totals = [0], {}, {}
+    sums, counts, (wrong, n) = _level(blocks, model, full, [0], unit, tasks)
+    if n:
+        error.append(wrong / n)
+    cuts, totals = {}, {}
+    known = {0: (sums[0], counts[0])}
     for level in range(s.depth):
-        if not open_:
-            break
-        rows = _level(blocks, model, full, open_, unit, tasks, level)
-        nodes: dict[int, list] = {}
-        for r in rows:
-            if r["node"] >= 0:
-                nodes.setdefault(r["node"], []).append(r)
-            elif r["n"] and open_ == [0]:
-                error.append(r["sum"] / r["n"])
         fresh = []
-        for node in sorted(nodes):
-            r = max(nodes[node], key=lambda r: (r["gain"], -r["feature"]))
+        for node, r in zip(known, _cuts(*map(np.stack, zip(*known.values(), strict=True)), s, unit), strict=True):
             totals[node] = r["sum"], r["n"]
             if r["gain"] > 0 and r["n"] >= 2 * s.leaf:
                 cuts[node] = r["gain"]
                 full.feature[node], full.cut[node] = r["feature"], r["cut"]
-                full.left[node], full.right[node] = full.add(0.0), full.add(0.0)
-                totals[full.left[node]] = r["left_sum"], r["left_n"]
-                totals[full.right[node]] = r["sum"] - r["left_sum"], r["n"] - r["left_n"]
-                fresh += [full.left[node], full.right[node]]
-        open_ = [k for k in fresh if totals[k][1] >= 2 * s.leaf]
+                left, right = full.left[node], full.right[node] = full.add(0.0), full.add(0.0)
+                totals[left] = r["left_sum"], r["left_n"]
+                totals[right] = r["sum"] - r["left_sum"], r["n"] - r["left_n"]
+                small, large = sorted((left, right), key=lambda k: totals[k][1])
+                if totals[large][1] >= 2 * s.leaf:
+                    fresh.append((node, small, large))
+        if not fresh or level == s.depth - 1:
+            break
+        sums, counts, _ = _level(blocks, model, full, [small for _, small, _ in fresh], unit, tasks)
+        new = {}
+        for (node, small, large), g, n in zip(fresh, sums, counts, strict=True):
+            new[small], new[large] = (g, n), (known[node][0] - g, known[node][1] - n)
+        known = {k: new[k] for k in sorted(new) if totals[k][1] >= 2 * s.leaf}
     return _pruned(full, cuts, totals, s, unit)
 
 
@@ -247,16 +288,14 @@ def _pruned(full: Tree, cuts: dict[int, float], totals: dict[int, tuple[float, i
 
 
 def _advanced(blocks: DataFrame, model: Model, tree: Tree, write: bool) -> DataFrame:
-    """The blocks with the predictions of one more tree added, written or held by the executors."""
-    d, depth = len(model.features), model.settings.depth
+    """The blocks with one more tree taken off what is left of the target, written or held by the executors."""
+    d = len(model.features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value = np.array(tree.value)
-        for x, y, f, held in _blocks(batches, d):
-            f = f + value[tree.reached(x, depth)]
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in (x, y, f, held.astype(np.uint8))], ["x", "y", "f", "held"])
+        for x, rest, train in _blocks(batches, d):
+            yield _block(x, rest - tree.values(x), train)
 
-    moved = blocks.mapInArrow(run, "x binary, y binary, f binary, held binary")
+    moved = blocks.mapInArrow(run, _BLOCK)
     return stored(moved, "boosting") if write else moved.persist()
 
 
@@ -273,7 +312,9 @@ def fit(rows: DataFrame, features: list[str], target: str, held: Column, setting
     model = Model(features, edges(train, features, settings.bins), base, [], [], settings)
     if not found["n"]:
         return model
-    blocks = stored(_packed(whole, model, target, F.col("_held")), "boosting")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = _packed(whole, model, target, F.col("_held")).repartition(cores * -(-whole.count() // (cores * TASK)))
+    blocks = stored(blocks, "boosting")
     tasks = blocks.rdd.getNumPartitions()
     errors: list[float] = []  # before each tree
     before = blocks
@@ -285,10 +326,8 @@ def fit(rows: DataFrame, features: list[str], target: str, held: Column, setting
         best = int(np.argmin(errors)) if errors else 0
         if settings.patience and errors and len(errors) - 1 - best >= settings.patience:
             break
-    last: list[float] = []
-    for r in _level(blocks, model, Tree([-1], [0], [0], [0], [0.0]), [0], unit, tasks):
-        if r["node"] < 0 and r["n"]:
-            last.append(r["sum"] / r["n"])
+    _, _, (wrong, n) = _level(blocks, model, Tree([-1], [0], [0], [0], [0.0]), [0], unit, tasks)
+    last = [wrong / n] if n else []
     before.unpersist()
     blocks.unpersist()
     model.errors = [*errors, *last][1:]
