@@ -127,6 +127,20 @@ def test_a_block_takes_the_rows_of_several_batches(spark):
     assert np.array_equal(np.frombuffer(got[0]["rest"]), (y - 0.5)[order]) and np.array_equal(np.frombuffer(got[0]["x"], np.uint8).reshape(3, -1), (x > 0).T[:, order])
 
 
+@pytest.mark.parametrize("sorted_", [1 << 20, 700])
+def test_bin_borders_are_quantiles(spark, monkeypatch, sorted_):
+    monkeypatch.setattr(boosting, "SORTED", sorted_, raising=False)
+    draw = np.random.default_rng(5)
+    a, b = draw.normal(size=4000), draw.integers(0, 3, 4000).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"a": a, "b": b})).repartition(3)
+    exact = np.sort(a)[np.ceil(np.arange(1, 255) / 255 * 4000).astype(int) - 1]
+    plan = []
+    monkeypatch.setattr(type(df), "agg", lambda self, *c: plan.append(c))  # no sketch that takes the rows one by one
+    assert np.array_equal(boosting.edges(df, ["a", "b"], 255)[0], exact) and boosting.edges(df, ["a", "b"], 255)[1] == [0.0, 1.0]
+    got = np.searchsorted(np.sort(a), boosting.edges(df, ["a"], 5)[0], side="right")  # 500 values of each 700 rows
+    assert np.abs(got - 4000 * np.arange(1, 5) / 5).max() <= (4000 / 500 + 1 if sorted_ == 700 else 9) and not plan
+
+
 def test_boosting_of_odd_tables(spark):
     df, *_ = table(spark, 60)
     s = boosting.Settings(rounds=3)  # 200 rows a leaf: no cut is allowed

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.tables import stored
 
-#: Rows of a block, rows of a task at most, and rounds between two writes of the blocks.
-BLOCK, TASK, KEEP = 1 << 16, 1 << 22, 20
+#: Rows of a block, rows of a task at most, rows that are sorted at a time for the bins, and rounds between two writes of the blocks.
+BLOCK, TASK, SORTED, KEEP = 1 << 16, 1 << 22, 1 << 20, 20
 #: Partial histograms of a level that the driver adds up itself; more are added up by the cluster.
 DRIVER_BYTES = 64 << 20
 #: Residuals are counted in units of 2**-UNIT of the target's largest distance from its mean; 2**(52 - UNIT) rows add up exactly.
@@ -118,12 +118,52 @@ class Model:
         return predict(F.struct(*self.features))
 
 
+def _tables(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """A task's rows as tables of ``most`` rows, the last one with the rest."""
+    kept: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            kept.append(batch.slice(at, most - n))
+            at, n = at + kept[-1].num_rows, n + kept[-1].num_rows
+            if n == most:
+                yield pa.Table.from_batches(kept)
+                kept, n = [], 0
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
 def edges(rows: DataFrame, features: list[str], bins: int) -> list[list[float]]:
-    """Bin borders: distinct quantiles of each feature, the largest value left out."""
-    shares = [(k + 1) / bins for k in range(bins - 1)]
-    every = f"array({', '.join(map(repr, shares))})"
-    found = rows.agg(*(F.expr(f"percentile_approx(`{f}`, {every}, {100 * bins})").alias(f) for f in features), *(F.max(f).alias(f"top_{f}") for f in features)).first()
-    return [sorted({float(v) for v in found[f] or () if v < found[f"top_{f}"]}) for f in features]
+    """Bin borders: distinct quantiles of each feature, the largest value left out.
+
+    A task sorts ``SORTED`` rows at a time and sends, by feature, ``points`` of their values at most, each with the number of rows up to it since the
+    one before; a feature's values meet in one group. Ranks are exact where there are no more rows than that, else off by one in ``points`` at most.
+    """
+    points = 100 * bins
+    kind = "feature int, values binary, rows binary"
+
+    def sent(k: int, values: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["feature", "values", "rows"])
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tables(batches, SORTED):
+            n = table.num_rows
+            upto = np.arange(1, min(n, points) + 1) * n // min(n, points)
+            for k, f in enumerate(features):
+                yield sent(k, np.sort(table.column(f).to_numpy().astype(float))[upto - 1], np.diff(upto, prepend=0))
+
+    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.frombuffer(v.as_buffer()), np.frombuffer(n.as_buffer(), np.int64)) for b in batches for v, n in zip(b.column("values"), b.column("rows"), strict=True)]
+        values, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(values, kind="stable")
+        values, upto = values[order], np.cumsum(n[order])
+        ranks = np.ceil(np.arange(1, bins) / bins * upto[-1])
+        found = np.unique(values[np.searchsorted(upto, ranks)])
+        yield sent(key[0].as_py(), found[found < values[-1]], upto[-1:])
+
+    found = {r["feature"]: np.frombuffer(bytes(r["values"])).tolist() for r in rows.select(*features).mapInArrow(sort, kind).groupBy("feature").applyInArrow(meet, kind).collect()}
+    return [found.get(k, []) for k in range(len(features))]
 
 
 _BLOCK = "x binary, rest binary, train int"
@@ -137,28 +177,12 @@ def _packed(rows: DataFrame, model: Model, target: str, held: Column) -> DataFra
     """Blocks of rows: x (a byte a feature and row), rest (the target less the prediction, doubles); the first ``train`` rows are not held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        n = 0
-
-        def block() -> pa.RecordBatch:
-            table = pa.Table.from_batches(kept)
-            of = lambda c: table.column(c).to_numpy()
+        for table in _tables(batches, BLOCK):
+            of = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
             late = of("_held").astype(bool)
             order = np.argsort(late, kind="stable")
             x = model.bins([of(c).astype(float)[order] for c in model.features])
-            return _block(x, of(target).astype(float)[order] - model.base, len(late) - int(late.sum()))
-
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                part = batch.slice(at, BLOCK - n)
-                kept.append(part)
-                at, n = at + part.num_rows, n + part.num_rows
-                if n == BLOCK:
-                    yield block()
-                    kept, n = [], 0
-        if n:
-            yield block()
+            yield _block(x, of(target).astype(float)[order] - model.base, len(late) - int(late.sum()))
 
     return rows.select(*model.features, target, held.alias("_held")).mapInArrow(run, _BLOCK)
 
