@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.config import WEEKLY
-from tidepanel.functions.tables import dealt
+from tidepanel.functions.tables import dealt, stored
 from tidepanel.operators import adjust, backtest, factors, filings, metrics, models, portfolio, universe, volatility
 from tidepanel.operators import calendar as cal
 from tidepanel.plans.reports import WIDE, land_wide
@@ -243,6 +243,15 @@ def test_ewma_of_long_series(spark):
             assert got[k] == pytest.approx(np.sqrt(up / down * 252), rel=1e-9)
 
 
+def test_windows_of_a_panel_are_sorted_once(spark):
+    panel = stored(adjust.prepared(table(spark, bars(60))), "panel")
+    rows = volatility.windowed(panel, CFG)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "date" not in sent(rows)  # nor is the market's median in it, which reads it once it is written
+    market = volatility.market(stored(rows, "windowed"))
+    assert "Window" not in market._jdf.queryExecution().executedPlan().toString()
+
+
 def test_quarter_facts(spark):
     def doc(*facts, instants=()):
         days = "".join(f'<b:context id="{i}"><b:entity/><b:period><b:instant>{day}</b:instant></b:period></b:context>' for i, day in instants)

@@ -29,19 +29,23 @@ def realized(window: int, year: int) -> Column:
 EWMA_BLOCK = 2000
 
 
-def ewma(lam: float, year: int, minimum: int) -> Column:
+def ewma(lam: float, year: int, minimum: int, sessions: int | None = None) -> Column:
     """Exponentially weighted volatility; weights decay by sessions. Column ``age`` counts sessions since the isin's first.
 
     Weights grow from the beginning of a block of sessions, so they stay in range on series of any
-    length; the block before comes in with its own decay and earlier ones weigh less than 1e-50.
+    length; the block before comes in with its own decay and earlier ones weigh less than 1e-50. Where the
+    calendar has no more ``sessions`` than a block, there is one block, which needs no order of its own.
     """
     block = F.floor(F.col("age") / EWMA_BLOCK)
     every = by_s().rowsBetween(Window.unboundedPreceding, 0)
+    one = sessions is not None and sessions <= EWMA_BLOCK
     own = Window.partitionBy("isin", block).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("isin").orderBy(block).rangeBetween(-1, -1)
     weight = F.pow(F.lit(lam), -F.pmod(F.col("age"), F.lit(EWMA_BLOCK)))
 
     def total(x: Column) -> Column:
+        if one:
+            return F.coalesce(F.sum(x).over(every), F.lit(0.0))
         return F.coalesce(F.sum(x).over(own), F.lit(0.0)) + F.coalesce(F.sum(x).over(before), F.lit(0.0)) * lam**EWMA_BLOCK
 
     mean = total(F.col("ret") * F.col("ret") * weight) / total(F.when(F.col("ret").isNotNull(), weight))
@@ -78,28 +82,43 @@ def turnover_ratio(short: int, long: int) -> Column:
 FEATURES = ["rv_1", "rv_2", "rv_3", "rv_4", "ewma", "parkinson", "ret_long", "ret_short", "market_rv", "ratio_1_3", "ratio_2_4", "vs_market", "turnover_ratio"]
 
 
-def features(panel: DataFrame, cfg: Config) -> DataFrame:
-    """One row a bar with all features, forward_vol and anchor; windows of cfg.windows (rv_1 to rv_4)."""
+def windowed(panel: DataFrame, cfg: Config) -> DataFrame:
+    """One row a bar with the features of its own isin and forward_vol; windows of cfg.windows (rv_1 to rv_4)."""
     w1, w2, w3, w4 = cfg.windows
     y = cfg.year
-    first = F.min("s").over(Window.partitionBy("isin"))
-    panel = dealt(panel.select("date", "s", "isin", "symbol", "high", "low", "turnover", "adj_close"), "isin", panel.count())
+    size = panel.agg(F.count(F.lit(1)).alias("n"), (F.max("s") - F.min("s") + 1).alias("sessions")).first()
+    panel = dealt(panel.select("date", "s", "isin", "symbol", "high", "low", "turnover", "adj_close"), "isin", size["n"])
+    first = F.min("s").over(by_s().rowsBetween(Window.unboundedPreceding, 0))
     rows = returns(panel, cap=cfg.return_cap).withColumn("age", F.col("s") - first)
-    rows = rows.select(
+    return rows.select(
         "date", "s", "isin", "symbol", "ret",
         realized(w1, y).alias("rv_1"), realized(w2, y).alias("rv_2"), realized(w3, y).alias("rv_3"), realized(w4, y).alias("rv_4"),
-        ewma(cfg.ewma_lambda, y, min(20, w2)).alias("ewma"),
+        ewma(cfg.ewma_lambda, y, min(20, w2), size["sessions"] or 0).alias("ewma"),
         parkinson(w2, y, max(2, w2 // 2)).alias("parkinson"),
         past_return(w2).alias("ret_long"), past_return(w1).alias("ret_short"),
         turnover_ratio(w1, w3).alias("turnover_ratio"),
         forward(cfg.horizon, y).alias("forward_vol"),
     )
-    market = rows.groupBy("date").agg(F.median("rv_2").alias("market_rv"))
+
+
+def market(rows: DataFrame) -> DataFrame:
+    """date, market_rv: the median of rv_2 on each date."""
+    return rows.groupBy("date").agg(F.median("rv_2").alias("market_rv"))
+
+
+def against(rows: DataFrame, market: DataFrame) -> DataFrame:
+    """The rows of ``windowed`` with the market's volatility, the ratios and anchor."""
     rows = rows.join(F.broadcast(market), "date")
     ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
     return rows.withColumns({"ratio_1_3": ratio("rv_1", "rv_3"), "ratio_2_4": ratio("rv_2", "rv_4"), "vs_market": ratio("rv_2", "market_rv"), "anchor": F.col("ewma")})
 
 
+def features(panel: DataFrame, cfg: Config) -> DataFrame:
+    """One row a bar with all features, forward_vol and anchor; callers with large panels write ``windowed`` first, which is read twice."""
+    rows = windowed(panel, cfg)
+    return against(rows, market(rows))
+
+
 def usable(rows: DataFrame, require_target: bool = True) -> DataFrame:
     """Feature rows with a usable anchor (and target, unless the newest rows are wanted) and target_log_ratio."""
     rows = rows.where(F.col("anchor") > 1e-6)

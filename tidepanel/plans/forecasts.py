@@ -40,8 +40,17 @@ cte(
 
 
 @once
+def _windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volatility.windowed(panel(spark, sf_dir), config(spark, sf_dir))
+
+
+@once
+def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volatility.market(_windowed(spark, sf_dir))
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volatility.features(panel(spark, sf_dir), config(spark, sf_dir))
+    return volatility.against(_windowed(spark, sf_dir), _market(spark, sf_dir))
 
 
 def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
