@@ -113,6 +113,15 @@ def test_a_level_counts_the_smaller_of_two_nodes(spark, monkeypatch):
     assert len(seen) == 9 and all(n == train if nodes == [0] else n <= train // 2 for nodes, n in seen)  # the other node is the difference
 
 
+def test_rounds_write_the_rows_once(spark, monkeypatch):
+    written, stored = [], boosting.stored
+    monkeypatch.setattr(boosting, "stored", lambda df, name: written.append(name) or stored(df, name))
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    df, *_ = table(spark)
+    model = boosting.fit(df, FEATURES, "y", F.col("held") == 1, boosting.Settings(rounds=5, depth=2, leaf=25))
+    assert len(model.trees) == 5 and written == ["boosting"]  # later rounds hold arrays and checkpoint them; no table is read and converted again
+
+
 def test_a_block_takes_the_rows_of_several_batches(spark):
     df, x, y, held = table(spark)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")

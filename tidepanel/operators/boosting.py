@@ -23,10 +23,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.functions.tables import stored
+from tidepanel.functions.tables import shared_dir, stored
 
 #: Rows of a block, rows of a task at most, rows that are sorted at a time for the bins, and rounds between two writes of the blocks.
 BLOCK, TASK, SORTED, KEEP = 1 << 16, 1 << 22, 1 << 20, 20
@@ -166,11 +167,7 @@ def edges(rows: DataFrame, features: list[str], bins: int) -> list[list[float]]:
     return [found.get(k, []) for k in range(len(features))]
 
 
-_BLOCK = "x binary, rest binary, train int"
-
-
-def _block(x: np.ndarray, rest: np.ndarray, train: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([rest.tobytes()], pa.binary()), pa.array([train], pa.int32())], ["x", "rest", "train"])
+Block = tuple[np.ndarray, np.ndarray, int]
 
 
 def _packed(rows: DataFrame, model: Model, target: str, held: Column) -> DataFrame:
@@ -182,36 +179,31 @@ def _packed(rows: DataFrame, model: Model, target: str, held: Column) -> DataFra
             late = of("_held").astype(bool)
             order = np.argsort(late, kind="stable")
             x = model.bins([of(c).astype(float)[order] for c in model.features])
-            yield _block(x, of(target).astype(float)[order] - model.base, len(late) - int(late.sum()))
-
-    return rows.select(*model.features, target, held.alias("_held")).mapInArrow(run, _BLOCK)
-
+            cells = x.tobytes(), (of(target).astype(float)[order] - model.base).tobytes(), len(late) - int(late.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, (pa.binary(), pa.binary(), pa.int32()), strict=True)], ["x", "rest", "train"])
 
-def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    for batch in batches:
-        for x, rest, train in zip(*(batch.column(c) for c in ("x", "rest", "train")), strict=True):
-            yield np.frombuffer(x.as_buffer(), np.uint8).reshape(d, -1), np.frombuffer(rest.as_buffer(), np.float64), train.as_py()
+    return rows.select(*model.features, target, held.alias("_held")).mapInArrow(run, "x binary, rest binary, train int")
 
 
-_PART = "feature int, sums binary, counts binary"
+def _blocks(packed: DataFrame, d: int) -> RDD[Block]:
+    """The blocks as arrays, which tasks get as they are held: a level reads all of them and should not convert them."""
+    return packed.rdd.map(lambda r: (np.frombuffer(r["x"], np.uint8).reshape(d, -1), np.frombuffer(r["rest"], np.float64), r["train"])).persist(StorageLevel.MEMORY_AND_DISK_DESER)
 
 
-def _level(blocks: DataFrame, model: Model, tree: Tree, counted: list[int], unit: float, tasks: int) -> tuple[np.ndarray, np.ndarray, tuple[float, int]]:
+def _level(blocks: RDD[Block], model: Model, tree: Tree, counted: list[int], unit: float, tasks: int) -> tuple[np.ndarray, np.ndarray, tuple[float, int]]:
     """Sums and counts by counted node (a leaf so far), feature and bin; at a tree's root also the held rows' squared error and number."""
     d, b, root = len(model.features), model.settings.bins, counted == [0]
 
-    def part(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["feature", "sums", "counts"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(found: Iterator[Block]) -> Iterator[tuple[int, tuple[np.ndarray, np.ndarray]]]:
         size = len(counted) * b
         sums, counts = np.zeros((d, size)), np.zeros((d, size), np.int64)
-        wrong = np.zeros(2)
+        wrong, late = np.zeros(1), np.zeros(1, np.int64)
         wanted, place = np.zeros(len(tree.value), bool), np.zeros(len(tree.value), np.intp)
         wanted[counted], place[counted] = True, np.arange(0, size, b)
-        for x, rest, train in _blocks(batches, d):
+        for x, rest, train in found:
             if root:
-                wrong += [float((rest[train:] ** 2).sum()), len(rest) - train]
+                wrong += (rest[train:] ** 2).sum()
+                late += len(rest) - train
             x, rest = x[:, :train], rest[:train]
             if not root:
                 node = tree.reached(x)
@@ -222,26 +214,20 @@ def _level(blocks: DataFrame, model: Model, tree: Tree, counted: list[int], unit
                 cell = x[k].astype(np.intp) if root else x[k].take(on) + first
                 sums[k] += np.bincount(cell, residual, size)
                 counts[k] += np.bincount(cell, minlength=size)
-        yield part([(-1, wrong[:1].tobytes(), wrong[1:].astype(np.int64).tobytes()), *((k, sums[k].tobytes(), counts[k].tobytes()) for k in range(d))])
+        yield -1, (wrong, late)
+        yield from ((k, (sums[k], counts[k])) for k in range(d))
 
-    def total(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        return sum(np.frombuffer(x, np.float64) for x, _ in parts), sum(np.frombuffer(x, np.int64) for _, x in parts)
+    def both(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return a[0] + b[0], a[1] + b[1]
 
-    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, counts = total([(x.as_py(), y.as_py()) for b in batches for x, y in zip(b.column("sums"), b.column("counts"), strict=True)])
-        yield part([(key[0].as_py(), sums.tobytes(), counts.tobytes())])
-
-    parts = blocks.mapInArrow(count, _PART)
+    parts = blocks.mapPartitions(count)
     if tasks * len(counted) * d * b * 16 > DRIVER_BYTES:
-        parts = parts.groupBy("feature").applyInArrow(added, _PART)
-    found: dict[int, list] = {}
-    for r in parts.collect():
-        found.setdefault(r["feature"], []).append((bytes(r["sums"]), bytes(r["counts"])))
-    if not found:  # no task, no rows
-        return np.zeros((len(counted), d, b)), np.zeros((len(counted), d, b), np.int64), (0.0, 0)
-    wrong, n = total(found[-1])
-    sums, counts = (np.stack(c).reshape(d, -1, b).swapaxes(0, 1) for c in zip(*(total(found[k]) for k in range(d)), strict=True))
-    return sums, counts, (float(wrong[0]), int(n[0]))
+        parts = parts.reduceByKey(both, min(tasks, d + 1))
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for k, part in parts.collect():
+        found[k] = both(found[k], part) if k in found else part
+    sums, counts = (np.stack([found[k][i] for k in range(d)]).reshape(d, -1, b).swapaxes(0, 1) for i in range(2))
+    return sums, counts, (float(found[-1][0][0]), int(found[-1][1][0]))
 
 
 def _cuts(sums: np.ndarray, counts: np.ndarray, s: Settings, unit: float) -> list[dict]:
@@ -259,7 +245,7 @@ def _cuts(sums: np.ndarray, counts: np.ndarray, s: Settings, unit: float) -> lis
     return out
 
 
-def _grown(blocks: DataFrame, model: Model, unit: float, tasks: int, error: list[float]) -> Tree:
+def _grown(blocks: RDD[Block], model: Model, unit: float, tasks: int, error: list[float]) -> Tree:
     """One tree on the residuals of the trees so far; ``error`` gets the mean squared error of the held rows before it."""
     s, full = model.settings, Tree()
     full.add(0.0)
@@ -311,16 +297,17 @@ def _pruned(full: Tree, cuts: dict[int, float], totals: dict[int, tuple[float, i
     return out
 
 
-def _advanced(blocks: DataFrame, model: Model, tree: Tree, write: bool) -> DataFrame:
-    """The blocks with one more tree taken off what is left of the target, written or held by the executors."""
-    d = len(model.features)
+def _advanced(blocks: RDD[Block], tree: Tree, write: bool) -> RDD[Block]:
+    """The blocks with one more tree taken off what is left of the target, held by the executors and, if so wanted, written as well."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, rest, train in _blocks(batches, d):
-            yield _block(x, rest - tree.values(x), train)
+    def run(found: Iterator[Block]) -> Iterator[Block]:
+        for x, rest, train in found:
+            yield x, rest - tree.values(x), train
 
-    moved = blocks.mapInArrow(run, _BLOCK)
-    return stored(moved, "boosting") if write else moved.persist()
+    moved = blocks.mapPartitions(run, True).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    if write:
+        moved.checkpoint()
+    return moved
 
 
 def fit(rows: DataFrame, features: list[str], target: str, held: Column, settings: Settings = Settings()) -> Model:
@@ -336,17 +323,20 @@ def fit(rows: DataFrame, features: list[str], target: str, held: Column, setting
     model = Model(features, edges(train, features, settings.bins), base, [], [], settings)
     if not found["n"]:
         return model
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    blocks = _packed(whole, model, target, F.col("_held")).repartition(cores * -(-whole.count() // (cores * TASK)))
-    blocks = stored(blocks, "boosting")
-    tasks = blocks.rdd.getNumPartitions()
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
+    cores = context.defaultParallelism
+    packed = _packed(whole, model, target, F.col("_held")).repartition(cores * -(-whole.count() // (cores * TASK)))
+    blocks = _blocks(stored(packed, "boosting"), len(features))
+    tasks = blocks.getNumPartitions()
     errors: list[float] = []  # before each tree
     before = blocks
     while len(model.trees) < settings.rounds:
         tree = _grown(blocks, model, unit, tasks, errors)
         before.unpersist()  # these blocks have been made from it by now
         model.trees.append(tree)
-        before, blocks = blocks, _advanced(blocks, model, tree, len(model.trees) % KEEP == 0)
+        before, blocks = blocks, _advanced(blocks, tree, len(model.trees) % KEEP == 0)
         best = int(np.argmin(errors)) if errors else 0
         if settings.patience and errors and len(errors) - 1 - best >= settings.patience:
             break
