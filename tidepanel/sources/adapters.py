@@ -95,7 +95,9 @@ def _over(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of ``BARS`` by one shuffle: lines are dealt by supplier, and cells, running sums and lags follow in the same task."""
     table = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    lines = table.select(F.col("l_suppkey").alias("k"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), "l_discount", "l_extendedprice", "l_quantity", "l_tax")
+    week = lambda day: F.trunc(day, "week").alias("date")
+    lines = table.select(F.col("l_suppkey").alias("k"), week(F.to_date("l_shipdate")), "l_discount", "l_extendedprice", "l_quantity", "l_tax")
+    days = table.select(F.to_date("l_shipdate").alias("day")).distinct()
     cells = dealt(lines, "k", table.count(), 1 << 19).groupBy("k", "date").agg(
         (F.avg("l_discount") - 0.05).alias("r"), F.sum("l_extendedprice").alias("turnover"), F.sum("l_quantity").alias("volume"),
         F.count(F.lit(1)).alias("trades"), F.max("l_tax").alias("tx"), F.min("l_tax").alias("tn"),
@@ -103,7 +105,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("k").orderBy("date")
     k, s = F.col("k"), F.col("s")
     ex = F.when((F.row_number().over(w) > 1) & ((k * 7 + s) % 97 == 0), 1).otherwise(0)
-    rows = indexed(cells, calendar(lines)).withColumns({"cr": F.sum("r").over(w), "ex": ex}).withColumn("half", F.pow(F.lit(0.5), F.sum("ex").over(w)))
+    rows = indexed(cells, calendar(days.select(week("day")))).withColumns({"cr": F.sum("r").over(w), "ex": ex}).withColumn("half", F.pow(F.lit(0.5), F.sum("ex").over(w)))
     rows = rows.where(~((k % 5 == 1) & s.between(170, 185)))  # lags go over the weeks that are left
     rows = rows.withColumns({"close": 100 * F.exp("cr") * F.col("half"), "before": 100 * F.exp(F.lag("cr").over(w)) * F.col("half")})
     name = k.cast("string")
