@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,20 @@ def test_importance_equals_brute_force(spark):
         assert got[f] == pytest.approx(np.mean(drops), rel=1e-9)
 
 
+def test_repeats_of_a_permutation_are_predicted_together(monkeypatch):
+    draw = np.random.default_rng(4)
+    model = boosting.Model(["a", "b"], [[0.0], [0.0]], 0.5, [boosting.Tree([0, -1, -1], [0, 0, 0], [1, 0, 0], [2, 0, 0], [0.0, -1.0, 1.0])], [], boosting.Settings())
+    cells = {c: draw.normal(size=90) for c in ("a", "b", "p_a", "p_b", models.TARGET)}
+    seen, predicted = [], boosting.Model.predicted
+    monkeypatch.setattr(boosting.Model, "predicted", lambda self, x: seen.append(x.shape[1]) or predicted(self, x))
+    got = models.permuted(model, pa.table({"repeat": pa.array(np.arange(90) % 3, pa.int32()), **cells}))
+    assert seen == [90] * 3  # as they are, and with one feature permuted
+    for (r, k), e in got.items():
+        a = cells["p_a" if k == 0 else "a"]
+        assert e == pytest.approx((((0.5 + np.where(a > 0, 1.0, -1.0) - cells[models.TARGET])[r::3]) ** 2).sum())
+    assert len(got) == 9
+
+
 def test_models_are_stored_and_retrained(spark, tmp_path):
     df, *_ = table(spark, 400)
     place = f"file://{tmp_path}/model"

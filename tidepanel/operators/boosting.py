@@ -119,7 +119,7 @@ class Model:
         return predict(F.struct(*self.features))
 
 
-def _tables(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+def filled(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     """A task's rows as tables of ``most`` rows, the last one with the rest."""
     kept: list[pa.RecordBatch] = []
     n = 0
@@ -148,7 +148,7 @@ def edges(rows: DataFrame, features: list[str], bins: int) -> list[list[float]]:
         return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["feature", "values", "rows"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _tables(batches, SORTED):
+        for table in filled(batches, SORTED):
             n = table.num_rows
             upto = np.arange(1, min(n, points) + 1) * n // min(n, points)
             for k, f in enumerate(features):
@@ -174,7 +174,7 @@ def _packed(rows: DataFrame, model: Model, target: str, held: Column) -> DataFra
     """Blocks of rows: x (a byte a feature and row), rest (the target less the prediction, doubles); the first ``train`` rows are not held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _tables(batches, BLOCK):
+        for table in filled(batches, BLOCK):
             of = lambda c: table.column(c).to_numpy()  # noqa: B023, E731
             late = of("_held").astype(bool)
             order = np.argsort(late, kind="stable")

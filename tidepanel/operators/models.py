@@ -92,12 +92,27 @@ def placed(rows: DataFrame, *order: str | Column) -> DataFrame:
     return ranged.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_i")).drop("_part", "_i", "_start")
 
 
+def permuted(model: boosting.Model, rows: pa.Table) -> dict[tuple[int, int], float]:
+    """Squared errors by repeat and feature (-1: none) whose value is that of the column with p_ before its name; all repeats' rows are predicted together."""
+    of = lambda c: rows.column(c).to_numpy().astype(float)
+    x, other = (model.bins([of(c + f) for f in model.features]) for c in ("", "p_"))
+    repeat, y = rows.column("repeat").to_numpy(), of(TARGET)
+    there, out = np.unique(repeat), {}
+    for k in range(-1, len(model.features)):
+        mixed = x.copy()
+        if k >= 0:
+            mixed[k] = other[k]
+        sums = np.bincount(repeat, (model.predicted(mixed) - y) ** 2)
+        out |= {(int(r), k): float(sums[r]) for r in there}
+    return out
+
+
 def importance(parts: DataFrame, horizon: int, model: boosting.Model, repeats: int = 5) -> DataFrame:
     """feature, mean_drop, sd: R2 on the non-overlapping test dates less that with the feature's values permuted over all rows, over repeats.
 
     A permutation gives each row the values of the row that has its place in another order, by a hash of the repeat.
     """
-    features, d = model.features, len(model.features)
+    features = model.features
     test = complete(parts.where("part = 'test'"), [*features, TARGET])
     test = placed(volatility.grid(test, horizon).select("date", "isin", TARGET, *features), "date", "isin")
     size = test.agg(F.count(F.lit(1)).alias("n"), (F.var_pop(TARGET) * F.count(F.lit(1))).alias("spread"))
@@ -107,18 +122,9 @@ def importance(parts: DataFrame, horizon: int, model: boosting.Model, repeats: i
 
     def errors(batches):
         total = {}
-        for batch in batches:
-            rows = batch.to_pandas()
-            x, other = (model.bins([rows[c + f].to_numpy(float) for f in features]) for c in ("", "p_"))
-            for repeat in rows["repeat"].unique():
-                on = np.flatnonzero(rows["repeat"] == repeat)
-                y = rows[TARGET].to_numpy(float)[on]
-                for k in range(-1, d):
-                    mixed = x[:, on].copy()
-                    if k >= 0:
-                        mixed[k] = other[k, on]
-                    at = int(repeat), k
-                    total[at] = total.get(at, 0.0) + float(((model.predicted(mixed) - y) ** 2).sum())
+        for table in boosting.filled(batches, boosting.BLOCK):
+            for at, e in permuted(model, table).items():
+                total[at] = total.get(at, 0.0) + e
         rows = [(r, k, e) for (r, k), e in total.items()]
         yield pa.RecordBatch.from_pylist([dict(zip(("repeat", "k", "error"), r, strict=True)) for r in rows], pa.schema([("repeat", pa.int32()), ("k", pa.int32()), ("error", pa.float64())]))
 
